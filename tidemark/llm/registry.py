@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, packing
 
-MODULES = (exact_dedup,)
+MODULES = (exact_dedup, packing)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
