@@ -29,6 +29,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
 BLOCK_ROWS = 20_000
+HEAVY = 256
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +87,27 @@ def pivotal(sizes: np.ndarray, chances: np.ndarray, rng: np.random.Generator) ->
     return p, held
 
 
+def against_the_rest(sizes: np.ndarray, chance: float, whole_size: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Settles documents, longest first, each against all that come after it, which share one chance; as far as those can take the mass.
+
+    Returns 0, 1 or nan (not settled) for each, and the chance that all others have then.
+    """
+    out = np.full(len(sizes), np.nan)
+    rest = float(whole_size)
+    for i, a in enumerate(sizes):
+        rest -= a
+        if rest <= 0 or not 1e-12 < chance < 1 - 1e-12:
+            break
+        if_taken, if_not = chance - a * (1 - chance) / rest, chance + a * chance / rest
+        if if_taken < 0 or if_not > 1:
+            break
+        taken = rng.random() < chance
+        out[i], chance = float(taken), if_taken if taken else if_not
+    return out, chance
+
+
 NARROW = "doc_id long, source string, size long, source_no int, source_size long, target double, whole long, chance double, block long, settled boolean"
+NAMES = [x.split()[0] for x in NARROW.split(", ")]
 
 
 def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
@@ -112,9 +133,23 @@ def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int =
 
         return run
 
+    rows = _text.materialise(rows.withColumn("heavy", (F.col("size") > 0) & (F.col("size") * HEAVY >= F.col("source_size")) & (F.col("chance") > 0)))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
+        rng = np.random.Generator(np.random.Philox([seed * 1000 + 999, int(group["source_no"].iloc[0]) << 32]))
+        taken, after = against_the_rest(group["size"].to_numpy(), float(group["chance"].iloc[0]), float(group["source_size"].iloc[0]), rng)
+        group["settled"], group["chance"], group["after"] = ~np.isnan(taken), np.where(np.isnan(taken), after, taken), after
+        return group[[*NAMES, "after"]]
+
+    heavy = _text.materialise(rows.filter("heavy").drop("heavy").groupBy("source_no").applyInPandas(settle, NARROW + ", after double"))
+    after = heavy.groupBy("source_no").agg(F.max("after").alias("after"))
+    light = rows.filter("not heavy").drop("heavy").join(after, "source_no", "left").withColumn("chance", F.coalesce("after", "chance")).select(*NAMES)
+    rows = light.unionByName(heavy.filter("not settled").select(*NAMES))
+
     largest = targets.agg(F.max("members")).first()[0] or 0
     blocks = -(-largest // block_rows)
-    done: list[DataFrame] = []
+    done: list[DataFrame] = [heavy.filter("settled").select(*NAMES)]
     depth, left = 0, rows
     while True:
         root = blocks <= 1
