@@ -99,8 +99,11 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the number of the first word at or after its start (one more entry than texts)."""
+def words(raw: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the number of the first word at or after its start (one more entry than texts).
+
+    cuts: places where a word ends and the next begins without white space between.
+    """
     n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
@@ -111,6 +114,9 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after = np.empty(n, dtype=bool)
     after[-1], after[:-1] = False, solid[1:]
     after[offs[1:][offs[1:] > 0] - 1] = False
+    if cuts is not None:
+        before[cuts] = False
+        after[cuts - 1] = False
     starts = np.flatnonzero(solid & ~before)
     ends = np.flatnonzero(solid & ~after) + 1
     return starts, ends, np.searchsorted(starts, offs)

@@ -32,7 +32,12 @@ from tidemark.llm import _text
 CAPACITY = 4096
 END_ID = 1
 #: Words of which a task keeps the ids; beyond it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 2_000_000
+#: Between a letter and one of these marks the tokenizer's pre-tokens always end, so what follows counts as a word of its own.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK = np.zeros(256, dtype=bool)
+MARK[list(b".,!?;:%&*#$")] = True
 #: Pieces of a length that are ranked together, about.
 RANKED_TOGETHER = 250_000
 
@@ -40,8 +45,8 @@ RANKED_TOGETHER = 250_000
 class WordEncoder:
     """Ids of whole texts by a tokenizer that splits at white space and drops it: distinct words are encoded once and gathered.
 
-    New words are encoded together, joined by a digit, which is a pre-token and an id of its own; words that hold a digit or that don't
-    come back in step are encoded alone.
+    New words are encoded together, joined by the digit 0, which is a pre-token and an id of its own; words that hold it, and any that
+    don't come back in step, are encoded alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,17 +63,25 @@ class WordEncoder:
         self.counts = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.uint32)
 
+    def folded(self, raw: np.ndarray) -> np.ndarray:
+        """ASCII capitals in lower case, as the tokenizer makes them, but before bytes that could compose with them or where special tokens may be."""
+        if not len(raw) or (raw == 0x7C).any() and b"<|" in raw.tobytes():
+            return raw
+        capital = (raw >= 65) & (raw <= 90)
+        capital[:-1] &= raw[1:] < 128
+        return raw + capital.astype(np.uint8) * np.uint8(32)
+
     def alone(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        digits = np.fromiter((any(48 <= c <= 57 for c in w) or not w.isascii() and any(ch.isnumeric() for ch in w.decode()) for w in words), bool, len(words))
-        plain = np.flatnonzero(~digits)
+        zeros = np.fromiter((b"0" in w for w in words), bool, len(words))
+        plain = np.flatnonzero(~zeros)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rest = list(np.flatnonzero(digits))
+        rest = list(np.flatnonzero(zeros))
         for at in range(0, len(plain), 512):
             own = plain[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" 0 ".join(words[i].decode() for i in own), add_special_tokens=False).ids, dtype=np.uint32)
+            ids = np.array(self.tokenizer.encode(b" 0 ".join([words[i] for i in own]).decode(), add_special_tokens=False).ids, dtype=np.uint32)
             marks = np.flatnonzero(ids == self.digit)
             if len(marks) != len(own) - 1:
                 rest.extend(own)
@@ -90,7 +103,9 @@ class WordEncoder:
 
     def texts(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block one after another, and each text's offset among them."""
-        starts, ends, first = _text.words(raw, offs)
+        raw = self.folded(raw)
+        cuts = np.flatnonzero(LETTER[raw[:-1]] & MARK[raw[1:]]) + 1
+        starts, ends, first = _text.words(raw, offs, cuts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         codes, distinct = pd.factorize(_text.word_hashes(raw, starts, ends))
