@@ -233,12 +233,12 @@ def tasks_of(members: DataFrame, threshold: float, block_rows: int, block_grams:
     return out.unionByName(spread)
 
 
-def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """doc_id, class_id, rep_id, n_ngrams, n_links for every row of docs."""
+def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """doc_id, text_key, root, class_id, rep_id, n_ngrams, n_links for every row of docs; root: a name of the class, null for texts without words."""
     bands, rows = banding(threshold, recall)
     spark = docs.sparkSession
     rows_signed = _text.materialise(signed(docs, n, bands, rows, id_col, text_col))
-    narrow = rows_signed.select("doc_id", "set_id", "n_ngrams")
+    narrow = rows_signed.select("doc_id", "text_key", "set_id", "n_ngrams")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     classes = rows_signed.filter("set_id is not null").groupBy("set_id").agg(F.first("bands").alias("bands"), F.first("n_ngrams").alias("n_ngrams"), F.count(F.lit(1)).alias("weight"), rep.alias("rep"))
     classes = _text.materialise(classes.select("set_id", "bands", "n_ngrams", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")))
@@ -257,12 +257,29 @@ def near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     linked = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "set_id")
     known = classes.select("set_id", "rep_id", "weight").join(linked, "set_id", "left").join(sums, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     firsts = known.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    known = known.join(firsts, "root").select("set_id", "rep_id", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    worded = narrow.filter("set_id is not null").join(known, "set_id").select("doc_id", "class_id", "rep_id", "n_ngrams", "n_links")
-    alone = narrow.filter("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), "n_ngrams", F.lit(0).cast("long").alias("n_links"))
+    known = known.join(firsts, "root").select("set_id", "root", "rep_id", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    worded = narrow.filter("set_id is not null").join(known, "set_id").select("doc_id", "text_key", "root", "class_id", "rep_id", "n_ngrams", "n_links")
+    alone = narrow.filter("set_id is null").select("doc_id", "text_key", F.lit(None).cast("string").alias("root"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), "n_ngrams", F.lit(0).cast("long").alias("n_links"))
     return worded.unionByName(alone)
 
 
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, rep_id, n_ngrams, n_links for every row of docs."""
+    return linked_rows(docs, **options).drop("text_key", "root")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each class the one with the smallest doc_id, and all texts without words."""
+    rows = _text.materialise(linked_rows(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_key", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    stays = rows.filter("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("__keep"), F.col("first.text_key").alias("__text_key"))
+    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
+    joined = own.join(stays, own["__id"].eqNullSafe(stays["__keep"]) & (own["__key"] == stays["__text_key"]))
+    joined = joined.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__key").orderBy("__key"))).filter("__nth = 1")
+    wordless = docs.filter(~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
+    return joined.select(*docs.columns).unionByName(wordless)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
