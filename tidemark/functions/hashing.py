@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def short_id(*parts: Column, separator: str = "\x1f") -> Column:
@@ -54,7 +55,7 @@ def simhash_of(text: str | None, shingle: int = 3) -> str:
     return f"{value:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def simhash(text: pd.Series) -> pd.Series:
     """The keyed hash behind it has no built-in form."""
     return text.map(simhash_of)
@@ -66,8 +67,8 @@ def simhash_native(text: Column, shingle: int = 3) -> Column:
     n = F.size(words) - (shingle - 1)
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
     bits = F.sequence(F.lit(0), F.lit(63))
-    vote = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    value = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.when(vote(b) > 0, a.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), b))).otherwise(a))
+    vote = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1))
+    value = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.when(vote(b) > 0, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(a))
     return F.when(n > 0, value)
 
 

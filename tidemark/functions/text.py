@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import constants as K
 
@@ -109,7 +110,7 @@ def site_is_product(name: Column, registrable_domain: Column) -> Column:
     return (stem != "") & (flat != "") & (flat.startswith(stem) | stem.startswith(flat))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML character references resolved; there is no built-in for it."""
     return text.map(html.unescape, na_action="ignore")
@@ -149,7 +150,7 @@ def json_reply(text: Column) -> Column:
     return F.try_parse_json(F.regexp_extract(F.when(F.contains(text, F.lit("```")), bare).otherwise(text), r"(?s)(\{.*\})", 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -166,7 +167,7 @@ def spans(text: str, words: list[str]) -> list[tuple[int, int]]:
     return sorted(taken)
 
 
-@F.udf("array<struct<start:int,end:int>>", useArrow=True)
+@F.udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])), useArrow=True)
 def longest_first_spans(text: str, words: list[str]):
     """Greedy in the order of length, so each choice depends on the ones before: no relational form."""
     return spans(text or "", list(words) if words is not None else [])
