@@ -160,7 +160,9 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str
     many = groups.filter("members > 1")
     flagged = prints.join(many, list(KEY)).select("doc_id", *KEY, "text_sha256", F.ceil(F.col("members") / MEMBERS_A_COPY).cast("int").alias("copies"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper"))
     flagged = flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"])
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    flagged = _text.materialise(flagged)
+    copied = _text.maybe_in(flagged.select(F.xxhash64("doc_id")))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(copied(F.xxhash64("__id")))
     own = texts.join(flagged, texts["__id"].eqNullSafe(flagged["doc_id"])).filter(F.sha2(normalised(F.col("__text")).cast("binary"), 256) == F.col("text_sha256"))
     pieces = _chunks(own.select("doc_id", *KEY, "text_sha256", "copies", "keeper", "__text"), chunk)
     left = pieces.filter("not keeper").withColumn("salt", F.pmod(F.xxhash64("text_sha256", "doc_id"), F.col("copies")).cast("int"))
@@ -189,11 +191,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stays = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    groups = _text.materialise(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
+    # a row whose doc_id no dropped row has stays as it is; only the others' texts are shuffled, to be told apart exactly
+    dropped = _text.maybe_in(groups.filter("not kept").select(F.xxhash64("doc_id")))
+    own = F.xxhash64(F.col(id_col).cast("long"))
+    stays = groups.filter("kept").filter(dropped(F.xxhash64("doc_id"))).select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
+    rows = docs.filter(dropped(own)).withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     on = rows[id_col].cast("long").eqNullSafe(stays["__keep"]) & (rows["__own"] == stays["__sha"])
     one = W.partitionBy("__sha", "__keep").orderBy("__sha")
-    return rows.join(stays, on).withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*docs.columns)
+    doubtful = rows.join(stays, on).withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*docs.columns)
+    return docs.filter(~dropped(own)).unionByName(doubtful)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,13 +167,16 @@ def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int =
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    key = [F.col("__id"), F.col("__source"), F.col("__size")]
-    nth = F.row_number().over(W.partitionBy(*key).orderBy("__id"))
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}).withColumn("__nth", nth)
+    # equal rows are told apart by a number; it isn't a key of the join, so that texts are shuffled once for both
+    empty = F.lit("")
+    key = {"__k1": F.coalesce("__id", F.lit(0)), "__k2": F.col("__id").isNull(), "__k3": F.coalesce("__source", empty), "__k4": F.col("__source").isNull(), "__k5": F.col("__size")}
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("__k1"))
+    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}).withColumns(key).withColumn("__nth", nth)
     took = rounded(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")).withColumn("__nth", nth).filter("__copies > 0")
-    on = rows["__id"].eqNullSafe(took["__id"]) & rows["__source"].eqNullSafe(took["__source"]) & (rows["__size"] == took["__size"]) & (rows["__nth"] == took["__nth"])
-    return rows.join(took, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(rows[c] for c in docs.columns))
+    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")).withColumns(key)
+    took = took.withColumn("__which", nth).filter("__copies > 0").select(*key, "__which", "__copies")
+    both = rows.join(took, list(key)).filter(F.col("__nth") - F.col("__which") == 0)
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,8 @@ def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     members = _text.materialise(candidates.join(classes.drop("bands"), "set_id"))
     # one text a class; verifying reads texts, not sets: they shuffle at half the size
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    wanted = _text.maybe_in(members.select(F.xxhash64("rep_id", "rep_key")))
+    texts = texts.filter(wanted(F.xxhash64("id", "key")))
     found = texts.join(members, texts["id"].eqNullSafe(members["rep_id"]) & (texts["key"] == members["rep_key"]))
     found = found.withColumn("nth", F.row_number().over(W.partitionBy("id", "key", "set_id").orderBy("set_id"))).filter("nth = 1")
     own = found.select("set_id", "weight", "text")
@@ -271,13 +273,20 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each class the one with the smallest doc_id, and all texts without words."""
     rows = _text.materialise(linked_rows(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_key", "root"))
+    worded = rows.filter("root is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    stays = rows.filter("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("__keep"), F.col("first.text_key").alias("__text_key"))
+    stays = worded.groupBy("root").agg(first, F.count(F.lit(1)).alias("n"))
+    # rows of classes of their own stay as they are; only the others' texts are shuffled, to be told apart exactly
+    shared = worded.join(stays.filter("n > 1").select("root"), "root", "left_semi")
+    doubted = _text.maybe_in(_text.materialise(shared.select(F.xxhash64("doc_id", "text_key"))))
+    stays = stays.select(F.col("first.doc_id").alias("__keep"), F.col("first.text_key").alias("__text_key"))
     own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
-    joined = own.join(stays, own["__id"].eqNullSafe(stays["__keep"]) & (own["__key"] == stays["__text_key"]))
+    key = F.xxhash64("__id", "__key")
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    told = own.filter(doubted(key) & ~wordless)
+    joined = told.join(stays.filter(doubted(F.xxhash64("__keep", "__text_key"))), told["__id"].eqNullSafe(stays["__keep"]) & (told["__key"] == stays["__text_key"]))
     joined = joined.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__key").orderBy("__key"))).filter("__nth = 1")
-    wordless = docs.filter(~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]"))
-    return joined.select(*docs.columns).unionByName(wordless)
+    return own.filter(~doubted(key) | wordless).select(*docs.columns).unionByName(joined.select(*docs.columns))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
