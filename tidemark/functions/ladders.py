@@ -25,16 +25,30 @@ def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
+def named(rank: Column) -> Column:
+    """The severity of a rank, moved onto the ladder if beyond its ends."""
+    at = (F.least(F.lit(len(K.SEVERITIES) - 1), F.greatest(F.lit(0), rank)) + 1).cast("int")
+    return F.element_at(F.array(*[F.lit(x) for x in K.SEVERITIES]), at)
+
+
+def severity_rank(signal: Column, tier: Column, radius: Column) -> Column:
+    """Rank of a signal's base severity, up a step for critical things with reach, down one for mere mentions; on the ladder."""
+    base = lookup({k: K.SEVERITIES.index(v[2]) for k, v in K.SIGNALS.items()}, signal)
+    step = F.when((tier == "critical") & (radius >= 8), 1).when((tier == "mention-only") | (radius <= 1), -1).otherwise(0)
+    return F.least(F.lit(len(K.SEVERITIES) - 1), F.greatest(F.lit(0), base + step))
+
+
 def severity(signal: Column, tier: Column, radius: Column) -> Column:
-    """Base severity of a signal, up a step for critical things with reach, down one for mere mentions."""
-    base = lookup({k: v[2] for k, v in K.SIGNALS.items()}, signal)
-    up = (tier == "critical") & (radius >= 8)
-    down = (tier == "mention-only") | (radius <= 1)
-    return F.when(up, bumped(base, 1)).when(down, bumped(base, -1)).otherwise(base)
+    return named(severity_rank(signal, tier, radius))
+
+
+def retirement_rank(rank: Column, executing: Column, graded: Column) -> Column:
+    """Rank for a retired model id: critical where it is run, high where it is asked about, else a step below the usual rank."""
+    return F.when(executing > 0, 4).when(graded > 0, 3).otherwise(F.greatest(F.lit(0), rank - 1))
 
 
 def retirement_severity(signal: Column, tier: Column, radius: Column, executing: Column, graded: Column) -> Column:
-    return F.when(executing > 0, "critical").when(graded > 0, "high").otherwise(bumped(severity(signal, tier, radius), -1))
+    return named(retirement_rank(severity_rank(signal, tier, radius), executing, graded))
 
 
 def shutdown_date(raw: Column) -> Column:

@@ -17,6 +17,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import resolve, score
+from tidemark.sources.stages import staged
 
 _PLACE = ("course", "topic_name", "unit_id", "unit_name", "content_id", "field_path", "object_type", "session_no")
 
@@ -106,8 +107,8 @@ def tag_mentions(records: DataFrame, entries: DataFrame) -> tuple[DataFrame, Dat
 
 def built(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """dependencies, locations and tag candidates of records."""
-    first = structured(records)
-    entries = entries_of(first)
+    first = staged(structured(records))
+    entries = staged(entries_of(first))
     tags, candidates = tag_mentions(records, entries)
     mentions = first.unionByName(prose_mentions(records, entries)).unionByName(tags)
     keyed = mentions.withColumn("dep_id", H.dep_id(F.col("kind"), T.norm(F.col("name"))))

@@ -94,15 +94,14 @@ def models(dependencies: DataFrame, catalogue: DataFrame, vendors: DataFrame, to
     blob = F.lower(F.concat_ws(" ", e["listed_price"], e["rate_limit"]))
     restricted = retired & F.coalesce(e["still_listed"], F.lit(False)) & F.exists(T.strings(K.QUOTED_PRICES), lambda p: F.contains(blob, p))
     gone = e["status"].isin("shut down", "removed")
+    says = lambda status, signal: F.struct(F.lit(status).alias("status"), F.lit(signal).alias("signal"))
     ladder = (
-        F.when(e.isNull() & F.coalesce("unreadable", F.lit(False)), F.struct(F.lit("inconclusive").alias("status"), F.lit("model_catalogue_unreadable").alias("signal")))
-        .when(e.isNull(), F.struct(F.lit("ok"), F.lit("model_provider_unknown"))).when(~retired, F.struct(F.lit("ok"), F.lit("model_listed_available")))
-        .when(restricted, F.struct(F.lit("broken"), F.lit("model_tier_restricted"))).when(when <= today, F.struct(F.lit("broken"), F.lit("model_shutdown_passed")))
-        .when(when.isNotNull(), F.struct(F.lit("changed"), F.lit("model_deprecation_declared"))).when(gone, F.struct(F.lit("broken"), F.lit("model_shutdown_passed")))
-        .otherwise(F.struct(F.lit("changed"), F.lit("model_deprecation_declared")))
+        F.when(e.isNull() & F.coalesce("unreadable", F.lit(False)), says("inconclusive", "model_catalogue_unreadable")).when(e.isNull(), says("ok", "model_provider_unknown"))
+        .when(~retired, says("ok", "model_listed_available")).when(restricted, says("broken", "model_tier_restricted")).when(F.col("when") <= today, says("broken", "model_shutdown_passed"))
+        .when(F.col("when").isNotNull(), says("changed", "model_deprecation_declared")).when(gone, says("broken", "model_shutdown_passed")).otherwise(says("changed", "model_deprecation_declared"))
     )
     named = retired & (F.size(F.coalesce(e["replacement_ids"], F.array().cast("array<string>"))) > 0)
-    return out.withColumn("l", ladder).select("dep_id", "canonical_name", F.col("l.status").alias("status"), F.array_compact(F.array(F.col("l.signal"), F.when(named, "vendor_named_replacement"))).alias("signals"), e["vendor"].alias("provider"), F.when(retired, e["replacement_ids"]).alias("replacements"))
+    return out.withColumn("when", when).withColumn("l", ladder).select("dep_id", "canonical_name", F.col("l.status").alias("status"), F.array_compact(F.array(F.col("l.signal"), F.when(named, "vendor_named_replacement"))).alias("signals"), e["vendor"].alias("provider"), F.when(retired, e["replacement_ids"]).alias("replacements"))
 
 
 def served_replacements(probed: DataFrame, catalogue: DataFrame) -> DataFrame:

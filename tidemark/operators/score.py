@@ -103,7 +103,7 @@ def findings(dependencies: DataFrame, locations: DataFrame, probes: DataFrame, c
     rows = rows.groupBy("dep_id", "signal", "kind", "canonical_name", "watch_tier", "blast_radius", "locations", "graded_locations", "questions_executing", "questions_mentioning").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("probe_signals")))).alias("probe_signals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_urls")))).alias("evidence_urls"))
     declared = probes.select("dep_id", F.col("declared_severity")) if "declared_severity" in probes.columns else probes.select("dep_id", F.lit(None).cast("string").alias("declared_severity"))
-    rows = rows.join(declared, "dep_id", "left").withColumn("severity", _severity())
+    rows = _severity(rows.join(declared, "dep_id", "left"))
     # a moved page of a dead URL is one event
     dead = F.bool_or(F.col("signal") == "S1").over(W.partitionBy("dep_id"))
     moved = (F.col("signal") == "S5") & (F.size(F.array_except("probe_signals", strings(["redirected_off_path", "page_text_changed"]))) == 0)
@@ -112,22 +112,23 @@ def findings(dependencies: DataFrame, locations: DataFrame, probes: DataFrame, c
     return rows.select(H.short_id(F.col("dep_id"), F.col("signal")).alias("finding_id"), "dep_id", "canonical_name", "signal", label.alias("label"), of.alias("kind_of_signal"), "severity", "blast_radius", "locations", "graded_locations", "questions_executing", "questions_mentioning", "probe_signals", "evidence_urls")
 
 
-def _severity() -> Column:
-    """A finding's severity: base and reach, then what its probe signals say, then the vendor's own word where that is worse."""
-    signal, tier, radius = F.col("signal"), F.col("watch_tier"), F.col("blast_radius")
+def _severity(rows: DataFrame) -> DataFrame:
+    """rows with severity: base and reach, then what the probe signals say, then the vendor's own word where that is worse.
+
+    Each step is a column of ranks, so no step's expression is repeated in the next.
+    """
     has = lambda s: F.array_contains("probe_signals", s)
-    base = L.severity(signal, tier, radius)
+    base = F.col("__base")
     own = (
-        F.when(has("node_removed_upstream"), "critical")
-        .when(has("model_shutdown_passed") | has("model_tier_restricted"), L.retirement_severity(signal, tier, radius, F.col("questions_executing"), F.col("graded_locations")))
-        .when(has("free_tier_language_lost"), L.bumped(base, 1))
-        .when(has("pricing_page_changed") & (F.size("probe_signals") == 1), "low")
-        .otherwise(base)
-    )
-    stated = F.col("declared_severity")
-    from_vendor = has("breaking_change_declared") | has("breaking_change_possible") | has("model_shutdown_passed") | has("model_tier_restricted") | has("model_deprecation_declared")
-    worse = F.when(from_vendor & (L.rank_of(stated, K.SEVERITIES) > L.rank_of(own, K.SEVERITIES)), stated).otherwise(own)
-    return F.when(has("breaking_change_possible"), L.bumped(worse, -1)).otherwise(worse)
+        F.when(has("node_removed_upstream"), 4)
+        .when(has("model_shutdown_passed") | has("model_tier_restricted"), L.retirement_rank(base, F.col("questions_executing"), F.col("graded_locations")))
+        .when(has("free_tier_language_lost"), F.least(F.lit(4), base + 1)).when(has("pricing_page_changed") & (F.size("probe_signals") == 1), 1).otherwise(base)
+    )
+    from_vendor = F.arrays_overlap("probe_signals", strings(["breaking_change_declared", "breaking_change_possible", "model_shutdown_passed", "model_tier_restricted", "model_deprecation_declared"]))
+    rows = rows.withColumn("__base", L.severity_rank(F.col("signal"), F.col("watch_tier"), F.col("blast_radius"))).withColumn("__own", own)
+    rows = rows.withColumn("__stated", F.when(from_vendor, L.rank_of(F.col("declared_severity"), K.SEVERITIES)))
+    worse = F.greatest("__own", F.coalesce("__stated", F.lit(0)))
+    return rows.withColumn("severity", L.named(worse - F.when(has("breaking_change_possible"), 1).otherwise(0))).drop("__base", "__own", "__stated")
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -141,10 +142,10 @@ def projected(found: DataFrame, dependencies: DataFrame, locations: DataFrame) -
     local = reach(rows, "dep_id", "course")
     facts = found.select("finding_id", "dep_id", "canonical_name", "signal", "severity", "probe_signals", F.col("locations").alias("total_locations"), F.col("blast_radius").alias("total_radius"))
     out = facts.join(local, "dep_id").join(dependencies.select("dep_id", "watch_tier"), "dep_id")
-    retiring = F.array_contains("probe_signals", "model_shutdown_passed") | F.array_contains("probe_signals", "model_tier_restricted")
-    here = F.when(retiring, L.retirement_severity(F.col("signal"), F.col("watch_tier"), F.col("blast_radius"), F.col("questions_executing"), F.col("graded_locations"))).otherwise(L.severity(F.col("signal"), F.col("watch_tier"), F.col("blast_radius")))
-    least = F.when(L.rank_of(here, K.SEVERITIES) < L.rank_of(F.col("severity"), K.SEVERITIES), here).otherwise(F.col("severity"))
-    return out.withColumn("local_severity", least).drop("probe_signals")
+    retiring = F.arrays_overlap("probe_signals", strings(["model_shutdown_passed", "model_tier_restricted", "model_deprecation_declared"]))
+    out = out.withColumn("__rank", L.severity_rank(F.col("signal"), F.col("watch_tier"), F.col("blast_radius")))
+    here = F.when(retiring, L.retirement_rank(F.col("__rank"), F.col("questions_executing"), F.col("graded_locations"))).otherwise(F.col("__rank"))
+    return out.withColumn("local_severity", L.named(here)).drop("probe_signals", "__rank")
 
 
 def also_in(locations: DataFrame) -> DataFrame:
