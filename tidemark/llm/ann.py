@@ -113,6 +113,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, share: flo
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
         return rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
 
+    _text.bound_batches(vectors.sparkSession)
     rows = plain(vectors)
     asked = plain(queries).groupBy("id").agg(F.min("vector").alias("vector"))
     n = rows.groupBy(F.size("vector").alias("d")).count().agg(F.max("count")).first()[0] or 0

@@ -32,7 +32,7 @@ from tidemark.llm import _text
 CAPACITY = 4096
 END_ID = 1
 #: Words of which a task keeps the ids; beyond it starts anew.
-KEPT_WORDS = 2_000_000
+KEPT_WORDS = 1_000_000
 #: Between a letter and one of these marks the tokenizer's pre-tokens always end, so what follows counts as a word of its own.
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import _text
+
 LEAF, GROWN = 512, 8
 CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 Edit = tuple[int, int, str]
@@ -149,6 +151,7 @@ def redactions(text: str) -> list[Edit]:
 def indexed(docs: DataFrame, ranks: str | None = None, text_col: str = "text") -> DataFrame:
     """The rows of docs with their trees: leaf_chars and leaf_tokens, for ``recounted`` to start from later."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    _text.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,9 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
     kept_trees: docs has the columns of ``indexed``, and only what edits touch is encoded.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    _text.bound_batches(docs.sparkSession)
     given = [F.col(edits_col).alias("edits")] if edits_col else []
+    logged = bool(given)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given, *(["leaf_chars", "leaf_tokens"] if kept_trees else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,7 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
             out: list[tuple[int, int, int, int, int]] = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
-                log = [(e["start"], e["end"], e["replacement"] or "") for e in batch.column(2)[i].as_py() or []] if given else rule(text)
+                log = [(e["start"], e["end"], e["replacement"] or "") for e in batch.column(2)[i].as_py() or []] if logged else rule(text)
                 tree = TokenTree.restored(text, batch.column(batch.num_columns - 2)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py(), count) if kept_trees else TokenTree(text, count)
                 before = tree.total
                 for edit in log:
