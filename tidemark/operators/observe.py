@@ -87,8 +87,8 @@ def models(dependencies: DataFrame, catalogue: DataFrame, vendors: DataFrame, to
     readable = catalogue.join(vendors.filter("ok AND supported").select("vendor", "ord"), "vendor").withColumn("key", F.lower(F.trim("entry_id")))
     rows = dependencies.withColumn("key", F.lower(F.trim("canonical_name")))
     listed = rows.select("key").distinct().join(readable, "key").groupBy("key").agg(F.min_by(F.struct(*readable.columns), F.col("ord")).alias("e"))
-    unreadable = vendors.agg(F.bool_or(~F.col("ok")).alias("unreadable"))
-    out = rows.join(listed, "key", "left").crossJoin(F.broadcast(unreadable))  # one row
+    unreadable = F.coalesce(vendors.agg(F.bool_or(~F.col("ok"))).scalar(), F.lit(False))
+    out = rows.join(listed, "key", "left")
     e = F.col("e")
     retired, when = F.coalesce(e["status"].isin(*K.RETIRED), F.lit(False)), L.shutdown_date(e["shutdown_date"])
     blob = F.lower(F.concat_ws(" ", e["listed_price"], e["rate_limit"]))
@@ -96,7 +96,7 @@ def models(dependencies: DataFrame, catalogue: DataFrame, vendors: DataFrame, to
     gone = e["status"].isin("shut down", "removed")
     says = lambda status, signal: F.struct(F.lit(status).alias("status"), F.lit(signal).alias("signal"))
     ladder = (
-        F.when(e.isNull() & F.coalesce("unreadable", F.lit(False)), says("inconclusive", "model_catalogue_unreadable")).when(e.isNull(), says("ok", "model_provider_unknown"))
+        F.when(e.isNull() & unreadable, says("inconclusive", "model_catalogue_unreadable")).when(e.isNull(), says("ok", "model_provider_unknown"))
         .when(~retired, says("ok", "model_listed_available")).when(restricted, says("broken", "model_tier_restricted")).when(F.col("when") <= today, says("broken", "model_shutdown_passed"))
         .when(F.col("when").isNotNull(), says("changed", "model_deprecation_declared")).when(gone, says("broken", "model_shutdown_passed")).otherwise(says("changed", "model_deprecation_declared"))
     )
