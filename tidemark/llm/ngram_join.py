@@ -38,6 +38,8 @@ from tidemark.llm.graph import components
 N, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Rows and n-grams that one block of a verifying task holds at most, about.
 BLOCK_ROWS, BLOCK_GRAMS = 2048, 1 << 20
+#: Rows of a task's matrices that are worked on together.
+ROWS_AT_ONCE = 256
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 4) -> tuple[int, int]:
@@ -143,20 +145,21 @@ def common_counts(grams: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     many = np.diff(np.concatenate([first, [len(g)]]))
     out = np.zeros((rows, rows), dtype=np.float32)
-    rare = 12
+    rare, at_once = 12, 1 << 20
     for d in range(2, rare + 1):
         at = first[many == d]
-        if len(at):
-            own = r[at[:, None] + np.arange(d)]
-            flat = (own[:, :, None].astype(np.int64) * rows + own[:, None, :]).ravel()
-            out += np.bincount(flat, minlength=rows * rows).reshape(rows, rows).astype(np.float32)
+        step = max(1, at_once // (d * d))
+        for s in range(0, len(at), step):
+            own = r[at[s : s + step, None] + np.arange(d)]
+            np.add.at(out.reshape(-1), (own[:, :, None] * rows + own[:, None, :]).reshape(-1), np.float32(1))
     wide = np.flatnonzero(many > rare)
-    slab = max(256, (1 << 22) // max(rows, 1))
+    slab = max(256, (1 << 21) // max(rows, 1))
     for s in range(0, len(wide), slab):
         own = wide[s : s + slab]
         x = np.zeros((rows, len(own)), dtype=np.float32)
         x[r[np.repeat(first[own], many[own]) + np.arange(many[own].sum()) - np.repeat(np.cumsum(many[own]) - many[own], many[own])], np.repeat(np.arange(len(own)), many[own])] = 1
-        out += x @ x.T
+        for a in range(0, rows, ROWS_AT_ONCE):
+            out[a : a + ROWS_AT_ONCE] += x[a : a + ROWS_AT_ONCE] @ x.T
     return out
 
 
@@ -178,6 +181,22 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def linked_rows_of(common: np.ndarray, sizes: np.ndarray, side: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs reach the threshold (of different sides, where there are two), and each row's number of linked documents; some rows at a time."""
+    n = len(sizes)
+    linked, links = np.zeros((n, n), dtype=bool), np.zeros(n, dtype=np.int64)
+    size = sizes.astype(np.float64)
+    for a in range(0, n, ROWS_AT_ONCE):
+        own = common[a : a + ROWS_AT_ONCE]
+        union = size[a : a + ROWS_AT_ONCE, None] + size[None, :] - own
+        part = own >= (threshold - 1e-9) * union
+        part[np.arange(len(part)), np.arange(a, a + len(part))] = False
+        if side.any():
+            part &= side[a : a + ROWS_AT_ONCE, None] != side[None, :]
+        linked[a : a + ROWS_AT_ONCE], links[a : a + ROWS_AT_ONCE] = part, part @ weight
+    return linked, links
+
+
 def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     """set_id, links, root from rows (task, set_id, side, weight, text): links counted within a task, or between its sides 1 and 2."""
 
@@ -192,12 +211,7 @@ def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
                 parts.append(grams)
                 sizes[a:b] = np.diff(at)
             common = common_counts(np.concatenate(parts), _text.spread(sizes), len(ids))
-            union = sizes[:, None] + sizes[None, :] - common
-            linked = common >= threshold * union - 1e-6 * union
-            np.fill_diagonal(linked, False)
-            if side.any():
-                linked &= side[:, None] != side[None, :]
-            links = linked @ weight
+            linked, links = linked_rows_of(common, sizes, side, weight, threshold)
             root = forest(linked)
             some = np.flatnonzero(links)
             if len(some):

@@ -14,6 +14,7 @@ documents of their own; an empty table gives an empty result; other columns don'
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -42,6 +43,15 @@ MARK[list(b".,!?;:%&*#$")] = True
 RANKED_TOGETHER = 250_000
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str):
+    """The tokenizer of a file, loaded once a worker process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that splits at white space and drops it: distinct words are encoded once and gathered.
 
@@ -50,10 +60,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded(path)
         self.digit = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
         self.clear()
 

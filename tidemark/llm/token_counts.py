@@ -15,6 +15,7 @@ one leaf; repeated rows and null doc_ids are counted like any other; an empty ta
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,7 @@ CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 Edit = tuple[int, int, str]
 
 
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[str], int]:
     """The number of tokens of a text by byte-level BPE ranks; strings of special tokens are ordinary text."""
     import tiktoken
