@@ -433,43 +433,49 @@ def test_elias_fano_finds_what_is_there(values, scale, asked):
     assert sequence.find(ask).tolist() == want
 
 
-def brute_lm(ids, texts):
-    tok = lambda t: [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]
-    toks = [tok(t) for t in texts]
+def brute_lm(ids, texts, order):
+    """Interpolated n-grams by plain counting; None stands before a text and ends it."""
+    tok = lambda x: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(x or "")] + [None]
+    toks = [tok(x) for x in texts]
     train = [t for i, t in zip(ids, toks) if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    c, pairs = collections.Counter(), collections.Counter()
-    for t in train:
-        c.update(t)
-        pairs.update(zip([None, *t], t))
+    c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    kinds = np.array([sum(x == k for x in pairs.values()) for k in (1, 2, 3, 4)])
-    d = lm_scoring.discounts(kinds)
-    after = collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), x in pairs.items():
-        after[a][min(x, 3) - 1] += 1
+    grams = {k: collections.Counter(tuple(([None] + t)[i : i + k]) for t in train for i in range(len(t) + 2 - k)) for k in range(2, order + 1)}
+    taken, after, ctx = {}, {}, {}
+    for k, g in grams.items():
+        taken[k] = lm_scoring.discounts(np.array([sum(x == m for x in g.values()) for m in (1, 2, 3, 4)]))
+        after[k] = collections.defaultdict(lambda: [0, 0, 0])
+        for gram, x in g.items():
+            after[k][gram[:-1]][min(x, 3) - 1] += 1
+        ctx[k] = (lambda h: c[h[0]]) if k == 2 else (lambda h, k=k: grams[k - 1][h])
     uni = lambda w: (c[w] + 1) / (n + v + 1)
 
-    def prob(a, w):
-        if a not in c:
-            return uni(w)
-        rest = min(1, sum(x * y for x, y in zip(after[a], d)) / c[a])
-        x = pairs[(a, w)]
-        return ((x - d[min(x, 3) - 1]) / c[a] if x else 0) + rest * uni(w)
-
-    return n, {i: (len(t), sum(w in c for w in t), sum(math.log10(uni(w)) for w in t), sum(math.log10(prob(a, w)) for a, w in zip([None, *t], t))) for i, t in zip(ids, toks)}
-
-
-@pytest.mark.parametrize("tokens_a_shard", [4_000_000, 700])
-def test_lm_is_brute_force(spark, docs, monkeypatch, tokens_a_shard):
-    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", tokens_a_shard)
-    got = lm_scoring.scored(docs).toPandas().set_index("doc_id")
-    rows = docs.select("doc_id", "text").collect()
-    n, want = brute_lm([r["doc_id"] for r in rows], [r["text"] for r in rows])
+    def prob(history, w):
+        out = uni(w)
+        for k in range(2, min(order, len(history) + 1) + 1):
+            h = tuple(history[-(k - 1) :])
+            have = ctx[k](h)
+            if not have:
+                break
+            rest = min(1, sum(x * y for x, y in zip(after[k][h], taken[k])) / have)
+            x = grams[k][(*h, w)]
+            out = ((x - taken[k][min(x, 3) - 1]) / have if x else 0) + rest * out
+        return out
+
+    score = lambda t: sum(math.log10(prob(([None] + t)[: i + 1], w)) for i, w in enumerate(t))
+    return n, {i: (len(t), sum(w in c for w in t), sum(math.log10(uni(w)) for w in t), score(t)) for i, t in zip(ids, toks)}
+
+
+@pytest.mark.parametrize(("order", "tokens_a_shard"), [(3, 2_000_000), (3, 700), (2, 90)])
+def test_lm_is_brute_force(spark, docs, order, tokens_a_shard):
+    got = lm_scoring.scored(docs.limit(60), order=order, shard_tokens=tokens_a_shard).toPandas().set_index("doc_id")
+    rows = docs.limit(60).select("doc_id", "text").collect()
+    n, want = brute_lm([r["doc_id"] for r in rows], [r["text"] for r in rows], order)
     assert (got.train_tokens == n).all() and len(got) == len(want)
     for i, (tokens, known, base, score) in want.items():
         assert got.n_tokens[i] == tokens and got.n_known[i] == known
         assert abs(got.base_score[i] - base) < 1e-6
-        assert abs(got.score[i] - score) < 0.05 * tokens  # one byte a probability
+        assert abs(got.score[i] - score) < 0.02 * tokens  # one byte a probability
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
 

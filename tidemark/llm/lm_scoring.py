@@ -1,15 +1,15 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is an interpolated bigram model with the three discounts that the corpus's counts of counts give, over add-one unigrams. All
-counts are of all training tokens. Its trie has a unigram and a bigram level, each a set of shards in the shared folder that tasks map
-into memory:
+The model interpolates trigrams, bigrams and add-one unigrams, each order with the three discounts that its own counts of counts give. All
+counts are of all training tokens. The trie has a level an order, each a set of shards in the shared folder that tasks map into memory:
 
-* unigrams: sorted 64-bit word hashes; a word's place is its id. Its count, and the weight that its contexts leave to unigrams.
-* bigrams: one monotone Elias-Fano sequence of context id * V + word id. The context part takes the place of the trie's pointers: the
-  children of a context are the values from context id * V on, and the search for a word is a successor search relative to it. Next to
-  it lie the smoothed probabilities, quantised to one byte each with a code book a shard.
+* unigrams: sorted 64-bit word hashes; a word's place is its id. Its count.
+* bigrams and trigrams: one monotone Elias-Fano sequence of context id * V + word id, where a context is a word or a bigram's place. The
+  context part takes the place of the trie's pointers: the children of a context are the values from context id * V on, and the search for
+  a word is a successor search relative to it. Next to it lie the smoothed probabilities, quantised to one byte each with a code book a
+  shard, and the weight that each context leaves to the shorter ones.
 
-Counting leaves sorted, delta-coded blocks a shard, not a row a bigram; a shard is a range of keys that holds about ``SHARD_TOKENS``
+Counting leaves sorted, delta-coded blocks a shard, not a row an n-gram; a shard is a range of keys that holds about ``SHARD_TOKENS``
 tokens, cut within a context where that one alone is larger. Neither model nor counts ever come to the driver, and no task holds more
 than a shard or a block of text.
 
@@ -21,6 +21,7 @@ empty table, or one without training rows, gives a model of no words (N = V = 0,
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -34,7 +35,8 @@ from tidemark.llm import _text, elias_fano
 from tidemark.llm.ngram_join import grouped
 
 FOLDS, HELD_OUT = 7, 2
-SHARD_TOKENS = 4_000_000
+ORDER = 3
+SHARD_TOKENS = 2_000_000
 #: Pairs that a counting task gathers before it counts them.
 GATHERED = 4_000_000
 #: The hash that stands for the end token.
@@ -104,8 +106,8 @@ class Counter:
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(keys[a:b], counts[a:b])], pa.binary())], ["shard", "block"])
 
 
-def shards(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition("shard").sortWithinPartitions("shard")
+def shards(blocks: DataFrame, many: int) -> DataFrame:
+    return blocks.repartition(min(many, 4096), "shard").sortWithinPartitions("shard")
 
 
 class Vocabulary:
@@ -114,6 +116,9 @@ class Vocabulary:
     def __init__(self, folder: str, bounds: np.ndarray, bases: np.ndarray) -> None:
         self.folder, self.bounds, self.bases, self.open = folder, bounds, bases, {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
     def shard(self, s: int) -> dict[str, np.ndarray]:
         if s not in self.open:
             self.open[s] = elias_fano.load(self.folder, f"words-{s}", "keys", "counts")
@@ -145,7 +150,7 @@ class Vocabulary:
 
 
 def contexts(ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
-    """The token before each token; before a text's first one, the end."""
+    """What stands before each token: the one before it; before a text's first one, ``end``."""
     before = np.empty(len(ids), dtype=np.int64)
     before[1:] = ids[:-1]
     before[at[:-1]] = end
@@ -172,53 +177,166 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint8), book.astype(np.float32)
 
 
-class Trie:
-    """Both levels, as tasks see them."""
+def small_counts(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each, and the places and values of those that need more."""
+    over = np.flatnonzero(counts >= 255)
+    return {"counts": np.minimum(counts, 255).astype(np.uint8), "over_at": over, "over": counts[over]}
 
-    def __init__(self, folder: str, words: Vocabulary, bounds: np.ndarray, total: int) -> None:
-        self.folder, self.words, self.bounds, self.total, self.size, self.open = folder, words, bounds, total, int(words.bases[-1]), {}
 
-    def shard(self, s: int) -> tuple[elias_fano.Sequence, dict[str, np.ndarray]] | None:
-        if s not in self.open:
-            try:
-                own = elias_fano.load(self.folder, f"pairs-{s}", "meta", "high", "zeros", "low", "lowest", "codes", "book", "weights")
-                self.open[s] = elias_fano.Sequence(own), own
-            except FileNotFoundError:  # no training token lies there
-                self.open[s] = None
-        return self.open[s]
+def whole_counts(own: dict[str, np.ndarray], places: np.ndarray) -> np.ndarray:
+    out = np.asarray(own["counts"][places], dtype=np.int64)
+    large = np.flatnonzero(out == 255)
+    out[large] = own["over"][np.searchsorted(own["over_at"], places[large])]
+    return out
+
+
+class Level:
+    """The n-grams of one order over two: their keys, probabilities and contexts' weights, from mapped shards by the key's range."""
+
+    def __init__(self, folder: str, order: int, size: int, bounds: np.ndarray) -> None:
+        self.folder, self.order, self.size, self.bounds, self.open = folder, order, size, bounds, {}
+        self.shards = np.zeros(0, dtype=np.int64)  # those that hold anything, the ids before each, and their first contexts
+        self.bases, self.firsts = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def name(self, s: int) -> str:
+        return f"grams{self.order}-{s}"
+
+    def known(self, stats: list[dict]) -> None:
+        stats = sorted(stats, key=lambda r: r["shard"])
+        self.shards = np.array([r["shard"] for r in stats], dtype=np.int64)
+        self.bases = np.concatenate([[0], np.cumsum([r["grams"] for r in stats])]).astype(np.int64)
+        self.firsts = np.array([r["first"] for r in stats], dtype=np.int64)
+
+    def part(self, s: int, *keys: str) -> dict[str, np.ndarray]:
+        held = self.open.setdefault(s, {})
+        if missing := [k for k in keys if k not in held]:
+            held |= elias_fano.load(self.folder, self.name(s), *missing)
+        return held
+
+    def find(self, keys: np.ndarray, probable: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) of sorted keys, and log10 of their probabilities if asked for (nan: none)."""
+        ids = np.full(len(keys), -1, dtype=np.int64)
+        prob = np.full(len(keys), np.nan)
+        cuts = np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
+        for nth, s in enumerate(self.shards.tolist()):
+            a, b = int(cuts[s]), int(cuts[s + 1])
+            if a == b:
+                continue
+            own = self.part(s, "meta", "high", "zeros", "low", "lowest")
+            lowest, span = own["lowest"][0], np.uint64(own["meta"][2])
+            inside = np.flatnonzero((keys[a:b] >= lowest) & (keys[a:b] - lowest < span))
+            place = elias_fano.Sequence(own).find(keys[a:b][inside] - lowest)
+            hit = place >= 0
+            ids[a + inside[hit]] = place[hit] + self.bases[nth]
+            if probable:
+                own = self.part(s, "codes", "book")
+                prob[a + inside[hit]] = own["book"][own["codes"][place[hit]]]
+        return ids, prob
+
+    def weights(self, contexts: np.ndarray) -> np.ndarray:
+        """log10 of the mass that sorted contexts leave to shorter ones. Any shard that has a context has its weight."""
+        out = np.zeros(len(contexts))
+        nth = np.searchsorted(self.firsts, contexts, side="right") - 1
+        cuts = np.searchsorted(nth, np.arange(len(self.shards) + 1))
+        for k in np.unique(nth[nth >= 0]).tolist():
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            own = self.part(int(self.shards[k]), "weights")["weights"]
+            at = contexts[a:b] - self.firsts[k]
+            there = at < len(own)
+            out[a:b][there] = own[at[there]]
+        return out
+
+    def pieces(self, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+        """(shard, from, to) of the ids from first to last."""
+        for k in range(int(np.searchsorted(self.bases, first, side="right")) - 1, len(self.shards)):
+            if self.bases[k] > last:
+                break
+            yield int(self.shards[k]), max(0, first - int(self.bases[k])), min(int(self.bases[k + 1]), last + 1) - int(self.bases[k])
+
+    def words_of(self, first: int, last: int) -> np.ndarray:
+        """The last words of the n-grams from id first to last."""
+        out = []
+        for s, a, b in self.pieces(first, last):
+            own = self.part(s, "meta", "high", "zeros", "low", "lowest")
+            out.append((elias_fano.Sequence(own).values()[a:b] + own["lowest"][0]) % np.uint64(self.size))
+        return np.concatenate(out).astype(np.int64)
+
+    def counts_in(self, first: int, last: int) -> np.ndarray:
+        return np.concatenate([whole_counts(self.part(s, "counts", "over_at", "over"), np.arange(a, b)) for s, a, b in self.pieces(first, last)])
+
+
+class Trie:
+    """All levels, as tasks see them."""
+
+    def __init__(self, words: Vocabulary, total: int) -> None:
+        self.words, self.total, self.size, self.levels = words, total, int(words.bases[-1]), []
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.size + 1)
 
-    def log10(self, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after the one before it; after an unknown one, and for words never seen after a known one, by the unigrams."""
-        out = np.log10(self.unigram(counts))
+    def keys(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a context is known, the sorted distinct keys there, and each place's among them; an unknown word is word 0, for its context's weight."""
         some = np.flatnonzero(before >= 0)
-        # an unknown word is looked up as word 0 for its context's weight alone
-        keys = before[some].astype(np.uint64) * np.uint64(self.size) + np.maximum(ids[some], 0).astype(np.uint64)
-        distinct, back = np.unique(keys, return_inverse=True)
-        prob = np.full(len(distinct), np.nan)
-        weight = np.zeros(len(distinct))
-        cuts = [0, *np.searchsorted(distinct, self.bounds), len(distinct)]
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a == b or (found := self.shard(s)) is None:
-                continue
-            sequence, own = found
-            lowest, (_, _, span, first) = own["lowest"][0], own["meta"]
-            own_keys = distinct[a:b]
-            inside = np.flatnonzero((own_keys >= lowest) & (own_keys - lowest < np.uint64(span)))
-            place = sequence.find(own_keys[inside] - lowest)
-            hit = inside[place >= 0]
-            prob[a + hit] = own["book"][own["codes"][place[place >= 0]]]
-            context = (own_keys // np.uint64(self.size)).astype(np.int64) - first
-            there = (context >= 0) & (context < len(own["weights"]))
-            weight[a:b][there] = own["weights"][context[there]]
-        prob, weight = prob[back], weight[back]
-        out[some] = np.where((ids[some] >= 0) & ~np.isnan(prob), prob, out[some] + weight)
+        distinct, back = np.unique(before[some].astype(np.uint64) * np.uint64(self.size) + np.maximum(ids[some], 0).astype(np.uint64), return_inverse=True)
+        return some, distinct, back
+
+    def step(self, level: Level, before: np.ndarray, ids: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's n-gram (-1: none) and log10 of its probability: its own, or the context's weight times the shorter context's."""
+        some, distinct, back = self.keys(before, ids)
+        found, prob = level.find(distinct, True)
+        weight = level.weights((distinct // np.uint64(self.size)).astype(np.int64))
+        known = ids[some] >= 0
+        grams, out = np.full(len(ids), -1, dtype=np.int64), shorter.copy()
+        grams[some] = np.where(known, found[back], -1)
+        out[some] = np.where(known & ~np.isnan(prob[back]), prob[back], out[some] + weight[back])
+        return grams, out
+
+    def log10(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+        """log10 of each token's probability. A longer context starts where the text has one."""
+        out, before = np.log10(self.unigram(counts)), contexts(ids, at, end)
+        for level in self.levels:
+            grams, out = self.step(level, before, ids, out)
+            before = contexts(grams, at, -1)
         return out
 
+    def last_contexts(self, ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+        """The longest contexts that the levels so far give, for counting the next one."""
+        before = contexts(ids, at, end)
+        for level in self.levels:
+            some, distinct, back = self.keys(before, ids)
+            grams = np.full(len(ids), -1, dtype=np.int64)
+            grams[some] = np.where(ids[some] >= 0, level.find(distinct, False)[0][back], -1)
+            before = contexts(grams, at, -1)
+        return before
+
+
+def like_parts(counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where contexts with these counts are cut into parts of about so many tokens: their places, and how far inside each."""
+    so_far = np.cumsum(counts)
+    parts = max(1, round(int(so_far[-1]) / tokens))
+    aims = so_far[-1] * np.arange(parts) // parts
+    at = np.searchsorted(so_far, aims, side="right")
+    return at, (aims - (so_far[at] - counts[at])) / counts[at]
+
+
+def bounds_of(stats: list[dict], bases: dict[int, int], size: int) -> np.ndarray:
+    """The keys at which the next level's shards begin."""
+    cuts = ((bases[r["shard"]] + i) * size + int(f * size) for r in stats for i, f in zip(r["at"], r["inside"], strict=True))
+    return np.array(sorted({c for c in cuts if c}), dtype=np.uint64)
+
+
+_CUTS = "at array<long>, inside array<double>"
+
+
+def _cut_columns(counts: np.ndarray, tokens: int) -> list[pa.Array]:
+    at, inside = like_parts(counts, tokens)
+    return [pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([inside.tolist()], pa.list_(pa.float64()))]
 
-def count_words(docs: DataFrame, bounds: np.ndarray, folder: str) -> list[dict]:
+
+def count_words(docs: DataFrame, bounds: np.ndarray, folder: str, shard_tokens: int) -> list[dict]:
     """Writes the unigram shards; of each its number of words, of tokens, and the places that cut its contexts into like parts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,14 +350,9 @@ def count_words(docs: DataFrame, bounds: np.ndarray, folder: str) -> list[dict]:
             s = table["shard"][0].as_py()
             keys, counts = merged([unpack(x) for x in table["block"].to_pylist()])
             elias_fano.save(folder, f"words-{s}", {"keys": keys, "counts": counts})
-            so_far = np.cumsum(counts)
-            parts = max(1, round(int(so_far[-1]) / SHARD_TOKENS))
-            aims = so_far[-1] * np.arange(parts) // parts
-            at = np.searchsorted(so_far, aims, side="right")
-            inside = (aims - (so_far[at] - counts[at])) / counts[at]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(so_far[-1])], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([inside.tolist()], pa.list_(pa.float64()))], ["shard", "words", "tokens", "at", "inside"])
-
-    out = shards(docs.select("text").mapInArrow(gather, "shard int, block binary")).mapInArrow(write, "shard int, words long, tokens long, at array<long>, inside array<double>")
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), *_cut_columns(counts, shard_tokens)], ["shard", "words", "tokens", "at", "inside"])
+
+    out = shards(docs.select("text").mapInArrow(gather, "shard int, block binary"), len(bounds) + 1).mapInArrow(write, f"shard int, words long, tokens long, {_CUTS}")
     return [r.asDict() for r in out.collect()]  # a few numbers a shard
 
 
@@ -251,30 +364,45 @@ def discounts(kinds: np.ndarray) -> np.ndarray:
     return np.clip(own, [0.1, 0.2, 0.3], [0.999, 1.9, 2.9])
 
 
-def trained(docs: DataFrame, folder: str) -> Trie:
-    """The trie of all texts of docs (column text), built in two shuffles: one of words, one of pairs."""
-    spark = docs.sparkSession
+def trained(docs: DataFrame, folder: str, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Trie:
+    """The trie of all texts of docs (column text), built in one shuffle of counted blocks a level."""
     pieces = min(4096, max(8, docs.rdd.getNumPartitions()))
     word_bounds = np.array([(i << 64) // pieces for i in range(1, pieces)], dtype=np.uint64)
-    found = {r["shard"]: r for r in count_words(docs, word_bounds, folder)}
+    stats = count_words(docs, word_bounds, folder, shard_tokens)
     bases = np.zeros(pieces + 1, dtype=np.int64)
-    for s, r in found.items():
-        bases[s + 1] = r["words"]
+    for r in stats:
+        bases[r["shard"] + 1] = r["words"]
     bases = np.cumsum(bases)
-    size, total = int(bases[-1]), sum(r["tokens"] for r in found.values())
-    words = Vocabulary(folder, word_bounds, bases)
-    cuts = sorted((int(bases[s]) + i) * size + int(f * size) for s, r in found.items() for i, f in zip(r["at"], r["inside"], strict=True))
-    bounds = np.array(sorted({c for c in cuts if c}), dtype=np.uint64)
-    trie = Trie(folder, words, bounds, total)
-    if not size:
+    trie = Trie(Vocabulary(folder, word_bounds, bases), sum(r["tokens"] for r in stats))
+    if not trie.size:
         return trie
+    starts = {r["shard"]: int(bases[r["shard"]]) for r in stats}
+    for k in range(2, order + 1):
+        level = Level(folder, k, trie.size, bounds_of(stats, starts, trie.size))
+        stats = count_grams(docs, trie, level, shard_tokens)
+        level.known(stats)
+        starts = dict(zip(level.shards.tolist(), level.bases.tolist(), strict=False))
+        if stats:
+            smooth(docs.sparkSession, trie, level, stats)
+            trie.levels.append(level)
+    for level in trie.levels:  # counts have done their work
+        for s in level.shards.tolist():
+            os.remove(f"{folder}/{level.name(s)}.counts.npy")
+    return trie
+
+
+def count_grams(docs: DataFrame, trie: Trie, level: Level, shard_tokens: int) -> list[dict]:
+    """Writes a level's keys and counts; of each shard what the driver must know, a few numbers."""
+    size, bounds, words = trie.size, level.bounds, trie.words
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(bounds)
         end = int(words.look_up(np.array([END]))[0][0])
         for _, hashes, at in blocks_of(batches):
             ids, _ = words.look_up(hashes)
-            yield from counter.add(contexts(ids, at, end).astype(np.uint64) * np.uint64(size) + ids.astype(np.uint64))
+            before = trie.last_contexts(ids, at, end)
+            some = before >= 0
+            yield from counter.add(before[some].astype(np.uint64) * np.uint64(size) + ids[some].astype(np.uint64))
         yield from counter.flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,58 +412,71 @@ def trained(docs: DataFrame, folder: str) -> Trie:
             lowest, span = keys[0], int(keys[-1] - keys[0]) + 1
             arrays = elias_fano.encode(keys - lowest, span)
             context = keys // np.uint64(size)
-            arrays["meta"] = np.array([*arrays["meta"], span, int(context[0])], dtype=np.int64)
-            elias_fano.save(folder, f"pairs-{s}", arrays | {"lowest": np.array([lowest]), "counts": counts.astype(np.uint32)})
-            ends = sorted({int(context[0]), int(context[-1])})
+            first = int(context[0])
+            arrays["meta"] = np.array([*arrays["meta"], span, first], dtype=np.int64)
+            elias_fano.save(level.folder, level.name(s), arrays | {"lowest": np.array([lowest])} | small_counts(counts))
             kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            edges = [[v, *(int(((context == v) & m).sum()) for m in (counts == 1, counts == 2, counts > 2))] for v in ends]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kinds], pa.list_(pa.int64())), pa.array([edges], pa.list_(pa.list_(pa.int64())))], ["shard", "kinds", "edges"])
+            edges = [[v, *(int(((context == v) & m).sum()) for m in (counts == 1, counts == 2, counts > 2))] for v in sorted({first, int(context[-1])})]
+            own = [pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([first], pa.int64()), pa.array([kinds], pa.list_(pa.int64())), pa.array([edges], pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*own, *_cut_columns(counts, shard_tokens)], ["shard", "grams", "first", "kinds", "edges", "at", "inside"])
+
+    blocks = docs.select("text").mapInArrow(gather, "shard int, block binary")
+    out = shards(blocks, len(bounds) + 1).mapInArrow(write, f"shard int, grams long, first long, kinds array<long>, edges array<array<long>>, {_CUTS}")
+    return [r.asDict() for r in out.collect()]
+
 
-    stats = shards(docs.select("text").mapInArrow(gather, "shard int, block binary")).mapInArrow(write, "shard int, kinds array<long>, edges array<array<long>>").collect()  # a few numbers a shard
+def smooth(spark: SparkSession, trie: Trie, level: Level, stats: list[dict]) -> None:
+    """Writes a level's probabilities and weights, from its counts, its contexts' counts and the probabilities of the level below."""
     taken = discounts(np.sum([r["kinds"] for r in stats], axis=0))
     shared: dict[int, np.ndarray] = {}  # contexts at a shard's edge may go on in the next one
     for r in stats:
         for v, *kinds in r["edges"]:
             shared[v] = shared.get(v, np.zeros(3, dtype=np.int64)) + np.array(kinds)
+    size, words, below = trie.size, trie.words, trie.levels[-1] if trie.levels else None
 
-    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                own = elias_fano.load(folder, f"pairs-{s}", "meta", "high", "zeros", "low", "lowest", "counts")
+                own = elias_fano.load(level.folder, level.name(s), "meta", "high", "zeros", "low", "lowest", "counts", "over_at", "over")
                 keys = elias_fano.Sequence(own).values() + own["lowest"][0]
-                counts = own["counts"].astype(np.int64)
+                counts = whole_counts(own, np.arange(len(keys)))
                 context, word = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
                 first, last = int(context[0]), int(context[-1])
                 kind = np.minimum(counts, 3) - 1
                 many = np.bincount((context - first) * 3 + kind, minlength=3 * (last - first + 1)).reshape(-1, 3)
                 for v in (first, last):
                     many[v - first] = shared[v]
-                have = np.maximum(words.counts_of(np.arange(first, last + 1)), 1)
+                have = np.maximum(below.counts_in(first, last) if below else words.counts_of(np.arange(first, last + 1)), 1)
                 weight = np.clip(many @ taken / have, 1e-9, 1)
-                # a context that has no pair here has them all elsewhere
-                prob = (counts - taken[kind]) / have[context - first] + weight[context - first] * trie.unigram(words.counts_of(word))
+                prob = np.empty(len(keys))
+                suffix = below.words_of(first, last) if below else None
+                for a in range(0, len(keys), 1 << 18):
+                    part = slice(a, a + (1 << 18))
+                    shorter = np.log10(trie.unigram(words.counts_of(word[part])))
+                    if below:
+                        shorter = trie.step(below, suffix[context[part] - first], word[part], shorter)[1]
+                    prob[part] = (counts[part] - taken[kind[part]]) / have[context[part] - first] + weight[context[part] - first] * 10**shorter
                 codes, book = quantised(np.log10(prob))
-                elias_fano.save(folder, f"pairs-{s}", {"codes": codes, "book": book, "weights": np.log10(weight).astype(np.float32)})
+                elias_fano.save(level.folder, level.name(s), {"codes": codes, "book": book, "weights": np.log10(weight).astype(np.float32)})
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], ["shard"])
 
-    for_each = spark.createDataFrame([(r["shard"],) for r in stats], "shard int").repartition(max(1, len(stats)), "shard")
-    for_each.mapInArrow(smooth, "shard int").count()
-    return trie
+    rows = spark.createDataFrame([(int(s),) for s in level.shards], "shard int").repartition(min(4096, max(1, len(level.shards))), "shard")
+    rows.mapInArrow(run, "shard int").count()
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
     folder = local(_text.shared_dir(docs.sparkSession))
-    trie = trained(rows.filter("not held_out").select("text"), folder)
+    trie = trained(rows.filter("not held_out").select("text"), folder, order, shard_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(trie.words.look_up(np.array([END]))[0][0])
         for batch, hashes, at in blocks_of(batches):
             ids, counts = trie.words.look_up(hashes)
             base = np.add.reduceat(np.log10(trie.unigram(counts)), at[:-1])
-            own = np.add.reduceat(trie.log10(contexts(ids, at, end), ids, counts), at[:-1])
+            own = np.add.reduceat(trie.log10(ids, counts, at, end), at[:-1])
             known = np.add.reduceat((counts > 0).astype(np.int64), at[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(len(base), trie.total)), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
