@@ -10,12 +10,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,43 +63,33 @@ def remove(df: DataFrame | str, spark: SparkSession | None = None) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _bit_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Four places in a bitmap for each 64-bit key."""
-    h = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return (h[:, None] + step[:, None] * np.arange(4, dtype=np.uint64)) & np.uint64(bits - 1)
-
-
-def maybe_in(keys: DataFrame, most_bits: int = 1 << 28) -> Callable[[Column], Column]:
+def maybe_in(keys: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
     """A test whether a long may be among keys (one long column): never false for one that is, seldom true for one that isn't.
 
-    It is a bitmap of at most ``most_bits`` (32 MB) whatever the number of keys, so it may be sent to all tasks; with more keys it only
-    says yes more often. Callers join what it lets through exactly; it spares the others' texts a shuffle.
+    It is a bitmap of at most ``most_bits`` (8 MB) whatever the number of keys, so it may be sent to all tasks; with more keys it only
+    says yes more often. Callers join what it lets through exactly; it spares the others' texts a shuffle. The bitmap is a scalar
+    subquery and the test is built-in functions, so rows with long texts never wait for a Python worker.
     """
     spark = keys.sparkSession
     bits = 1 << 16
     while bits < min(most_bits, 12 * keys.count()):
         bits *= 2
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = np.unique(_bit_places(batch.column(0).to_numpy(), bits))
-            word = (places >> np.uint64(6)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-            if len(first):
-                ored = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array(ored.view(np.int64))], ["word", "bits"])
-
-    table = keys.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most most_bits / 64 rows
-    bitmap = np.zeros(bits >> 6, dtype=np.uint64)
-    bitmap[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf(BooleanType())
-    def test(key: pd.Series) -> pd.Series:
-        places = _bit_places(key.to_numpy(), bits)
-        found = shared.value[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63)) & np.uint64(1)
-        return pd.Series(found.all(axis=1))
+    places = lambda key: [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)).cast("int") for i in range(4)]
+    one = F.lit(1).cast("long")
+    marked = keys.select(F.explode(F.array(*places(F.col(keys.columns[0])))).alias("place"))
+    words = marked.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", one, F.col("place") % 64)).alias("bits"))
+    table = words.toPandas()  # at most most_bits / 64 rows
+    bitmap = np.zeros(bits >> 6, dtype=np.int64)
+    bitmap[table["word"].to_numpy()] = table["bits"].to_numpy()
+    row = pa.ListArray.from_arrays(pa.array([0, len(bitmap)], pa.int32()), pa.array(bitmap))
+    held = spark.createDataFrame(pa.table({"bitmap": row})).scalar()
+
+    def test(key: Column) -> Column:
+        out = F.lit(True)
+        for place in places(key):
+            word = F.element_at(held, (F.shiftright(place, 6) + 1).cast("int"))
+            out = out & (F.call_function("shiftright", word, place % 64).bitwiseAND(one) == 1)
+        return out
 
     return test
 
