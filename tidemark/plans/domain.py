@@ -15,7 +15,7 @@ from tidemark.functions import code as C
 from tidemark.functions import ladders as L
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import catalogue, evidence, inventory, observe, report, resolve, score, shred, trust
+from tidemark.operators import catalogue, evidence, inventory, observe, report, resolve, score, shred, trust, upstream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,34 +234,14 @@ def node_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = spark.createDataFrame([("hook", "n8n-nodes-base.webhook"), ("gone", "n8n-nodes-base.oldThing"), ("py", "n8n-nodes-base.codeRunner"), ("set", "n8n-nodes-base.set")], "dep_id string, canonical_name string")
     paths = spark.createDataFrame([(f"packages/nodes-base/nodes/{n}/{n}.node.ts",) for n in ("Webhook", "CodeRunner", "Set")] + [("packages/other/Nope.node.ts",)], "path string")
     bodies = [("rules/a.ts", "@BreakingChangeRule({ version: 'v2' }) id: string = 'r1' title: 'Webhook answers', description: 'x' + 'y', severity: 'High', types ['n8n-nodes-base.webhook'] action: 'Go'"), ("rules/b.ts", "@BreakingChangeRule({ version: 'v3' }) id: string = 'r2' title: 'Code runner drops Python' description: 'the code runner'"), ("rules/c.ts", "export const x = 1")]
-    rules = node_rules(spark.createDataFrame(bodies, "path string, body string"))
-    return observe.nodes(deps, node_index(paths), rules, True)
-
-
-def node_index(paths: DataFrame) -> DataFrame:
-    """Node types that a repository's file paths ship."""
-    base, chain = (F.regexp_extract("path", f"^{p}.*/([A-Za-z][A-Za-z0-9_]*)[.]node[.]ts$", 1) for p in ("packages/nodes-base/nodes/", "packages/@n8n/nodes-langchain/nodes/"))
-    low = lambda s: F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1000))
-    node = F.when(base != "", F.concat(F.lit("n8n-nodes-base."), low(base))).when(chain != "", F.concat(F.lit("@n8n/n8n-nodes-langchain."), low(chain)))
-    return paths.select(node.alias("node")).filter("node IS NOT NULL").distinct()
-
-
-def node_rules(files: DataFrame) -> DataFrame:
-    """rule_id, version, title, description, severity, node_types, actions of rule files; files without version and title are none."""
-    body = F.col("body")
-    text = lambda key: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(body, rf"\b{key}\s*:\s*((?:'[^']*'|\"[^\"]*\")(?:\s*\+?\s*(?:'[^']*'|\"[^\"]*\"))*)", 1), r"['\"]\s*\+?\s*['\"]", " "), "^['\"]|['\"]$", ""))
-    version = F.regexp_extract(body, r"@BreakingChangeRule\(\{\s*version:\s*'([^']+)'", 1)
-    named = F.regexp_extract(body, r"\bid\s*:\s*\w+\s*=\s*'([^']+)'", 1)
-    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    nodes = F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(r"'((?:@[\w.\-]+/)?n8n-nodes[\w.\-]*\.[\w.]+)'"), 1)))
-    rows = files.select(F.coalesce(F.nullif(named, F.lit("")), F.nullif(text("id"), F.lit("")), stem).alias("rule_id"), version.alias("version"), text("title").alias("title"), text("description").alias("description"), F.lower(F.coalesce(F.nullif(text("severity"), F.lit("")), F.lit("medium"))).alias("severity"), nodes.alias("node_types"), F.regexp_extract_all(body, F.lit(r"\baction:\s*'([^']+)'"), 1).alias("actions"))
-    return rows.filter("version <> '' OR title <> ''")
+    rules = upstream.node_rules(spark.createDataFrame(bodies, "path string, body string"))
+    return observe.nodes(deps, upstream.node_index(paths), rules, True)
 
 
 @expect("rule_id version title description severity nodes actions", ("r1", "v2", "Webhook answers", "x y", "high", "n8n-nodes-base.webhook", "Go"), ("b", "v3", "Later", "", "medium", "", ""))
 def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = [("rules/a.ts", "@BreakingChangeRule({ version: 'v2' }) id: string = 'r1' title: 'Webhook answers', description:\n 'x' +\n 'y', severity: 'High', types ['n8n-nodes-base.webhook'] action: 'Go'"), ("rules/b.ts", "@BreakingChangeRule({ version: 'v3' }) title: 'Later'"), ("rules/c.ts", "export const x = 1")]
-    return node_rules(spark.createDataFrame(bodies, "path string, body string")).select("rule_id", "version", "title", "description", "severity", _joined("node_types").alias("nodes"), _joined("actions").alias("actions"))
+    return upstream.node_rules(spark.createDataFrame(bodies, "path string, body string")).select("rule_id", "version", "title", "description", "severity", _joined("node_types").alias("nodes"), _joined("actions").alias("actions"))
 
 
 _PROSE = "Our service is a place where people build things and share them with others every day of the week. " * 8
