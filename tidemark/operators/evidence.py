@@ -157,3 +157,10 @@ def judged_rewrites(rewrites: DataFrame) -> DataFrame:
     honest = F.forall(urls, lambda u: F.contains(known, F.rtrim(u, F.lit("/.,);"))))
     empty = (parts[0] == "") | (parts[1] == "") | (parts[2] == "")
     return rewrites.select("finding_id", F.when(v.isNull(), "not json").when(empty, "missing part").when(~honest, "invented source").otherwise("accepted").alias("outcome"))
+
+
+def tallied(judged: DataFrame, examples: int = 6) -> DataFrame:
+    """outcome, n, names: nominations by what became of them (established, refuted, rejected, open), with a few names each."""
+    verdict = F.col("verdict")
+    outcome = F.when(verdict.isin("verified", "vendor_named"), "established").when(verdict.startswith("refuted"), "refuted").when(verdict.startswith("rejected"), "rejected").otherwise("open")
+    return judged.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("name")), 1, examples).alias("names"))

@@ -103,3 +103,14 @@ def ledger(signals: DataFrame) -> DataFrame:
 def rotation(candidates: DataFrame, last: str, name: str, most: int) -> DataFrame:
     """The next slice of a rotation: never looked at first, then the longest ago, ties by name."""
     return candidates.orderBy(F.col(last).asc_nulls_first(), F.lower(name)).limit(most)
+
+
+def kept_feedback(lines: DataFrame, keys: list[str], order: str, most: int = 40) -> DataFrame:
+    """Distinct lines, each at its last time, the newest ``most`` of all; the bound is the feature: a prompt reads them."""
+    last = lines.groupBy(*keys).agg(F.max(order).alias(order))
+    return last.orderBy(F.col(order).desc(), *keys).limit(most)
+
+
+def shown_feedback(lines: DataFrame, signal: str, order: str, most: int = 12) -> DataFrame:
+    """Feedback for one signal: lines on that signal first, then others, newest first."""
+    return lines.orderBy((F.col("signal") == signal).desc(), F.col(order).desc()).limit(most)

@@ -159,3 +159,22 @@ def earliest_session(locations: DataFrame) -> DataFrame:
     """dep_id, session_no, course of the first affected session, over all locations."""
     numbered = locations.filter("session_no is not null")
     return numbered.groupBy("dep_id").agg(F.min(F.struct("session_no", "course")).alias("first")).select("dep_id", "first.session_no", "first.course")
+
+
+#: Signals that make step-by-step pictures worth another look.
+SHOWN_SIGNALS = ("S2", "S5", "S8")
+
+
+def screenshots_at_risk(found: DataFrame, locations: DataFrame, census: DataFrame) -> DataFrame:
+    """finding_id, screenshots: pictures of the units that a finding touches, each unit once. census(course, unit_id, images)."""
+    units = found.filter(F.col("signal").isin(*SHOWN_SIGNALS)).select("finding_id", "dep_id").join(locations.select("dep_id", "course", "unit_id").distinct(), "dep_id")
+    return units.join(census, ["course", "unit_id"], "left").groupBy("finding_id").agg(F.coalesce(F.sum("images"), F.lit(0)).cast("long").alias("screenshots"))
+
+
+def taught_job(locations: DataFrame, order: str, most: int = 6) -> DataFrame:
+    """dep_id, job: what the material does with a thing, in its own unit names: the first distinct places."""
+    where = F.coalesce(F.concat(F.lit("session "), F.col("session_no").cast("string")), F.col("evidence_source"))
+    line = F.concat_ws(" / ", "course", where, F.substring("unit_name", 1, 60))
+    first = locations.groupBy("dep_id", line.alias("line")).agg(F.min(order).alias("at"))
+    nth = F.row_number().over(W.partitionBy("dep_id").orderBy("at", "line"))
+    return first.withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("dep_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("job"))

@@ -111,6 +111,22 @@ def reconciled(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumn("gap", F.col("pools") - F.col("pools_read"))
 
 
+def validated(raw: DataFrame, roster: DataFrame) -> DataFrame:
+    """source_file, reasons, warnings of candidate exports raw(source_file, course, body): why a course can't be added, and what is odd about it.
+
+    roster(slug, title): courses that are there already; a title must differ from all of them, but for case.
+    """
+    docs = exports(raw)
+    found = records(docs)
+    counts = found.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+    gaps = reconciled(docs, found).select("course", "sessions", "gap")
+    clash = roster.select(F.lower("title").alias("t")).distinct().withColumn("clash", F.lit(True))
+    rows = docs.join(counts, "source_file", "left").join(gaps, "course", "left").join(clash, F.lower("course") == F.col("t"), "left")
+    reasons = F.array_compact(F.array(F.when(F.col("doc").isNull(), "not JSON"), F.when(F.col("doc").isNotNull() & F.col("n").isNull(), "no records"), F.when(F.col("gap") > 0, "questions not read"), F.when(F.col("clash"), "title is taken")))
+    warnings = F.array_compact(F.array(F.when(F.col("n").isNotNull() & (F.col("sessions") == 0), "no sessions")))
+    return rows.select("source_file", reasons.alias("reasons"), warnings.alias("warnings"))
+
+
 def dereferenced(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with value: what their field_path points at in the export they came from."""
     return rows.join(docs.select("source_file", "doc"), "source_file").withColumn("value", F.expr("try_variant_get(doc, field_path, 'string')")).drop("doc")

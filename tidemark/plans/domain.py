@@ -314,13 +314,22 @@ def successor_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     (8, "nowhere.io", "refuted_no_such_domain"), (9, "inside.io", "rejected_excluded"), (10, "dead.io", "refuted_dead"), (11, "wall.io", "unverifiable_blocked"), (12, "good.io", "verified"), (13, "empty.io", "refuted_no_evidence"), (14, "", "rejected_malformed_domain"),
 )
 def nomination_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark).select("nom_id", "at", "verdict")
+
+
+def _judged(spark: SparkSession) -> DataFrame:
     noms = [(1, "Good", "good.io", "search"), (2, "OAuth", "", "model"), (3, "Odd", "not a host", "model"), (4, "List", "toolify.ai", "search"), (5, "Own", "docs.acme.dev", "model"), (6, "Next", "", "vendor_named"), (7, "Name", "", "model"), (8, "Ghost", "nowhere.io", "model"), (9, "In", "inside.io", "model"), (10, "Dead", "dead.io", "search"), (11, "Wall", "wall.io", "search"), (12, "Old", "old.io", "search"), (13, "Empty", "empty.io", "search"), (14, " ", "", "model")]
     df = spark.createDataFrame(noms, "nom_id long, name string, domain string, source string").withColumn("own_domains", F.array(F.lit("acme.dev")))
     dns = spark.createDataFrame([(d, "ok") for d in ("good.io", "dead.io", "wall.io", "old.io", "empty.io")] + [("inside.io", "private")], "domain string, safety string")
     said = "The free tier allows twenty requests per minute for every account that is in good standing with us."
     pages = [("good.io", 200, "", said), ("dead.io", 410, "", ""), ("wall.io", 403, "", ""), ("old.io", 200, "mid.io", ""), ("mid.io", 200, "good.io", ""), ("empty.io", 200, "", "Hello.")]
     fetches = spark.createDataFrame(pages, "domain string, status int, final_domain string, text string")
-    return evidence.adjudicated(df, dns, fetches).select("nom_id", "at", "verdict")
+    return evidence.adjudicated(df, dns, fetches)
+
+
+@expect("outcome n names", ("established", 3, "Good,Next,Old"), ("refuted", 3, "Dead,Empty,Ghost"), ("rejected", 6, ",In,List,OAuth,Odd,Own"), ("open", 2, "Name,Wall"))
+def nomination_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.tallied(_judged(spark)).select("outcome", "n", _joined("names").alias("names"))
 
 
 @expect("domain n first", ("tool-b.io", 2, 1), ("tool-a.io", 1, 0), ("g2.com", 1, 5))
@@ -524,3 +533,27 @@ def text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame([("a", "same", "same"), ("b", "abcd", "bcde"), ("c", "xy", "ab")], "pair string, x string, y string")
     return df.select("pair", F.round(T.similarity("x", "y") * 1000).cast("long").alias("ratio"))
+
+
+@expect("dep_id job", ("d", "B / session 5 / U"), ("m", "A / session 2 / U\nA / session 3 / U\nB / prose_name / U"))
+def taught_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = _case(spark)["locations"].withColumn("at", F.concat_ws("/", "course", "session_no", "content_id"))
+    return score.taught_job(places, "at").filter("dep_id IN ('m', 'd')")
+
+
+@expect("dep_id screenshots", ("x", 34), ("y", 0))
+def screenshots_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unit counts once, however often a finding touches it; other classes of finding have no pictures."""
+    found = spark.createDataFrame([("f1", "x", "S5"), ("f2", "y", "S8"), ("f3", "x", "S1")], "finding_id string, dep_id string, signal string")
+    places = spark.createDataFrame([("x", "A", "u1"), ("x", "A", "u1"), ("x", "A", "u2"), ("y", "B", "u9")], "dep_id string, course string, unit_id string")
+    census = spark.createDataFrame([("A", "u1", 30), ("A", "u2", 4), ("B", "u1", 7)], "course string, unit_id string, images int")
+    return score.screenshots_at_risk(found, places, census).join(found, "finding_id").select("dep_id", "screenshots")
+
+
+@expect("source_file reasons warnings", ("a.json", "questions not read", ""), ("b.json", "not JSON", ""), ("c.json", "no records,title is taken", ""), ("d.json", "", "no sessions"))
+def course_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = {"topics": [{"topic_name": "T", "units": [{"unit_id": "u", "unit_name": "U", "contents": [{"content": "text"}]}]}]}
+    rows = [("a.json", "Course A", json.dumps(_COURSE)), ("b.json", "B", "{not"), ("c.json", "Course C", '{"topics": []}'), ("d.json", "D", json.dumps(plain))]
+    raw = spark.createDataFrame(rows, "source_file string, course string, body string")
+    out = shred.validated(raw, spark.createDataFrame([("c", "COURSE C")], "slug string, title string"))
+    return out.select("source_file", _joined("reasons").alias("reasons"), _joined("warnings").alias("warnings"))

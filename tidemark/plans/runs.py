@@ -191,10 +191,16 @@ def events_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("event_id > 500").join(before, "user_id", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def feedback_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest forty distinct (priority, status) lines of orders' customers, of which twelve are shown for one priority."""
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("signal"), F.concat_ws(" ", "o_orderstatus", F.pmod("o_custkey", F.lit(9)).cast("string")).alias("line"), F.col("o_orderkey").alias("at"))
+    return history.shown_feedback(history.kept_feedback(lines, ["signal", "line"], "at"), "1-URGENT", "at")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        running_session_no, failure_streaks, prev_value_diff_class, resolve_absent, merge_examined_slice, latest_decision, suppressed_findings, precision_overall,
+        feedback_lines, running_session_no, failure_streaks, prev_value_diff_class, resolve_absent, merge_examined_slice, latest_decision, suppressed_findings, precision_overall,
         precision_heldout, majority_mode, sessions_islands, session_specs, rotation_queue, fold_observations, watermark_gate_batch, signal_ledger, state_upsert,
         coverage_summary, due_dates, tumbling_windows, sliding_windows, session_windows, learn_score_split, run_list, events_after,
     )
@@ -208,6 +214,10 @@ _POLLS = "SELECT CAST(user_id AS VARCHAR) AS source, event_id, event_type AS val
 _SID = "substr(sha256(source || chr(31) || value), 1, 16)"
 
 ORACLE_SQL = {
+    "feedback_lines": """
+WITH l AS (SELECT o_orderpriority AS signal, o_orderstatus || ' ' || (o_custkey % 9) AS line, max(o_orderkey) AS "at" FROM orders GROUP BY 1, 2),
+k AS (SELECT * FROM l ORDER BY "at" DESC LIMIT 40)
+SELECT signal, line, "at" FROM k ORDER BY (signal = '1-URGENT') DESC, "at" DESC LIMIT 12""",
     "running_session_no": """
 SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events""",
