@@ -113,4 +113,5 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def load(folder: str, name: str, *keys: str) -> dict[str, np.ndarray]:
-    return {k: np.load(f"{folder}/{name}.{k}.npy", mmap_mode="r") for k in keys}
+    """Mapped arrays, as plain views: the subclass that numpy maps to costs more than a small look-up."""
+    return {k: np.asarray(np.load(f"{folder}/{name}.{k}.npy", mmap_mode="r")) for k in keys}

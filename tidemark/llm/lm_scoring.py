@@ -37,7 +37,9 @@ from tidemark.llm.ngram_join import grouped
 FOLDS, HELD_OUT = 7, 2
 ORDER = 3
 SHARD_TOKENS = 2_000_000
-#: Pairs that a counting task gathers before it counts them.
+#: Text whose n-grams are looked up together: fewer, larger look-ups in each shard.
+BLOCK_BYTES = 2 << 20
+#: N-grams that a counting task gathers before it counts them.
 GATHERED = 4_000_000
 #: The hash that stands for the end token.
 END = np.uint64(0x45D9F3B3335B369D)
@@ -160,7 +162,7 @@ def contexts(ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         raw, offs = _text.text_bytes(batch.column(batch.num_columns - 1))
-        for a, b, part, own in _text.blocks(raw, offs):
+        for a, b, part, own in _text.blocks(raw, offs, BLOCK_BYTES):
             yield batch.slice(a, b - a), *tokens(part, own)
 
 
