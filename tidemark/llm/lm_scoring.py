@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,6 +113,15 @@ def shards(blocks: DataFrame, many: int) -> DataFrame:
     return blocks.repartition(min(many, 4096), "shard").sortWithinPartitions("shard")
 
 
+def sorted_distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them; hashing first, since only the distinct ones are sorted."""
+    codes, distinct = pd.factorize(values)
+    order = np.argsort(distinct)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[codes]
+
+
 class Vocabulary:
     """Ids and counts of words, from mapped shards by the hash's range."""
 
@@ -128,7 +138,7 @@ class Vocabulary:
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of hashes in any order."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+        distinct, back = sorted_distinct(hashes)
         ids = np.full(len(distinct), -1, dtype=np.int64)
         counts = np.zeros(len(distinct), dtype=np.int64)
         cuts = [0, *np.searchsorted(distinct, self.bounds), len(distinct)]
@@ -171,7 +181,9 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     No value is off by more than a step, a 256th of the range; groups of equal size would leave the sparse ends far coarser.
     """
-    book, codes = np.unique(values.astype(np.float32), return_inverse=True)
+    book = np.unique(values[:: max(1, len(values) // 4096)].astype(np.float32))
+    if len(book) <= 256:
+        book, codes = np.unique(values.astype(np.float32), return_inverse=True)
     if len(book) > 256:
         low, high = values.min(), values.max()
         codes = np.minimum((values - low) * (256 / (high - low)), 255).astype(np.int64)
@@ -282,7 +294,7 @@ class Trie:
     def keys(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where a context is known, the sorted distinct keys there, and each place's among them; an unknown word is word 0, for its context's weight."""
         some = np.flatnonzero(before >= 0)
-        distinct, back = np.unique(before[some].astype(np.uint64) * np.uint64(self.size) + np.maximum(ids[some], 0).astype(np.uint64), return_inverse=True)
+        distinct, back = sorted_distinct(before[some].astype(np.uint64) * np.uint64(self.size) + np.maximum(ids[some], 0).astype(np.uint64))
         return some, distinct, back
 
     def step(self, level: Level, before: np.ndarray, ids: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
