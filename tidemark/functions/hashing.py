@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,15 +45,10 @@ def simhash_of(text: str | None, shingle: int = 3) -> str:
     words = _WORD.findall(_VOLATILE.sub(" ", (text or "").lower()))
     if len(words) < shingle:
         return ""
-    votes: dict[int, int] = {}
-    for i in range(len(words) - shingle + 1):
-        h = int.from_bytes(hashlib.blake2b(" ".join(words[i : i + shingle]).encode(), digest_size=8).digest(), "big")
-        votes[h] = votes.get(h, 0) + 1
-    value = 0
-    for bit in range(64):
-        if sum(w if h >> bit & 1 else -w for h, w in votes.items()) > 0:
-            value |= 1 << bit
-    return f"{value:016x}"
+    encoded, hashed = [w.encode() for w in words], hashlib.blake2b
+    digests = b"".join([hashed(b" ".join(s), digest_size=8).digest() for s in zip(*(encoded[i:] for i in range(shingle)), strict=False)])
+    votes = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(digests) // 8).tobytes().hex()
 
 
 @F.pandas_udf(StringType())
