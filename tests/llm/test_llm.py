@@ -529,9 +529,9 @@ def test_plans_place_every_piece_once(histogram, groups):
     for x in histogram:
         own = table[table[:, 0] == x]
         assert own[0, 1] == 0 and (own[1:, 1] == own[:-1, 1] + own[:-1, 2]).all()
-    # with as many groups as in production, rounding costs little; more than one piece over half a sequence fits in none
+    # with as many groups as in production, sequences are over half full but for a few; awkward lengths allow no more in general
     _, count = packing.plan(dict(histogram), 64, 64)
-    assert count <= 1.25 * math.ceil(sum(x * n for x, n in histogram.items()) / 64) + 3 + sum(n for x, n in histogram.items() if x > 32)
+    assert count <= 2 * math.ceil(sum(x * n for x, n in histogram.items()) / 64) + 3
 
 
 def test_packing_comes_near_the_bound(spark, docs):
