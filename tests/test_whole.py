@@ -44,3 +44,12 @@ def test_near_duplicate_simhash_links_every_near_pair(spark, tmp_path):
         want += [(max(first[a], first[b]), min(first[a], first[b]), apart(a, b)) for a, b in combinations(first, 2) if apart(a, b) <= 8]
         got = sorted(map(tuple, web.near_duplicate_simhash(spark, folder).select("doc_id", "of", "bits").collect()))
         assert got == sorted(want)
+
+
+def test_walk_takes_all_events_and_depths(spark, tmp_path):
+    deep = '{"k":' * 12 + "1" + "}" * 12
+    spark.createDataFrame([(i, "t", deep if i == 900 else '{"k": 1}', 2.0) for i in (1, 900)], "event_id long, event_type string, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["path"]: (r["n"], r["depth"]) for r in web.variant_walk_all(spark, str(tmp_path)).collect()}
+    assert got["$.b[1].v"] == (2, 3) and got["$.a.props.k"] == (2, 3)
+    assert got["$.a.props" + ".k" * 12] == (1, 14)
+    assert len(got) == 8 + 12

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from tidemark.functions import constants as K
 from tidemark.functions import hashing as H
@@ -241,7 +245,7 @@ def json_props_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every field of nested JSON made from events, with its path, by a recursive query over variants."""
+    """Every field of nested JSON made from events up to id 200, to depth 6, with its path, by a recursive query over variants; variant_walk_all takes all."""
     rows = table(spark, sf_dir, "events").filter("event_id <= 200").selectExpr("event_id", "parse_json('{\"a\": {\"props\": ' || props || ', \"t\": \"' || event_type || '\"}, \"b\": [' || event_id || ', {\"v\": ' || round(value) || '}]}') AS doc")
     rows.createOrReplaceTempView("tidemark_walk")
     return spark.sql("""
@@ -253,6 +257,31 @@ def variant_recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT path, count(*) AS n, max(depth) AS depth FROM walk GROUP BY path""").withColumn("depth", F.col("depth").cast("long"))
 
 
+@F.pandas_udf(ArrayType(StructType().add("path", StringType()).add("depth", LongType())))
+def json_paths(text: pd.Series) -> pd.Series:
+    """Path and depth of every field and element of a JSON text, the root first; by a stack, so at any depth the parser takes."""
+
+    def walk(doc: str | None) -> list[dict] | None:
+        if doc is None:
+            return None
+        out, stack = [], [("$", json.loads(doc), 0)]
+        while stack:
+            path, node, depth = stack.pop()
+            out.append({"path": path, "depth": depth})
+            inner = ((f".{k}", v) for k, v in node.items()) if isinstance(node, dict) else ((f"[{i}]", v) for i, v in enumerate(node)) if isinstance(node, list) else ()
+            stack.extend((path + step, v, depth + 1) for step, v in inner)
+        return out
+
+    return text.map(walk)
+
+
+def variant_walk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of nested JSON made from all events, with its path, to whatever depth it has: one pass, a walk a row."""
+    doc = F.expr("parse_json('{\"a\": {\"props\": ' || props || ', \"t\": \"' || event_type || '\"}, \"b\": [' || event_id || ', {\"v\": ' || round(value) || '}]}')")
+    rows = table(spark, sf_dir, "events").select(F.explode(json_paths(F.to_json(doc))).alias("x"))
+    return rows.groupBy("x.path").agg(F.count(F.lit(1)).alias("n"), F.max("x.depth").alias("depth"))
+
+
 def fit_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit scores over factors taken from vectors, some unknown: weights renormalise, too few known factors give none."""
     e = lambda i: F.element_at("embedding", i).cast("double")
@@ -294,7 +323,7 @@ QUERIES = {
     for f in (
         host_registrable, host_counts, host_suffix_classify, page_tiers, links_extract, main_text_title, main_text_len, image_link_census, phrase_hits, phrase_lost, phrase_proximity,
         sentences_prose, sentence_neighbours, exact_duplicate_groups, near_duplicate_simhash, simhash_builtin, row_set_hash, prose_alias_match, alias_resolve_priority, ambiguous_theta_match,
-        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_recursive_walk, fit_weighted_mean, sessions_groups, shutdown_parse, ids_and_prints, inventory_browse,
+        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_recursive_walk, variant_walk_all, fit_weighted_mean, sessions_groups, shutdown_parse, ids_and_prints, inventory_browse,
     )
 }
 
@@ -371,6 +400,9 @@ WHERE r_name IN ('ASIA', 'EUROPE') AND c_mktsegment IN ('BUILDING', 'MACHINERY')
     "json_props_shred": "SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props->>'k' AS BIGINT)) AS most, count(props->>'k') AS n FROM events GROUP BY 1",
     "variant_recursive_walk": """
 WITH e AS (SELECT count(*) AS n FROM events WHERE event_id <= 200)
+SELECT p AS path, n, CAST(d AS BIGINT) AS depth FROM e, (VALUES ('$', 0), ('$.a', 1), ('$.b', 1), ('$.a.props', 2), ('$.a.t', 2), ('$.b[0]', 2), ('$.b[1]', 2), ('$.a.props.k', 3), ('$.b[1].v', 3)) v(p, d)""",
+    "variant_walk_all": """
+WITH e AS (SELECT count(*) AS n FROM events)
 SELECT p AS path, n, CAST(d AS BIGINT) AS depth FROM e, (VALUES ('$', 0), ('$.a', 1), ('$.b', 1), ('$.a.props', 2), ('$.a.t', 2), ('$.b[0]', 2), ('$.b[1]', 2), ('$.a.props.k', 3), ('$.b[1].v', 3)) v(p, d)""",
     "fit_weighted_mean": """
 WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
