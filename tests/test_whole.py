@@ -53,3 +53,10 @@ def test_walk_takes_all_events_and_depths(spark, tmp_path):
     assert got["$.b[1].v"] == (2, 3) and got["$.a.props.k"] == (2, 3)
     assert got["$.a.props" + ".k" * 12] == (1, 14)
     assert len(got) == 8 + 12
+
+
+def test_all_orders_and_hosts(spark, tmp_path):
+    spark.createDataFrame([(6, "2020-01-02"), (6000, "2021-03-04"), (6005, "2021-03-04")], "o_orderkey long, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert dict(map(tuple, web.shutdown_parse_all(spark, str(tmp_path)).collect())) == {6: "2020-01-02", 6000: "2021-03-04", 6005: None}
+    spark.createDataFrame([(i, f"http://h{i % 30}.io/") for i in range(60)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in web.host_counts_all(spark, str(tmp_path)).collect()] == [(f"h{i}.io", 2, i) for i in range(30)]

@@ -28,10 +28,15 @@ def host_registrable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", h.alias("host"), U.registrable(h).alias("owner"), U.normalised(F.col("url")).alias("clean"))
 
 
-def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts by how many pages they have; of like counts, the one seen first."""
+def host_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All hosts by how many pages they have; of like counts, the one seen first."""
     rows = _pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
-    return rows.orderBy(F.col("n").desc(), "first").limit(10).select("host", "n", "first")
+    return rows.orderBy(F.col("n").desc(), "first").select("host", "n", "first")
+
+
+def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of host_counts_all."""
+    return host_counts_all(spark, sf_dir).orderBy(F.col("n").desc(), "first").limit(10)
 
 
 #: A small authority list over the hosts of the test pages.
@@ -297,11 +302,16 @@ def sessions_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("session").asc_nulls_last())
 
 
-def shutdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of orders written in the forms vendors use, and read back."""
+def shutdown_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of all orders written in the forms vendors use, and read back."""
     day = F.to_date("o_orderdate")
     form = F.when(F.col("o_orderkey") % 6 == 0, F.date_format(day, "M/d/yyyy")).when(F.col("o_orderkey") % 6 == 1, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 6 == 2, F.date_format(day, "MMMM d, yyyy")).when(F.col("o_orderkey") % 6 == 3, F.date_format(day, "MMM d, yyyy")).when(F.col("o_orderkey") % 6 == 4, F.concat(F.lit("retires on "), F.date_format(F.add_months(day, 120), "yyyy-MM-dd"), F.lit(" at noon"))).otherwise("soon")
-    return table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select("o_orderkey", L.shutdown_date(form).cast("string").alias("date"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", L.shutdown_date(form).cast("string").alias("date"))
+
+
+def shutdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of shutdown_parse_all with keys under 2000."""
+    return shutdown_parse_all(spark, sf_dir).filter("o_orderkey < 2000")
 
 
 def ids_and_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,9 +331,9 @@ def inventory_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        host_registrable, host_counts, host_suffix_classify, page_tiers, links_extract, main_text_title, main_text_len, image_link_census, phrase_hits, phrase_lost, phrase_proximity,
+        host_registrable, host_counts, host_counts_all, host_suffix_classify, page_tiers, links_extract, main_text_title, main_text_len, image_link_census, phrase_hits, phrase_lost, phrase_proximity,
         sentences_prose, sentence_neighbours, exact_duplicate_groups, near_duplicate_simhash, simhash_builtin, row_set_hash, prose_alias_match, alias_resolve_priority, ambiguous_theta_match,
-        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_recursive_walk, variant_walk_all, fit_weighted_mean, sessions_groups, shutdown_parse, ids_and_prints, inventory_browse,
+        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_recursive_walk, variant_walk_all, fit_weighted_mean, sessions_groups, shutdown_parse, shutdown_parse_all, ids_and_prints, inventory_browse,
     )
 }
 
@@ -336,6 +346,7 @@ ORACLE_SQL = {
 WITH p AS (SELECT page_id, url, {_HOST} AS h FROM pages)
 SELECT page_id, h AS host, {_OWNER} AS owner, CASE WHEN regexp_matches(url, '^(?i)https?:') THEN regexp_replace(regexp_replace(rtrim(trim(url), '.,;:!?)]}}''"*_'), '#.*$', ''), '\?$', '') ELSE '' END AS clean FROM p""",
     "host_counts": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_HOST} AS host FROM pages) GROUP BY 1 ORDER BY n DESC, first LIMIT 10",
+    "host_counts_all": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_HOST} AS host FROM pages) GROUP BY 1",
     "host_suffix_classify": f"""
 WITH p AS (SELECT page_id, {_HOST} AS host FROM pages)
 SELECT page_id, host, CASE WHEN host = 'cheap-pills.example.com' OR host LIKE '%.cheap-pills.example.com' THEN 'EXCLUDED' WHEN host = 'm.example.net' OR host LIKE '%.m.example.net' THEN 'AUTHORITATIVE'
@@ -415,6 +426,8 @@ SELECT vec_id, CASE WHEN ha AND 2 + hb::INT + hc::INT + he::INT >= 3 THEN CAST(r
 SELECT CASE WHEN turn < 6 THEN turn END AS session, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(DISTINCT conv_id) AS conversations, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY 1""",
     "shutdown_parse": """
 SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 4 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 120 MONTH AS DATE) END AS VARCHAR) AS date FROM orders WHERE o_orderkey < 2000""",
+    "shutdown_parse_all": """
+SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 4 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 120 MONTH AS DATE) END AS VARCHAR) AS date FROM orders""",
     "ids_and_prints": """
 WITH d AS (SELECT p_partkey, lower(p_brand) AS b, substr(sha256('package' || chr(31) || lower(p_name)), 1, 16) AS dep_id FROM part)
 SELECT p_partkey, dep_id, substr(sha256(dep_id || chr(31) || 'S4'), 1, 16) AS finding_id, substr(sha256('S4|' || b), 1, 16) AS fingerprint FROM d""",
