@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from tidemark.functions import constants as K
 from tidemark.functions.text import strings
@@ -97,6 +101,32 @@ def node_mentions(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: ~F.lower(F.substring_index(t, ".", -1)).isin(*PLACEHOLDER_NODES)))
 
 
+def _walked_nodes(text: str | None) -> list[dict] | None:
+    try:
+        doc = json.loads(text) if (text or "").lstrip()[:1] in ("{", "[") else None
+    except (ValueError, RecursionError):
+        return None
+    if doc is None:
+        return None
+    out, stack = [], [doc]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("type"), str) and "n8n-nodes" in x["type"]:
+                v = x.get("typeVersion")
+                out.append({"type": x["type"], "version": "" if v is None else str(v)})
+            stack.extend(reversed(x.values()))
+        elif isinstance(x, list):
+            stack.extend(reversed(x))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType().add("type", StringType()).add("version", StringType())))
+def json_nodes(text: pd.Series) -> pd.Series:
+    """Every object of a JSON text, at any depth and in order, whose type names a node, with its own version; null if the text isn't JSON."""
+    return text.map(_walked_nodes)
+
+
 def node_package(node: Column) -> Column:
     head = F.regexp_replace(node, r"\.[^.]*$", "")
     return F.when(head.startswith("@") | head.startswith("n8n-nodes"), head).otherwise("")

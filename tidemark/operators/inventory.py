@@ -52,12 +52,12 @@ def model_mentions(records: DataFrame) -> DataFrame:
 
 
 def node_mentions(records: DataFrame) -> DataFrame:
-    """Workflow nodes: with their versions out of JSON, without any from other text."""
+    """Workflow nodes: out of JSON at any depth, each with its own version, without any from other text."""
     named = records.filter(F.contains("body_text", F.lit("n8n-nodes")))
-    doc = F.try_parse_json("body_text")
-    typed = F.filter(F.transform(F.coalesce(F.try_variant_get(doc, "$.nodes", "array<variant>"), F.array().cast("array<variant>")), lambda n: F.struct(F.try_variant_get(n, "$.type", "string").alias("type"), F.coalesce(F.try_variant_get(n, "$.typeVersion", "string"), F.lit("")).alias("version"))), lambda n: F.contains(n["type"], F.lit("n8n-nodes")) & ~F.lower(F.substring_index(n["type"], ".", -1)).isin(*C.PLACEHOLDER_NODES))
+    named = named.withColumn("nodes", C.json_nodes(F.col("body_text")))
+    typed = F.filter("nodes", lambda n: ~F.lower(F.substring_index(n["type"], ".", -1)).isin(*C.PLACEHOLDER_NODES))
     bare = F.transform(C.node_mentions(F.col("body_text")), lambda t: F.struct(t.alias("type"), F.lit("").alias("version")))
-    items = U.first_each(F.when(doc.isNotNull(), F.concat(typed, F.filter(bare, lambda b: ~F.exists(typed, lambda t: t["type"] == b["type"])))).otherwise(bare), lambda x: x)
+    items = U.first_each(F.when(F.col("nodes").isNotNull(), F.concat(typed, F.filter(bare, lambda b: ~F.exists(typed, lambda t: t["type"] == b["type"])))).otherwise(bare), lambda x: x)
     return _found(named, items, "n8n_node", F.col("x.type"), F.lit("n8n_workflow"), F.array(F.lit("n8n.io"), F.lit("docs.n8n.io")), F.col("x.version"))
 
 

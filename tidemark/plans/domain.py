@@ -137,6 +137,23 @@ def node_mention_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("package", C.node_package(F.col("node")))
 
 
+@expect(
+    "payload name version", ("list", "n8n-nodes-base.set", "3.4"), ("nested", "n8n-nodes-base.webhook", "2"), ("nested", "n8n-nodes-base.webhook", "1"), ("nested", "@n8n/n8n-nodes-langchain.agent", ""), ("single", "n8n-nodes-base.code", "2"),
+    ("flat", "n8n-nodes-base.if", "1"), ("flat", "n8n-nodes-base.if", "2"), ("flat", "n8n-nodes-base.merge", ""), ("text", "n8n-nodes-base.wait", ""),
+)
+def node_payload_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of workflows in a list, under other keys, alone, at top level and nested, and in text that isn't JSON."""
+    bodies = [
+        ("list", '[{"nodes": [{"type": "n8n-nodes-base.set", "typeVersion": 3.4}, {"type": "n8n-nodes-base.yourNode", "typeVersion": 1}]}]'),
+        ("nested", '{"data": {"workflow": {"nodes": [{"type": "n8n-nodes-base.webhook", "typeVersion": 2, "parameters": {"inner": {"type": "n8n-nodes-base.webhook", "typeVersion": 1}}}, {"type": "@n8n/n8n-nodes-langchain.agent"}]}}}'),
+        ("single", ' {"type": "n8n-nodes-base.code", "typeVersion": 2, "name": null}'),
+        ("flat", '{"nodes": [{"type": "n8n-nodes-base.if", "typeVersion": 1, "sub": [{"type": "n8n-nodes-base.if", "typeVersion": 2}]}], "note": "uses n8n-nodes-base.merge"}'),
+        ("text", 'Cut {"type": "n8n-nodes-base.wait", "typeVersion": 1'),
+    ]
+    records = spark.createDataFrame(bodies, "content_id string, body_text string").withColumns({c: F.lit("") for c in ("course", "topic_name", "unit_id", "unit_name", "field_path", "object_type")} | {"session_no": F.lit(1)})
+    return inventory.node_mentions(records).select(F.col("content_id").alias("payload"), "name", F.col("taught_version").alias("version"))
+
+
 @expect("name version qualifier", ("n8n", "2.17.8", ""), ("Google Sheets", "", "free tier"), ("gradio", "6.6.0", "pinned"))
 def tool_cell_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = "n8n@2.17.8, Google Sheets (free tier)\nhttps://x.io/a, b\n- , N/A, gradio@6.6.0 (pinned), x"
