@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
-from tidemark.plans import web
+from tidemark.plans import impact, web
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,18 @@ def test_all_orders_and_hosts(spark, tmp_path):
     assert dict(map(tuple, web.shutdown_parse_all(spark, str(tmp_path)).collect())) == {6: "2020-01-02", 6000: "2021-03-04", 6005: None}
     spark.createDataFrame([(i, f"http://h{i % 30}.io/") for i in range(60)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in web.host_counts_all(spark, str(tmp_path)).collect()] == [(f"h{i}.io", 2, i) for i in range(30)]
+
+
+def line_items(spark, path, rows):
+    """rows: (order, part, supplier, flag, status, quantity, ship date); order i is of nation i."""
+    spark.createDataFrame([(o, p, s, 1, f, t, q, d) for o, p, s, f, t, q, d in rows], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double, l_shipdate string").write.parquet(f"{path}/lineitem.parquet")
+    orders = sorted({r[0] for r in rows})
+    spark.createDataFrame([(i, i) for i in orders], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(i, i) for i in orders], "c_custkey long, c_nationkey long").write.parquet(f"{path}/customer.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in orders], "n_nationkey long, n_name string").write.parquet(f"{path}/nation.parquet")
+
+
+def test_tiers_come_from_all_locations(spark, tmp_path):
+    rows = [(1, 1, 1, "A", "O", 50.0, "2020-01-01"), (1, 4, 1, "A", "O", 1.0, "2020-01-01"), (1, 4, 1, "R", "F", 1.0, "2020-02-01"), (1, 5, 1, "R", "F", 1.0, "2020-02-01"), (1, 8, 1, "A", "F", 1.0, "2020-02-01")]
+    line_items(spark, tmp_path, rows)
+    assert sorted(map(tuple, impact.part_tiers_all(spark, str(tmp_path)).collect())) == [("critical", 2, 2), ("mention-only", 1, 1), ("standard", 1, 2)]
