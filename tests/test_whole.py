@@ -75,3 +75,9 @@ def test_tiers_come_from_all_locations(spark, tmp_path):
     rows = [(1, 1, 1, "A", "O", 50.0, "2020-01-01"), (1, 4, 1, "A", "O", 1.0, "2020-01-01"), (1, 4, 1, "R", "F", 1.0, "2020-02-01"), (1, 5, 1, "R", "F", 1.0, "2020-02-01"), (1, 8, 1, "A", "F", 1.0, "2020-02-01")]
     line_items(spark, tmp_path, rows)
     assert sorted(map(tuple, impact.part_tiers_all(spark, str(tmp_path)).collect())) == [("critical", 2, 2), ("mention-only", 1, 1), ("standard", 1, 2)]
+
+
+def test_other_courses_come_from_all_sessions(spark, tmp_path):
+    line_items(spark, tmp_path, [(1, 1, 7, "A", "O", 1.0, "2020-03-01"), (2, 1, 7, "A", "O", 50.0, "2020-05-01"), (3, 2, 7, "N", "O", 1.0, "2020-12-01"), (3, 2, 8, "N", "O", 1.0, "2020-03-01")])
+    got = sorted(tuple(r[c] for c in ("supplier", "course", "others", "radius_elsewhere")) for r in impact.projection_also_in_all(spark, str(tmp_path)).collect())
+    assert got == [(7, "N1", 2, 6), (7, "N2", 2, 3), (7, "N3", 2, 7)]

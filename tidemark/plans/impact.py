@@ -50,13 +50,21 @@ def projection_additivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_if(F.col("parts") != F.col("tenths")).alias("violations"), F.count(F.lit(1)).alias("suppliers"))
 
 
-def projection_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other courses of each supplier's worst course, with their own counts."""
-    rows = with_course(spark, sf_dir, locations(spark, sf_dir)).withColumn("dep_id", F.col("supplier"))
-    pairs = score.also_in(rows.filter("session_no = 3"))
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    pairs = score.also_in(rows.withColumn("dep_id", F.col("supplier")))
     return pairs.groupBy("dep_id", "course").agg(F.count(F.lit(1)).alias("others"), F.sum("blast_radius").alias("radius_elsewhere")).withColumnRenamed("dep_id", "supplier")
 
 
+def projection_also_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier and course, how many other courses the supplier reaches and their reach by their own counts, over all locations."""
+    return _elsewhere(with_course(spark, sf_dir, locations(spark, sf_dir)))
+
+
+def projection_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other courses as in projection_also_in_all, of locations in session 3 alone: the rows of its given SQL."""
+    return _elsewhere(with_course(spark, sf_dir, locations(spark, sf_dir)).filter("session_no = 3"))
+
+
 def severity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities as severities, moved by what the order is worth."""
     level = F.element_at(F.array(*[F.lit(s) for s in reversed(K.SEVERITIES)]), F.substring("o_orderpriority", 1, 1).cast("int"))
@@ -86,7 +94,7 @@ def evidence_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("course", *[F.col(k).alias(k.replace(":", "_")) for k in kinds])
 
 
-QUERIES = {f.__name__: f for f in (blast_radius_topk, part_tiers, part_tiers_all, projection_by_nation, projection_additivity, projection_also_in, severity_ladder, earliest_affected, grouping_sets_rollup, evidence_mix)}
+QUERIES = {f.__name__: f for f in (blast_radius_topk, part_tiers, part_tiers_all, projection_by_nation, projection_additivity, projection_also_in, projection_also_in_all, severity_ladder, earliest_affected, grouping_sets_rollup, evidence_mix)}
 
 _COURSE = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 _RUNS = f"({EVIDENCE_SQL} = 'solution_import')"
@@ -117,6 +125,9 @@ g AS (SELECT l_suppkey AS s, sum({TENTHS_SQL}) AS t FROM lineitem GROUP BY 1)
 SELECT count(*) FILTER (parts <> t) AS violations, count(*) AS suppliers FROM q JOIN g USING (s)""",
     "projection_also_in": f"""
 WITH p AS (SELECT l_suppkey AS s, n_name AS c, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS r FROM {_COURSE} WHERE month(l_shipdate) = 3 GROUP BY 1, 2)
+SELECT a.s AS supplier, a.c AS course, count(*) AS others, CAST(sum(b.r) AS BIGINT) AS radius_elsewhere FROM p a JOIN p b ON a.s = b.s AND a.c <> b.c GROUP BY 1, 2""",
+    "projection_also_in_all": f"""
+WITH p AS (SELECT l_suppkey AS s, n_name AS c, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS r FROM {_COURSE} GROUP BY 1, 2)
 SELECT a.s AS supplier, a.c AS course, count(*) AS others, CAST(sum(b.r) AS BIGINT) AS radius_elsewhere FROM p a JOIN p b ON a.s = b.s AND a.c <> b.c GROUP BY 1, 2""",
     "severity_ladder": """
 WITH o AS (SELECT 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS b, CASE WHEN o_totalprice > 300000 THEN 2 WHEN o_totalprice < 50000 THEN -1 ELSE 0 END AS d FROM orders),
