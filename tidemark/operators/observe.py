@@ -13,6 +13,8 @@ from tidemark.functions import constants as K
 from tidemark.functions import hashing as H
 from tidemark.functions import ladders as L
 from tidemark.functions import text as T
+from tidemark.operators import resolve
+from tidemark.sources import snapshots
 
 
 def url_observations(targets: DataFrame, fetches: DataFrame) -> DataFrame:
@@ -78,6 +80,40 @@ def packages(dependencies: DataFrame, registry: DataFrame, previous: DataFrame,
     return rows.select("dep_id", status.alias("status"), flags.alias("signals"), "latest_version")
 
 
+#: Registries by precedence.
+REGISTRIES = ("pypi", "npm")
+
+
+def unresolved_tools(dependencies: DataFrame, locations: DataFrame, unpinned: bool = False) -> DataFrame:
+    """Tools without a domain or a registry that a sheet pins to a version; with unpinned, the rest of them too."""
+    tools = dependencies.filter((F.col("kind") == "tool") & (F.size(F.coalesce("official_domains", F.array().cast("array<string>"))) == 0) & (F.coalesce("registry", F.lit("")) == ""))
+    return tools if unpinned else tools.join(locations.filter("evidence_source = 'sheet_pin'").select("dep_id"), "dep_id", "left_semi")
+
+
+def registry_lookup(tools: DataFrame, entries: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, entry_id, registry, latest_version) of tools that a registry serves under their name, the first registry in order; names that none serves.
+
+    Names without an entry of kind tool are neither. An entry moves by the first of its names that is served; names after that find no tool.
+    """
+    names = tools.select(F.col("canonical_name").alias("name"), F.lit("tool").alias("wanted_kind")).distinct()
+    known = resolve.resolved(names, resolve.alias_index(entries), strict=True).filter("entry_id is not null").select("name", "entry_id")
+    order = F.array_position(F.array(*map(F.lit, REGISTRIES)), F.col("registry"))
+    hits = registry.filter(F.col("found") & F.col("registry").isin(*REGISTRIES)).groupBy("name").agg(F.min_by(F.struct("registry", "latest_version"), order).alias("hit"))
+    looked = known.join(hits, "name", "left")
+    first = looked.groupBy("entry_id").agg(F.min(F.when(F.col("hit").isNotNull(), F.col("name"))).alias("served"))
+    looked = looked.join(first, "entry_id").filter("served is null OR name <= served")
+    return looked.filter("hit is not null").select("name", "entry_id", "hit.registry", "hit.latest_version"), looked.filter("hit is null").select("name")
+
+
+def retyped(entries: DataFrame, served: DataFrame) -> DataFrame:
+    """Registry entries with the served tools as packages of that registry, under their new key, merged with an entry that has the key already."""
+    found = served.select("entry_id", F.col("registry").alias("__home"), F.col("name").alias("__name"))
+    text = F.concat(F.lit("retyped tool->package: "), F.col("__home"), F.lit(" serves a project under this name, so the registry is its authority"))
+    notes = F.when(F.coalesce("notes", F.lit("")) == "", text).otherwise(F.concat("notes", F.lit(" | "), text))
+    moved = entries.join(found, "entry_id").withColumns({"entry_id": F.concat_ws(":", F.lit("package"), T.norm(F.col("canonical_name"))), "kind": F.lit("package"), "registry": F.col("__home"), "registry_id": F.col("__name"), "review_status": F.lit("approved"), "notes": notes})
+    return snapshots.merged_entries(entries.join(found, "entry_id", "left_anti"), moved.select(*entries.columns))
+
+
 def models(dependencies: DataFrame, catalogue: DataFrame, vendors: DataFrame, today: Column) -> DataFrame:
     """dep_id, status, signals, provider, replacements: model ids against vendors' own catalogues; the first vendor that lists an id serves it.
 

@@ -200,6 +200,40 @@ def package_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.packages(deps, reg, before, F.lit("2025-06-01").cast("timestamp")).select("dep_id", "status", _joined("signals").alias("signals"))
 
 
+def _tools(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    deps = spark.createDataFrame([(n, k, n, d, r) for n, k, d, r in (("Both", "tool", [], None), ("Node", "tool", [], ""), ("None", "tool", None, None), ("Owned", "tool", ["o.io"], None), ("Homed", "tool", [], "npm"), ("Loose", "tool", [], None), ("Service", "service", [], None), ("Stray", "tool", [], None), ("Node.js", "tool", [], None), ("Aka", "tool", [], None))], "dep_id string, kind string, canonical_name string, official_domains array<string>, registry string")
+    places = spark.createDataFrame([(n, "sheet_pin") for n in ("Both", "Both", "Node", "None", "Owned", "Homed", "Service", "Stray", "Node.js", "Aka")] + [("Loose", "sheet_tool")], "dep_id string, evidence_source string")
+    entries = spark.createDataFrame([("tool:both", "tool", "Both", [], "old", 1), ("package:both", "package", "both", ["bo"], "", 2), ("tool:node", "tool", "Node", ["Node.js", "Aka"], "", 3), ("tool:none", "tool", "None", [], "", 4), ("tool:loose", "tool", "Loose", [], "", 5)], "entry_id string, kind string, canonical_name string, aliases array<string>, notes string, ord int")
+    entries = entries.withColumns({"official_domains": F.array().cast("array<string>")} | {c: F.lit("") for c in ("registry", "registry_id", "review_status")})
+    return deps, places, entries
+
+
+def _served(spark: SparkSession, unpinned: bool) -> tuple[DataFrame, DataFrame]:
+    deps, places, entries = _tools(spark)
+    reg = spark.createDataFrame([("npm", "Both", True, "9"), ("pypi", "Both", True, "1"), ("pypi", "Node", False, None), ("npm", "Node", True, "22"), ("npm", "Node.js", True, "3"), ("pypi", "None", False, None), ("pypi", "Loose", True, "5"), ("pypi", "Owned", True, "1"), ("pypi", "Stray", True, "1")], "registry string, name string, found boolean, latest_version string")
+    return observe.registry_lookup(observe.unresolved_tools(deps, places, unpinned), entries, reg)
+
+
+@expect(
+    "flag name registry latest", ("pinned", "Both", "pypi", "1"), ("pinned", "Node", "npm", "22"), ("pinned", "None", "", ""), ("pinned", "Aka", "", ""),
+    ("all", "Both", "pypi", "1"), ("all", "Node", "npm", "22"), ("all", "Loose", "pypi", "5"), ("all", "None", "", ""), ("all", "Aka", "", ""),
+)
+def package_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools without an authority that a registry serves, and those that none does (without a registry), pinned ones alone or all."""
+    out = []
+    for flag in ("pinned", "all"):
+        served, rest = _served(spark, flag == "all")
+        out += [served.select(F.lit(flag).alias("flag"), "name", "registry", F.col("latest_version").alias("latest")), rest.select(F.lit(flag), "name", F.lit(""), F.lit(""))]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@expect("entry_id kind registry registry_id review_status aliases noted", ("package:both", "package", "pypi", "Both", "approved", "bo", True), ("package:node", "package", "npm", "Node", "approved", "Aka,Node.js", True), ("tool:none", "tool", "", "", "", "", False), ("tool:loose", "tool", "", "", "", "", False))
+def package_retyping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after served tools became packages under a new key; one of them meets an entry that has it already."""
+    entries = observe.retyped(_tools(spark)[2], _served(spark, False)[0])
+    return entries.select("entry_id", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("registry", "registry_id", "review_status")], _joined("aliases").alias("aliases"), F.coalesce(F.contains("notes", F.lit("retyped tool->package")), F.lit(False)).alias("noted"))
+
+
 _PAGES = [
     ("groq", "https://g.test/deprecations", "<table><tr><th>Deprecated Model</th><th>Shutdown Date</th><th>Recommended Replacement Model ID</th></tr><tr><td><code>alpha-70b</code></td><td>03/05/25</td><td>vendor/beta-120b or gamma-32b</td></tr><tr><td>delta-8b</td><td>2031-01-01</td><td>alpha-70b</td></tr><tr><td><code>eps-1b</code></td><td></td><td></td></tr></table>"),
     ("groq", "https://g.test/models", "<table><caption>Live</caption><tr><th>MODEL ID</th><th>Price per 1M tokens</th><th>Rate limits</th></tr><tr><td><code>gamma-32b</code></td><td>$0.10</td><td>30</td></tr><tr><td><code>eps-1b</code></td><td>Contact&nbsp;sales</td><td></td></tr></table>"),
