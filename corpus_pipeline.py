@@ -33,7 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs)
+    return packing.digests(packing.pack(docs, with_ids=True))
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("ngram_join", near_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

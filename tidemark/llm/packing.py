@@ -334,9 +334,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64,
     return out[np.lexsort((out[:, 1], out[:, 0]))], bins.count
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = _text.materialise(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col))
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; with_ids adds the ids, little-endian unsigned 32-bit integers."""
+    cut = _text.materialise(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col, with_ids))
+    held = ["ids"] if with_ids else []
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     salts = int(min(256, -(-sum(histogram.values()) // RANKED_TOGETHER) or 1))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
@@ -355,13 +356,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
             rank = base[length, salt] + rank - 1
             own = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4])], [*batch.schema.names[:5], "sequence_id", "offset"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in held]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4]), *kept], [*batch.schema.names[:5], "sequence_id", "offset", *held])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The contract's columns of packed pieces that carry their ids: the checksum is taken of the ids as placed."""
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=True))
 
 
 QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}
