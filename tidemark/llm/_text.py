@@ -63,6 +63,26 @@ def remove(df: DataFrame | str, spark: SparkSession | None = None) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot when it has more than this part of all rows; so fewer than this many keys are.
+HOT = 1024
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], many: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row a key and in ``many`` how many of the rows have it (the column is dropped).
+
+    A key with more than a 1024th of all rows would land in one task. There are fewer than 1024 of these at any input size, so they are
+    collected and joined by broadcast, wherever their rows are; the other keys are shuffled. keyed is read three times: write it first.
+    """
+    total = keyed.agg(F.sum(many)).first()[0] or 0
+    hot = F.col(many) * HOT > F.lit(total)
+    few = keyed.filter(hot & (F.col(many) > 1)).drop(many).collect()  # fewer than HOT rows
+    if not few:
+        return rows.join(keyed.drop(many), on, how)
+    named = F.broadcast(rows.sparkSession.createDataFrame(few, keyed.drop(many).schema))
+    rest = keyed.filter(~(hot & (F.col(many) > 1))).drop(many)
+    return rows.join(named, on).unionByName(rows.join(named.select(*on), on, "left_anti").join(rest, on, how))
+
+
 def maybe_in(keys: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:
     """A test whether a long may be among keys (one long column): never false for one that is, seldom true for one that isn't.
 

@@ -11,24 +11,26 @@ from tidemark.llm import _text
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each node's component, for all nodes that an edge (a, b) touches. Edges that lead nowhere are ignored.
 
-    A round never holds more edges than the last one and only ever groups to a minimum, which is combined before it is shuffled; a node
-    that a third of all edges meet costs one row a task. Nothing is collected.
+    A round never holds more edges than the last one. Minima are combined before they are shuffled, and a node that very many edges meet
+    is joined by broadcast (``_text.hot_join``), so no node's edges land in one task. Nothing but those few nodes is collected.
     """
     now = _text.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = F.count(F.lit(1)).alias("n")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = _text.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n))
         # large star: larger neighbours go to the smallest one
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _text.materialise(_text.hot_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        low = _text.materialise(large.groupBy("u").agg(F.min("v").alias("m"), n))
+        joined = _text.hot_join(large, low, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = _text.materialise(small)
         # done when every edge leads to a node that leads nowhere
         chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         same = after.count() == after.select("u").distinct().count() and chained.isEmpty()
-        _text.remove(now)
+        for done in (now, least, large, low):
+            _text.remove(done)
         now = after
         if same:
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
