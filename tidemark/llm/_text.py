@@ -45,11 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut and lost executors lose nothing."""
+def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut and lost executors lose nothing.
+
+    narrow: rows of a few numbers, which need no more files than two a core, however many partitions they come in.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.coalesce(2 * max(4, spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,8 @@ A text is normalised (each run of ASCII white space becomes one space; null coun
 polynomial hash modulo two primes, all chunks of a block of texts in one vectorised pass; chunk hashes combine into the text's
 fingerprint by length-shifted arithmetic (``combine``), so a huge document is hashed chunk by chunk, in any grouping, without a copy
 of it. Rows whose length and fingerprint agree are then compared chunk by chunk with the row that stays; a row that differs is split
-off into the group of its own SHA-256. So the groups are exact whatever the fingerprint does.
+off into the group of its own SHA-256. So the groups are exact whatever the fingerprint does. Groups that hold a large part of all rows
+are joined by broadcast (``_text.hot_join``), so their members stay where they are.
 
 Defined cases: null and empty texts are one group; a null doc_id orders after all others; repeated rows each give a row, of which one
 is kept; an empty table gives an empty result; other columns don't matter, whatever their names.
@@ -157,10 +158,9 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str
     Only rows of groups with more than one member read their texts again. A group's members are dealt out over tasks, and the row that
     stays is copied once for every MEMBERS_A_COPY of them, so neither a large group nor a huge text meets in one task.
     """
-    many = groups.filter("members > 1")
-    flagged = prints.join(many, list(KEY)).select("doc_id", *KEY, "text_sha256", F.ceil(F.col("members") / MEMBERS_A_COPY).cast("int").alias("copies"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper"))
-    flagged = flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"])
-    flagged = _text.materialise(flagged)
+    many = groups.filter("n > 1").select(*KEY, F.col("keep.doc_id").alias("keep_id"), F.ceil(F.col("n") / MEMBERS_A_COPY).cast("int").alias("copies"), "n")
+    flagged = _text.hot_join(prints, many, list(KEY)).select("doc_id", *KEY, "text_sha256", "copies", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper"))
+    flagged = _text.materialise(flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"]), narrow=True)
     copied = _text.maybe_in(flagged.select(F.xxhash64("doc_id")))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(copied(F.xxhash64("__id")))
     own = texts.join(flagged, texts["__id"].eqNullSafe(flagged["doc_id"])).filter(F.sha2(normalised(F.col("__text")).cast("binary"), 256) == F.col("text_sha256"))
@@ -173,20 +173,18 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_bytes for every row of docs."""
-    prints = _text.materialise(fingerprints(docs, id_col, text_col, chunk, primes))
-    least = F.min("doc_id").alias("keep_id")
-    groups = prints.groupBy(*KEY).agg(least, F.count(F.lit(1)).alias("members"))
+    prints = _text.materialise(fingerprints(docs, id_col, text_col, chunk, primes).withColumn("row", F.monotonically_increasing_id()))
+    # of equal texts the smallest doc_id stays, of its rows the first one; rows have numbers, which stay once written
+    keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
+    rows, key = prints, list(KEY)
+    groups = _text.materialise(rows.groupBy(*key).agg(keep, F.count(F.lit(1)).alias("n")), narrow=True)
     apart = _text.materialise(differing(docs, prints, groups, id_col, text_col, chunk).withColumn("variant", F.col("text_sha256")))
-    if apart.isEmpty():
-        rows = prints.withColumn("variant", F.lit(""))
-    else:
+    if not apart.isEmpty():
         rows = prints.join(apart, [*KEY, "text_sha256"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
-    key = [*KEY, "variant"]
-    sizes = rows.groupBy(*key).agg(least, F.count(F.lit(1)).alias("group_size"))
-    joined = rows.join(sizes, key)
-    stays = joined.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.row_number().over(W.partitionBy(*key).orderBy("doc_id")) == 1)
-    goes = joined.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    return stays.unionByName(goes).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
+        key = [*KEY, "variant"]
+        groups = _text.materialise(rows.groupBy(*key).agg(keep, F.count(F.lit(1)).alias("n")), narrow=True)
+    joined = _text.hot_join(rows, groups.withColumn("group_size", F.col("n")), key)
+    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,12 +193,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a row whose doc_id no dropped row has stays as it is; only the others' texts are shuffled, to be told apart exactly
     dropped = _text.maybe_in(groups.filter("not kept").select(F.xxhash64("doc_id")))
     own = F.xxhash64(F.col(id_col).cast("long"))
-    stays = groups.filter("kept").filter(dropped(F.xxhash64("doc_id"))).select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    rows = docs.filter(dropped(own)).withColumn("__own", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    on = rows[id_col].cast("long").eqNullSafe(stays["__keep"]) & (rows["__own"] == stays["__sha"])
-    one = W.partitionBy("__sha", "__keep").orderBy("__sha")
-    doubtful = rows.join(stays, on).withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*docs.columns)
-    return docs.filter(~dropped(own)).unionByName(doubtful)
+    stays = groups.filter("kept").filter(dropped(F.xxhash64("doc_id"))).select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha"))
+    rows = docs.filter(dropped(own)).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("sha"))
+    joined = rows.join(stays, rows["id"].eqNullSafe(stays["keep"]) & (rows["sha"] == stays["keep_sha"]))
+    joined = joined.withColumn("nth", F.row_number().over(W.partitionBy("sha", "id").orderBy("sha"))).filter("nth = 1")
+    return docs.filter(~dropped(own)).unionByName(joined.select("row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

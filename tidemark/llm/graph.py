@@ -14,18 +14,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A round never holds more edges than the last one. Minima are combined before they are shuffled, and a node that very many edges meet
     is joined by broadcast (``_text.hot_join``), so no node's edges land in one task. Nothing but those few nodes is collected.
     """
-    now = _text.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = _text.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
     n = F.count(F.lit(1)).alias("n")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _text.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n))
+        least = _text.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n), narrow=True)
         # large star: larger neighbours go to the smallest one
-        large = _text.materialise(_text.hot_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = _text.materialise(_text.hot_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), narrow=True)
         # small star: a node and its smaller neighbours go to the smallest of them
-        low = _text.materialise(large.groupBy("u").agg(F.min("v").alias("m"), n))
+        low = _text.materialise(large.groupBy("u").agg(F.min("v").alias("m"), n), narrow=True)
         joined = _text.hot_join(large, low, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = _text.materialise(small)
+        after = _text.materialise(small, narrow=True)
         # done when every edge leads to a node that leads nowhere
         chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         same = after.count() == after.select("u").distinct().count() and chained.isEmpty()
