@@ -5,8 +5,10 @@ row a piece. All that packing needs is the histogram of piece lengths, of at mos
 is made on the driver: large lengths are sorted and rounded up within groups of equal cardinality, few-size configurations are
 optimised by column generation, actual pieces are substituted for the rounded ones, and the rest is placed best-fit, longest first.
 The plan is a list of intervals (length, ranks from, how many, first sequence, offset), as bounded as the histogram; a piece finds its
-interval by its length and its rank among the pieces of that length. Ranks are counted within salted parts of a length, so a length
-that a third of all rows share is dealt out.
+interval by its length and its rank among the pieces of that length. Any ranking will do, so each task numbers its own pieces of a length
+as it cuts them, and a running sum over tasks gives the rank that each task starts from. Pieces and their ids are never shuffled for it,
+however many of them share a length, as long as these starts (one a task and length) fit a broadcast of ``STARTS``; beyond, they are
+joined by task and length.
 
 Defined cases: a null or empty text is a document of one token, the end token; repeated rows and repeated or null doc_ids are
 documents of their own; an empty table gives an empty result; other columns don't matter.
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,8 +42,8 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
 MARK = np.zeros(256, dtype=bool)
 MARK[list(b".,!?;:%&*#$")] = True
-#: Pieces of a length that are ranked together, about.
-RANKED_TOGETHER = 250_000
+#: Starts of ranks that are broadcast at most, 16 bytes each.
+STARTS = 1 << 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -136,14 +139,27 @@ class WordEncoder:
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NUMBERED = PIECES + ", part int, nth long"
+
+
+def numbered(lengths: np.ndarray, so_far: np.ndarray) -> np.ndarray:
+    """Each length's number among the equal ones, from so_far on, which is moved on."""
+    order = np.argsort(lengths, kind="stable")
+    many = np.bincount(lengths, minlength=len(so_far))
+    out = np.empty(len(lengths), dtype=np.int64)
+    out[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(so_far, many)
+    so_far += many
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row for each piece of each row of docs; with_ids adds the ids as little-endian unsigned 32-bit integers."""
+    """One row for each piece of each row of docs, numbered (nth) among those of its length in its task (part); with_ids adds the ids as
+    little-endian unsigned 32-bit integers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder, part_no = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        so_far = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             raw, offs = _text.text_bytes(batch.column(1))
             for a, b, part, at in _text.blocks(raw, offs):
@@ -162,10 +178,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
                         if with_ids:
                             held.append(cut)
                 out = [batch.column(0).take(pa.array(row)), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                out += [pa.array(np.full(len(row), part_no, dtype=np.int32)), pa.array(numbered(np.array(length), so_far))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
                 yield pa.RecordBatch.from_arrays([*out, *([pa.array(held, pa.binary())] if with_ids else [])], [*names, *(["ids"] if with_ids else [])])
 
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(run, NUMBERED + (", ids binary" if with_ids else ""))
 
 
 def best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -334,32 +351,37 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64,
     return out[np.lexsort((out[:, 1], out[:, 0]))], bins.count
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, starts: int = STARTS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; with_ids adds the ids, little-endian unsigned 32-bit integers."""
     cut = _text.materialise(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col, with_ids))
+    tops = _text.materialise(cut.groupBy("length", "part").agg((F.max("nth") + 1).alias("n")), narrow=True)
+    histogram = {r["length"]: r["n"] for r in tops.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = tops.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    intervals, _ = plan(histogram, capacity, groups)
     held = ["ids"] if with_ids else []
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    salts = int(min(256, -(-sum(histogram.values()) // RANKED_TOGETHER) or 1))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    base = np.zeros((capacity + 1, salts), dtype=np.int64)
-    for r in salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most capacity * 256 rows
-        base[r["length"], r["salt"]] = r["n"]
-    base = np.cumsum(base, axis=1) - base
-    intervals, count = plan(histogram, capacity, groups)
-    shared = docs.sparkSession.sparkContext.broadcast((base, intervals))
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    spark = docs.sparkSession
+    if tops.count() <= starts:
+        table = bases.toPandas().sort_values(["part", "length"])
+        keys = (table["part"].to_numpy().astype(np.int64) << 20) + table["length"].to_numpy()
+        shared = spark.sparkContext.broadcast((intervals, keys, table["base"].to_numpy()))
+        rows = cut
+    else:
+        shared = spark.sparkContext.broadcast((intervals, None, None))
+        rows = cut.join(bases, ["length", "part"]).withColumn("nth", F.col("nth") + F.col("base")).select(*cut.columns)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, table = shared.value
-        keys = (table[:, 0] << 48) + table[:, 1]
+        table, keys, base = shared.value
+        ends = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
-            length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "salt", "rank"))
-            rank = base[length, salt] + rank - 1
-            own = table[np.searchsorted(keys, (length << 48) + rank, side="right") - 1]
+            length, part, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "part", "nth"))
+            if keys is not None:
+                rank = rank + base[np.searchsorted(keys, (part.astype(np.int64) << 20) + length)]
+            own = table[np.searchsorted(ends, (length << 44) + rank, side="right") - 1]
             kept = [batch.column(batch.schema.get_field_index(c)) for c in held]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4]), *kept], [*batch.schema.names[:5], "sequence_id", "offset", *held])
 
-    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(place, f"{PIECES}, sequence_id long, offset long" + (", ids binary" if with_ids else ""))
 
 
 def digests(packed: DataFrame) -> DataFrame:
