@@ -7,10 +7,12 @@ within blocks of a source, longest documents first, so that what is left over is
 reduction tree, ``fan_in`` blocks to a node, and at a source's root a coin settles the last one. So the words taken from a source miss
 its target by less than the size of one short document, at any number of tasks, and no source needs to be in one place.
 
-Random numbers depend on seed, source, level and block alone, and rows are ordered within a block: reruns agree.
+Random numbers depend on seed, source, level and block alone, and rows are ordered within a block: reruns agree. A row's block follows
+from its doc_id and size; rows that repeat both are dealt by where they lie in the input instead, so that no block outgrows the others.
 
 Defined cases: null text counts as empty (size 0, nothing taken); null sources are a source of their own, ordered last; repeated rows
-and doc_ids are rounded one by one; a source of no words has target 0; an empty table gives an empty result; other columns don't matter.
+and doc_ids are rounded one by one; a source of no words has target 0; an empty table gives an empty result; other columns don't matter,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from tidemark.llm import _text
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_048
 HEAVY = 256
 
 
@@ -112,12 +114,14 @@ NAMES = [x.split()[0] for x in NARROW.split(", ")]
 
 def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
-    sized = _text.materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = _text.materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")))
+    same = F.xxhash64("doc_id", "source", "size")
+    again = _text.maybe_in(sized.groupBy(same.alias("key")).count().filter("count > 1").select("key"))
     targets = source_targets(sized, **shares).select(F.col("source").alias("s"), "source_no", "source_size", "members", "target")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["s"]))
     expect = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     parts = F.ceil(F.col("members") / block_rows).cast("long")
-    block = F.pmod(F.xxhash64("doc_id", "size"), parts)
+    block = F.pmod(F.when(again(same), F.xxhash64("row")).otherwise(F.xxhash64("doc_id", "size")), parts)
     rows = rows.withColumn("expect", expect).select("doc_id", "source", "size", F.col("source_no").cast("int"), "source_size", "target", F.floor("expect").cast("long").alias("whole"), (F.col("expect") - F.floor("expect")).alias("chance"), block.alias("block"), F.lit(False).alias("settled"))
 
     def level_of(depth: int, root: bool):
@@ -169,14 +173,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of docs, each as often as the mix takes it."""
     # equal rows are told apart by a number; it isn't a key of the join, so that texts are shuffled once for both
     empty = F.lit("")
-    key = {"__k1": F.coalesce("__id", F.lit(0)), "__k2": F.col("__id").isNull(), "__k3": F.coalesce("__source", empty), "__k4": F.col("__source").isNull(), "__k5": F.col("__size")}
-    nth = F.row_number().over(W.partitionBy(*key).orderBy("__k1"))
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}).withColumns(key).withColumn("__nth", nth)
+    key = {"k1": F.coalesce("id", F.lit(0)), "k2": F.col("id").isNull(), "k3": F.coalesce("from", empty), "k4": F.col("from").isNull(), "k5": F.col("words")}
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("k1"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("from"), word_count(F.col(text_col)).alias("words")).withColumns(key).withColumn("nth", nth)
     took = rounded(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    took = took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").cast("int").alias("__copies")).withColumns(key)
-    took = took.withColumn("__which", nth).filter("__copies > 0").select(*key, "__which", "__copies")
-    both = rows.join(took, list(key)).filter(F.col("__nth") - F.col("__which") == 0)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    took = took.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), F.col("copies").cast("int").alias("copies")).withColumns(key)
+    took = took.withColumn("which", nth).filter("copies > 0").select(*key, "which", "copies")
+    both = rows.join(took, list(key)).filter(F.col("nth") - F.col("which") == 0)
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
