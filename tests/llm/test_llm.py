@@ -498,13 +498,14 @@ def check_packing(rows, lengths):
     assert (by.offset == by.groupby("sequence_id").length.cumsum() - by.length).all()
 
 
-def test_packing_is_the_tokenizer_and_gapless(spark, odd):
+@pytest.mark.parametrize("starts", [packing.STARTS, 0])
+def test_packing_is_the_tokenizer_and_gapless(spark, odd, starts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ODD[:12] + ["0 00 a0b 10", "The THE the. the, (the) it's IT'S don't!! ***x %%%"]
-    docs = frame(spark, texts)
-    got = packing.pack(docs).toPandas().sort_values(["doc_id", "piece"])
+    docs = frame(spark, texts).repartition(3)
+    got = packing.pack(docs, starts=starts).toPandas().sort_values(["doc_id", "piece"])
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
     for i, ids in enumerate(want):
         own = got[got.doc_id == i]
@@ -542,3 +543,131 @@ def test_packing_comes_near_the_bound(spark, docs):
 def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd).agg(F.count_if(F.col("piece") == 0)).first()[0] == len(ODD)
     assert packing.pack(odd.limit(0)).count() == 0
+
+
+# --- clashing names and hot keys --------------------------------------------------------------------------------------------------------
+
+
+CLASH = ["row", "id", "key", "n", "nth", "which", "copy", "copies", "words", "from", "k1", "sha", "keep", "keep_sha", "keep_key", "task", "size", "block", "root", "__id", "__sha", "__keep", "__nth", "__key", "__own"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    texts = families(4)
+    docs = frame(spark, texts + texts[:3], ids=[*range(len(texts)), 0, 1, 2]).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASH})
+    for stage in (exact_dedup.drop_copies, ngram_join.drop_near_copies, mixing.mixed):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        rows = kept.toPandas()
+        assert len(rows)
+        for c in CLASH:
+            assert (rows[c] == c + " " + rows.doc_id.astype(str)).all(), (stage, c)
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 99, i) for i in range(3000)] + [(None, -1)], "k long, v long")
+    keyed = spark.createDataFrame([(k, k * 10, sum((i % 7 if i % 3 else 99) == k for i in range(3000))) for k in (0, 1, 2, 99)], "k long, w long, n long")
+    got = sorted(map(tuple, _text.hot_join(rows, keyed, ["k"]).collect()))
+    assert got == sorted((k, i, k * 10) for i in range(3000) if (k := i % 7 if i % 3 else 99) in (0, 1, 2, 99))
+    left = _text.hot_join(rows, keyed, ["k"], how="left")
+    assert left.count() == 3001 and left.columns == ["k", "v", "w"] and left.filter("w is null").count() == 1 + sum(1 for i in range(3000) if i % 3 and i % 7 > 2)
+
+
+def test_repeated_rows_share_no_block(spark):
+    docs = frame(spark, ["a b c"] * 3000, ids=[5] * 2000 + [None] * 1000, sources=["s"] * 3000)
+    out = mixing.rounded(docs, block_rows=64, fan_in=4, share=0.5).toPandas()
+    assert len(out) == 3000 and abs(out.taken.sum() - 4500) <= 3
+
+
+def percolating(seed=3, many=120, size=60):
+    """Pages of one template with own parts: most pairs are half alike, some nearly equal."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(size)]
+    out = []
+    for i in range(many):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(size // 3)]
+        text = base + own
+        out.append(" ".join(text))
+        if i % 3 == 0:
+            text[-1] = "other"
+            out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("rows", [2048, 24])
+def test_large_loose_components_are_verified_bucket_by_bucket(spark, monkeypatch, rows):
+    texts, seen, plain = percolating(), [], ngram_join.tasks_of
+    monkeypatch.setattr(ngram_join, "tasks_of", lambda *a: seen.append(plain(*a)) or seen[0])
+    got = ngram_join.near_copies(frame(spark, texts), block_rows=rows).toPandas().set_index("doc_id")
+    links = collections.Counter(i for p in brute_links(texts) for i in p)
+    assert [got.n_links[i] for i in range(len(texts))] == [links[i] for i in range(len(texts))]
+    kinds = {r["kind"] for r in seen[0].select(F.substring("task", 1, 1).alias("kind")).distinct().collect()}
+    assert kinds == {"c"} if rows > 2000 else "b" in kinds and "s" not in kinds
+
+
+def test_pairs_count_in_the_first_bucket_they_share():
+    keys = np.array([[1, 2, 3], [1, 2, 4], [9, 2, 3]])
+    i, j = np.nonzero(~np.eye(3, dtype=bool))
+    at = lambda key: (keys == key).argmax(axis=1)
+    earlier = dict(zip(zip(i.tolist(), j.tolist()), ngram_join.shares_earlier(keys, at(2), (i, j)).tolist()))
+    assert earlier[(0, 1)] and not earlier[(0, 2)] and not earlier[(1, 2)]
+
+
+def test_neighbours_of_vectors_of_any_size(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [1e-200, 2e-200]), (2, [1e200, 1e200]), (3, [5e-324, 0.0]), (4, [-1e300, 1e-300]), (5, [0.0, 0.0]), (6, None), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
+    df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, task string, query string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, df.filter("vec_id in (0, 2, 5)"), k=4).collect()}
+    assert [got[(0, k)][0] for k in (1, 2, 3, 4)] == [2, 1, 3, 4] and got[(0, 1)][1] == pytest.approx(1) and got[(0, 3)][1] == pytest.approx(math.sqrt(0.5))
+    assert all(math.isfinite(s) for _, s in got.values()) and {q for q, _ in got} == {0, 2}
+
+
+def test_clustered_vectors_need_few_candidates():
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((120, 64))
+    x = ann.unit_vectors(np.repeat(centres, 40, axis=0) + 0.25 * rng.standard_normal((4800, 64)))
+    forest = ann.Forest(x)
+    asked = np.arange(0, 4800, 37)
+    hits = scored = 0
+    for i, (found, near) in zip(asked, forest.nearest(x, x[asked], 5, ann.MISSED, asked)):
+        assert i not in found and near == pytest.approx(x[found] @ x[i])
+        true = set(np.argsort(-(x @ x[i]), kind="stable")[1:6].tolist())
+        hits += len(true & set(found.tolist()))
+        scored += len(found)
+    assert hits / (5 * len(asked)) >= 0.95
+    assert scored / (len(asked) * len(x)) < 0.1
+
+
+def test_packed_words_and_pointers():
+    rng = np.random.default_rng(4)
+    for width in (1, 7, 21, 57, 60):
+        values = rng.integers(0, 1 << width, 300, dtype=np.uint64)
+        words = elias_fano.pack_low(values, width)
+        at = rng.integers(0, 300, 500)
+        assert (elias_fano.packed_at(words, width, at) == values[at]).all()
+    many = rng.integers(0, 90, 400)
+    ends = np.cumsum(many).astype(np.uint64)
+    pointers = elias_fano.Sequence(elias_fano.encode(ends, int(ends[-1]) + 1))
+    assert (pointers.at(np.arange(400)) == ends).all()
+    children = [np.sort(rng.choice(5000, n, replace=False)) for n in many]
+    words = elias_fano.pack_low(np.concatenate(children).astype(np.uint64), 13)
+    context, want = rng.integers(0, 400, 3000), rng.integers(0, 5000, 3000).astype(np.uint64)
+    known = rng.random(3000) < 0.5
+    want = np.array([children[c][0] if k and len(children[c]) else w for c, w, k in zip(context, want, known)], dtype=np.uint64)
+    end = pointers.at(context).astype(np.int64)
+    for universe in (0, 5000):
+        got = elias_fano.successor(words, 13, end - many[context], end, want, universe)
+        assert got.tolist() == [int(e - many[c] + np.searchsorted(children[c], w)) if w in children[c] else -1 for c, w, e in zip(context, want, end)]
+
+
+def test_levels_lie_in_any_store(tmp_path):
+    arrays = {"a": np.arange(5, dtype=np.int64), "none": np.zeros(0, dtype=np.float32), "b": np.array([1, 2], dtype=np.uint8)}
+    mapped, elsewhere = elias_fano.Store(f"file://{tmp_path}/x", most=1), elias_fano.Store(f"file://{tmp_path}/x")
+    elsewhere.path = None  # as for a store that can't be opened as a path
+    mapped.save("one", arrays)
+    elsewhere.save("two", arrays)
+    for store in (mapped, elsewhere):
+        for name in ("one", "two", "one"):
+            assert all((store.load(name)[k] == v).all() and store.load(name)[k].dtype == v.dtype for k, v in arrays.items())
+    assert len(mapped.open) == 1 and len(elsewhere.open) == 2
+    elsewhere.remove("one")
+    with pytest.raises(FileNotFoundError):
+        elsewhere.load("one")
