@@ -101,22 +101,22 @@ _RUNS = f"({EVIDENCE_SQL} = 'solution_import')"
 _REACH = f"""CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS blast_radius, CAST(sum({TENTHS_SQL}) AS BIGINT) AS tenths, count(*) AS locations,
   count(*) FILTER (l_linestatus = 'F' AND {EVIDENCE_SQL} <> 'prose_name') AS graded_locations,
   count(*) FILTER (l_linestatus = 'F' AND {_RUNS}) AS questions_executing, count(*) FILTER (l_linestatus = 'F' AND NOT {_RUNS}) AS questions_mentioning"""
-_TIER = f"""CASE WHEN bool_or({EVIDENCE_SQL} = 'solution_import' OR ({EVIDENCE_SQL} = 'link:a_href' AND l_linestatus = 'F')) THEN 'critical'
+TIER_SQL = f"""CASE WHEN bool_or({EVIDENCE_SQL} = 'solution_import' OR ({EVIDENCE_SQL} = 'link:a_href' AND l_linestatus = 'F')) THEN 'critical'
   WHEN bool_or({EVIDENCE_SQL} = 'link:a_href') THEN 'standard' ELSE 'mention-only' END"""
 
 ORACLE_SQL = {
     "blast_radius_topk": f"""
-WITH s AS (SELECT l_suppkey AS supplier, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS blast_radius, {_TIER} AS watch_tier, count(*) AS n_locations FROM lineitem GROUP BY 1),
+WITH s AS (SELECT l_suppkey AS supplier, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS blast_radius, {TIER_SQL} AS watch_tier, count(*) AS n_locations FROM lineitem GROUP BY 1),
 t AS (SELECT *, CASE WHEN watch_tier = 'critical' AND blast_radius >= 8 THEN 'high' WHEN watch_tier = 'mention-only' OR blast_radius <= 1 THEN 'low' ELSE 'medium' END AS severity
       FROM s ORDER BY blast_radius DESC, supplier LIMIT 12)
 SELECT supplier, s_name AS name, n_name AS nation, blast_radius, watch_tier, n_locations, severity
 FROM t JOIN supplier ON supplier = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "part_tiers": f"""
-WITH t AS (SELECT l_partkey, {_TIER} AS watch_tier, count(*) AS n FROM lineitem
+WITH t AS (SELECT l_partkey, {TIER_SQL} AS watch_tier, count(*) AS n FROM lineitem
            WHERE ({EVIDENCE_SQL} <> 'solution_import' OR l_partkey % 3 = 0) AND ({EVIDENCE_SQL} <> 'link:a_href' OR l_partkey % 5 < 3) GROUP BY 1)
 SELECT watch_tier, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n_locations FROM t GROUP BY 1""",
     "part_tiers_all": f"""
-WITH t AS (SELECT l_partkey, {_TIER} AS watch_tier, count(*) AS n FROM lineitem GROUP BY 1)
+WITH t AS (SELECT l_partkey, {TIER_SQL} AS watch_tier, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT watch_tier, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n_locations FROM t GROUP BY 1""",
     "projection_by_nation": f"SELECT l_suppkey AS supplier, n_name AS course, {_REACH} FROM {_COURSE} GROUP BY 1, 2",
     "projection_additivity": f"""

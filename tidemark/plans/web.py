@@ -337,22 +337,22 @@ QUERIES = {
     )
 }
 
-_HOST = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':.*$', ''), '^www\.', '')"
-_OWNER = "CASE WHEN regexp_matches(h, '^[0-9.]*$') THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END"
+HOST_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':.*$', ''), '^www\.', '')"
+OWNER_SQL = "CASE WHEN regexp_matches(h, '^[0-9.]*$') THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END"
 _TITLE = r"substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 160)"
 
 ORACLE_SQL = {
     "host_registrable": rf"""
-WITH p AS (SELECT page_id, url, {_HOST} AS h FROM pages)
-SELECT page_id, h AS host, {_OWNER} AS owner, CASE WHEN regexp_matches(url, '^(?i)https?:') THEN regexp_replace(regexp_replace(rtrim(trim(url), '.,;:!?)]}}''"*_'), '#.*$', ''), '\?$', '') ELSE '' END AS clean FROM p""",
-    "host_counts": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_HOST} AS host FROM pages) GROUP BY 1 ORDER BY n DESC, first LIMIT 10",
-    "host_counts_all": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {_HOST} AS host FROM pages) GROUP BY 1",
+WITH p AS (SELECT page_id, url, {HOST_SQL} AS h FROM pages)
+SELECT page_id, h AS host, {OWNER_SQL} AS owner, CASE WHEN regexp_matches(url, '^(?i)https?:') THEN regexp_replace(regexp_replace(rtrim(trim(url), '.,;:!?)]}}''"*_'), '#.*$', ''), '\?$', '') ELSE '' END AS clean FROM p""",
+    "host_counts": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {HOST_SQL} AS host FROM pages) GROUP BY 1 ORDER BY n DESC, first LIMIT 10",
+    "host_counts_all": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {HOST_SQL} AS host FROM pages) GROUP BY 1",
     "host_suffix_classify": f"""
-WITH p AS (SELECT page_id, {_HOST} AS host FROM pages)
+WITH p AS (SELECT page_id, {HOST_SQL} AS host FROM pages)
 SELECT page_id, host, CASE WHEN host = 'cheap-pills.example.com' OR host LIKE '%.cheap-pills.example.com' THEN 'EXCLUDED' WHEN host = 'm.example.net' OR host LIKE '%.m.example.net' THEN 'AUTHORITATIVE'
   WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'CORROBORATING' ELSE 'LEAD_ONLY' END AS tier FROM p""",
     "page_tiers": f"""
-WITH p AS (SELECT url, {_HOST} AS h FROM pages),
+WITH p AS (SELECT url, {HOST_SQL} AS h FROM pages),
 t AS (SELECT CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
   WHEN regexp_matches(h, '^(community|forum|forums|discuss|answers|ask|support-community|users|help-community)[.]') OR regexp_matches(lower(url), '/(t|questions|discussions|threads|topic|forum|community)/|/viewtopic') THEN 'LEAD_ONLY'
   WHEN h = 'example.org' OR h LIKE '%.example.org' THEN 'AUTHORITATIVE' ELSE 'LEAD_ONLY' END AS tier FROM p)
@@ -364,7 +364,7 @@ d AS (SELECT page_id, regexp_replace(t, '^["'']|["'']$', '', 'g') AS target, min
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, target FROM d""",
     "main_text_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "image_link_census": f"""
-WITH p AS (SELECT {_HOST} AS host, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS a, regexp_extract_all(html, '<img[^>]*src="([^"]+)"', 1) AS i FROM pages),
+WITH p AS (SELECT {HOST_SQL} AS host, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS a, regexp_extract_all(html, '<img[^>]*src="([^"]+)"', 1) AS i FROM pages),
 a AS (SELECT host, count(DISTINCT x) AS n FROM (SELECT host, unnest(a) AS x FROM p) GROUP BY 1), i AS (SELECT host, count(DISTINCT x) AS n FROM (SELECT host, unnest(i) AS x FROM p) GROUP BY 1)
 SELECT host, count(*) AS pages, coalesce(any_value(a.n), 0) AS anchors, coalesce(any_value(i.n), 0) AS images FROM p LEFT JOIN a USING (host) LEFT JOIN i USING (host) GROUP BY 1""",
     "phrase_hits": """
@@ -395,7 +395,7 @@ h AS (SELECT stem, max(CASE WHEN stem = key THEN course END) AS exact, count(DIS
 r AS (SELECT CASE WHEN exact IS NOT NULL THEN exact WHEN n = 1 THEN one ELSE '' END AS course, exact IS NULL AND coalesce(n, 0) <> 1 AS bad FROM b LEFT JOIN h USING (stem))
 SELECT course, count(*) AS n, count(*) FILTER (bad) AS problems FROM r GROUP BY 1""",
     "domain_entries": f"""
-WITH h AS (SELECT page_id, {_HOST} AS h FROM pages), o AS (SELECT page_id, h, {_OWNER} AS owner FROM h),
+WITH h AS (SELECT page_id, {HOST_SQL} AS h FROM pages), o AS (SELECT page_id, h, {OWNER_SQL} AS owner FROM h),
 d AS (SELECT h AS domain, min(page_id) AS ord FROM o WHERE page_id % 4 = 0 GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('example.org', 1000000), ('example.net', 1000001)) v),
 e AS (SELECT domain, min(ord) AS ord FROM d GROUP BY 1)
 SELECT 'e' || coalesce(x.ord, y.ord) AS entry_id, count(*) AS n FROM o LEFT JOIN e x ON o.h = x.domain LEFT JOIN e y ON o.owner = y.domain GROUP BY 1""",
