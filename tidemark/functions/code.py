@@ -13,13 +13,6 @@ from tidemark.functions import constants as K
 from tidemark.functions.text import strings
 from tidemark.functions.urls import first_each
 
-_IMPORT = r"(?m)^\s*((?:from\s+[A-Za-z_][\w.]*\s+import)|(?:import\s+[A-Za-z_][\w.]*(?:\s*,\s*[A-Za-z_][\w.]*)*))"
-_JS = r"""(?:from|require\()\s*['"]([^'"./][^'"]*)['"]"""
-_COMMAND = r"(?im)(?:^|[`$>\n]|\$\s)\s*!?\s*{}\s+((?:-{{1,2}}[\w-]+\s+)*)([^\n`|<>;]+)"
-PIP = _COMMAND.format(r"(?:python\s+-m\s+)?pip3?\s+install")
-NPM = _COMMAND.format(r"(?:npm|pnpm|yarn)\s+(?:install|i|add)")
-MOST_ARGUMENTS = 12
-
 
 def valid_name(name: Column, registry: str) -> Column:
     plain = name.rlike(r"^[a-z][a-z0-9]*([._-][a-z0-9]+)*(\[[\w,]+\])?$")
@@ -35,19 +28,19 @@ def _pairs(names: Column, registry: str) -> Column:
 def imports(code: Column) -> Column:
     """Array of (name, registry): distributions that Python and JavaScript imports need, each once, in order."""
     code = F.coalesce(code, F.lit(""))
-    lines = F.regexp_extract_all(code, F.lit(_IMPORT), 1)
+    lines = F.regexp_extract_all(code, F.lit(K.IMPORT_PATTERN), 1)
     modules = F.flatten(F.transform(lines, lambda x: F.when(x.startswith("from"), F.array(F.regexp_extract(x, r"^from\s+([\w.]+)", 1))).otherwise(F.split(F.regexp_replace(x, r"^import\s+", ""), r"\s*,\s*"))))
     tops = F.filter(F.transform(modules, lambda m: F.substring_index(F.trim(m), ".", 1)), lambda m: (m != "") & ~m.isin(*K.STDLIB) & ~m.startswith("_"))
     known = F.create_map(*[F.lit(x) for kv in K.IMPORT_TO_DIST.items() for x in kv])
     python = F.transform(tops, lambda m: F.coalesce(F.try_element_at(known, m), F.lower(m)))
-    specs = F.regexp_extract_all(code, F.lit(_JS), 1)
+    specs = F.regexp_extract_all(code, F.lit(K.JS_IMPORT_PATTERN), 1)
     js = F.transform(specs, lambda s: F.lower(F.when(s.startswith("@"), F.substring_index(s, "/", 2)).otherwise(F.substring_index(s, "/", 1))))
     return first_each(F.concat(_pairs(python, "pypi"), _pairs(js, "npm")), lambda p: p)
 
 
 def _arguments(rest: Column) -> Column:
     """The package arguments of a command: they end at the first word that can't be one."""
-    words = F.filter(F.slice(F.filter(F.split(rest, r"\s+"), lambda w: w != ""), 1, MOST_ARGUMENTS), lambda w: ~w.startswith("-"))
+    words = F.filter(F.slice(F.filter(F.split(rest, r"\s+"), lambda w: w != ""), 1, K.MOST_INSTALL_ARGUMENTS), lambda w: ~w.startswith("-"))
     names = F.transform(words, lambda w: F.btrim(F.regexp_replace(F.lower(w), "(==|>=|~=).*$", ""), F.lit("\"'()[],")))
     bad = F.transform(names, lambda n: (n == "") | n.isin(*K.NOT_A_PACKAGE) | ~n.rlike(r"^[a-z@][\w.\-/]*(\[[\w,]+\])?$"))
     end = F.array_position(bad, True)
@@ -58,13 +51,13 @@ def installs(text: Column) -> Column:
     """Array of (name, registry) from install commands."""
     text = F.coalesce(text, F.lit(""))
     of = lambda pattern, registry: _pairs(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), 2), _arguments)), registry)
-    return F.concat(of(PIP, "pypi"), of(NPM, "npm"))
+    return F.concat(of(K.PIP_PATTERN, "pypi"), of(K.NPM_PATTERN, "npm"))
 
 
 def pins(text: Column) -> Column:
     """Array of (name, version) pinned inside install commands, the last of each name."""
     text = F.coalesce(text, F.lit(""))
-    rests = F.concat(*[F.regexp_extract_all(text, F.lit(p), 2) for p in (PIP, NPM)])
+    rests = F.concat(*[F.regexp_extract_all(text, F.lit(p), 2) for p in (K.PIP_PATTERN, K.NPM_PATTERN)])
     pin = r"(?<![\w.])([A-Za-z][\w.\-]*\s*==\s*\d[\w.]*)"
     found = F.flatten(F.transform(rests, lambda r: F.regexp_extract_all(r, F.lit(pin), 1)))
     parts = F.transform(found, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, "==", 1))).alias("name"), F.trim(F.substring_index(x, "==", -1)).alias("version")))
@@ -89,16 +82,11 @@ def model_vendor(name: Column) -> Column:
     return out
 
 
-NODE = r'"type"\s*:\s*"((?:@[\w./-]+/)?n8n-nodes[\w.-]*\.[\w.]+)"'
-BARE_NODE = r'(?<![\w.\-/"])((?:@[\w.\-]+/)?n8n-nodes[\w.\-]*\.[a-zA-Z][\w.]*)'
-PLACEHOLDER_NODES = "somenode yournode mynode examplenode nodename nodetype thenode anynode customnode test example".split()
-
-
 def node_mentions(text: Column) -> Column:
     """Node types named in text that isn't JSON: shaped like JSON first, then bare; placeholders dropped."""
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(F.regexp_extract_all(text, F.lit(NODE), 1), F.regexp_extract_all(text, F.lit(BARE_NODE), 1))
-    return F.array_distinct(F.filter(found, lambda t: ~F.lower(F.substring_index(t, ".", -1)).isin(*PLACEHOLDER_NODES)))
+    found = F.concat(F.regexp_extract_all(text, F.lit(K.NODE_PATTERN), 1), F.regexp_extract_all(text, F.lit(K.BARE_NODE_PATTERN), 1))
+    return F.array_distinct(F.filter(found, lambda t: ~F.lower(F.substring_index(t, ".", -1)).isin(*K.PLACEHOLDER_NODES)))
 
 
 def _walked_nodes(text: str | None) -> list[dict] | None:

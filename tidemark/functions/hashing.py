@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.functions import constants as K
+
 
 def short_id(*parts: Column, separator: str = "\x1f") -> Column:
     """The first 16 hex digits of the SHA-256 of joined parts; a null part counts as empty."""
@@ -36,8 +38,8 @@ def split_half(key: Column) -> Column:
     return F.when(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % 2 == 0, "learn").otherwise("score")
 
 
-_VOLATILE = re.compile(r"[0-9a-f]{16,}|\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?\b|\b\d{10,13}\b|nonce=[\w-]+|csrf[\w-]*=[\w-]+", re.I)
-_WORD = re.compile(r"[a-z][a-z'\-]{2,}")
+_VOLATILE = re.compile(K.VOLATILE_PATTERN, re.I)
+_WORD = re.compile(K.SKETCH_WORD_PATTERN)
 
 
 def simhash_of(text: str | None, shingle: int = 3) -> str:
@@ -59,7 +61,7 @@ def simhash(text: pd.Series) -> pd.Series:
 
 def simhash_native(text: Column, shingle: int = 3) -> Column:
     """The same sketch with xxhash64 for the hash, in built-in functions: bit votes of word shingles, as a long; null for too few words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z'\-]{2,}"), 0)
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(K.SKETCH_WORD_PATTERN), 0)
     n = F.size(words) - (shingle - 1)
     hashes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, shingle), " ")))
     bits = F.sequence(F.lit(0), F.lit(63))

@@ -60,10 +60,6 @@ def hits_near(text: Column, phrases: tuple[str, ...], terms: Column, near: int =
     return F.filter(strings(phrases), lambda p: F.exists(places(low, p), lambda x: F.exists(spots, lambda s: F.abs(x - s) <= near)))
 
 
-_MACHINE = r"""[{\[]\s*["“”]|["“”]\s*:\s*[\[{"“\d]|\\u00|\\/|=>|\bfunction\s*\(|;\s*\}|^\s*[-\d]+,\s*$"""
-_TITLE = r"[|•»›]|\s[–—]\s"
-
-
 def raw_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
@@ -73,14 +69,18 @@ def is_prose(s: Column) -> Column:
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     capitals = F.size(F.filter(words, lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}")))
     return (
-        ~s.rlike(_MACHINE) & ~s.rlike(_TITLE) & ((F.length(s) >= 90) | s.rlike(r"""[.!?]["')\]]?$""")) & ~s.endswith("?")
+        ~s.rlike(K.MACHINE_PATTERN) & ~s.rlike(K.TITLE_PATTERN) & ((F.length(s) >= 90) | s.rlike(r"""[.!?]["')\]]?$""")) & ~s.endswith("?")
         & (F.regexp_count(s, F.lit(r"[A-Za-z][a-z']+")) >= 5) & (capitals / F.greatest(F.size(words), F.lit(1)) <= 0.45)
         & s.rlike(r"[a-z]{3}[ ,][a-z]{2}")
     )
 
 
+def prose_of(pieces: Column, least: int = 20) -> Column:
+    return F.filter(pieces, lambda s: (F.length(s) >= least) & is_prose(s))
+
+
 def sentences(text: Column, least: int = 20) -> Column:
-    return F.filter(raw_sentences(text), lambda s: (F.length(s) >= least) & is_prose(s))
+    return prose_of(raw_sentences(text), least)
 
 
 def relevant(found: Column, keywords: tuple[str, ...], terms: Column, require_subject: Column, most: int = 300) -> Column:
@@ -91,12 +91,9 @@ def relevant(found: Column, keywords: tuple[str, ...], terms: Column, require_su
     return F.transform(F.filter(found, lambda s: on_topic(s) & on_subject(s)), lambda s: F.substring(s, 1, most))
 
 
-_SUCCESSOR = r"(?i:migrate to|move to|switch to|replaced by|superseded by|successor is|please use|we recommend|we suggest|use)\s+([A-Z][\w.+-]{2,30}(?:\s[A-Z][\w.+-]{2,20})?)"
-
-
 def successors(sentence: Column, own_names: Column) -> Column:
     """Names that a deprecation notice puts forward, without generic nouns and the subject's own names."""
-    found = F.transform(F.regexp_extract_all(sentence, F.lit(_SUCCESSOR), 1), lambda n: F.rtrim(F.trim(n), F.lit(".,;:!?)")))
+    found = F.transform(F.regexp_extract_all(sentence, F.lit(K.SUCCESSOR_PATTERN), 1), lambda n: F.rtrim(F.trim(n), F.lit(".,;:!?)")))
     low = F.transform(own_names, lambda t: F.lower(t))
     generic = strings(K.GENERIC)
     fine = lambda n: ~F.array_contains(generic, F.replace(F.lower(n), F.lit(" "), F.lit(""))) & ~F.exists(low, lambda t: F.contains(t, F.lower(n)) | F.contains(F.lower(n), t))
@@ -118,8 +115,8 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 def main_text(page: Column) -> Column:
     """Visible prose of a page: chrome dropped, block ends as line ends, tags stripped, references resolved, white space collapsed."""
-    body = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?is)<(script|style|noscript|nav|header|footer|aside|form|svg|template)\b[^>]*>.*?</\1>", "\n")
-    body = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|section|article|td|th|blockquote|pre|dd|dt|ul|ol|table)\s*>|<br\s*/?>|<hr\s*/?>", "\n")
+    body = F.regexp_replace(F.coalesce(page, F.lit("")), K.CHROME_PATTERN, "\n")
+    body = F.regexp_replace(body, K.BLOCK_END_PATTERN, "\n")
     body = unescaped(F.regexp_replace(body, "<[^>]+>", " "))
     lines = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t ]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")

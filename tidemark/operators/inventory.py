@@ -55,7 +55,7 @@ def node_mentions(records: DataFrame) -> DataFrame:
     """Workflow nodes: out of JSON at any depth, each with its own version, without any from other text."""
     named = records.filter(F.contains("body_text", F.lit("n8n-nodes")))
     named = named.withColumn("nodes", C.json_nodes(F.col("body_text")))
-    typed = F.filter("nodes", lambda n: ~F.lower(F.substring_index(n["type"], ".", -1)).isin(*C.PLACEHOLDER_NODES))
+    typed = F.filter("nodes", lambda n: ~F.lower(F.substring_index(n["type"], ".", -1)).isin(*K.PLACEHOLDER_NODES))
     bare = F.transform(C.node_mentions(F.col("body_text")), lambda t: F.struct(t.alias("type"), F.lit("").alias("version")))
     items = U.first_each(F.when(F.col("nodes").isNotNull(), F.concat(typed, F.filter(bare, lambda b: ~F.exists(typed, lambda t: t["type"] == b["type"])))).otherwise(bare), lambda x: x)
     return _found(named, items, "n8n_node", F.col("x.type"), F.lit("n8n_workflow"), F.array(F.lit("n8n.io"), F.lit("docs.n8n.io")), F.col("x.version"))
@@ -107,11 +107,12 @@ def tag_mentions(records: DataFrame, entries: DataFrame) -> tuple[DataFrame, Dat
 
 def built(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """dependencies, locations and tag candidates of records."""
+    records = staged(records)  # every extractor reads them
     first = staged(structured(records))
     entries = staged(entries_of(first))
     tags, candidates = tag_mentions(records, entries)
     mentions = first.unionByName(prose_mentions(records, entries)).unionByName(tags)
-    keyed = mentions.withColumn("dep_id", H.dep_id(F.col("kind"), T.norm(F.col("name"))))
+    keyed = staged(mentions.withColumn("dep_id", H.dep_id(F.col("kind"), T.norm(F.col("name")))))  # read for places, tiers and names
     locations = keyed.select("dep_id", "kind", "evidence_source", *_PLACE).dropDuplicates()
     tiers = locations.groupBy("dep_id").agg(score.watch_tier(F.col("evidence_source"), score.graded(F.col("object_type"))).alias("watch_tier"), F.count(F.lit(1)).alias("n_locations"))
     place = F.concat_ws("/", "course", "field_path", "name")

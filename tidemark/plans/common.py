@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in fewer parts than there are cores (one row group, say) is dealt out, for work that is heavy a row; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def evidence() -> Column:
     """Kind of evidence of a line item: a few of flag A run, the rest of them are visited, R is a passing mention, N a bare link."""
     flag = F.col("l_returnflag")

@@ -32,11 +32,6 @@ def part_tiers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiers(locations(spark, sf_dir))
 
 
-def part_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watch tiers as in part_tiers_all, without the imports of two thirds of the parts and the visited links of two fifths: the rows of its given SQL."""
-    return _tiers(locations(spark, sf_dir).filter("evidence_source <> 'solution_import' OR dep_id % 3 = 0").filter("evidence_source <> 'link:a_href' OR dep_id % 5 < 3"))
-
-
 def projection_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per supplier and course: reach, graded and executing counts, computed anew from the course's own locations."""
     rows = with_course(spark, sf_dir, locations(spark, sf_dir))
@@ -60,11 +55,6 @@ def projection_also_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elsewhere(with_course(spark, sf_dir, locations(spark, sf_dir)))
 
 
-def projection_also_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other courses as in projection_also_in_all, of locations in session 3 alone: the rows of its given SQL."""
-    return _elsewhere(with_course(spark, sf_dir, locations(spark, sf_dir)).filter("session_no = 3"))
-
-
 def severity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities as severities, moved by what the order is worth."""
     level = F.element_at(F.array(*[F.lit(s) for s in reversed(K.SEVERITIES)]), F.substring("o_orderpriority", 1, 1).cast("int"))
@@ -94,7 +84,7 @@ def evidence_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("course", *[F.col(k).alias(k.replace(":", "_")) for k in kinds])
 
 
-QUERIES = {f.__name__: f for f in (blast_radius_topk, part_tiers, part_tiers_all, projection_by_nation, projection_additivity, projection_also_in, projection_also_in_all, severity_ladder, earliest_affected, grouping_sets_rollup, evidence_mix)}
+QUERIES = {f.__name__: f for f in (blast_radius_topk, part_tiers_all, projection_by_nation, projection_additivity, projection_also_in_all, severity_ladder, earliest_affected, grouping_sets_rollup, evidence_mix)}
 
 _COURSE = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
 _RUNS = f"({EVIDENCE_SQL} = 'solution_import')"
@@ -111,10 +101,6 @@ t AS (SELECT *, CASE WHEN watch_tier = 'critical' AND blast_radius >= 8 THEN 'hi
       FROM s ORDER BY blast_radius DESC, supplier LIMIT 12)
 SELECT supplier, s_name AS name, n_name AS nation, blast_radius, watch_tier, n_locations, severity
 FROM t JOIN supplier ON supplier = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
-    "part_tiers": f"""
-WITH t AS (SELECT l_partkey, {TIER_SQL} AS watch_tier, count(*) AS n FROM lineitem
-           WHERE ({EVIDENCE_SQL} <> 'solution_import' OR l_partkey % 3 = 0) AND ({EVIDENCE_SQL} <> 'link:a_href' OR l_partkey % 5 < 3) GROUP BY 1)
-SELECT watch_tier, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n_locations FROM t GROUP BY 1""",
     "part_tiers_all": f"""
 WITH t AS (SELECT l_partkey, {TIER_SQL} AS watch_tier, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT watch_tier, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n_locations FROM t GROUP BY 1""",
@@ -123,9 +109,6 @@ SELECT watch_tier, count(*) AS parts, CAST(sum(n) AS BIGINT) AS n_locations FROM
 WITH p AS (SELECT l_suppkey AS s, n_name, sum({TENTHS_SQL}) AS t FROM {_COURSE} GROUP BY 1, 2), q AS (SELECT s, sum(t) AS parts FROM p GROUP BY 1),
 g AS (SELECT l_suppkey AS s, sum({TENTHS_SQL}) AS t FROM lineitem GROUP BY 1)
 SELECT count(*) FILTER (parts <> t) AS violations, count(*) AS suppliers FROM q JOIN g USING (s)""",
-    "projection_also_in": f"""
-WITH p AS (SELECT l_suppkey AS s, n_name AS c, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS r FROM {_COURSE} WHERE month(l_shipdate) = 3 GROUP BY 1, 2)
-SELECT a.s AS supplier, a.c AS course, count(*) AS others, CAST(sum(b.r) AS BIGINT) AS radius_elsewhere FROM p a JOIN p b ON a.s = b.s AND a.c <> b.c GROUP BY 1, 2""",
     "projection_also_in_all": f"""
 WITH p AS (SELECT l_suppkey AS s, n_name AS c, CAST(round_even(sum({TENTHS_SQL}) / 10.0, 0) AS BIGINT) AS r FROM {_COURSE} GROUP BY 1, 2)
 SELECT a.s AS supplier, a.c AS course, count(*) AS others, CAST(sum(b.r) AS BIGINT) AS radius_elsewhere FROM p a JOIN p b ON a.s = b.s AND a.c <> b.c GROUP BY 1, 2""",

@@ -15,7 +15,7 @@ from tidemark.functions import ladders as L
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import resolve, trust
-from tidemark.plans.common import table
+from tidemark.plans.common import spread, table
 from tidemark.sources.stages import staged
 
 
@@ -34,11 +34,6 @@ def host_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.col("n").desc(), "first").select("host", "n", "first")
 
 
-def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten of host_counts_all."""
-    return host_counts_all(spark, sf_dir).orderBy(F.col("n").desc(), "first").limit(10)
-
-
 #: A small authority list over the hosts of the test pages.
 _AUTHORITY = {"example.org": "CORROBORATING", "example.com": "LEAD_ONLY", "cheap-pills.example.com": "EXCLUDED", "m.example.net": "AUTHORITATIVE"}
 
@@ -110,8 +105,8 @@ def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pieces of each document read as sentences, and how many don't."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.raw_sentences(F.col("text")).alias("raw"), T.sentences(F.col("text")).alias("prose"))
-    return rows.select("doc_id", F.size("raw").cast("long").alias("pieces"), F.size("prose").cast("long").alias("prose"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.array(T.raw_sentences(F.col("text")))).alias("raw"))
+    return rows.select("doc_id", F.size("raw").cast("long").alias("pieces"), F.size(T.prose_of(F.col("raw"))).cast("long").alias("prose"))
 
 
 def sentence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +157,7 @@ def near_hashes(classes: DataFrame, together: int = _TOGETHER) -> DataFrame:
 def near_duplicate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the similarity hash of their prose: with 0 bits, each member of a class of equal hashes and the class's first document;
     with 1 to 8 bits, the first documents of every two classes that near to each other."""
-    rows = staged(table(spark, sf_dir, "documents").select("doc_id", H.simhash(F.col("text")).alias("h")).filter("h <> ''"))
+    rows = staged(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", H.simhash(F.col("text")).alias("h")).filter("h <> ''"))
     firsts = staged(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")))
     members = rows.join(firsts.withColumnRenamed("doc_id", "of"), "h").filter("doc_id <> of").select("doc_id", "of", F.lit(0).cast("long").alias("bits"))
     return members.unionByName(near_hashes(firsts))
@@ -249,19 +244,6 @@ def json_props_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", value.alias("k")).groupBy("event_type").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.count("k").alias("n"))
 
 
-def variant_recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every field of nested JSON made from events up to id 200, to depth 6, with its path, by a recursive query over variants; variant_walk_all takes all."""
-    rows = table(spark, sf_dir, "events").filter("event_id <= 200").selectExpr("event_id", "parse_json('{\"a\": {\"props\": ' || props || ', \"t\": \"' || event_type || '\"}, \"b\": [' || event_id || ', {\"v\": ' || round(value) || '}]}') AS doc")
-    rows.createOrReplaceTempView("tidemark_walk")
-    return spark.sql("""
-        WITH RECURSIVE walk(event_id, path, node, depth) AS (
-          SELECT event_id, '$', doc, 0 FROM tidemark_walk
-          UNION ALL
-          SELECT w.event_id, concat(w.path, CASE WHEN c.key IS NULL THEN concat('[', c.pos, ']') ELSE concat('.', c.key) END), c.value, w.depth + 1
-          FROM walk w, LATERAL variant_explode(w.node) AS c WHERE w.depth < 6)
-        SELECT path, count(*) AS n, max(depth) AS depth FROM walk GROUP BY path""").withColumn("depth", F.col("depth").cast("long"))
-
-
 @F.pandas_udf(ArrayType(StructType().add("path", StringType()).add("depth", LongType())))
 def json_paths(text: pd.Series) -> pd.Series:
     """Path and depth of every field and element of a JSON text, the root first; by a stack, so at any depth the parser takes."""
@@ -309,11 +291,6 @@ def shutdown_parse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", L.shutdown_date(form).cast("string").alias("date"))
 
 
-def shutdown_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders of shutdown_parse_all with keys under 2000."""
-    return shutdown_parse_all(spark, sf_dir).filter("o_orderkey < 2000")
-
-
 def ids_and_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of parts as dependencies and of a finding on each."""
     ident = H.dep_id(F.lit("package"), F.col("p_name"))
@@ -331,9 +308,9 @@ def inventory_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        host_registrable, host_counts, host_counts_all, host_suffix_classify, page_tiers, links_extract, main_text_title, main_text_len, image_link_census, phrase_hits, phrase_lost, phrase_proximity,
+        host_registrable, host_counts_all, host_suffix_classify, page_tiers, links_extract, main_text_title, main_text_len, image_link_census, phrase_hits, phrase_lost, phrase_proximity,
         sentences_prose, sentence_neighbours, exact_duplicate_groups, near_duplicate_simhash, simhash_builtin, row_set_hash, prose_alias_match, alias_resolve_priority, ambiguous_theta_match,
-        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_recursive_walk, variant_walk_all, fit_weighted_mean, sessions_groups, shutdown_parse, shutdown_parse_all, ids_and_prints, inventory_browse,
+        domain_entries, priority_first_catalogue, anti_semi_suite, scope_select, json_props_shred, variant_walk_all, fit_weighted_mean, sessions_groups, shutdown_parse_all, ids_and_prints, inventory_browse,
     )
 }
 
@@ -345,7 +322,6 @@ ORACLE_SQL = {
     "host_registrable": rf"""
 WITH p AS (SELECT page_id, url, {HOST_SQL} AS h FROM pages)
 SELECT page_id, h AS host, {OWNER_SQL} AS owner, CASE WHEN regexp_matches(url, '^(?i)https?:') THEN regexp_replace(regexp_replace(rtrim(trim(url), '.,;:!?)]}}''"*_'), '#.*$', ''), '\?$', '') ELSE '' END AS clean FROM p""",
-    "host_counts": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {HOST_SQL} AS host FROM pages) GROUP BY 1 ORDER BY n DESC, first LIMIT 10",
     "host_counts_all": f"SELECT host, count(*) AS n, min(page_id) AS first FROM (SELECT page_id, {HOST_SQL} AS host FROM pages) GROUP BY 1",
     "host_suffix_classify": f"""
 WITH p AS (SELECT page_id, {HOST_SQL} AS host FROM pages)
@@ -409,9 +385,6 @@ SELECT nation, count(*) FILTER (has) AS with_orders, count(*) FILTER (NOT has) A
 SELECT c_custkey AS dep_id, c_mktsegment AS kind, CASE WHEN c_acctbal > 5000 THEN 'critical' ELSE 'standard' END AS watch_tier FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name IN ('ASIA', 'EUROPE') AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE month(o_orderdate) IN (3, 4, 5))""",
     "json_props_shred": "SELECT event_type, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS total, max(CAST(props->>'k' AS BIGINT)) AS most, count(props->>'k') AS n FROM events GROUP BY 1",
-    "variant_recursive_walk": """
-WITH e AS (SELECT count(*) AS n FROM events WHERE event_id <= 200)
-SELECT p AS path, n, CAST(d AS BIGINT) AS depth FROM e, (VALUES ('$', 0), ('$.a', 1), ('$.b', 1), ('$.a.props', 2), ('$.a.t', 2), ('$.b[0]', 2), ('$.b[1]', 2), ('$.a.props.k', 3), ('$.b[1].v', 3)) v(p, d)""",
     "variant_walk_all": """
 WITH e AS (SELECT count(*) AS n FROM events)
 SELECT p AS path, n, CAST(d AS BIGINT) AS depth FROM e, (VALUES ('$', 0), ('$.a', 1), ('$.b', 1), ('$.a.props', 2), ('$.a.t', 2), ('$.b[0]', 2), ('$.b[1]', 2), ('$.a.props.k', 3), ('$.b[1].v', 3)) v(p, d)""",
@@ -424,8 +397,6 @@ SELECT vec_id, CASE WHEN ha AND 2 + hb::INT + hc::INT + he::INT >= 3 THEN CAST(r
   / (0.4 + CASE WHEN hb THEN 0.25 ELSE 0 END + CASE WHEN hc THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN he THEN 0.1 ELSE 0 END), 3) * 1000) AS BIGINT) END AS fit_thousandths FROM g""",
     "sessions_groups": """
 SELECT CASE WHEN turn < 6 THEN turn END AS session, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(DISTINCT conv_id) AS conversations, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY 1""",
-    "shutdown_parse": """
-SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 4 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 120 MONTH AS DATE) END AS VARCHAR) AS date FROM orders WHERE o_orderkey < 2000""",
     "shutdown_parse_all": """
 SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 4 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 120 MONTH AS DATE) END AS VARCHAR) AS date FROM orders""",
     "ids_and_prints": """
