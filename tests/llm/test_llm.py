@@ -671,3 +671,52 @@ def test_levels_lie_in_any_store(tmp_path):
     elsewhere.remove("one")
     with pytest.raises(FileNotFoundError):
         elsewhere.load("one")
+
+
+# --- op 8 by brute force ------------------------------------------------------------------------------------------------------------------
+
+
+def brute_statistics(text):
+    """The statistics of one text, counted byte by byte and word by word."""
+    raw = (text or "").encode()
+    words = [w.encode() for w in WORD.findall(text or "")]
+    stops = b".,'\"-"
+    symbol = lambda b: 33 <= b < 127 and not chr(b).isalnum() and b not in stops
+    upper, lower = (sum(a <= b <= z for b in raw) for a, z in ((65, 90), (97, 122)))
+    n, sizes = len(words), [len(w) for w in words]
+    mean = sum(sizes) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in sizes) / max(n, 1) - mean * mean, 0))
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.sqrt(upper / (upper + lower + 30)), math.sqrt(sum(map(symbol, raw)) / (len(raw) + 60)), math.sqrt(sum(b in stops for b in raw) / (len(raw) + 60)),
+        math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / (n + 6)), math.log1p(len(set(words))) / math.log1p(max(n, 1)), math.sqrt(raw.count(10) / (len(raw) + 60)), math.sqrt(sum(symbol(w[-1]) for w in words) / (n + 6)),
+    ]
+
+
+def brute_discriminant(x, train, label, shrink=0.1, ridge=0.02):
+    """Scores by densities of two normal laws, with determinants and inverses of the shrunken covariances themselves."""
+    own = {k: x[train][label[train] == k] for k in (0, 1)}
+    cov = {k: np.cov(v, rowvar=False, bias=True) for k, v in own.items()}
+    total = sum(map(len, own.values()))
+    pooled = sum(len(own[k]) * cov[k] for k in own) / total
+    pooled = (1 - ridge) * pooled + ridge * np.diag(np.diag(pooled) + 1e-3)
+    logs = []
+    for k in (0, 1):
+        s = max(shrink, 1 / (1 + len(own[k]) / (10 * x.shape[1])))
+        c, away = (1 - s) * cov[k] + s * pooled, x - own[k].mean(axis=0)
+        logs.append(math.log(len(own[k]) / total) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
+def test_quality_is_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    x = np.array([brute_statistics(t) for t in docs.text])
+    by = dict(zip(labels.doc_id, labels.quality))
+    label = np.array([by.get(i, -1) for i in docs.doc_id])
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in docs.doc_id])
+    want = dict(zip(docs.doc_id, brute_discriminant(x, ~held & (label >= 0), label)))
+    got = quality.op8_quality(spark, folder).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-7
+        assert r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
