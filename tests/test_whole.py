@@ -1,14 +1,12 @@
 """Whole jobs: results over all rows, against brute force or small cases."""
 
 import random
-import zlib
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
-from tidemark.llm import packing
 from tidemark.plans import impact, web
 
 SF = "/root/testdata/sf0.001"
@@ -83,12 +81,3 @@ def test_other_courses_come_from_all_sessions(spark, tmp_path):
     line_items(spark, tmp_path, [(1, 1, 7, "A", "O", 1.0, "2020-03-01"), (2, 1, 7, "A", "O", 50.0, "2020-05-01"), (3, 2, 7, "N", "O", 1.0, "2020-12-01"), (3, 2, 8, "N", "O", 1.0, "2020-03-01")])
     got = sorted(tuple(r[c] for c in ("supplier", "course", "others", "radius_elsewhere")) for r in impact.projection_also_in_all(spark, str(tmp_path)).collect())
     assert got == [(7, "N1", 2, 6), (7, "N2", 2, 3), (7, "N3", 2, 7)]
-
-
-def test_packed_pieces_carry_their_ids(spark):
-    docs = spark.createDataFrame([(i, f"number {i} " * (1 + 700 * (i % 5))) for i in range(12)] + [(12, None)], "doc_id long, text string")
-    key = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    rows = packing.pack(docs, with_ids=True).collect()
-    assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
-    assert sorted(tuple(r[c] for c in key) for r in rows) == sorted(map(tuple, packing.pack(docs).select(*key).collect()))
-    assert packing.digests(packing.pack(docs, with_ids=True)).columns == key
