@@ -4,16 +4,18 @@ The model interpolates trigrams, bigrams and add-one unigrams, each order with t
 counts are of all training tokens. The trie has a level an order, each a set of shards in the shared folder that tasks map into memory:
 
 * unigrams: sorted 64-bit word hashes; a word's place is its id. Its count.
-* bigrams and trigrams: one monotone Elias-Fano sequence of context id * V + word id, where a context is a word or a bigram's place. The
-  context part takes the place of the trie's pointers: the children of a context are the values from context id * V on, and the search for
-  a word is a successor search relative to it. Next to it lie the smoothed probabilities, quantised to one byte each with a code book a
-  shard, and the weight that each context leaves to the shorter ones.
+* bigrams and trigrams: a monotone Elias-Fano sequence of pointers, where each context (a word, or a bigram's place) has the place at which
+  its children end, and the children's words, packed in as many bits as ids take and sorted within their context. A look-up selects its
+  context's two pointers and searches the successor of its word between them. Next to the words lie the smoothed probabilities, quantised
+  to one byte each with a code book a shard, and next to the pointers the weight that each context leaves to the shorter ones.
 
-Counting leaves sorted, delta-coded blocks a shard, not a row an n-gram; a shard is a range of keys that holds about ``SHARD_TOKENS``
-tokens, cut within a context where that one alone is larger. Neither model nor counts ever come to the driver, and no task holds more
-than a shard or a block of text.
+Counting leaves sorted, delta-coded blocks a shard, not a row an n-gram, each n-gram with the probability of its shorter context in a
+byte (steps of a twentieth of log10), so that smoothing a shard looks nothing up elsewhere; a shard is a range of (context, word) that holds about
+``SHARD_TOKENS`` tokens, cut within a context where that one alone is larger. Keys within a block or shard are numbered from its own first
+context, so nothing overflows however many n-grams there are. Neither model nor counts ever come to the driver, and no task holds more
+than a shard or a block of text; of the mapped shards those used last stay open.
 
-The shared folder must be a path that executors can open (spark.checkpoint.dir on a mounted file system).
+Words are told apart by 64-bit hashes of their bytes: among a billion distinct words two share one in about three corpora of a hundred.
 
 Defined cases: a null or empty text is one end token; a null doc_id is not in fold 2 and so trains; repeated rows count each time; an
 empty table, or one without training rows, gives a model of no words (N = V = 0, every word unknown); other columns don't matter.
@@ -21,9 +23,7 @@ empty table, or one without training rows, gives a model of no words (N = V = 0,
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,9 @@ SHARD_TOKENS = 2_000_000
 #: Text whose n-grams are looked up together: fewer, larger look-ups in each shard.
 BLOCK_BYTES = 2 << 20
 #: N-grams that a counting task gathers before it counts them.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
+#: Steps of log10 a unit in which the shorter context's probability travels with a counted n-gram: 256 of them reach to 10 ** -12.75.
+STEPS = 20
 #: The hash that stands for the end token.
 END = np.uint64(0x45D9F3B3335B369D)
 
@@ -50,13 +52,6 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def local(path: str) -> str:
-    url = urlparse(path)
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"the trie is mapped into memory; {path} can't be opened as a path")
-    return url.path
-
-
 def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end after each text, and the texts' offsets among them."""
     raw = _text.lower_ascii(raw)
@@ -66,43 +61,89 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(len(offs))
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts, delta-coded in planes of bytes and compressed."""
+def pack(keys: np.ndarray, counts: np.ndarray, codes: np.ndarray | None = None) -> bytes:
+    """Sorted keys, their counts and codes, delta-coded in planes of bytes and compressed."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.vstack([steps, counts.astype("<u4").view(np.uint8).reshape(-1, 4).T])).tobytes())
+    codes = np.zeros(len(keys), dtype=np.uint8) if codes is None else codes
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.vstack([steps, counts.astype("<u4").view(np.uint8).reshape(-1, 4).T, codes])).tobytes())
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(12, -1)
-    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u4").ravel()
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(13, -1)
+    return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[8:12].T).view("<u4").ravel(), planes[12]
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    counts = np.concatenate([c for _, c in parts]).astype(np.int64)
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, counts, codes = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first), codes[order[first]]
+
+
+def first_at(context: np.ndarray, word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where in sorted (context, word) pairs each bound (context, word) falls."""
+    out = np.searchsorted(context, bounds[:, 0])
+    for i in np.flatnonzero(bounds[:, 1] > 0):  # a context that is cut
+        end = int(np.searchsorted(context, bounds[i, 0], side="right"))
+        out[i] += np.searchsorted(word[out[i] : end], bounds[i, 1])
+    return out
 
 
 class Counter:
-    """Counts keys in bounded memory and gives them out by shard."""
+    """Counts (context, word) pairs, words below size, in bounded memory and gives them out by shard, numbered from the shard's first context."""
+
+    def __init__(self, bounds: np.ndarray, size: int) -> None:
+        self.bounds, self.size, self.held, self.many = bounds, size, [], 0
+
+    def add(self, context: np.ndarray, word: np.ndarray, shorter: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """shorter: log10 of each word's probability after the shorter context, the same wherever a pair occurs."""
+        self.held.append((context, (word << 8) | np.clip(np.round(shorter * -STEPS), 0, 255).astype(np.int64)))
+        self.many += len(word)
+        if self.many > GATHERED:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.many:
+            return
+        distinct, place = sorted_distinct(np.concatenate([c for c, _ in self.held]))
+        keys = place * np.int64(self.size << 8)
+        at = 0
+        for _, w in self.held:
+            keys[at : at + len(w)] += w
+            at += len(w)
+        self.held, self.many = [], 0
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.diff(np.append(first, len(keys)))
+        codes = (keys & 255).astype(np.uint8)
+        context, word = np.divmod(keys >> 8, self.size)
+        context = distinct[context]
+        cuts = [0, *first_at(context, word, self.bounds).tolist(), len(keys)]
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                low = int(self.bounds[s - 1, 0]) if s else 0
+                block = pack(((context[a:b] - low) * self.size + word[a:b]).astype(np.uint64), counts[a:b], codes[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.binary())], ["shard", "block"])
+
+
+class WordCounter:
+    """Counts word hashes in bounded memory and gives them out by shard."""
 
     def __init__(self, bounds: np.ndarray) -> None:
-        self.bounds, self.held, self.size = bounds, [], 0
+        self.bounds, self.held, self.many = bounds, [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(keys)
-        self.size += len(keys)
-        if self.size > GATHERED:
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(hashes)
+        self.many += len(hashes)
+        if self.many > GATHERED:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
+        if not self.many:
             return
         keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
-        self.held, self.size = [], 0
+        self.held, self.many = [], 0
         cuts = [0, *np.searchsorted(keys, self.bounds), len(keys)]
         for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
@@ -117,27 +158,42 @@ def sorted_distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and each value's place among them; hashing first, since only the distinct ones are sorted."""
     codes, distinct = pd.factorize(values)
     order = np.argsort(distinct)
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return distinct[order], place[codes]
 
 
+class Places:
+    """What stands at each token: distinct ids, sorted, and each token's place among them (-1: none)."""
+
+    def __init__(self, ids: np.ndarray, at: np.ndarray) -> None:
+        self.ids, self.at = ids, at
+
+    @classmethod
+    def of(cls, ids: np.ndarray, back: np.ndarray) -> Places:
+        """From ids that rise but for -1s among them, and tokens' places in these."""
+        some = ids >= 0
+        return cls(ids[some], np.where(some, np.cumsum(some, dtype=np.int32) - 1, np.int32(-1))[back])
+
+    def before(self, starts: np.ndarray, first: int) -> Places:
+        """What stands before each token; before a text's first one, the id at place ``first``."""
+        at = np.empty_like(self.at)
+        at[1:] = self.at[:-1]
+        at[starts] = first
+        return Places(self.ids, at)
+
+
 class Vocabulary:
     """Ids and counts of words, from mapped shards by the hash's range."""
 
-    def __init__(self, folder: str, bounds: np.ndarray, bases: np.ndarray) -> None:
-        self.folder, self.bounds, self.bases, self.open = folder, bounds, bases, {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
+    def __init__(self, store: elias_fano.Store, bounds: np.ndarray, bases: np.ndarray) -> None:
+        self.store, self.bounds, self.bases = store, bounds, bases
 
     def shard(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self.open:
-            self.open[s] = elias_fano.load(self.folder, f"words-{s}", "keys", "counts")
-        return self.open[s]
+        return self.store.load(f"words-{s}")
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of hashes in any order."""
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, Places]:
+        """Ids (-1: unknown) and counts of hashes in any order, and their places."""
         distinct, back = sorted_distinct(hashes)
         ids = np.full(len(distinct), -1, dtype=np.int64)
         counts = np.zeros(len(distinct), dtype=np.int64)
@@ -150,7 +206,7 @@ class Vocabulary:
             hit = own["keys"][at] == distinct[a:b]
             ids[a:b] = np.where(hit, at + self.bases[s], -1)
             counts[a:b] = np.where(hit, own["counts"][at], 0)
-        return ids[back], counts[back]
+        return ids[back], counts[back], Places.of(ids, back)
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         shard = np.searchsorted(self.bases, ids, side="right") - 1
@@ -161,14 +217,6 @@ class Vocabulary:
         return out
 
 
-def contexts(ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
-    """What stands before each token: the one before it; before a text's first one, ``end``."""
-    before = np.empty(len(ids), dtype=np.int64)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = end
-    return before
-
-
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         raw, offs = _text.text_bytes(batch.column(batch.num_columns - 1))
@@ -205,18 +253,15 @@ def whole_counts(own: dict[str, np.ndarray], places: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The n-grams of one order over two: their keys, probabilities and contexts' weights, from mapped shards by the key's range."""
+    """The n-grams of one order over two: pointers, words, probabilities and contexts' weights, from mapped shards by range."""
 
-    def __init__(self, folder: str, order: int, size: int, bounds: np.ndarray) -> None:
-        self.folder, self.order, self.size, self.bounds, self.open = folder, order, size, bounds, {}
+    def __init__(self, store: elias_fano.Store, order: int, size: int, bounds: np.ndarray) -> None:
+        self.store, self.order, self.size, self.bounds = store, order, size, bounds
         self.shards = np.zeros(0, dtype=np.int64)  # those that hold anything, the ids before each, and their first contexts
         self.bases, self.firsts = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
-
-    def name(self, s: int) -> str:
-        return f"grams{self.order}-{s}"
+    def name(self, kind: str, s: int) -> str:
+        return f"{kind}{self.order}-{s}"
 
     def known(self, stats: list[dict]) -> None:
         stats = sorted(stats, key=lambda r: r["shard"])
@@ -224,30 +269,30 @@ class Level:
         self.bases = np.concatenate([[0], np.cumsum([r["grams"] for r in stats])]).astype(np.int64)
         self.firsts = np.array([r["first"] for r in stats], dtype=np.int64)
 
-    def part(self, s: int, *keys: str) -> dict[str, np.ndarray]:
-        held = self.open.setdefault(s, {})
-        if missing := [k for k in keys if k not in held]:
-            held |= elias_fano.load(self.folder, self.name(s), *missing)
-        return held
-
-    def find(self, keys: np.ndarray, probable: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) of sorted keys, and log10 of their probabilities if asked for (nan: none)."""
-        ids = np.full(len(keys), -1, dtype=np.int64)
-        prob = np.full(len(keys), np.nan)
-        cuts = np.concatenate([[0], np.searchsorted(keys, self.bounds), [len(keys)]])
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: none) of sorted distinct (context, word) pairs, and log10 of their probabilities."""
+        ids = np.full(len(word), -1, dtype=np.int64)
+        prob = np.zeros(len(word))
+        cuts = np.concatenate([[0], first_at(context, word, self.bounds), [len(word)]])
         for nth, s in enumerate(self.shards.tolist()):
             a, b = int(cuts[s]), int(cuts[s + 1])
             if a == b:
                 continue
-            own = self.part(s, "meta", "high", "zeros", "low", "lowest")
-            lowest, span = own["lowest"][0], np.uint64(own["meta"][2])
-            inside = np.flatnonzero((keys[a:b] >= lowest) & (keys[a:b] - lowest < span))
-            place = elias_fano.Sequence(own).find(keys[a:b][inside] - lowest)
-            hit = place >= 0
-            ids[a + inside[hit]] = place[hit] + self.bases[nth]
-            if probable:
-                own = self.part(s, "codes", "book")
-                prob[a + inside[hit]] = own["book"][own["codes"][place[hit]]]
+            own = self.store.load(self.name("index", s))
+            _, contexts, first, width = own["meta"].tolist()
+            a, b = a + int(np.searchsorted(context[a:b], first)), a + int(np.searchsorted(context[a:b], first + contexts))
+            if a == b:
+                continue
+            change = np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]])
+            at, many = context[a:b][change] - first, np.diff(np.append(np.flatnonzero(change), b - a))
+            pointers = elias_fano.Sequence(own, "pointer.")
+            start = np.where(at > 0, pointers.at(np.maximum(at - 1, 0)), np.uint64(0)).astype(np.int64)
+            end = pointers.at(at).astype(np.int64)
+            place = elias_fano.successor(own["words"], width, np.repeat(start, many), np.repeat(end, many), word[a:b].astype(np.uint64), self.size)
+            hit = np.flatnonzero(place >= 0)
+            ids[a + hit] = place[hit] + self.bases[nth]
+            own = self.store.load(self.name("values", s))
+            prob[a + hit] = own["book"][own["codes"][place[hit]]]
         return ids, prob
 
     def weights(self, contexts: np.ndarray) -> np.ndarray:
@@ -257,7 +302,7 @@ class Level:
         cuts = np.searchsorted(nth, np.arange(len(self.shards) + 1))
         for k in np.unique(nth[nth >= 0]).tolist():
             a, b = int(cuts[k]), int(cuts[k + 1])
-            own = self.part(int(self.shards[k]), "weights")["weights"]
+            own = self.store.load(self.name("values", int(self.shards[k])))["weights"]
             at = contexts[a:b] - self.firsts[k]
             there = at < len(own)
             out[a:b][there] = own[at[there]]
@@ -270,16 +315,8 @@ class Level:
                 break
             yield int(self.shards[k]), max(0, first - int(self.bases[k])), min(int(self.bases[k + 1]), last + 1) - int(self.bases[k])
 
-    def words_of(self, first: int, last: int) -> np.ndarray:
-        """The last words of the n-grams from id first to last."""
-        out = []
-        for s, a, b in self.pieces(first, last):
-            own = self.part(s, "meta", "high", "zeros", "low", "lowest")
-            out.append((elias_fano.Sequence(own).values()[a:b] + own["lowest"][0]) % np.uint64(self.size))
-        return np.concatenate(out).astype(np.int64)
-
     def counts_in(self, first: int, last: int) -> np.ndarray:
-        return np.concatenate([whole_counts(self.part(s, "counts", "over_at", "over"), np.arange(a, b)) for s, a, b in self.pieces(first, last)])
+        return np.concatenate([whole_counts(self.store.load(self.name("counts", s)), np.arange(a, b)) for s, a, b in self.pieces(first, last)])
 
 
 class Trie:
@@ -291,40 +328,36 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.total + self.size + 1)
 
-    def keys(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where a context is known, the sorted distinct keys there, and each place's among them; an unknown word is word 0, for its context's weight."""
-        some = np.flatnonzero(before >= 0)
-        distinct, back = sorted_distinct(before[some].astype(np.uint64) * np.uint64(self.size) + np.maximum(ids[some], 0).astype(np.uint64))
-        return some, distinct, back
-
-    def step(self, level: Level, before: np.ndarray, ids: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's n-gram (-1: none) and log10 of its probability: its own, or the context's weight times the shorter context's."""
-        some, distinct, back = self.keys(before, ids)
-        found, prob = level.find(distinct, True)
-        weight = level.weights((distinct // np.uint64(self.size)).astype(np.int64))
+    def step(self, level: Level, before: Places, ids: np.ndarray, shorter: np.ndarray) -> tuple[Places, np.ndarray]:
+        """Each token's n-gram and log10 of its probability: its own, or the context's weight times the shorter context's.
+
+        Where a context is known, an unknown word is looked up as word 0, for its context's weight alone.
+        """
+        some = np.flatnonzero(before.at >= 0)
+        pairs, back = sorted_distinct(before.at[some] * np.int64(self.size) + np.maximum(ids[some], 0))
+        nth, word = np.divmod(pairs, self.size)
+        found, prob = level.find(before.ids[nth], word)
+        weight = level.weights(before.ids)[nth]
         known = ids[some] >= 0
-        grams, out = np.full(len(ids), -1, dtype=np.int64), shorter.copy()
-        grams[some] = np.where(known, found[back], -1)
-        out[some] = np.where(known & ~np.isnan(prob[back]), prob[back], out[some] + weight[back])
-        return grams, out
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
-        """log10 of each token's probability. A longer context starts where the text has one."""
-        out, before = np.log10(self.unigram(counts)), contexts(ids, at, end)
+        grams, out = Places.of(found, back), shorter.copy()
+        at = np.full(len(ids), -1, dtype=np.int32)
+        at[some] = np.where(known, grams.at, np.int32(-1))
+        out[some] = np.where(known & (found >= 0)[back], prob[back], out[some] + weight[back])
+        return Places(grams.ids, at), out
+
+    def steps(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Places, np.ndarray]]:
+        """For each order from one on: ids and counts of tokens, the contexts that the next order has, log10 of each token's probability.
+
+        A longer context starts where the text has one; before the first word stands an end.
+        """
+        ids, counts, places = self.words.look_up(hashes)
+        out = np.log10(self.unigram(counts))
+        before = places.before(at[:-1], int(places.at[at[-1] - 1]) if len(at) > 1 else -1)
+        yield ids, counts, before, out
         for level in self.levels:
             grams, out = self.step(level, before, ids, out)
-            before = contexts(grams, at, -1)
-        return out
-
-    def last_contexts(self, ids: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
-        """The longest contexts that the levels so far give, for counting the next one."""
-        before = contexts(ids, at, end)
-        for level in self.levels:
-            some, distinct, back = self.keys(before, ids)
-            grams = np.full(len(ids), -1, dtype=np.int64)
-            grams[some] = np.where(ids[some] >= 0, level.find(distinct, False)[0][back], -1)
-            before = contexts(grams, at, -1)
-        return before
+            before = grams.before(at[:-1], -1)
+            yield ids, counts, before, out
 
 
 def like_parts(counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,9 +370,9 @@ def like_parts(counts: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def bounds_of(stats: list[dict], bases: dict[int, int], size: int) -> np.ndarray:
-    """The keys at which the next level's shards begin."""
-    cuts = ((bases[r["shard"]] + i) * size + int(f * size) for r in stats for i, f in zip(r["at"], r["inside"], strict=True))
-    return np.array(sorted({c for c in cuts if c}), dtype=np.uint64)
+    """The (context, word) pairs at which the next level's shards begin, after the first one."""
+    cuts = {(bases[r["shard"]] + i, int(f * size)) for r in stats for i, f in zip(r["at"], r["inside"], strict=True)}
+    return np.array(sorted(cuts - {(0, 0)}), dtype=np.int64).reshape(-1, 2)
 
 
 _CUTS = "at array<long>, inside array<double>"
@@ -350,11 +383,11 @@ def _cut_columns(counts: np.ndarray, tokens: int) -> list[pa.Array]:
     return [pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([inside.tolist()], pa.list_(pa.float64()))]
 
 
-def count_words(docs: DataFrame, bounds: np.ndarray, folder: str, shard_tokens: int) -> list[dict]:
+def count_words(docs: DataFrame, bounds: np.ndarray, store: elias_fano.Store, shard_tokens: int) -> list[dict]:
     """Writes the unigram shards; of each its number of words, of tokens, and the places that cut its contexts into like parts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(bounds)
+        counter = WordCounter(bounds)
         for _, hashes, _ in blocks_of(batches):
             yield from counter.add(hashes)
         yield from counter.flush()
@@ -362,8 +395,8 @@ def count_words(docs: DataFrame, bounds: np.ndarray, folder: str, shard_tokens:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "shard"):
             s = table["shard"][0].as_py()
-            keys, counts = merged([unpack(x) for x in table["block"].to_pylist()])
-            elias_fano.save(folder, f"words-{s}", {"keys": keys, "counts": counts})
+            keys, counts, _ = merged([unpack(x) for x in table["block"].to_pylist()])
+            store.save(f"words-{s}", {"keys": keys, "counts": counts})
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), *_cut_columns(counts, shard_tokens)], ["shard", "words", "tokens", "at", "inside"])
 
     out = shards(docs.select("text").mapInArrow(gather, "shard int, block binary"), len(bounds) + 1).mapInArrow(write, f"shard int, words long, tokens long, {_CUTS}")
@@ -378,21 +411,21 @@ def discounts(kinds: np.ndarray) -> np.ndarray:
     return np.clip(own, [0.1, 0.2, 0.3], [0.999, 1.9, 2.9])
 
 
-def trained(docs: DataFrame, folder: str, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Trie:
+def trained(docs: DataFrame, store: elias_fano.Store, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> Trie:
     """The trie of all texts of docs (column text), built in one shuffle of counted blocks a level."""
     pieces = min(4096, max(8, docs.rdd.getNumPartitions()))
     word_bounds = np.array([(i << 64) // pieces for i in range(1, pieces)], dtype=np.uint64)
-    stats = count_words(docs, word_bounds, folder, shard_tokens)
+    stats = count_words(docs, word_bounds, store, shard_tokens)
     bases = np.zeros(pieces + 1, dtype=np.int64)
     for r in stats:
         bases[r["shard"] + 1] = r["words"]
     bases = np.cumsum(bases)
-    trie = Trie(Vocabulary(folder, word_bounds, bases), sum(r["tokens"] for r in stats))
+    trie = Trie(Vocabulary(store, word_bounds, bases), sum(r["tokens"] for r in stats))
     if not trie.size:
         return trie
     starts = {r["shard"]: int(bases[r["shard"]]) for r in stats}
     for k in range(2, order + 1):
-        level = Level(folder, k, trie.size, bounds_of(stats, starts, trie.size))
+        level = Level(store, k, trie.size, bounds_of(stats, starts, trie.size))
         stats = count_grams(docs, trie, level, shard_tokens)
         level.known(stats)
         starts = dict(zip(level.shards.tolist(), level.bases.tolist(), strict=False))
@@ -401,34 +434,35 @@ def trained(docs: DataFrame, folder: str, order: int = ORDER, shard_tokens: int
             trie.levels.append(level)
     for level in trie.levels:  # counts have done their work
         for s in level.shards.tolist():
-            os.remove(f"{folder}/{level.name(s)}.counts.npy")
+            store.remove(level.name("counts", s))
     return trie
 
 
 def count_grams(docs: DataFrame, trie: Trie, level: Level, shard_tokens: int) -> list[dict]:
     """Writes a level's keys and counts; of each shard what the driver must know, a few numbers."""
-    size, bounds, words = trie.size, level.bounds, trie.words
+    size, bounds = trie.size, level.bounds
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(bounds)
-        end = int(words.look_up(np.array([END]))[0][0])
+        counter = Counter(bounds, size)
         for _, hashes, at in blocks_of(batches):
-            ids, _ = words.look_up(hashes)
-            before = trie.last_contexts(ids, at, end)
-            some = before >= 0
-            yield from counter.add(before[some].astype(np.uint64) * np.uint64(size) + ids[some].astype(np.uint64))
+            for ids, _, before, shorter in trie.steps(hashes, at):  # the last one counts
+                pass
+            some = before.at >= 0
+            yield from counter.add(before.ids[before.at[some]], ids[some], shorter[some])
         yield from counter.flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "shard"):
             s = table["shard"][0].as_py()
-            keys, counts = merged([unpack(x) for x in table["block"].to_pylist()])
-            lowest, span = keys[0], int(keys[-1] - keys[0]) + 1
-            arrays = elias_fano.encode(keys - lowest, span)
-            context = keys // np.uint64(size)
-            first = int(context[0])
-            arrays["meta"] = np.array([*arrays["meta"], span, first], dtype=np.int64)
-            elias_fano.save(level.folder, level.name(s), arrays | {"lowest": np.array([lowest])} | small_counts(counts))
+            keys, counts, codes = merged([unpack(x) for x in table["block"].to_pylist()])
+            context, word = np.divmod(keys.astype(np.int64), size)
+            context += int(bounds[s - 1, 0]) if s else 0
+            first, width = int(context[0]), max(1, (size - 1).bit_length())
+            ends = np.cumsum(np.bincount(context - first)).astype(np.uint64)
+            arrays = {f"pointer.{k}": v for k, v in elias_fano.encode(ends, len(keys) + 1).items()}
+            arrays |= {"meta": np.array([len(keys), len(ends), first, width], dtype=np.int64), "words": elias_fano.pack_low(word.astype(np.uint64), width)}
+            level.store.save(level.name("index", s), arrays)
+            level.store.save(level.name("counts", s), small_counts(counts) | {"shorter": codes})
             kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
             edges = [[v, *(int(((context == v) & m).sum()) for m in (counts == 1, counts == 2, counts > 2))] for v in sorted({first, int(context[-1])})]
             own = [pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([first], pa.int64()), pa.array([kinds], pa.list_(pa.int64())), pa.array([edges], pa.list_(pa.list_(pa.int64())))]
@@ -446,32 +480,26 @@ def smooth(spark: SparkSession, trie: Trie, level: Level, stats: list[dict]) ->
     for r in stats:
         for v, *kinds in r["edges"]:
             shared[v] = shared.get(v, np.zeros(3, dtype=np.int64)) + np.array(kinds)
-    size, words, below = trie.size, trie.words, trie.levels[-1] if trie.levels else None
+    words, below = trie.words, trie.levels[-1] if trie.levels else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                own = elias_fano.load(level.folder, level.name(s), "meta", "high", "zeros", "low", "lowest", "counts", "over_at", "over")
-                keys = elias_fano.Sequence(own).values() + own["lowest"][0]
-                counts = whole_counts(own, np.arange(len(keys)))
-                context, word = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
-                first, last = int(context[0]), int(context[-1])
+                own = level.store.load(level.name("index", s))
+                n, _, first, _ = own["meta"].tolist()
+                children = np.diff(elias_fano.Sequence(own, "pointer.").values().astype(np.int64), prepend=0)
+                context, last = _text.spread(children), first + len(children) - 1
+                own = level.store.load(level.name("counts", s))
+                counts = whole_counts(own, np.arange(n))
                 kind = np.minimum(counts, 3) - 1
-                many = np.bincount((context - first) * 3 + kind, minlength=3 * (last - first + 1)).reshape(-1, 3)
+                many = np.bincount(context * 3 + kind, minlength=3 * len(children)).reshape(-1, 3)
                 for v in (first, last):
                     many[v - first] = shared[v]
                 have = np.maximum(below.counts_in(first, last) if below else words.counts_of(np.arange(first, last + 1)), 1)
                 weight = np.clip(many @ taken / have, 1e-9, 1)
-                prob = np.empty(len(keys))
-                suffix = below.words_of(first, last) if below else None
-                for a in range(0, len(keys), 1 << 18):
-                    part = slice(a, a + (1 << 18))
-                    shorter = np.log10(trie.unigram(words.counts_of(word[part])))
-                    if below:
-                        shorter = trie.step(below, suffix[context[part] - first], word[part], shorter)[1]
-                    prob[part] = (counts[part] - taken[kind[part]]) / have[context[part] - first] + weight[context[part] - first] * 10**shorter
+                prob = (counts - taken[kind]) / have[context] + weight[context] * 10 ** (own["shorter"] / -STEPS)
                 codes, book = quantised(np.log10(prob))
-                elias_fano.save(level.folder, level.name(s), {"codes": codes, "book": book, "weights": np.log10(weight).astype(np.float32)})
+                level.store.save(level.name("values", s), {"codes": codes, "book": book, "weights": np.log10(weight).astype(np.float32)})
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], ["shard"])
 
     rows = spark.createDataFrame([(int(s),) for s in level.shards], "shard int").repartition(min(4096, max(1, len(level.shards))), "shard")
@@ -482,16 +510,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
-    folder = local(_text.shared_dir(docs.sparkSession))
-    trie = trained(rows.filter("not held_out").select("text"), folder, order, shard_tokens)
+    store = elias_fano.Store(_text.shared_dir(docs.sparkSession))
+    trie = trained(rows.filter("not held_out").select("text"), store, order, shard_tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = int(trie.words.look_up(np.array([END]))[0][0])
         for batch, hashes, at in blocks_of(batches):
-            ids, counts = trie.words.look_up(hashes)
-            base = np.add.reduceat(np.log10(trie.unigram(counts)), at[:-1])
-            own = np.add.reduceat(trie.log10(ids, counts, at, end), at[:-1])
-            known = np.add.reduceat((counts > 0).astype(np.int64), at[:-1])
+            base = known = None
+            for _, counts, _, last in trie.steps(hashes, at):
+                if base is None:
+                    base, known = np.add.reduceat(last, at[:-1]), np.add.reduceat((counts > 0).astype(np.int64), at[:-1])
+            own = np.add.reduceat(last, at[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(known), pa.array(np.full(len(base), trie.total)), pa.array(base), pa.array(own)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
