@@ -1,7 +1,13 @@
 """A corpus pipeline: reject poor documents, drop exact and near copies, mix sources to target weights, pack into sequences.
 
 Every stage works on all that its predecessor kept and is written as Parquet, in the folder that executors share, before the next reads
-it. All but the last return the columns of documents.
+it; what a stage wrote is deleted once the next one's result is written. All but the last return the columns of documents.
+
+Defined cases: a null text counts as empty in every stage; the classifier scores empty texts like others; of equal texts (empty ones
+too) the row with the smallest doc_id stays, null ids coming last, and of rows that are equal in both, one; texts without words are near
+copies of nothing; null sources are a source of their own; a document of no words is never taken by the mix, a source of no words gives
+none; extra columns are kept, whatever their names; without documents every stage gives none, and without labels of both classes the
+classifier keeps all.
 """
 
 from __future__ import annotations
@@ -44,6 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = _text.materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            _text.remove(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
