@@ -7,10 +7,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tidemark.session import local_session
 
     session = local_session(4, "4g", "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('checkpoints')}")
     yield session
     session.stop()
