@@ -729,3 +729,20 @@ def test_packed_pieces_carry_their_ids(spark):
     assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
     assert sorted(tuple(r[c] for c in key) for r in rows) == sorted(map(tuple, packing.pack(docs).select(*key).collect()))
     assert packing.digests(packing.pack(docs, with_ids=True)).columns == key
+
+
+def test_any_script_has_places_to_cut(count):
+    for text in ("漢字。かな、カナ" * 900, '{"a":1,"b":[2,3]};' * 400, "don't they're 12 3's 4th ²½ x² éa " * 200, "été-ñandú/straße_x1y2 " * 200, "a\r\n\r\n  b\t\tc " * 300):
+        parts = token_counts.leaves(text, 64)
+        assert len(parts) > 20 and "".join(parts) == text
+        assert sum(map(count, parts)) == count(text)
+
+
+def test_edits_of_a_long_text_touch_little(count):
+    text = "some words in a row; 漢字。" * 3000
+    tree = token_counts.TokenTree(text, count)
+    whole = tree.encoded
+    for i in range(200):
+        tree.edit(7 * i + i * 300, 7 * i + i * 300 + 3, "né")
+    assert tree.encoded - whole < 200 * 4 * token_counts.LEAF
+    assert tree.total == count(tree.text)

@@ -60,5 +60,54 @@ def test_stages(spark):
     assert collections.Counter(seen["packing"][seen["packing"].piece == 0].doc_id) == copies
 
 
+PLACED = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
 def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).agg(F.countDistinct("doc_id")).first()[0] > 0
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "packing":
+            docs = docs.checkpoint()
+    want = sorted(map(tuple, docs.select(*PLACED).collect()))
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, got.select(*PLACED).collect())) == want and len(want) > 100
+
+
+#: Names that operators use themselves.
+EXTRA = ["row", "id", "key", "size", "words", "copies", "sha", "root", "task", "part", "nth", "__id", "__sha", "__keep", "__key"]
+
+
+def corpus(spark, path, rows, labels):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({c: F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in EXTRA})
+    df.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return df
+
+
+def test_odd_rows_and_clashing_columns_go_through(spark, tmp_path):
+    prose = [" ".join(f"word{(i * 7 + k) % 50}" for k in range(60)) + "." for i in range(12)]
+    texts = [None, "", "  ", *prose, prose[0], prose[1] + " more", "漢字 " * 30, "x" * 30_000, None]
+    rows = [(i, t, None if i == 4 else "en", None if i % 5 == 0 else f"s{i % 2}", None) for i, t in enumerate(texts)] + [(3, prose[0], "en", "s1", 1), (None, "an id is missing here", "en", "s0", 1), (None, None, None, None, None)]
+    df = corpus(spark, tmp_path, rows, [(None, 1, 0), (5, None, 0)])  # nothing to learn from: all stay
+    kept = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path)).checkpoint()
+        assert kept.columns == df.columns
+        for r in kept.collect():
+            for c in EXTRA:
+                assert r[c] == f"{c} {'none' if r['doc_id'] is None else r['doc_id']}", (name, c)
+        if name == "exact_dedup":
+            ids = [r["doc_id"] for r in kept.collect()]
+            assert ids.count(0) == 1 and ids.count(3) == 1 and ids.count(None) == 1 and not {1, 15, 19} & set(ids)
+        if name == "ngram_join":
+            assert 16 not in [r["doc_id"] for r in kept.collect()]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert len(packed) and (packed.length <= 4096).all()
+
+
+def test_an_empty_table_gives_nothing(spark, tmp_path):
+    corpus(spark, tmp_path, [], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == [*PLACED, "sequence_id", "offset"]

@@ -1,26 +1,31 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document, of which an edit re-encodes a neighbourhood alone.
 
-A leaf is a run of whole pre-tokens of about ``LEAF`` characters. Leaves are cut before a space between two ASCII letters: the
-tokenizer's pre-tokens always end there, whatever comes before, and no merge crosses it, so the count of a text is the sum of its
-leaves' counts. Inner nodes hold sums of characters and tokens. An edit descends to the leaves that it touches, takes in a neighbour
-where it touches the letters that make a cut valid, cuts and encodes that stretch again, and updates the sums above it. A leaf that
-grows to many times its size has the tree built anew from the leaves, without encoding.
-
-An edit log holds (start, end, replacement) in characters of the text as it is when the edit's turn comes.
-
-Defined cases: a null text counts as empty and has no tokens; edits beyond the text are clamped to it; a text without a place to cut is
-one leaf; repeated rows and null doc_ids are counted like any other; an empty table gives an empty result; other columns don't matter.
+A leaf is a run of whole pre-tokens of about ``LEAF`` characters. Leaves are cut after a letter that no letter follows, or a number that no
+number follows: the tokenizer's pre-tokens always end there, whatever comes before, and no merge crosses it, so the count of a text is
+the sum of its leaves' counts. Inner nodes hold sums of characters and tokens. An edit descends to the leaves that it touches, takes in a
+neighbour where it touches the two characters that make a cut valid, cuts and encodes that stretch again, and updates the sums above it;
+the rest of the text is neither read nor copied. A leaf that grows to many times its size has the tree built anew from the leaves,
+without encoding.
+
+``indexed`` keeps the trees as two columns beside the texts; ``recounted`` starts from them. An edit log holds (start, end, replacement) in
+characters of the text as it is when the edit's turn comes.
+
+Defined cases: a null text counts as empty and has no tokens; edits beyond the text are clamped to it; a text without a place to cut (one
+run of letters, say) is one leaf; repeated rows and null doc_ids are counted like any other; an empty table gives an empty result; other
+columns don't matter.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +33,7 @@ from pyspark.sql import types as T
 from tidemark.llm import _text
 
 LEAF, GROWN = 512, 8
-CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+CUT = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})")
 Edit = tuple[int, int, str]
 
 
@@ -60,29 +65,35 @@ class TokenTree:
     """Counts of one text under edits."""
 
     def __init__(self, text: str, count: Callable[[str], int], leaf: int = LEAF) -> None:
-        self.text, self.count, self.leaf, self.encoded = text, count, leaf, len(text)
+        self.count, self.leaf, self.encoded = count, leaf, len(text)
         parts = leaves(text, leaf)
-        self.build([len(p) for p in parts], [count(p) for p in parts])
+        self.build(parts, [count(p) for p in parts])
 
     @classmethod
     def restored(cls, text: str, chars: list[int], tokens: list[int], count: Callable[[str], int], leaf: int = LEAF) -> TokenTree:
         """A tree from the leaves that ``indexed`` kept; nothing is encoded."""
         tree = cls.__new__(cls)
-        tree.text, tree.count, tree.leaf, tree.encoded = text, count, leaf, len(text)
-        tree.build(list(chars), list(tokens))
+        tree.count, tree.leaf, tree.encoded = count, leaf, len(text)
+        at = [0, *itertools.accumulate(chars)]
+        tree.build([text[a:b] for a, b in itertools.pairwise(at)], list(tokens))
         return tree
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
     def kept(self) -> tuple[list[int], list[int]]:
         """The characters and tokens of the leaves that aren't empty."""
         some = [i for i in range(self.slots, 2 * self.slots) if self.chars[i]] or [self.slots]
         return [self.chars[i] for i in some], [self.tokens[i] for i in some]
 
-    def build(self, chars: list[int], tokens: list[int]) -> None:
+    def build(self, parts: list[str], tokens: list[int]) -> None:
         self.slots = 1
-        while self.slots < len(chars):
+        while self.slots < len(parts):
             self.slots *= 2
-        pad = [0] * (self.slots - len(chars))
-        self.chars, self.tokens = [0] * self.slots + chars + pad, [0] * self.slots + tokens + pad
+        pad = self.slots - len(parts)
+        self.parts = [*parts, *[""] * pad]
+        self.chars, self.tokens = [0] * self.slots + list(map(len, self.parts)), [0] * self.slots + tokens + [0] * pad
         for i in range(self.slots - 1, 0, -1):
             self.pull(i)
 
@@ -106,7 +117,7 @@ class TokenTree:
         return i - self.slots, start
 
     def edit(self, start: int, end: int, new: str) -> None:
-        size = len(self.text)
+        size = self.chars[1]
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
         first, a = self.descend(start)
@@ -117,22 +128,21 @@ class TokenTree:
         while b < size and end > b - 1:
             last, b0 = self.descend(b)
             b = b0 + self.chars[self.slots + last]
-        self.text = self.text[:start] + new + self.text[end:]
-        stretch = self.text[a : b + len(self.text) - size]
+        stretch = "".join(self.parts[first : last + 1])
+        stretch = stretch[: start - a] + new + stretch[end - a :]
         self.encoded += len(stretch)
         parts = leaves(stretch, self.leaf)
-        chars, tokens = [len(p) for p in parts], [self.count(p) for p in parts]
+        tokens = [self.count(p) for p in parts]
         slots = last - first + 1
         if len(parts) > slots:
-            if sum(chars[slots - 1 :]) > GROWN * self.leaf:
-                old = slice(self.slots, 2 * self.slots)
-                self.build([*self.chars[old][:first], *chars, *self.chars[old][last + 1 :]], [*self.tokens[old][:first], *tokens, *self.tokens[old][last + 1 :]])
+            if sum(map(len, parts[slots - 1 :])) > GROWN * self.leaf:
+                self.build([*self.parts[:first], *parts, *self.parts[last + 1 :]], [*self.tokens[self.slots : self.slots + first], *tokens, *self.tokens[self.slots + last + 1 :]])
                 return
-            chars[slots - 1 :], tokens[slots - 1 :] = [sum(chars[slots - 1 :])], [sum(tokens[slots - 1 :])]
+            parts[slots - 1 :], tokens[slots - 1 :] = ["".join(parts[slots - 1 :])], [sum(tokens[slots - 1 :])]
         for k in range(slots):
-            i = self.slots + first + k
-            self.chars[i] = chars[k] if k < len(chars) else 0
-            self.tokens[i] = tokens[k] if k < len(tokens) else 0
+            i = first + k
+            self.parts[i] = parts[k] if k < len(parts) else ""
+            self.chars[self.slots + i], self.tokens[self.slots + i] = len(self.parts[i]), tokens[k] if k < len(tokens) else 0
         low, high = (self.slots + first) // 2, (self.slots + last) // 2
         while low:
             for i in range(low, high + 1):
@@ -191,7 +201,7 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
                 before = tree.total
                 for edit in log:
                     tree.edit(*edit)
-                out.append((before, tree.total, len(tree.text), len(log), tree.encoded - len(text)))
+                out.append((before, tree.total, tree.chars[1], len(log), tree.encoded - len(text)))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True))], [c.split()[0] for c in COUNTS.split(", ")])
 
@@ -199,7 +209,9 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recounted(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Trees of all documents, kept beside their texts; then edits that take personal data out, counted from the kept trees."""
+    trees = _text.materialise(indexed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    return recounted(trees, kept_trees=True)
 
 
 QUERIES = {"op6_token_counts": op6_token_counts}
