@@ -81,3 +81,22 @@ def test_other_courses_come_from_all_sessions(spark, tmp_path):
     line_items(spark, tmp_path, [(1, 1, 7, "A", "O", 1.0, "2020-03-01"), (2, 1, 7, "A", "O", 50.0, "2020-05-01"), (3, 2, 7, "N", "O", 1.0, "2020-12-01"), (3, 2, 8, "N", "O", 1.0, "2020-03-01")])
     got = sorted(tuple(r[c] for c in ("supplier", "course", "others", "radius_elsewhere")) for r in impact.projection_also_in_all(spark, str(tmp_path)).collect())
     assert got == [(7, "N1", 2, 6), (7, "N2", 2, 3), (7, "N3", 2, 7)]
+
+
+def test_builtin_sketch_is_a_vote_of_shingle_hashes(spark):
+    """The sketch of built-in functions against xxHash itself."""
+    import re
+
+    import xxhash
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") * rng.randrange(1, 5) + rng.choice(["", "-x", "'s"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", "Two Words", "Three whole words"]
+
+    def sketch(text):
+        words = re.findall(r"[a-z][a-z'\-]{2,}", (text or "").lower())
+        hashes = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(len(words) - 2)]
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        return (value - (1 << 64) if value >> 63 else value) if hashes else None
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(H.simhash_native(F.col("t")).alias("h"))
+    assert [r["h"] for r in rows.collect()] == [sketch(t) for t in texts]

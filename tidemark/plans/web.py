@@ -318,7 +318,40 @@ HOST_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u
 OWNER_SQL = "CASE WHEN regexp_matches(h, '^[0-9.]*$') THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END"
 _TITLE = r"substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 160)"
 
+_PIECES = r"list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
+_PROSE = (
+    rf"length(s) >= 20 AND NOT regexp_matches(s, '{K.MACHINE_PATTERN}') AND NOT regexp_matches(s, '{K.TITLE_PATTERN}')"
+    r""" AND (length(s) >= 90 OR regexp_matches(s, '[.!?]["'')\]]?$')) AND NOT ends_with(s, '?') AND len(regexp_extract_all(s, '[A-Za-z][a-z'']+')) >= 5 AND regexp_matches(s, '[a-z]{3}[ ,][a-z]{2}')"""
+    r" AND len(list_filter(string_split_regex(s, '\s+'), lambda w: regexp_matches(w, '^\p{Lu}'))) / greatest(len(list_filter(string_split_regex(s, '\s+'), lambda w: w <> '')), 1) <= 0.45"
+)
+
+
+def _without_chrome(tags: str) -> str:
+    out = "coalesce(html, '')"
+    for t in tags.split():
+        out = rf"regexp_replace({out}, '(?is)<{t}\b[^>]*>.*?</{t}>', chr(10), 'g')"
+    return out
+
+
+def _unescaped(text: str, **entities: int) -> str:
+    for name, code in entities.items():
+        text = f"replace({text}, '&{name};', chr({code}))"
+    return text
+
+
 ORACLE_SQL = {
+    "sentences_prose": f"WITH d AS (SELECT doc_id, {_PIECES} AS raw FROM documents) SELECT doc_id, len(raw) AS pieces, len(list_filter(raw, lambda s: {_PROSE})) AS prose FROM d",
+    "phrase_proximity": """
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE contains(lower(text), 'licens')), i AS (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS p FROM d),
+p AS (SELECT doc_id, p, w FROM i, (SELECT unnest(['license', 'licensed']) AS w) WHERE t[p : p + length(w) - 1] = w), s AS (SELECT doc_id, p FROM i WHERE t[p : p + 7] = 'released' OR t[p : p + 4] = 'under'),
+n AS (SELECT DISTINCT p.doc_id, w FROM p JOIN s ON p.doc_id = s.doc_id AND abs(p.p - s.p) <= 40)
+SELECT d.doc_id, coalesce(string_agg(w, ',' ORDER BY w), '') AS near FROM d LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY 1""",
+    "main_text_len": rf"""
+WITH a AS (SELECT page_id, {_without_chrome('script style noscript nav header footer aside form svg template')} AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(t, '{K.BLOCK_END_PATTERN}', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace({_unescaped('t', lt=60, gt=62, quot=34, nbsp=160, copy=169, middot=183)}, '&amp;?', '&', 'g') AS t FROM b),
+l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{{a0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM c)
+SELECT page_id, length(t) AS chars, len(string_split(t, chr(10))) AS lines FROM l""",
     "host_registrable": rf"""
 WITH p AS (SELECT page_id, url, {HOST_SQL} AS h FROM pages)
 SELECT page_id, h AS host, {OWNER_SQL} AS owner, CASE WHEN regexp_matches(url, '^(?i)https?:') THEN regexp_replace(regexp_replace(rtrim(trim(url), '.,;:!?)]}}''"*_'), '#.*$', ''), '\?$', '') ELSE '' END AS clean FROM p""",
