@@ -45,14 +45,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut and lost executors lose nothing.
+#: Bytes of a table below which a part of it isn't worth a task, a Python worker's start and a file of its own.
+PART_BYTES = 64 << 20
 
-    narrow: rows of a few numbers, which need no more files than two a core, however many partitions they come in.
-    """
+
+def compacted(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """df in no more parts than one for every PART_BYTES of ``like`` (of itself, if not given) or four a core, whichever is more. No shuffle."""
+    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(max(4 * max(2, df.sparkSession.sparkContext.defaultParallelism), -(-size // PART_BYTES)), 1 << 24))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Rows of a few numbers, which need no more parts than two a core, however many they come in. No shuffle."""
+    return df.coalesce(2 * max(4, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut and lost executors lose nothing. narrow: as ``few``."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    (df.coalesce(2 * max(4, spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
+    (few(df) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +78,21 @@ def remove(df: DataFrame | str, spark: SparkSession | None = None) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, deleted together once that is written."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def write(self, df: DataFrame, narrow: bool = True) -> DataFrame:
+        self.held.append(materialise(df, narrow))
+        return self.held[-1]
+
+    def clear(self) -> None:
+        while self.held:
+            remove(self.held.pop())
+
+
 #: A key is hot when it has more than this part of all rows; so fewer than this many keys are.
 HOT = 1024
 
@@ -76,14 +103,14 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], many: str = "n",
     A key with more than a 1024th of all rows would land in one task. There are fewer than 1024 of these at any input size, so they are
     collected and joined by broadcast, wherever their rows are; the other keys are shuffled. keyed is read three times: write it first.
     """
-    total = keyed.agg(F.sum(many)).first()[0] or 0
-    hot = F.col(many) * HOT > F.lit(total)
-    few = keyed.filter(hot & (F.col(many) > 1)).drop(many).collect()  # fewer than HOT rows
+    hot = (F.col(many) * HOT > keyed.agg(F.sum(many)).scalar()) & (F.col(many) > 1)
+    few = keyed.filter(hot).drop(many).collect()  # fewer than HOT rows
+    keyed = keyed.drop(many)
     if not few:
-        return rows.join(keyed.drop(many), on, how)
-    named = F.broadcast(rows.sparkSession.createDataFrame(few, keyed.drop(many).schema))
-    rest = keyed.filter(~(hot & (F.col(many) > 1))).drop(many)
-    return rows.join(named, on).unionByName(rows.join(named.select(*on), on, "left_anti").join(rest, on, how))
+        return rows.join(keyed, on, how)
+    named = F.broadcast(rows.sparkSession.createDataFrame(few, keyed.schema))
+    names = named.select(*on)
+    return rows.join(named, on).unionByName(rows.join(names, on, "left_anti").join(keyed.join(names, on, "left_anti"), on, how))
 
 
 def maybe_in(keys: DataFrame, most_bits: int = 1 << 26) -> Callable[[Column], Column]:

@@ -103,7 +103,7 @@ class Fingerprinter:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """doc_id, n_bytes, fp1, fp2, text_sha256 of each row, in one pass over the texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(chunk, primes)
@@ -152,7 +152,7 @@ def _same(a: DataFrame, b: DataFrame, names: tuple[str, ...]) -> F.Column:
     return out
 
 
-def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str, chunk: int) -> DataFrame:
+def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str, text_col: str, chunk: int, scratch: _text.Scratch) -> DataFrame:
     """fp key and text_sha256 of the rows that differ from the row that stays in their fingerprint's group: normally none.
 
     Only rows of groups with more than one member read their texts again. A group's members are dealt out over tasks, and the row that
@@ -160,7 +160,7 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str
     """
     many = groups.filter("n > 1").select(*KEY, F.col("keep.doc_id").alias("keep_id"), F.ceil(F.col("n") / MEMBERS_A_COPY).cast("int").alias("copies"), "n")
     flagged = _text.hot_join(prints, many, list(KEY)).select("doc_id", *KEY, "text_sha256", "copies", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper"))
-    flagged = _text.materialise(flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"]), narrow=True)
+    flagged = scratch.write(flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"]))
     copied = _text.maybe_in(flagged.select(F.xxhash64("doc_id")))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(copied(F.xxhash64("__id")))
     own = texts.join(flagged, texts["__id"].eqNullSafe(flagged["doc_id"])).filter(F.sha2(normalised(F.col("__text")).cast("binary"), 256) == F.col("text_sha256"))
@@ -178,18 +178,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("keep")
     rows, key = prints, list(KEY)
     groups = _text.materialise(rows.groupBy(*key).agg(keep, F.count(F.lit(1)).alias("n")), narrow=True)
-    apart = _text.materialise(differing(docs, prints, groups, id_col, text_col, chunk).withColumn("variant", F.col("text_sha256")))
+    scratch = _text.Scratch()
+    apart = _text.materialise(differing(docs, prints, groups, id_col, text_col, chunk, scratch).withColumn("variant", F.col("text_sha256")), narrow=True)
+    scratch.clear()
     if not apart.isEmpty():
         rows = prints.join(apart, [*KEY, "text_sha256"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
         key = [*KEY, "variant"]
         groups = _text.materialise(rows.groupBy(*key).agg(keep, F.count(F.lit(1)).alias("n")), narrow=True)
     joined = _text.hot_join(rows, groups.withColumn("group_size", F.col("n")), key)
-    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "n_bytes")
+    return _text.few(joined).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = _text.materialise(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
+    groups = _text.materialise(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), narrow=True)
     # a row whose doc_id no dropped row has stays as it is; only the others' texts are shuffled, to be told apart exactly
     dropped = _text.maybe_in(groups.filter("not kept").select(F.xxhash64("doc_id")))
     own = F.xxhash64(F.col(id_col).cast("long"))
@@ -197,7 +199,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.filter(dropped(own)).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("sha"))
     joined = rows.join(stays, rows["id"].eqNullSafe(stays["keep"]) & (rows["sha"] == stays["keep_sha"]))
     joined = joined.withColumn("nth", F.row_number().over(W.partitionBy("sha", "id").orderBy("sha"))).filter("nth = 1")
-    return docs.filter(~dropped(own)).unionByName(joined.select("row.*"))
+    return _text.compacted(docs.filter(~dropped(own)).unionByName(joined.select("row.*")), like=docs)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

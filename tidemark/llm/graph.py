@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import _text
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, scratch: _text.Scratch | None = None) -> DataFrame:
     """node, root: the smallest node of each node's component, for all nodes that an edge (a, b) touches. Edges that lead nowhere are ignored.
 
     A round never holds more edges than the last one. Minima are combined before they are shuffled, and a node that very many edges meet
-    is joined by broadcast (``_text.hot_join``), so no node's edges land in one task. Nothing but those few nodes is collected.
+    is joined by broadcast (``_text.hot_join``), so no node's edges land in one task. Nothing but those few nodes is collected. What the
+    result reads goes to scratch, if given.
     """
     now = _text.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
     n = F.count(F.lit(1)).alias("n")
@@ -26,13 +27,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = _text.hot_join(large, low, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = _text.materialise(small, narrow=True)
-        # done when every edge leads to a node that leads nowhere
-        chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        same = after.count() == after.select("u").distinct().count() and chained.isEmpty()
+        # done when no node has two edges and every edge leads to a node that leads nowhere
+        forked = after.groupBy("u").count().filter("count > 1").select("u")
+        chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        same = forked.unionByName(chained).isEmpty()
         for done in (now, least, large, low):
             _text.remove(done)
         now = after
         if same:
+            if scratch:
+                scratch.held.append(now)
             roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     raise RuntimeError("the components did not settle")

@@ -508,7 +508,7 @@ def smooth(spark: SparkSession, trie: Trie, level: Level, stats: list[dict]) ->
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
     store = elias_fano.Store(_text.shared_dir(docs.sparkSession))
     trie = trained(rows.filter("not held_out").select("text"), store, order, shard_tokens)

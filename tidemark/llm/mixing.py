@@ -114,7 +114,7 @@ NAMES = [x.split()[0] for x in NARROW.split(", ")]
 
 def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs."""
-    sized = _text.materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")))
+    sized = _text.materialise(_text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")))
     same = F.xxhash64("doc_id", "source", "size")
     again = _text.maybe_in(sized.groupBy(same.alias("key")).count().filter("count > 1").select("key"))
     targets = source_targets(sized, **shares).select(F.col("source").alias("s"), "source_no", "source_size", "members", "target")
@@ -137,7 +137,7 @@ def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int =
 
         return run
 
-    rows = _text.materialise(rows.withColumn("heavy", (F.col("size") > 0) & (F.col("size") * HEAVY >= F.col("source_size")) & (F.col("chance") > 0)))
+    rows = _text.materialise(rows.withColumn("heavy", (F.col("size") > 0) & (F.col("size") * HEAVY >= F.col("source_size")) & (F.col("chance") > 0)), narrow=True)
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
@@ -146,7 +146,7 @@ def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int =
         group["settled"], group["chance"], group["after"] = ~np.isnan(taken), np.where(np.isnan(taken), after, taken), after
         return group[[*NAMES, "after"]]
 
-    heavy = _text.materialise(rows.filter("heavy").drop("heavy").groupBy("source_no").applyInPandas(settle, NARROW + ", after double"))
+    heavy = _text.materialise(rows.filter("heavy").drop("heavy").groupBy("source_no").applyInPandas(settle, NARROW + ", after double"), narrow=True)
     after = heavy.groupBy("source_no").agg(F.max("after").alias("after"))
     light = rows.filter("not heavy").drop("heavy").join(after, "source_no", "left").withColumn("chance", F.coalesce("after", "chance")).select(*NAMES)
     rows = light.unionByName(heavy.filter("not settled").select(*NAMES))
@@ -161,12 +161,12 @@ def rounded(docs: DataFrame, seed: int = 7, fan_in: int = 64, block_rows: int =
         if root:
             done.append(out)
             break
-        out = _text.materialise(out)
+        out = _text.materialise(out, narrow=True)
         done.append(out.filter("settled"))
         left = out.filter("not settled").withColumn("block", F.expr(f"block div {fan_in}"))
         blocks, depth = -(-blocks // fan_in), depth + 1
     copies = F.col("whole") + F.col("chance").cast("long")
-    return reduce(DataFrame.unionByName, done).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return _text.few(reduce(DataFrame.unionByName, done)).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -180,7 +180,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     took = took.select(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("size").alias("words"), F.col("copies").cast("int").alias("copies")).withColumns(key)
     took = took.withColumn("which", nth).filter("copies > 0").select(*key, "which", "copies")
     both = rows.join(took, list(key)).filter(F.col("nth") - F.col("which") == 0)
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    return _text.compacted(both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*"), like=docs)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

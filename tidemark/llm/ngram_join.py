@@ -94,7 +94,7 @@ def signatures(grams: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, set_id (digest of the n-gram set; null without words), node (its first half), n_ngrams, bands (hashes that differ by band)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +115,11 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col
     return texts.mapInArrow(run, "doc_id long, text_key long, set_id binary, node long, n_ngrams long, bands array<long>")
 
 
-def shared_buckets(rows_signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(rows_signed: DataFrame, scratch: _text.Scratch) -> tuple[DataFrame, DataFrame]:
     """(key, node) of the rows in buckets of more than one node, and (key, least, n) of these buckets."""
     banded = rows_signed.filter("node is not null").select(F.explode("bands").alias("key"), "node")
     span = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n"))
-    buckets = _text.materialise(span.filter("least <> most").select("key", "least", "n"), narrow=True)
+    buckets = scratch.write(span.filter("least <> most").select("key", "least", "n"))
     shared = _text.maybe_in(buckets.select("key"))
     return banded.filter(shared(F.col("key"))), buckets
 
@@ -244,35 +244,35 @@ def verified(members: DataFrame, n: int, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "cid long, links long, root long")
 
 
-def tasks_of(members: DataFrame, banded: DataFrame, threshold: float, block_rows: int, block_grams: int) -> DataFrame:
+def tasks_of(members: DataFrame, banded: DataFrame, threshold: float, block_rows: int, block_grams: int, scratch: _text.Scratch) -> DataFrame:
     """cid, task, side, key from members (cid, node, root, n_ngrams) and their buckets (key, node): the tasks in which each class is verified."""
     step = F.floor(F.log(F.col("n_ngrams").cast("double")) / F.lit(-math.log(threshold)) + 1e-9).cast("int")
     sized = members.withColumn("step", step)
-    steps = _text.materialise(sized.groupBy("root", "step").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_ngrams").alias("grams")), narrow=True)
+    steps = scratch.write(sized.groupBy("root", "step").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_ngrams").alias("grams")))
     nearby = steps.select("root", F.explode(F.array("step", F.col("step") - 1)).alias("step"), F.col("rows").alias("r"))
     small = (F.col("rows") <= block_rows) & (F.col("grams") <= block_grams)
-    whole = _text.materialise(steps.groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).withColumn("easy", small), narrow=True)
+    whole = scratch.write(steps.groupBy("root").agg(F.sum("rows").alias("rows"), F.sum("grams").alias("grams")).withColumn("easy", small))
     easy = whole.filter("easy and rows > 1").select("root", F.col("rows").alias("n"))
     none = F.lit(None).cast("long").alias("key")
     text = lambda c: c.cast("string")
     out = _text.hot_join(sized, easy, ["root"]).select("cid", F.concat(F.lit("c/"), text(F.col("root"))).alias("task"), F.lit(0).alias("side"), none)
     hard = whole.filter("not easy").select("root", F.col("rows").alias("n"))
-    large = _text.materialise(_text.hot_join(sized, hard, ["root"]), narrow=True)
+    large = scratch.write(_text.hot_join(sized, hard, ["root"]))
     if large.isEmpty():
         return out
     # which way compares fewer pairs: steps that are within reach of each other, or buckets
     reach = nearby.groupBy("root", "step").agg(F.sum("r").alias("r")).join(steps.select("root", "step", "rows"), ["root", "step"]).groupBy("root").agg(F.sum(F.col("r").cast("double") * F.col("rows")).alias("by_step"))
-    held = _text.materialise(large.select("node", "cid", "root", "n_ngrams").join(banded, "node"), narrow=True)
-    filled = _text.materialise(held.groupBy("key").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_ngrams").alias("grams")).filter("n > 1"), narrow=True)
+    held = scratch.write(large.select("node", "cid", "root", "n_ngrams").join(banded, "node"))
+    filled = scratch.write(held.groupBy("key").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_ngrams").alias("grams")).filter("n > 1"))
     pairs = filled.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_bucket"))
-    loose = _text.materialise(hard.join(reach, "root").join(pairs, "root").filter("by_bucket < by_step").select("root", "n"), narrow=True)
+    loose = scratch.write(hard.join(reach, "root").join(pairs, "root").filter("by_bucket < by_step").select("root", "n"))
     # by step: a block meets the blocks of its own step and of the next one
     parts = F.ceil(F.greatest(F.col("rows") / (block_rows / 2), F.col("grams") / (block_grams / 2))).cast("int")
     tight = hard.join(loose, "root", "left_anti").select("root")
     blocks = steps.join(tight, "root").select("root", "step", "rows", parts.alias("parts"))
     after = blocks.select("root", (F.col("step") - 1).alias("step"), F.col("parts").alias("after"))
     before = blocks.select("root", (F.col("step") + 1).alias("step"), F.col("parts").alias("before"))
-    dealt = _text.materialise(blocks.join(after, ["root", "step"], "left").join(before, ["root", "step"], "left").na.fill(0, ["after", "before"]), narrow=True)
+    dealt = scratch.write(blocks.join(after, ["root", "step"], "left").join(before, ["root", "step"], "left").na.fill(0, ["after", "before"]))
     rows = _text.hot_join(large, dealt, ["root", "step"], "rows").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     own, step = F.col("own"), F.col("step")
     name = lambda step, a, b, kind: F.concat_ws("/", F.lit(kind), text(F.col("root")), text(step), text(a), text(b))
@@ -284,7 +284,7 @@ def tasks_of(members: DataFrame, banded: DataFrame, threshold: float, block_rows
     down = F.transform(upto(F.col("before")), lambda x: F.struct(name(step - 1, x, own, "up").alias("task"), F.lit(2).alias("side")))
     out = out.unionByName(rows.select("cid", F.explode(F.concat(within, up, down)).alias("t")).select("cid", "t.task", "t.side", none))
     # by bucket: a block meets all blocks of its bucket
-    blocks = _text.materialise(filled.join(loose.select("root"), "root", "left_semi").select("key", "n", F.when((F.col("n") <= block_rows) & (F.col("grams") <= block_grams), 1).otherwise(F.ceil(F.greatest(F.col("n") / (block_rows / 2), F.col("grams") / (block_grams / 2)))).cast("int").alias("parts")), narrow=True)
+    blocks = scratch.write(filled.join(loose.select("root"), "root", "left_semi").select("key", "n", F.when((F.col("n") <= block_rows) & (F.col("grams") <= block_grams), 1).otherwise(F.ceil(F.greatest(F.col("n") / (block_rows / 2), F.col("grams") / (block_grams / 2)))).cast("int").alias("parts")))
     rows = _text.hot_join(held.select("cid", "key"), blocks, ["key"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     bucket = lambda a, b: F.concat_ws("/", F.lit("b"), text(F.col("key")), text(a), text(b))
     met = F.transform(upto(F.col("parts")), lambda x: F.struct(bucket(F.least(own, x), F.greatest(own, x)).alias("task"), side(x)))
@@ -294,16 +294,17 @@ def tasks_of(members: DataFrame, banded: DataFrame, threshold: float, block_rows
 def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, band_rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """doc_id, text_key, root, class_id, rep_id, n_ngrams, n_links for every row of docs; root: a name of the class, null for texts without words."""
     bands, rows = banding(threshold, recall, band_rows)
+    scratch = _text.Scratch()
     signs = _text.materialise(signed(docs, n, bands, rows, id_col, text_col))
     narrow = signs.select("doc_id", "text_key", "set_id", "node", "n_ngrams")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     classes = narrow.filter("set_id is not null").groupBy("set_id").agg(F.min("node").alias("node"), F.min("n_ngrams").alias("n_ngrams"), F.count(F.lit(1)).alias("weight"), rep.alias("rep"))
     # numbers that are unique and stay, once written
-    classes = _text.materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "set_id", "node", "n_ngrams", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")), narrow=True)
-    banded, buckets = shared_buckets(signs)
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("cid"), "set_id", "node", "n_ngrams", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key")))
+    banded, buckets = shared_buckets(signs, scratch)
     ties = _text.hot_join(banded, buckets, ["key"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    members = _text.materialise(components(ties).join(classes.drop("set_id"), "node"), narrow=True)
-    tasks = _text.materialise(tasks_of(members.select("cid", "node", "root", "n_ngrams"), banded.distinct(), threshold, block_rows, block_grams), narrow=True)
+    members = scratch.write(components(ties, scratch=scratch).join(classes.drop("set_id"), "node"))
+    tasks = scratch.write(tasks_of(members.select("cid", "node", "root", "n_ngrams"), banded.distinct(), threshold, block_rows, block_grams, scratch))
     # one text a class; verifying reads texts, not sets: they shuffle at half the size
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     wanted = _text.maybe_in(members.select(F.xxhash64("rep_id", "rep_key")))
@@ -311,7 +312,7 @@ def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     found = texts.join(members, texts["id"].eqNullSafe(members["rep_id"]) & (texts["key"] == members["rep_key"]))
     found = found.withColumn("nth", F.row_number().over(W.partitionBy("id", "key", "cid").orderBy("cid"))).filter("nth = 1").select("cid", "weight", "text")
     dealt = tasks.join(found, "cid")
-    inside = _text.materialise(tasks.filter("key is not null").select("cid").distinct().join(classes.select("cid", "set_id"), "cid"), narrow=True)
+    inside = scratch.write(tasks.filter("key is not null").select("cid").distinct().join(classes.select("cid", "set_id"), "cid"))
     if inside.isEmpty():
         dealt = dealt.withColumn("bands", F.lit(None).cast("array<long>"))
     else:  # where tasks are buckets, band hashes go along
@@ -319,16 +320,17 @@ def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
         bands_of = signs.filter("set_id is not null").filter(mine(F.xxhash64("set_id"))).groupBy("set_id").agg(F.first("bands").alias("bands")).join(inside, "set_id").drop("set_id")
         dealt = dealt.join(bands_of, "cid", "left").withColumn("bands", F.when(F.col("key").isNotNull(), F.col("bands")))
     dealt = dealt.repartition("task").sortWithinPartitions("task", "cid")
-    links = _text.materialise(verified(dealt, n, threshold))
+    links = scratch.write(verified(dealt, n, threshold))
     sums = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    linked = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")
+    linked = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch=scratch).withColumnRenamed("node", "cid")
     known = classes.select("cid", "set_id", "rep_id", "weight").join(linked, "cid", "left").join(sums, "cid", "left")
-    known = _text.materialise(known.select("set_id", "rep_id", "weight", F.coalesce("root", "cid").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), narrow=True)
-    firsts = _text.materialise(known.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.count(F.lit(1)).alias("n")), narrow=True)
+    known = scratch.write(known.select("set_id", "rep_id", "weight", F.coalesce("root", "cid").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    firsts = scratch.write(known.groupBy("root").agg(F.min("rep_id").alias("class_id"), F.count(F.lit(1)).alias("n")))
     known = _text.materialise(_text.hot_join(known, firsts, ["root"]), narrow=True)
+    scratch.clear()
     worded = _text.hot_join(narrow.filter("set_id is not null"), known, ["set_id"], "weight").select("doc_id", "text_key", "root", "class_id", "rep_id", "n_ngrams", "n_links")
     alone = narrow.filter("set_id is null").select("doc_id", "text_key", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), "n_ngrams", F.lit(0).cast("long").alias("n_links"))
-    return worded.unionByName(alone)
+    return _text.few(worded.unionByName(alone))
 
 
 def near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -344,14 +346,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stays = _text.materialise(worded.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")), narrow=True)
     # rows of classes of their own stay as they are; only the others' texts are shuffled, to be told apart exactly
     shared = _text.hot_join(worded, stays.filter("n > 1").select("root", "n"), ["root"])
-    doubted = _text.maybe_in(_text.materialise(shared.select(F.xxhash64("doc_id", "text_key"))))
+    doubted = _text.maybe_in(_text.materialise(shared.select(F.xxhash64("doc_id", "text_key")), narrow=True))
     stays = stays.select(F.col("first.doc_id").alias("keep"), F.col("first.text_key").alias("keep_key")).filter(doubted(F.xxhash64("keep", "keep_key")))
     own = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col))
     wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     told = docs.filter(doubted(own) & ~wordless).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"))
     joined = told.join(stays, told["id"].eqNullSafe(stays["keep"]) & (told["key"] == stays["keep_key"]))
     joined = joined.withColumn("nth", F.row_number().over(W.partitionBy("id", "key").orderBy("key"))).filter("nth = 1")
-    return docs.filter(~doubted(own) | wordless).unionByName(joined.select("row.*"))
+    return _text.compacted(docs.filter(~doubted(own) | wordless).unionByName(joined.select("row.*")), like=docs)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

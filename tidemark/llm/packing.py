@@ -155,7 +155,7 @@ def numbered(lengths: np.ndarray, so_far: np.ndarray) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each piece of each row of docs, numbered (nth) among those of its length in its task (part); with_ids adds the ids as
     little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part_no = WordEncoder(tokenizer), TaskContext.get().partitionId()
@@ -365,7 +365,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         table = bases.toPandas().sort_values(["part", "length"])
         keys = (table["part"].to_numpy().astype(np.int64) << 20) + table["length"].to_numpy()
         shared = spark.sparkContext.broadcast((intervals, keys, table["base"].to_numpy()))
-        rows = cut
+        rows = _text.compacted(cut)
     else:
         shared = spark.sparkContext.broadcast((intervals, None, None))
         rows = cut.join(bases, ["length", "part"]).withColumn("nth", F.col("nth") + F.col("base")).select(*cut.columns)

@@ -71,7 +71,7 @@ def statistics(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the statistics of each whole text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = batch.column(1).flatten().to_numpy().reshape(-1, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    out = stats.mapInArrow(run, "doc_id long, score double")
+    out = _text.few(stats).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -172,7 +172,7 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             for a, b, part, own in _text.blocks(raw, offs):
                 yield batch.slice(a, b - a).filter(pa.array(model.score(statistics(part, own)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _text.compacted(docs).mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

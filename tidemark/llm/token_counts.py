@@ -173,7 +173,7 @@ def indexed(docs: DataFrame, ranks: str | None = None, text_col: str = "text") -
             lists = [pa.array([t[k] for t in trees], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "leaf_chars", "leaf_tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("leaf_chars", "leaf_tokens"))]))
+    return _text.compacted(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("leaf_chars", "leaf_tokens"))]))
 
 
 COUNTS = "doc_id long, tokens_before long, n_tokens long, n_chars long, n_edits int, encoded_again long"
@@ -188,7 +188,7 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
     _text.bound_batches(docs.sparkSession)
     given = [F.col(edits_col).alias("edits")] if edits_col else []
     logged = bool(given)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given, *(["leaf_chars", "leaf_tokens"] if kept_trees else []))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given, *(["leaf_chars", "leaf_tokens"] if kept_trees else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
