@@ -595,12 +595,17 @@ def percolating(seed=3, many=120, size=60):
 
 @pytest.mark.parametrize("rows", [2048, 24])
 def test_large_loose_components_are_verified_bucket_by_bucket(spark, monkeypatch, rows):
-    texts, seen, plain = percolating(), [], ngram_join.tasks_of
-    monkeypatch.setattr(ngram_join, "tasks_of", lambda *a: seen.append(plain(*a)) or seen[0])
+    texts, kinds, plain = percolating(), set(), ngram_join.tasks_of
+
+    def spied(*a):
+        out = plain(*a)
+        kinds.update(r["kind"] for r in out.select(F.substring("task", 1, 1).alias("kind")).distinct().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "tasks_of", spied)
     got = ngram_join.near_copies(frame(spark, texts), block_rows=rows).toPandas().set_index("doc_id")
     links = collections.Counter(i for p in brute_links(texts) for i in p)
     assert [got.n_links[i] for i in range(len(texts))] == [links[i] for i in range(len(texts))]
-    kinds = {r["kind"] for r in seen[0].select(F.substring("task", 1, 1).alias("kind")).distinct().collect()}
     assert kinds == {"c"} if rows > 2000 else "b" in kinds and "s" not in kinds
 
 
@@ -746,3 +751,33 @@ def test_edits_of_a_long_text_touch_little(count):
         tree.edit(7 * i + i * 300, 7 * i + i * 300 + 3, "né")
     assert tree.encoded - whole < 200 * 4 * token_counts.LEAF
     assert tree.total == count(tree.text)
+
+
+# --- near copies in number ----------------------------------------------------------------------------------------------------------------
+
+
+def test_a_cluster_of_twenty_thousand(spark):
+    """Rows of one text with a word of their own each: an edit changes at most 5 of 96 n-grams, so every two rows reach 86 of 106."""
+    base = [f"w{i}" for i in range(100)]
+    many = 20_000
+    rows = [(i, " ".join([*base[: i % 100], f"own{i}", *base[i % 100 + 1 :]])) for i in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = ngram_join.near_copies(docs).groupBy("class_id", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(0, many - 1, many)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, no two pairs alike: at most one in a thousand may be missed."""
+    rng = random.Random(11)
+    texts = []
+    while len(texts) < 4000:
+        own = [f"p{len(texts)}x{rng.randrange(10**6)}" for _ in range(rng.randrange(30, 200))]
+        other = list(own)
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(len(other))] = f"e{rng.randrange(10**9)}"
+        a, b = grams(" ".join(own)), grams(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.84:
+            texts += [" ".join(own), " ".join(other)]
+    got = ngram_join.near_copies(frame(spark, texts)).toPandas().set_index("doc_id")
+    found = sum(got.n_links[i] == 1 and got.class_id[i + 1] == i for i in range(0, len(texts), 2))
+    assert found >= 0.999 * len(texts) / 2
