@@ -12,6 +12,7 @@ from tidemark.operators import catalogue, evidence, inventory, observe, report,
 from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, table, with_course
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
+from tidemark.sources import snapshots, stages
 
 #: Customers that make one course: an export grows with them, so they are few.
 _COURSE = 50
@@ -305,15 +306,67 @@ def alias_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved(names, resolve.alias_index(entries)).select("s_suppkey", "entry_id")
 
 
+# --- artifacts ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all documents written as JSON lines and read back by their schema, by course and kind of evidence."""
+    path = stages.shared_path(spark)
+    _records(spark, sf_dir).write.json(path)
+    out = snapshots.records(spark, path)
+    return out.groupBy("course", "evidence_source").agg(F.count(F.lit(1)).alias("n"), F.sum("session_no").alias("sessions"), F.sum(F.length("body_text")).alias("chars"), F.count_if(F.col("pooled").isNotNull()).alias("pooled"))
+
+
+def latest_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact a year of orders by customer; then a partial refresh of the last one, which replaces what was examined and keeps the rest."""
+    path, k = stages.shared_path(spark), F.col("o_custkey")
+    orders = table(spark, sf_dir, "orders")
+    totals = orders.groupBy(F.year("o_orderdate").alias("y"), k.alias("dep_id")).agg(F.count(F.lit(1)).alias("n"))
+    years = [r["y"] for r in totals.select("y").distinct().orderBy("y").collect()]  # a handful
+    for y in years:
+        stages.write_artifact(totals.filter(F.col("y") == y).select("dep_id", "n"), path, f"{y}-12-31")
+    examined = orders.select(k.alias("dep_id")).distinct().filter("dep_id % 3 = 0")
+    stages.merged_artifact(spark, path, f"{years[-1] + 1}-01-31", examined.filter("dep_id % 6 = 0").select("dep_id", F.lit(-1).cast("long").alias("n")), examined)
+    return stages.latest_artifact(spark, path).select("dep_id", "n")
+
+
+def overlaid_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as declared courses and suppliers as an overlay, both from JSON lines: what clashes by slug or title, or can't be read, stays out."""
+    path, other = stages.shared_path(spark), stages.shared_path(spark)
+    nation, supplier, k = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    line = lambda slug, title: F.to_json(F.struct(slug.alias("slug"), title.alias("title"), F.array(title).alias("workbook_keys"))).alias("value")
+    nation.select(line(F.lower("n_name"), F.col("n_name"))).write.text(path)
+    title = F.when(k % 4 == 0, _text("nation_", k)).otherwise(F.col("s_name"))
+    supplier.select(F.when(k % 9 == 0, F.lit('{"slug": ')).otherwise(line(F.when(k % 5 == 0, _text("nation_", k)).otherwise(_text("s", k)), title)).alias("value")).write.text(other)
+    declared, _ = snapshots.roster(spark, path)
+    overlay, bad = snapshots.roster(spark, other)
+    both, clashing = snapshots.overlaid(declared, overlay)
+    count = lambda df, name: df.agg(F.lit(name).alias("outcome"), F.count(F.lit(1)).alias("n"))
+    return count(both, "courses").unionByName(count(clashing, "clashing")).unionByName(count(bad, "unreadable"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        exported_units, exported_records, exported_pools, exported_paths, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
+        stored_records, latest_artifacts, overlaid_roster, exported_units, exported_records, exported_pools, exported_paths, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
         corpus_inventory, corpus_locations, segment_tags, part_findings, part_findings_projected, part_keys, cited_domains, alias_priority,
     )
 }
 
 ORACLE_SQL = {
+    "stored_records": """
+WITH d AS (SELECT doc_id AS d, 'course ' || source AS course, doc_id % 4 AS k FROM documents),
+r AS (SELECT *, CASE k WHEN 0 THEN 'solution_code' WHEN 1 THEN 'markdown' WHEN 2 THEN 'solution_prose' ELSE 'question_tag' END AS evidence_source,
+  CASE k WHEN 0 THEN 'import os, lib' || (d % 13) || chr(10) || 'from sklearn.svm import SVC' || chr(10) || 'const x = require(''@scope/kit' || (d % 3) || '/deep'');'
+    WHEN 1 THEN 'See <a class="x" href="https://www.tool' || (d % 17) || '.io/p#a">it</a>, https://arxiv.org/abs/' || d || ' and https://cdn.tool1.io/a.png; call gpt-' || (d % 5 + 3) || '-mini.' || chr(10) || '$ pip install pin' || (d % 6) || '==1.' || (d % 6) || chr(10)
+    WHEN 2 THEN 'We like Tool' || (d % 17) || ' here, not Tool' || (d % 17) || '-x.' ELSE CASE WHEN d % 8 = 3 THEN 'Tool' || (d % 17) ELSE 'machine_made_' || d END END AS body FROM d)
+SELECT course, evidence_source, count(*) AS n, CAST(sum(d % 20) AS BIGINT) AS sessions, CAST(sum(length(body)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS pooled FROM r GROUP BY 1, 2""",
+    "latest_artifacts": """
+WITH l AS (SELECT max(year(o_orderdate)) AS y FROM orders), t AS (SELECT o_custkey AS dep_id, count(*) AS n FROM orders, l WHERE year(o_orderdate) = y GROUP BY 1)
+SELECT dep_id, n FROM t WHERE dep_id % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, CAST(-1 AS BIGINT) FROM orders WHERE o_custkey % 6 = 0""",
+    "overlaid_roster": """
+WITH n AS (SELECT lower(n_name) AS t FROM nation), s AS (SELECT s_suppkey % 9 = 0 AS bad, CASE WHEN s_suppkey % 5 = 0 THEN 'nation_' || s_suppkey ELSE 's' || s_suppkey END IN (FROM n) OR CASE WHEN s_suppkey % 4 = 0 THEN 'nation_' || s_suppkey ELSE lower(s_name) END IN (FROM n) AS clash FROM supplier)
+SELECT 'courses' AS outcome, (SELECT count(*) FROM nation) + count(*) FILTER (NOT bad AND NOT clash) AS n FROM s UNION ALL SELECT 'clashing', count(*) FILTER (NOT bad AND clash) FROM s UNION ALL SELECT 'unreadable', count(*) FILTER (bad) FROM s""",
     "exported_units": f"WITH {_UNITS} SELECT course, unit_id, CASE WHEN k % 4 <> 0 THEN name WHEN k % 3 = 1 THEN 'Module Quiz' ELSE '(unnamed unit)' END AS unit_name, is_session, running_no, base FROM p",
     "exported_records": f"WITH {_UNITS} SELECT course, unit_id, CAST(CASE WHEN k % 7 = 0 THEN k % 100 WHEN running_no > 0 THEN running_no END AS BIGINT) AS session_no, content_id, evidence_source, field_path, pooled, body_text FROM t",
     "exported_pools": f"""WITH {_UNITS}, r AS (SELECT DISTINCT k FROM t WHERE pooled)

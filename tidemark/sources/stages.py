@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, and read back; no executor's loss costs what came before."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:///tmp/tidemark-stages"
-    path = f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share, and read back; no executor's loss costs what came before."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_artifact(df: DataFrame, path: str, day: str) -> None:
