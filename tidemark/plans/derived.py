@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import hashing as H
 from tidemark.functions import text as T
-from tidemark.operators import catalogue, evidence, inventory, observe, report, resolve, score, shred, upstream
+from tidemark.operators import catalogue, evidence, history, inventory, observe, report, resolve, score, shred, upstream
 from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, table, with_course
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
@@ -306,6 +307,43 @@ def alias_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved(names, resolve.alias_index(entries)).select("s_suppkey", "entry_id")
 
 
+# --- research: probes and pages to claims, claims to findings, findings to the gate ----------------------------------------------------------
+
+
+def _pages_of_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as vendors with a domain of their own, and a snapshot of what their sites served."""
+    supplier, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    none = F.lit(None).cast("string")
+    domain = _text("org", k, ".io")
+    subject = F.struct(F.array(domain).alias("official_domains"), _text("https://docs.org", k, ".io").alias("docs_url"), _text("https://org", k, ".io").alias("homepage"), F.lit("").alias("changelog_url"), F.lit("").alias("pricing_url"), none.alias("status_url"))
+    subjects = supplier.select(k.cast("string").alias("dep_id"), _text("Org ", k).alias("name"), F.array().cast("array<string>").alias("aliases"), subject.alias("subject"))
+    page = lambda path, status, body: F.struct(_text("https://", domain, path).alias("url"), F.lit(status).alias("status"), body.alias("body"))
+    prices = F.lit("<nav>Menu</nav><p>Prices</p><p>The free tier allows twenty requests per minute for every account that is in good standing with us.</p>")
+    ends = _text("<p>The Org ", k, " classic console has been deprecated and will stop working for everyone at the end of this year.</p>")
+    pages = F.array_compact(F.array(F.when(k % 3 == 0, page("/pricing", 200, prices)), F.when(k % 3 == 1, page("/pricing", 404, prices)), F.when(k % 4 == 0, page("/deprecations", 200, ends)), F.when(k % 4 == 1, page("/deprecations", 200, F.lit("<p>Another thing has been deprecated and will stop working for everyone at the end of this year.</p>")))))
+    return subjects, supplier.select(F.explode(pages).alias("p")).select("p.*")
+
+
+def supplier_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims lifted from all suppliers' own pages, as far as the gate lets them exist."""
+    subjects, fetches = _pages_of_suppliers(spark, sf_dir)
+    return evidence.gathered(subjects, ["deprecation", "pricing"], fetches)[0].select("dep_id", "kind", "statement", "source_url", "quote", "tier", "substantiates")
+
+
+def supplier_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole round over all suppliers: pages to claims, claims to findings, and the gate, where a rejection holds while its evidence does."""
+    subjects, fetches = _pages_of_suppliers(spark, sf_dir)
+    claims = evidence.gathered(subjects, ["deprecation", "pricing"], fetches)[0].select("dep_id", "kind", "quote", "source_url", "substantiates")
+    places = locations(spark, sf_dir).withColumn("dep_id", F.col("supplier").cast("string")).drop("kind")
+    tiers = places.groupBy("dep_id").agg(score.watch_tier(F.col("evidence_source"), score.graded(F.col("object_type"))).alias("watch_tier"))
+    deps = subjects.select("dep_id", F.lit("service").alias("kind"), F.col("name").alias("canonical_name")).join(tiers, "dep_id")
+    probes = spark.createDataFrame([], "dep_id string, status string, signals array<string>")
+    found = score.findings(deps, places, probes, claims).withColumn("fingerprint", H.evidence_fingerprint(F.col("signal"), F.col("evidence_urls"), F.col("probe_signals")))
+    k = F.col("dep_id").cast("long")
+    decided = found.filter(k % 8 == 0).select(k.alias("id"), "finding_id", F.lit("rejected").alias("verdict"), F.when(k % 16 == 0, F.col("fingerprint")).otherwise("another").alias("fingerprint"))
+    return history.suppressed(found, decided).select("dep_id", "signal", "severity", F.array_join("evidence_urls", ",").alias("evidence"), F.when(F.col("held"), "held").otherwise("awaits review").alias("state"))
+
+
 # --- artifacts ---------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -348,12 +386,20 @@ def overlaid_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stored_records, latest_artifacts, overlaid_roster, exported_units, exported_records, exported_pools, exported_paths, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
+        stored_records, latest_artifacts, overlaid_roster, supplier_claims, supplier_review, exported_units, exported_records, exported_pools, exported_paths, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
         corpus_inventory, corpus_locations, segment_tags, part_findings, part_findings_projected, part_keys, cited_domains, alias_priority,
     )
 }
 
 ORACLE_SQL = {
+    "supplier_claims": """
+SELECT CAST(s_suppkey AS VARCHAR) AS dep_id, 'pricing' AS kind, 'Org ' || s_suppkey || ': its own pricing page describes plan or quota limits' AS statement, 'https://org' || s_suppkey || '.io/pricing' AS source_url,
+  'The free tier allows twenty requests per minute for every account that is in good standing with us.' AS quote, 'AUTHORITATIVE' AS tier, true AS substantiates FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'deprecation', 'Org ' || s_suppkey || ': its own documentation uses deprecation language', 'https://org' || s_suppkey || '.io/deprecations',
+  'The Org ' || s_suppkey || ' classic console has been deprecated and will stop working for everyone at the end of this year.', 'AUTHORITATIVE', true FROM supplier WHERE s_suppkey % 4 = 0""",
+    "supplier_review": f"""
+WITH d AS (SELECT l_suppkey AS k, {TIER_SQL} AS watch_tier, {_RADIUS} AS radius, 4 AS base FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1), n AS (SELECT ['info', 'low', 'medium', 'high', 'critical'] AS l)
+SELECT CAST(k AS VARCHAR) AS dep_id, 'S4' AS signal, l[{_RANK}] AS severity, 'https://org' || k || '.io/deprecations' AS evidence, CASE WHEN k % 16 = 0 THEN 'held' ELSE 'awaits review' END AS state FROM d, n WHERE k % 4 = 0""",
     "stored_records": """
 WITH d AS (SELECT doc_id AS d, 'course ' || source AS course, doc_id % 4 AS k FROM documents),
 r AS (SELECT *, CASE k WHEN 0 THEN 'solution_code' WHEN 1 THEN 'markdown' WHEN 2 THEN 'solution_prose' ELSE 'question_tag' END AS evidence_source,
