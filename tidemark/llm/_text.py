@@ -50,9 +50,9 @@ PART_BYTES = 64 << 20
 
 
 def compacted(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """df in no more parts than one for every PART_BYTES of ``like`` (of itself, if not given) or four a core, whichever is more. No shuffle."""
+    """df in no more parts than one for every PART_BYTES of ``like`` (of itself, if not given) or six a core, whichever is more. No shuffle."""
     size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.coalesce(min(max(4 * max(2, df.sparkSession.sparkContext.defaultParallelism), -(-size // PART_BYTES)), 1 << 24))
+    return df.coalesce(min(max(6 * max(2, df.sparkSession.sparkContext.defaultParallelism), -(-size // PART_BYTES)), 1 << 24))
 
 
 def few(df: DataFrame) -> DataFrame:
