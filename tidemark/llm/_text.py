@@ -55,6 +55,13 @@ def compacted(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     return df.coalesce(min(max(6 * max(2, df.sparkSession.sparkContext.defaultParallelism), -(-size // PART_BYTES)), 1 << 24))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; one that is scanned in fewer parts than there are cores (one row group, say) is dealt out, for work that is heavy a row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def few(df: DataFrame) -> DataFrame:
     """Rows of a few numbers, which need no more parts than two a core, however many they come in. No shuffle."""
     return df.coalesce(2 * max(4, df.sparkSession.sparkContext.defaultParallelism))

@@ -203,7 +203,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_groups(_text.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op3_exact_dedup": op3_exact_dedup}

@@ -18,6 +18,14 @@ def components(edges: DataFrame, most_rounds: int = 60, scratch: _text.Scratch |
     now = _text.materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
     n = F.count(F.lit(1)).alias("n")
     for _ in range(most_rounds):
+        # done when no node has two edges and every edge leads to a node that leads nowhere
+        forked = now.groupBy("u").count().filter("count > 1").select("u")
+        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        if forked.unionByName(chained).isEmpty():
+            if scratch:
+                scratch.held.append(now)
+            roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _text.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n), narrow=True)
         # large star: larger neighbours go to the smallest one
@@ -27,16 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 60, scratch: _text.Scratch |
         joined = _text.hot_join(large, low, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = _text.materialise(small, narrow=True)
-        # done when no node has two edges and every edge leads to a node that leads nowhere
-        forked = after.groupBy("u").count().filter("count > 1").select("u")
-        chained = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
-        same = forked.unionByName(chained).isEmpty()
         for done in (now, least, large, low):
             _text.remove(done)
         now = after
-        if same:
-            if scratch:
-                scratch.held.append(now)
-            roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
     raise RuntimeError("the components did not settle")

@@ -526,7 +526,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored(_text.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op9_lm_scoring": op9_lm_scoring}

@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return rounded(_text.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES = {"op5_mixing": op5_mixing}

@@ -257,9 +257,9 @@ def tasks_of(members: DataFrame, banded: DataFrame, threshold: float, block_rows
     text = lambda c: c.cast("string")
     out = _text.hot_join(sized, easy, ["root"]).select("cid", F.concat(F.lit("c/"), text(F.col("root"))).alias("task"), F.lit(0).alias("side"), none)
     hard = whole.filter("not easy").select("root", F.col("rows").alias("n"))
-    large = scratch.write(_text.hot_join(sized, hard, ["root"]))
-    if large.isEmpty():
+    if hard.isEmpty():
         return out
+    large = scratch.write(_text.hot_join(sized, hard, ["root"]))
     # which way compares fewer pairs: steps that are within reach of each other, or buckets
     reach = nearby.groupBy("root", "step").agg(F.sum("r").alias("r")).join(steps.select("root", "step", "rows"), ["root", "step"]).groupBy("root").agg(F.sum(F.col("r").cast("double") * F.col("rows")).alias("by_step"))
     held = scratch.write(large.select("node", "cid", "root", "n_ngrams").join(banded, "node"))
@@ -312,10 +312,10 @@ def linked_rows(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     found = texts.join(members, texts["id"].eqNullSafe(members["rep_id"]) & (texts["key"] == members["rep_key"]))
     found = found.withColumn("nth", F.row_number().over(W.partitionBy("id", "key", "cid").orderBy("cid"))).filter("nth = 1").select("cid", "weight", "text")
     dealt = tasks.join(found, "cid")
-    inside = scratch.write(tasks.filter("key is not null").select("cid").distinct().join(classes.select("cid", "set_id"), "cid"))
-    if inside.isEmpty():
+    if tasks.filter("key is not null").isEmpty():
         dealt = dealt.withColumn("bands", F.lit(None).cast("array<long>"))
     else:  # where tasks are buckets, band hashes go along
+        inside = scratch.write(tasks.filter("key is not null").select("cid").distinct().join(classes.select("cid", "set_id"), "cid"))
         mine = _text.maybe_in(inside.select(F.xxhash64("set_id")))
         bands_of = signs.filter("set_id is not null").filter(mine(F.xxhash64("set_id"))).groupBy("set_id").agg(F.first("bands").alias("bands")).join(inside, "set_id").drop("set_id")
         dealt = dealt.join(bands_of, "cid", "left").withColumn("bands", F.when(F.col("key").isNotNull(), F.col("bands")))
@@ -357,7 +357,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_copies(_text.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join}

@@ -390,7 +390,7 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=True))
+    return digests(pack(_text.table(spark, sf_dir, "documents"), with_ids=True))
 
 
 QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}

@@ -176,7 +176,7 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(_text.table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 QUERIES = {"op8_quality": op8_quality}

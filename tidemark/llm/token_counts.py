@@ -210,7 +210,7 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents, kept beside their texts; then edits that take personal data out, counted from the kept trees."""
-    trees = _text.materialise(indexed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+    trees = _text.materialise(indexed(_text.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return recounted(trees, kept_trees=True)
 
 
