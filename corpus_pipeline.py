@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _text.table(spark, sf_dir, "documents")
     before = None
     for _, stage in STAGES[:-1]:
         docs = _text.materialise(stage(spark, docs, sf_dir))
