@@ -236,6 +236,6 @@ def spread(counts: np.ndarray) -> np.ndarray:
 
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned CRC-32 of an ASCII string, for oracles: bit by bit, since DuckDB has no such function."""
-    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda nth: CAST(ascii(substr({text}, CAST(nth AS INTEGER), 1)) AS BIGINT))"
     step = "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), CAST(4294967295 AS BIGINT))"
