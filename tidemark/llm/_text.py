@@ -6,6 +6,7 @@ All functions take whole texts. They work on blocks of bounded size, so memory d
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -99,6 +100,12 @@ class Scratch:
         while self.held:
             remove(self.held.pop())
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """A narrow result, written; then all that it was made from is deleted. For tables that hold texts or ids once more."""
+        df = materialise(df, narrow=True)
+        self.clear()
+        return df
+
 
 #: A key is hot when it has more than this part of all rows; so fewer than this many keys are.
 HOT = 1024
@@ -220,13 +227,25 @@ def words(raw: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) ->
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Bytes from which a word gets a cryptographic hash: sums modulo 2**64 of long words can be made equal for any base (Thue-Morse words).
+LONG_WORD = 64
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: differences of a polynomial prefix sum, moved to a common origin, mixed with the length."""
+    """A 64-bit hash of each word. Short ones: differences of a polynomial prefix sum, moved to a common origin, mixed with the length.
+
+    Long ones, of which a text has at most one in LONG_WORD bytes: BLAKE2b of their bytes.
+    """
     up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(ends - starts >= LONG_WORD)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(raw))
+        h[long] = [int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8).digest(), "little") for i in long]
+    return h
 
 
 def spread(counts: np.ndarray) -> np.ndarray:

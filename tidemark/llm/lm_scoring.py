@@ -15,7 +15,8 @@ byte (steps of a twentieth of log10), so that smoothing a shard looks nothing up
 context, so nothing overflows however many n-grams there are. Neither model nor counts ever come to the driver, and no task holds more
 than a shard or a block of text; of the mapped shards those used last stay open.
 
-Words are told apart by 64-bit hashes of their bytes: among a billion distinct words two share one in about three corpora of a hundred.
+Words are told apart by 64-bit hashes of their bytes (``_text.word_hashes``; cryptographic ones from 64 bytes on): among a billion distinct
+words, unless made to collide, two share one in about three corpora of a hundred.
 
 Defined cases: a null or empty text is one end token; a null doc_id is not in fold 2 and so trains; repeated rows count each time; an
 empty table, or one without training rows, gives a model of no words (N = V = 0, every word unknown); other columns don't matter.
