@@ -158,9 +158,10 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame, id_col: str
     Only rows of groups with more than one member read their texts again. A group's members are dealt out over tasks, and the row that
     stays is copied once for every MEMBERS_A_COPY of them, so neither a large group nor a huge text meets in one task.
     """
-    many = groups.filter("n > 1").select(*KEY, F.col("keep.doc_id").alias("keep_id"), F.ceil(F.col("n") / MEMBERS_A_COPY).cast("int").alias("copies"), "n")
-    flagged = _text.hot_join(prints, many, list(KEY)).select("doc_id", *KEY, "text_sha256", "copies", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("keeper"))
-    flagged = scratch.write(flagged.dropDuplicates(["doc_id", *KEY, "text_sha256"]))
+    many = groups.filter("n > 1").select(*KEY, F.col("keep.row").alias("keep_row"), F.ceil(F.col("n") / MEMBERS_A_COPY).cast("int").alias("copies"), "n")
+    flagged = _text.hot_join(prints, many, list(KEY)).select("doc_id", *KEY, "text_sha256", "copies", (F.col("row") == F.col("keep_row")).alias("keeper"))
+    # rows that share doc_id and text are one here; the row that stays is told by its number, as others may have its doc_id
+    flagged = scratch.write(flagged.groupBy("doc_id", *KEY, "text_sha256").agg(F.first("copies").alias("copies"), F.max("keeper").alias("keeper")))
     copied = _text.maybe_in(flagged.select(F.xxhash64("doc_id")))
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter(copied(F.xxhash64("__id")))
     own = texts.join(flagged, texts["__id"].eqNullSafe(flagged["doc_id"])).filter(F.sha2(normalised(F.col("__text")).cast("binary"), 256) == F.col("text_sha256"))
