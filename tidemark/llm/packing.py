@@ -351,10 +351,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64,
     return out[np.lexsort((out[:, 1], out[:, 0]))], bins.count
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, starts: int = STARTS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; with_ids adds the ids, little-endian unsigned 32-bit integers."""
-    cut = _text.materialise(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col, with_ids))
-    tops = _text.materialise(cut.groupBy("length", "part").agg((F.max("nth") + 1).alias("n")), narrow=True)
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, groups: int = 64, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, starts: int = STARTS, scratch: _text.Scratch | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; with_ids adds the ids, little-endian unsigned 32-bit integers.
+
+    scratch: holds what is written on the way and still read by the result.
+    """
+    scratch = scratch or _text.Scratch()
+    cut = scratch.write(pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, id_col, text_col, with_ids), narrow=False)
+    tops = scratch.write(cut.groupBy("length", "part").agg((F.max("nth") + 1).alias("n")))
     histogram = {r["length"]: r["n"] for r in tops.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = tops.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -390,7 +394,8 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(_text.table(spark, sf_dir, "documents"), with_ids=True))
+    scratch = _text.Scratch()
+    return scratch.result(digests(pack(_text.table(spark, sf_dir, "documents"), with_ids=True, scratch=scratch)))
 
 
 QUERIES = {"op10_best_fit_packing": op10_best_fit_packing}

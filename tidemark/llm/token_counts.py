@@ -161,19 +161,25 @@ def redactions(text: str) -> list[Edit]:
 
 
 def indexed(docs: DataFrame, ranks: str | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs with their trees: leaf_chars and leaf_tokens, for ``recounted`` to start from later."""
+    """The rows of docs with their trees in two last columns, for ``recounted`` to start from later.
+
+    They are called leaf_chars and leaf_tokens, with as many underscores before as make the names new.
+    """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     _text.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
+    names = ["leaf_chars", "leaf_tokens"]
+    while {c.lower() for c in docs.columns} & {*names}:
+        names = [f"_{c}" for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
         for batch in batches:
             trees = [TokenTree(x.as_py() or "", count).kept() for x in batch.column(at)]
             lists = [pa.array([t[k] for t in trees], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, "leaf_chars", "leaf_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*batch.schema.names, *names])
 
-    return _text.compacted(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("leaf_chars", "leaf_tokens"))]))
+    return _text.compacted(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in names)]))
 
 
 COUNTS = "doc_id long, tokens_before long, n_tokens long, n_chars long, n_edits int, encoded_again long"
@@ -182,13 +188,13 @@ COUNTS = "doc_id long, tokens_before long, n_tokens long, n_chars long, n_edits
 def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, edits_col: str | None = None, kept_trees: bool = False, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every row of docs before and after its edits, which come from ``edits_col`` (array of structs start, end, replacement) or from a rule.
 
-    kept_trees: docs has the columns of ``indexed``, and only what edits touch is encoded.
+    kept_trees: the last two columns of docs are those of ``indexed``, and only what edits touch is encoded.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     _text.bound_batches(docs.sparkSession)
     given = [F.col(edits_col).alias("edits")] if edits_col else []
     logged = bool(given)
-    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given, *(["leaf_chars", "leaf_tokens"] if kept_trees else []))
+    rows = _text.compacted(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *given, *(docs.columns[-2:] if kept_trees else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
@@ -210,8 +216,9 @@ def recounted(docs: DataFrame, rule: Callable[[str], list[Edit]] = redactions, e
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees of all documents, kept beside their texts; then edits that take personal data out, counted from the kept trees."""
-    trees = _text.materialise(indexed(_text.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return recounted(trees, kept_trees=True)
+    scratch = _text.Scratch()
+    trees = scratch.write(indexed(_text.table(spark, sf_dir, "documents").select("doc_id", "text")), narrow=False)
+    return scratch.result(recounted(trees, kept_trees=True))
 
 
 QUERIES = {"op6_token_counts": op6_token_counts}
