@@ -10,9 +10,9 @@ parts of PART words), across texts (``merged``) and across rows (``merged_by``),
 * ``distinct``: the number of distinct shingles, from the k-th smallest hash, within 1 / sqrt(k - 2), or exact below k;
 * ``containment``: the part of the first one's shingles that the second has, from the two above.
 
-``paired`` puts each row beside the next document in descending doc_id. Texts are shuffled once, on blocks of 256 ids; within a block
+``paired`` puts each row beside the next document in descending doc_id. Texts are shuffled once, on blocks of 64 ids; within a block
 the next text is the row before in order, and a block's last row gets the first of the next block there is, which ``next_ids`` finds
-among narrow rows, radix level by radix level, with no group above 256. So sparse ids cost a second shuffle of the block ends, and no
+among narrow rows, radix level by radix level, with no group above 64. So sparse ids cost a second shuffle of the block ends, and no
 order is ever made in one task.
 
 Defined cases: null texts are empty; two texts without words resemble each other fully and contain each other, a text with words none of
@@ -32,7 +32,7 @@ N, K = 5, 256
 #: Words of a part: a longer text is sketched part by part.
 PART = 1 << 15
 #: Ids of a block are 2**RADIX in a row.
-RADIX = 8
+RADIX = 6
 
 _EDGE = " \t\n\x0b\x0c\r"
 _WHITE = "[\\x20\\x09-\\x0D]+"
@@ -114,7 +114,7 @@ def next_ids(ids: DataFrame, scratch: _text.Scratch) -> DataFrame:
     """(block, next_id) for each block of ids (one long column ``id``, distinct, no nulls): the largest id below the block, null for none.
 
     Level by level, blocks of 2**RADIX blocks are ranked within their own group of at most 2**RADIX; what lies below a group's last block
-    is asked of the next level. 64-bit ids need eight levels at most, and each has fewer rows than the one before.
+    is asked of the next level. 64-bit ids need eleven levels at most, and each has fewer rows than the one before.
     """
     level = ids.groupBy(F.shiftright("id", RADIX).alias("block")).agg(F.max("id").alias("top"))
     levels = [scratch.write(level)]
