@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import constants as K
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import trust
+from tidemark.operators import catalogue, trust
 
 MOST_PAGES, MOST_ATTEMPTS, MOST_QUOTES, SHORTEST_QUOTE = 3, 9, 2, 12
 #: Claims about interfaces, versions and ends concern one of several things on a page, so they must name it.
@@ -59,9 +59,9 @@ def read_pages(subjects: DataFrame, kinds: list[str], fetches: DataFrame) -> Dat
     return tried.withColumn("nth", nth).filter(F.col("nth") <= MOST_PAGES).drop("nth")
 
 
-def gathered(subjects: DataFrame, kinds: list[str], fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims lifted from subjects' own pages, and what the gate refused."""
-    pages = read_pages(subjects, kinds, fetches).join(subjects, "dep_id")
+def lifted(pages: DataFrame, subjects: DataFrame, kinds: list[str]) -> DataFrame:
+    """Candidates for the gate: sentences of pages(dep_id, kind, url, text) that are about a kind and, where a page could be about more, the subject."""
+    pages = pages.join(subjects, "dep_id")
     terms = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     own_site = F.exists(terms, lambda t: T.site_is_product(t, U.registrable(U.host(F.col("url")))))
     must_name = F.col("kind").isin(*ABOUT_MANY) | ~own_site
@@ -70,8 +70,42 @@ def gathered(subjects: DataFrame, kinds: list[str], fetches: DataFrame) -> tuple
     for kind in kinds:
         one = T.relevant(found, K.CLAIM_WORDS.get(kind, ()), terms, must_name)
         quotes = (F if quotes is None else quotes).when(F.col("kind") == kind, one)
-    lifted = pages.select("dep_id", "kind", "name", "url", F.col("subject.official_domains").alias("own_domains"), F.explode(F.slice(quotes, 1, MOST_QUOTES)).alias("quote"))
-    return gated(lifted.select("dep_id", "kind", statement(F.col("kind"), F.col("name"), F.col("quote")).alias("statement"), F.col("url").alias("source_url"), "quote", "own_domains"))
+    rows = pages.select("dep_id", "kind", "name", "url", F.col("subject.official_domains").alias("own_domains"), F.explode(F.slice(quotes, 1, MOST_QUOTES)).alias("quote"))
+    return rows.select("dep_id", "kind", statement(F.col("kind"), F.col("name"), F.col("quote")).alias("statement"), F.col("url").alias("source_url"), "quote", "own_domains")
+
+
+def gathered(subjects: DataFrame, kinds: list[str], fetches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims lifted from subjects' own pages, and what the gate refused."""
+    return gated(lifted(read_pages(subjects, kinds, fetches), subjects, kinds))
+
+
+def table_claims(pages: DataFrame, subjects: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Claims from rows of tables that list a subject under exactly one of its ids, case aside, and what the gate refused.
+
+    Vendors often state a retirement in a table alone. What a row carries gives its kind: a retired status is a deprecation, a price or a
+    rate limit is pricing, any other listing is availability. A longer id that holds a subject's is another thing.
+    pages(dep_id, url, html); subjects as for ``read_pages``. The gate's columns, with the row's place (ord, nth).
+    """
+    listed = catalogue.parsed(pages.select(F.col("dep_id").alias("vendor"), "url", "html")).withColumnRenamed("vendor", "dep_id")
+    names = F.array_distinct(F.transform(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: F.lower(n)))
+    ids = subjects.select("dep_id", "name", F.col("subject.official_domains").alias("own_domains"), F.explode(F.filter(names, lambda n: n != "")).alias("id"))
+    rows = listed.withColumn("id", F.lower("entry_id")).join(ids, ["dep_id", "id"])
+    retired, priced = F.col("status").isin(*K.RETIRED), (F.col("price") != "") | (F.col("rate_limit") != "")
+    rows = rows.withColumn("kind", F.when(retired, "deprecation").when(priced, "pricing").otherwise("availability")).filter(F.col("kind").isin(*kinds))
+    said = F.when(retired | ~priced, F.concat(F.lit(" is listed as "), "status")).otherwise(" appears in a table with plan or quota columns")
+    ends = F.when(F.col("date") != "", F.concat(F.lit(", shutdown "), "date")).otherwise("")
+    told = F.concat("name", said, F.lit(" in a table on the vendor's own page"), ends)
+    return gated(rows.select("dep_id", "kind", told.alias("statement"), F.col("url").alias("source_url"), "quote", "own_domains", "ord", "nth"))
+
+
+def merged_claims(tabled: DataFrame, prose: DataFrame) -> DataFrame:
+    """Substantiating claims of both readers, one for each subject, URL, kind and first 80 characters of the quote: a table's before prose."""
+    place = lambda df, rank: df.filter("substantiates").withColumn("place", F.struct(F.lit(rank).alias("reader"), *([F.col("ord"), F.col("nth")] if rank == 0 else [F.lit(0).alias("ord"), F.lit(0).alias("nth")]), F.col("quote")))
+    names = ["statement", "quote", "tier"]
+    keys = ["dep_id", "kind", "source_url"]
+    both = place(tabled, 0).select(*keys, *names, "place").unionByName(place(prose, 1).select(*keys, *names, "place"))
+    one = both.groupBy(*keys, F.substring("quote", 1, 80).alias("start")).agg(F.min_by(F.struct(*names, "place"), "place").alias("c"))
+    return one.select(*keys, *[F.col(f"c.{n}").alias(n) for n in names], F.when(F.col("c.place.reader") == 0, "table").otherwise("prose").alias("reader"))
 
 
 def successor_leads(pages: DataFrame) -> DataFrame:

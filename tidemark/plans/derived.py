@@ -138,7 +138,7 @@ def workbook_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- vendors' catalogues and models: a part is a model of one of seven vendors ----------------------------------------------------------------
 
 
-def _model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page a part: a table of retirements for every third one, one of live models for the others and every ninth."""
     k = F.col("p_partkey")
     date = F.when(k % 6 == 0, "2020-03-05").otherwise("2031-01-01")
@@ -151,7 +151,7 @@ def _model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vendors' tables folded by id: a retirement outranks a live listing, which is noted beside it."""
-    out = catalogue.catalogue(_model_pages(spark, sf_dir)).filter(F.col("entry_id").rlike("^m[0-9]+-8b$"))
+    out = catalogue.catalogue(model_pages(spark, sf_dir)).filter(F.col("entry_id").rlike("^m[0-9]+-8b$"))
     return out.select("vendor", "entry_id", "status", "still_listed", "listed_price", "shutdown_date", F.array_join("replacement_ids", ",").alias("replacements"))
 
 
@@ -159,7 +159,7 @@ def _probed_models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     k = F.col("p_partkey")
     deps = table(spark, sf_dir, "part").select(k.cast("string").alias("dep_id"), F.when(k % 10 == 7, _text("x", k, "-lite")).otherwise(_text("M", k, "-8B")).alias("canonical_name"))
     vendors = spark.createDataFrame([(f"v{i}", i, True, i != 6) for i in range(7)], "vendor string, ord int, ok boolean, supported boolean")
-    listed = catalogue.catalogue(_model_pages(spark, sf_dir))
+    listed = catalogue.catalogue(model_pages(spark, sf_dir))
     return observe.models(deps, listed, vendors, F.lit("2026-01-01").cast("date")), listed
 
 

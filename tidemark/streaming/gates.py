@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidemark.sources import stages
+
 GATED = "source string, at timestamp, ord long, value string, kind string, previous string, signal_id string"
 
 
@@ -19,7 +21,10 @@ def signal_id(source: str, value: str) -> str:
 
 
 def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The last seen value of a source is all its state: the first sight is a baseline, a different value a change."""
+    """The last seen value of a source is all its state: the first sight is a baseline, a different value a change.
+
+    Polls of a source within one batch are put in order first; ``deltas`` holds sources whose polls are large.
+    """
     last = state.get[0] if state.exists else None
     rows = pd.concat(list(batches)).sort_values(["at", "ord"], kind="stable")
     kinds, before = [], []
@@ -47,16 +52,37 @@ def windowed_counts(events: DataFrame, width: str = "6 hours", late: str = "1 da
     return counts.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def review_gate(findings: DataFrame, verdicts: DataFrame, wait: str = "3 days", late: str = "1 day") -> DataFrame:
+    """Findings that wait for review, each told once: with the verdict of its own thread, or without one when the wait is over.
+
+    findings(thread, finding, at), verdicts(thread, verdict, decided_at), as streams or tables alike. As a stream a finding is held in state
+    until its verdict comes, and then goes on at once; a verdict that comes before it is held too. A verdict that was given before the
+    finding, or later than ``wait`` after it, doesn't count, nor does one that arrives more than ``late`` after its time.
+    """
+    a = findings.withWatermark("at", late).select(F.col("thread"), "finding", "at")
+    b = verdicts.withWatermark("decided_at", late).select(F.col("thread").alias("of_thread"), "verdict", "decided_at")
+    same = (F.col("thread") == F.col("of_thread")) & (F.col("decided_at") >= F.col("at")) & (F.col("decided_at") <= F.col("at") + F.expr(f"INTERVAL {wait}"))
+    return a.join(b, same, "left").select("thread", "finding", F.coalesce("verdict", F.lit("unreviewed")).alias("state"), "decided_at")
+
+
 def read_table_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_a_batch: int = 1) -> DataFrame:
     """A table's files as they arrive in a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table; for tests and one-off runs."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there now, as a table in the shared folder, with the checkpoint that a later run goes on from.
+
+    A complete result is written anew with every batch that changes it, and the last one counts.
+    """
+    spark, path = stream.sparkSession, stages.shared_path(stream.sparkSession)
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
