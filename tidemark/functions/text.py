@@ -153,6 +153,21 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def term_spans(text: Column, terms: Column) -> Column:
+    """Array of (start from 0, end), by place: occurrences of terms of two characters or more, case aside, none within a longer term's.
+
+    A fold over all occurrences, the longest term first, in the JVM.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    wanted = F.array_distinct(F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.lower(t)), lambda t: F.length(t) >= 2))
+    one = lambda t: F.transform(places(low, t), lambda p: F.struct((-F.length(t)).alias("n"), t.alias("t"), (p - 1).alias("start"), (p - 1 + F.length(t)).alias("end")))
+    every = F.array_sort(F.flatten(F.transform(wanted, one)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    span = lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))
+    taken = F.aggregate(every, none, lambda a, x: F.when(F.exists(a, lambda o: (x["start"] < o["end"]) & (o["start"] < x["end"])), a).otherwise(F.concat(a, F.array(span(x)))))
+    return F.array_sort(taken)
+
+
 def spans(text: str, words: list[str]) -> list[tuple[int, int]]:
     """Non-overlapping places of words in a text, the longest word first."""
     taken: list[tuple[int, int]] = []

@@ -6,7 +6,6 @@ those aliases in prose and resolves what was left over. Between the passes the r
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from tidemark.functions import constants as K
 from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import resolve, score
+from tidemark.operators import dictionary, resolve, score
 from tidemark.sources.stages import staged
 
 _PLACE = ("course", "topic_name", "unit_id", "unit_name", "content_id", "field_path", "object_type", "session_no")
@@ -78,19 +77,12 @@ PROSE_KINDS = ("service", "tool")
 
 
 def prose_mentions(records: DataFrame, entries: DataFrame, stop: tuple[str, ...] = (), shortest: int = 5) -> DataFrame:
-    """Pass two: aliases of services and tools in prose, by one alternation, longest first, on word bounds.
-
-    The alternation is built on the driver from the registry's aliases: a dictionary of names, not of documents.
-    """
+    """Pass two: aliases of services and tools in prose, longest first, on word bounds; the dictionary may be as large as it likes."""
     aliases = resolve.alias_index(entries.filter(F.col("kind").isin(*PROSE_KINDS))).filter((F.length("alias_key") >= shortest) & ~F.col("alias_key").rlike("^[0-9]+$"))
     aliases = aliases.filter(~F.col("alias_key").isin(*stop)) if stop else aliases
     first = aliases.groupBy("alias_key").agg(F.min_by("entry_id", "ord").alias("entry_id"))
-    words = sorted((r["alias_key"] for r in first.collect()), key=lambda w: (-len(w), w))
-    if not words:
-        pattern = "(?!x)x"
-    else:
-        pattern = r"(?<![\w.\-])(" + "|".join(re.escape(w) for w in words) + r")(?![\w\-])"
-    rows = records.filter(F.col("evidence_source").isin("markdown", "solution_prose", "title")).select(*_PLACE, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body_text"), F.lit(pattern), 1))).alias("alias_key"))
+    prose = records.filter(F.col("evidence_source").isin("markdown", "solution_prose", "title"))
+    rows = dictionary.matched(prose, "body_text", first, "alias_key").select(*_PLACE, F.explode("found").alias("alias_key"))
     named = rows.join(first, "alias_key").join(entries.select("entry_id", "kind", F.col("canonical_name").alias("name")), "entry_id")
     return named.select("kind", "name", F.lit("prose_name").alias("evidence_source"), F.array().cast("array<string>").alias("domains"), F.lit("").alias("taught_version"), *_PLACE)
 

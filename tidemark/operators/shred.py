@@ -128,8 +128,11 @@ def validated(raw: DataFrame, roster: DataFrame) -> DataFrame:
 
 
 def dereferenced(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows with value: what their field_path points at in the export they came from."""
-    return rows.join(docs.select("source_file", "doc"), "source_file").withColumn("value", F.expr("try_variant_get(doc, field_path, 'string')")).drop("doc")
+    """rows with value: what their field_path points at in the export they came from. Documents are shredded once; none stands beside a row."""
+    from tidemark.operators.locate import nodes
+
+    found = nodes(docs).filter("kind = 'text'").select("source_file", F.col("path").alias("field_path"), "value")
+    return rows.join(found, ["source_file", "field_path"], "left")
 
 
 # --- workbooks, as long tables of cells(book, sheet, row, col, value); row 1 holds the headers ------------------------------------------------

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
 from tidemark.functions import text as T
-from tidemark.operators import catalogue, evidence, history, inventory, observe, report, resolve, score, shred, upstream
+from tidemark.functions.text import strings
+from tidemark.operators import catalogue, evidence, history, inventory, locate, observe, report, resolve, score, shred, upstream
 from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, table, with_course
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
@@ -85,6 +86,29 @@ def exported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("course").agg(F.count_if(F.col("value") == F.col("body_text")).alias("found"), F.count_if(~F.col("value").eqNullSafe(F.col("body_text"))).alias("lost"))
 
 
+#: Names to look for in located fields, and links that stand in for them.
+_TERMS, _LINKS = ("READ", "an", "is", "a"), ("fi", "in")
+
+
+def located_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of all exports, and a cell of every customer's row in a workbook, as locations: what is there, in which question, or why not.
+
+    Some paths lead nowhere (no such topic, a whole unit, a file that isn't there), as they would after an export has changed.
+    """
+    docs = stages.staged(_exports(spark, sf_dir))
+    k = F.substring("unit_id", 2, 20).cast("long")
+    rows = shred.records(docs).select("source_file", "field_path", k.alias("k"), F.regexp_extract("field_path", r"^(\$\.topics\[\d+\]\.units\[\d+\])", 1).alias("unit"))
+    stale = F.when(F.col("k") % 5 == 0, F.replace("field_path", F.lit(".topics["), F.lit(".topics[9"))).when(F.col("k") % 7 == 0, F.col("unit")).otherwise(F.col("field_path"))
+    fields = rows.select(F.when(F.col("k") % 11 == 0, F.lit("gone.json")).otherwise(F.col("source_file")).alias("source_file"), stale.alias("field_path"))
+    c = F.col("k")
+    book = _text(F.col("course"), ".xlsx")
+    cells = _customers(spark, sf_dir).select(_text(F.col("course"), ".json").alias("source_file"), F.when(c % 4 == 0, _text(book, "::Tools")).when(c % 4 == 1, _text(book, "::Course Outline::outline ::row", c + 2)).when(c % 4 == 2, _text(book, "::Course Outline::Session Name::row", c + 2, "0000")).otherwise("not a path").alias("field_path"))
+    places = fields.unionByName(cells).withColumns({"terms": strings(_TERMS), "urls": strings(_LINKS)})
+    out = locate.located(places, stages.staged(locate.nodes(docs)), _cells(spark, sf_dir))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"], s["length"])), " ")
+    return out.groupBy("field_path", "source_file", "resolved", "reason", "matched_by", "excerpt", spans.alias("spans"), "title", "object_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 _UNITS = f"""{_CUSTOMERS},
 u AS (SELECT *, dense_rank() OVER (PARTITION BY course ORDER BY segment) - 1 AS ti, row_number() OVER (PARTITION BY course, segment ORDER BY k) - 1 AS ui,
              k % 3 = 0 AND k IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS is_session FROM c),
@@ -386,7 +410,7 @@ def overlaid_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stored_records, latest_artifacts, overlaid_roster, supplier_claims, supplier_review, exported_units, exported_records, exported_pools, exported_paths, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
+        stored_records, latest_artifacts, overlaid_roster, supplier_claims, supplier_review, exported_units, exported_records, exported_pools, exported_paths, located_fields, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
         corpus_inventory, corpus_locations, segment_tags, part_findings, part_findings_projected, part_keys, cited_domains, alias_priority,
     )
 }
@@ -418,6 +442,16 @@ SELECT 'courses' AS outcome, (SELECT count(*) FROM nation) + count(*) FILTER (NO
     "exported_pools": f"""WITH {_UNITS}, r AS (SELECT DISTINCT k FROM t WHERE pooled)
 SELECT course, count(*) AS units, count(*) FILTER (is_session) AS sessions, count(*) FILTER (k % 3 > 0) AS pools, count(*) FILTER (k % 3 > 0 AND k IN (FROM r)) AS pools_read, count(*) FILTER (k % 3 > 0 AND k NOT IN (FROM r)) AS gap FROM p GROUP BY 1""",
     "exported_paths": f"WITH {_UNITS} SELECT course, count(*) AS found, CAST(0 AS BIGINT) AS lost FROM t GROUP BY 1",
+    "located_fields": f"""WITH {_UNITS},
+q AS (SELECT CASE WHEN k % 11 = 0 THEN 'gone.json' ELSE course || '.json' END AS source_file, CASE WHEN k % 5 = 0 THEN replace(field_path, '.topics[', '.topics[9') WHEN k % 7 = 0 THEN base ELSE field_path END AS field_path,
+    CASE WHEN k % 11 = 0 THEN 'course_export_missing' WHEN k % 5 = 0 THEN 'path_not_found' WHEN k % 7 = 0 THEN 'not_a_text_field' END AS bad, body_text AS body, CASE WHEN content_id <> '' AND k % 3 = 0 THEN pr ELSE '' END AS title,
+    CASE WHEN content_id = '' THEN '' WHEN k % 3 = 0 THEN 'LEARNING_RESOURCE' WHEN k % 3 = 1 THEN 'CODING_QUESTIONS' ELSE 'OBJECTIVE_QUESTIONS' END AS object_type FROM t
+  UNION ALL SELECT course || '.json', CASE k % 4 WHEN 0 THEN course || '.xlsx::Tools' WHEN 1 THEN course || '.xlsx::Course Outline::outline ::row' || (k + 2) WHEN 2 THEN course || '.xlsx::Course Outline::Session Name::row' || (k + 2) || '0000' ELSE 'not a path' END,
+    CASE k % 4 WHEN 0 THEN 'sheet_declaration' WHEN 2 THEN 'workbook_cell_missing' WHEN 3 THEN 'unparsable_path' END, CASE WHEN k % 3 = 0 THEN 'Outline of ' || name ELSE '-' END, 'outline  — Course Outline', 'SESSION_PPT' FROM c),
+m AS (SELECT *, lower(body) AS low, CASE WHEN lower(body) LIKE '%read%' THEN 'read' WHEN lower(body) LIKE '%an%' THEN 'an' WHEN lower(body) LIKE '%is%' THEN 'is' END AS w, CASE WHEN lower(body) LIKE '%fi%' THEN 'fi' WHEN lower(body) LIKE '%in%' THEN 'in' END AS u FROM q)
+SELECT field_path, source_file, bad IS NULL AS resolved, coalesce(bad, CASE WHEN coalesce(w, u) IS NULL THEN 'term_not_in_field' ELSE '' END) AS reason, CASE WHEN bad IS NOT NULL OR coalesce(w, u) IS NULL THEN '' WHEN w IS NOT NULL THEN 'name' ELSE 'referenced_url' END AS matched_by,
+  CASE WHEN bad IS NULL THEN body ELSE '' END AS excerpt, CASE WHEN bad IS NULL AND coalesce(w, u) IS NOT NULL THEN (strpos(low, coalesce(w, u)) - 1) || '+' || length(coalesce(w, u)) ELSE '' END AS spans,
+  CASE WHEN bad IS NULL THEN title ELSE '' END AS title, CASE WHEN bad IS NULL THEN object_type ELSE '' END AS object_type, count(*) AS n FROM m GROUP BY ALL""",
     "workbook_outline": f"""WITH {_CUSTOMERS}, s AS (SELECT course || '.xlsx' AS book, CAST(k % 30 + 1 AS BIGINT) AS session_no, name AS session_name, k, segment FROM c WHERE k % 11 <> 0)
 SELECT book, session_no, session_name, 'Outline' AS "column", 'Outline of ' || session_name AS body_text FROM s WHERE k % 3 = 0 UNION ALL SELECT book, session_no, session_name, 'Key Takeaways', 'Learn ' || segment FROM s""",
     "workbook_practice": f"""WITH {_CUSTOMERS} SELECT a.course || '.xlsx' AS book, 'u' || a.k AS unit_id, CAST(b.k % 30 + 1 AS BIGINT) AS session_no
