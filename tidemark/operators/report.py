@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions import constants as K
 from tidemark.functions import ladders as L
 from tidemark.operators import trust
+from tidemark.operators.prefix import numbered
 
 #: When to act, by severity.
 WHEN = {
@@ -37,10 +37,10 @@ def noted(found: DataFrame, today: Column) -> DataFrame:
 
 def digest_lines(notes: DataFrame) -> DataFrame:
     """place, line: one line a finding, worst first; findings that didn't change stay out."""
-    order = W.orderBy(L.rank_of(F.col("severity"), K.SEVERITIES).desc(), F.col("blast_radius").desc(), "finding_id")
+    order = [L.rank_of(F.col("severity"), K.SEVERITIES).desc(), F.col("blast_radius").desc(), F.col("finding_id").asc()]
     shown = notes.filter("diff_class <> 'unchanged'") if "diff_class" in notes.columns else notes
     line = F.format_string("%s · %s %s — %s · blast radius %d · %s", F.upper("severity"), "signal", "label", "canonical_name", "blast_radius", "what")
-    return shown.select(F.row_number().over(order).cast("long").alias("place"), line.alias("line"))
+    return numbered(shown, order).select("place", line.alias("line"))
 
 
 def digest(lines: DataFrame) -> DataFrame:

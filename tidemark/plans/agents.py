@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import constants as K
 from tidemark.functions import text as T
-from tidemark.operators import evidence, frontier
+from tidemark.operators import budget, evidence, frontier, report
 from tidemark.plans.common import table
 from tidemark.sources import stages
 
@@ -89,7 +90,28 @@ def table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fine.unionByName(refused.select("dep_id", "kind", F.col("reason").alias("statement"), F.lit(False).alias("cited")))
 
 
-QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence)}
+MAX_CALLS, MAX_SPEND = 25, 250_000_000
+
+
+def call_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls of a model, a month a day of the ledger: which are paid, answered from the cache or refused, and what was spent before."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_custkey") % 40
+    day = F.date_format("o_orderdate", "yyyy-MM")
+    calls = orders.select(F.col("o_orderkey").alias("call_id"), day.alias("day"), F.col("o_orderdate").alias("at"), F.concat_ws("/", day, key.cast("string")).alias("key"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cost"))
+    cached = calls.filter(F.col("key").endswith("/0")).select("key")
+    return budget.ledger(calls, cached, MAX_CALLS, MAX_SPEND).select("call_id", "outcome", F.col("charged").cast("long").alias("charged"), F.when(F.col("outcome") == "paid", F.col("spent_before")).alias("spent_before"))
+
+
+def digest_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as findings in the order of the digest, each with its place."""
+    orders = table(spark, sf_dir, "orders")
+    rank = F.substring("o_orderpriority", 1, 1).cast("int")
+    severity = F.element_at(T.strings(K.SEVERITIES), 6 - rank)
+    rows = orders.select(severity.alias("severity"), F.col("o_custkey").cast("int").alias("blast_radius"), F.format_string("%012d", "o_orderkey").alias("finding_id"), F.lit("S1").alias("signal"), F.lit("Change").alias("label"), F.col("o_orderkey").cast("string").alias("canonical_name"), F.lit("look").alias("what"), F.when(F.col("o_orderstatus") == "F", "unchanged").otherwise("new").alias("diff_class"))
+    return report.digest_lines(rows)
+
+
+QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders)}
 
 #: One row a subject and round, in lists of page numbers: what was visited, what the last round read, how it stands.
 _LOOP = f"""
@@ -125,4 +147,15 @@ FROM loop WHERE list_contains(reads, 3) AND k % 3 = 0""",
 SELECT 'own' || k AS dep_id, 'deprecation' AS kind, 'M' || k || '-8B is listed as deprecated' || place || ', shutdown ' || CASE WHEN k % 6 = 0 THEN '2020-03-05' ELSE '2031-01-01' END AS statement, true AS cited FROM p WHERE k % 3 = 0
 UNION ALL SELECT 'own' || k, 'pricing', 'M' || k || '-8B appears in a table with plan or quota columns' || place, true FROM p WHERE k % 3 <> 0 OR k % 9 = 0
 UNION ALL SELECT 'next' || k, 'availability', 'M' || (k + 7) || '-8B is listed as available' || place, true FROM p WHERE k % 3 = 0""",
+    "call_ledger": f"""
+WITH c AS (SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS day, o_orderdate AS told, o_custkey % 40 AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS cost FROM orders),
+f AS (SELECT *, key <> 0 AND row_number() OVER (PARTITION BY day, key ORDER BY told, id) = 1 AS opening FROM c),
+s AS (SELECT *, coalesce(sum(CASE WHEN opening THEN 1 END) OVER w, 0) AS calls_before, coalesce(sum(CASE WHEN opening THEN cost END) OVER w, 0) AS spent FROM f WINDOW w AS (PARTITION BY day ORDER BY told, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT *, bool_or(opening AND calls_before < {MAX_CALLS} AND spent < {MAX_SPEND}) OVER (PARTITION BY day, key) AS bought FROM s),
+o AS (SELECT *, CASE WHEN key = 0 OR (bought AND NOT opening) THEN 'cached' WHEN bought THEN 'paid' ELSE 'refused' END AS outcome FROM p)
+SELECT id AS call_id, outcome, CASE WHEN outcome = 'paid' THEN cost ELSE 0 END AS charged, CASE WHEN outcome = 'paid' THEN CAST(spent AS BIGINT) END AS spent_before FROM o""",
+    "digest_of_orders": f"""
+WITH o AS (SELECT *, 5 - CAST(o_orderpriority[1] AS INT) AS rank FROM orders WHERE o_orderstatus <> 'F')
+SELECT row_number() OVER (ORDER BY rank DESC, o_custkey DESC, o_orderkey) AS place,
+  upper((['{"', '".join(K.SEVERITIES)}'])[rank + 1]) || ' · S1 Change — ' || o_orderkey || ' · blast radius ' || o_custkey || ' · look' AS line FROM o""",
 }

@@ -14,7 +14,7 @@ from tidemark.operators import catalogue, evidence, history, inventory, locate,
 from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, table, with_course
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
-from tidemark.sources import snapshots, stages
+from tidemark.sources import published, snapshots, stages
 
 #: Customers that make one course: an export grows with them, so they are few.
 _COURSE = 50
@@ -392,6 +392,33 @@ def latest_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.latest_artifact(spark, path).select("dep_id", "n")
 
 
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses and their roster committed together, three writers that began at the same version, and what every version holds.
+
+    The second writer changes the roster that the first one changed, and gives way; the third adds sheets and goes on from the first; a
+    commit that its validator refuses leaves nothing.
+    """
+    store = published.Tables(spark, stages.shared_path(spark))
+    customers = _customers(spark, sf_dir).select("k", "course")
+    roster = lambda rows: rows.groupBy("course").agg(F.count(F.lit(1)).alias("units"))
+    begun = store.commit({"exports": customers, "roster": roster(customers)})
+    few = customers.filter("k % 3 <> 0")
+    store.commit({"exports": few, "roster": roster(few)}, begun)
+    for changes, check in (({"roster": roster(customers)}, None), ({"sheets": customers.filter("k % 2 = 0")}, None), ({"roster": customers}, lambda staged: [] if "units" in staged["roster"].columns else ["no units"])):
+        try:
+            store.commit(changes, begun, check)
+        except (published.Conflict, published.Refused):
+            continue
+    out = None
+    for version in store.versions():
+        for name in store.tables(version):
+            rows = store.read(name, version)
+            total = F.sum("units" if name == "roster" else "k").cast("long").alias("total")
+            one = rows.agg(F.lit(version).cast("long").alias("version"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), total)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def overlaid_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as declared courses and suppliers as an overlay, both from JSON lines: what clashes by slug or title, or can't be read, stays out."""
     path, other = stages.shared_path(spark), stages.shared_path(spark)
@@ -410,7 +437,7 @@ def overlaid_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stored_records, latest_artifacts, overlaid_roster, supplier_claims, supplier_review, exported_units, exported_records, exported_pools, exported_paths, located_fields, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
+        stored_records, latest_artifacts, published_tables, overlaid_roster, supplier_claims, supplier_review, exported_units, exported_records, exported_pools, exported_paths, located_fields, workbook_outline, workbook_practice, workbook_tools, vendor_catalogue, model_fates, model_replacements, package_fates, node_fates,
         corpus_inventory, corpus_locations, segment_tags, part_findings, part_findings_projected, part_keys, cited_domains, alias_priority,
     )
 }
@@ -434,6 +461,11 @@ SELECT course, evidence_source, count(*) AS n, CAST(sum(d % 20) AS BIGINT) AS se
     "latest_artifacts": """
 WITH l AS (SELECT max(year(o_orderdate)) AS y FROM orders), t AS (SELECT o_custkey AS dep_id, count(*) AS n FROM orders, l WHERE year(o_orderdate) = y GROUP BY 1)
 SELECT dep_id, n FROM t WHERE dep_id % 3 <> 0 UNION ALL SELECT DISTINCT o_custkey, CAST(-1 AS BIGINT) FROM orders WHERE o_custkey % 6 = 0""",
+    "published_tables": f"""WITH {_CUSTOMERS},
+v AS (SELECT unnest([1, 2, 3]) AS version), e AS (SELECT version, k, course FROM v, c WHERE version = 1 OR k % 3 <> 0), r AS (SELECT version, course, count(*) AS units FROM e GROUP BY 1, 2)
+SELECT CAST(version AS BIGINT) AS version, 'exports' AS name, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM e GROUP BY version
+UNION ALL SELECT CAST(version AS BIGINT), 'roster', count(*), CAST(sum(units) AS BIGINT) FROM r GROUP BY version
+UNION ALL SELECT 3, 'sheets', count(*), CAST(sum(k) AS BIGINT) FROM c WHERE k % 2 = 0""",
     "overlaid_roster": """
 WITH n AS (SELECT lower(n_name) AS t FROM nation), s AS (SELECT s_suppkey % 9 = 0 AS bad, CASE WHEN s_suppkey % 5 = 0 THEN 'nation_' || s_suppkey ELSE 's' || s_suppkey END IN (FROM n) OR CASE WHEN s_suppkey % 4 = 0 THEN 'nation_' || s_suppkey ELSE lower(s_name) END IN (FROM n) AS clash FROM supplier)
 SELECT 'courses' AS outcome, (SELECT count(*) FROM nation) + count(*) FILTER (NOT bad AND NOT clash) AS n FROM s UNION ALL SELECT 'clashing', count(*) FILTER (NOT bad AND clash) FROM s UNION ALL SELECT 'unreadable', count(*) FILTER (bad) FROM s""",
