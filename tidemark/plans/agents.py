@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import constants as K
 from tidemark.functions import text as T
-from tidemark.operators import budget, evidence, frontier, report
+from tidemark.functions import urls as U
+from tidemark.operators import budget, evidence, frontier, report, search, trust
 from tidemark.plans.common import table
+from tidemark.plans.web import HOST_SQL, OWNER_SQL, TITLE_SQL
 from tidemark.sources import stages
 
 ROUNDS = 4
@@ -111,7 +113,26 @@ def digest_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.digest_lines(rows)
 
 
-QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders)}
+def domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every tenth page, its title asked of all pages of its own domain (of none, for every fiftieth): the five best and their tiers."""
+    page, path = F.col("page_id"), stages.shared_path(spark)
+    pages = stages.staged(table(spark, sf_dir, "pages").select("page_id", "url", U.registrable(U.host(F.col("url"))).alias("domain"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"), T.page_title(F.col("html")).alias("title")))
+    search.write_index(spark, pages, path)
+    domains = F.when(page % 50 == 0, F.array().cast("array<string>")).otherwise(F.array("domain"))
+    queries = pages.filter(page % 10 == 0).select(page.alias("query_id"), F.col("title").alias("text"), domains.alias("domains"))
+    found = search.searched(queries, *search.read_index(spark, path))
+    tiers = trust.classified(pages.select("page_id", "url", F.array("domain").alias("own_domains"), F.lit("version").alias("kind"))).select("page_id", "tier")
+    out = found.join(tiers, "page_id").select("query_id", F.col("rank").cast("long").alias("rank"), "page_id", "score", "tier")
+    none = search.refused(queries).select("query_id", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("long").alias("score"), F.lit("refused").alias("tier"))
+    return out.unionByName(none)
+
+
+QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search)}
+
+#: Tiers of pages for a subject that owns their domain.
+_TIERS = f"""SELECT page_id, CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
+  WHEN regexp_matches(h, '^(community|forum|forums|discuss|answers|ask|support-community|users|help-community)[.]') OR regexp_matches(lower(url), '/(t|questions|discussions|threads|topic|forum|community)/|/viewtopic') THEN 'LEAD_ONLY'
+  ELSE 'AUTHORITATIVE' END AS tier FROM (SELECT page_id, url, {HOST_SQL} AS h FROM pages)"""
 
 #: One row a subject and round, in lists of page numbers: what was visited, what the last round read, how it stands.
 _LOOP = f"""
@@ -158,4 +179,14 @@ SELECT id AS call_id, outcome, CASE WHEN outcome = 'paid' THEN cost ELSE 0 END A
 WITH o AS (SELECT *, 5 - CAST(o_orderpriority[1] AS INT) AS rank FROM orders WHERE o_orderstatus <> 'F')
 SELECT row_number() OVER (ORDER BY rank DESC, o_custkey DESC, o_orderkey) AS place,
   upper((['{"', '".join(K.SEVERITIES)}'])[rank + 1]) || ' · S1 Change — ' || o_orderkey || ' · blast radius ' || o_custkey || ' · look' AS line FROM o""",
+    "domain_search": f"""
+WITH h AS (SELECT page_id, {HOST_SQL} AS h, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, {TITLE_SQL} AS title FROM pages), p AS (SELECT *, {OWNER_SQL} AS domain FROM h),
+t AS (SELECT page_id, domain, term, count(*) AS tf FROM (SELECT page_id, domain, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)')) AS term FROM p) GROUP BY 1, 2, 3),
+l AS (SELECT page_id, sum(tf) AS len FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), n AS (SELECT (SELECT count(*) FROM p) AS n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM p) AS mean),
+w AS (SELECT page_id, domain, term, CAST(round(ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean)) * 1000000) AS BIGINT) AS weight FROM t JOIN l USING (page_id) JOIN d USING (term), n),
+q AS (SELECT DISTINCT page_id AS query_id, domain, unnest(regexp_extract_all(lower(title), '([a-z0-9]+)')) AS term FROM p WHERE page_id % 10 = 0 AND page_id % 50 <> 0),
+s AS (SELECT query_id, page_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN w USING (domain, term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s)
+SELECT query_id, rank, r.page_id, score, tier FROM r JOIN ({_TIERS}) AS g ON g.page_id = r.page_id WHERE rank <= 5
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'refused' FROM pages WHERE page_id % 50 = 0""",
 }

@@ -316,7 +316,7 @@ QUERIES = {
 
 HOST_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)), '^.*@', ''), ':.*$', ''), '^www\.', '')"
 OWNER_SQL = "CASE WHEN regexp_matches(h, '^[0-9.]*$') THEN h ELSE array_to_string(string_split(h, '.')[-2:], '.') END"
-_TITLE = r"substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 160)"
+TITLE_SQL = r"substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 160)"
 
 _PIECES = r"list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '')"
 _PROSE = (
@@ -371,7 +371,7 @@ WITH x AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*("
 u AS (SELECT page_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM x),
 d AS (SELECT page_id, regexp_replace(t, '^["'']|["'']$', '', 'g') AS target, min(i) AS i FROM u GROUP BY 1, 2)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, target FROM d""",
-    "main_text_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
+    "main_text_title": f"SELECT page_id, {TITLE_SQL} AS title FROM pages",
     "image_link_census": f"""
 WITH p AS (SELECT {HOST_SQL} AS host, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS a, regexp_extract_all(html, '<img[^>]*src="([^"]+)"', 1) AS i FROM pages),
 a AS (SELECT host, count(DISTINCT x) AS n FROM (SELECT host, unnest(a) AS x FROM p) GROUP BY 1), i AS (SELECT host, count(DISTINCT x) AS n FROM (SELECT host, unnest(i) AS x FROM p) GROUP BY 1)
