@@ -51,3 +51,15 @@ def test_nothing_of_the_dictionary_comes_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "collect", lambda self: pytest.fail("collected"))
     texts, words = spark.createDataFrame([("a b",)], "t string"), spark.createDataFrame([("b",)], "w string")
     assert dictionary.matched(texts, "t", words, "w").count() == 1
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_containment_by_grams_is_containment(spark, seed):
+    rng = random.Random(seed)
+    make = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    texts = [*(make(rng.randint(0, 25)) for _ in range(50)), None, "same", "same"]
+    words = [*(make(rng.randint(0, 8)) for _ in range(60)), None, "same", "same"]
+    a = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    b = spark.createDataFrame(list(enumerate(words)), "j long, w string")
+    got = sorted((r["i"], r["j"]) for r in dictionary.containing(a, "t", b, "w").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, w in enumerate(words) if t and w and w in t)

@@ -51,3 +51,29 @@ def matched(texts: DataFrame, text: str, words: DataFrame, word: str, before: st
     pattern = F.concat(F.lit(f"(?<!{before})("), F.array_join(longest, "|"), F.lit(f")(?!{after})"))
     found = F.when(F.size(held) > 0, F.array_distinct(F.regexp_extract_all(low, pattern, 1))).otherwise(F.array().cast("array<string>"))
     return joined.withColumn("found", F.when(F.col("__words").isNull(), F.array().cast("array<string>")).otherwise(found)).drop("__key", "__words")
+
+
+#: Characters of a gram: a word stands under one of its grams, a shorter one under itself.
+GRAM = 5
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of one size; none for a shorter text."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Every pair of a row of texts and a row of words whose word stands anywhere in the text, by an equi-join on grams; empty words stand in none.
+
+    A word is placed under the one of its grams of five characters that the fewest words share, or under itself if it is shorter; texts are
+    exploded into their distinct grams of every size up to five that a word has; what meets is verified. Case counts; nulls meet nothing.
+    """
+    own = words.select(F.col(word).alias("__w")).filter("__w <> ''").distinct()
+    each = own.select("__w", F.explode(F.when(F.length("__w") < GRAM, F.array("__w")).otherwise(_grams(F.col("__w"), GRAM))).alias("__gram"))
+    shared = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("n")), "__gram")
+    placed_words = shared.groupBy("__w").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
+    bodies = texts.select(F.col(text).alias("__t")).distinct()
+    grams = bodies.select("__t", F.explode(F.concat(*[_grams(F.col("__t"), n) for n in range(1, GRAM + 1)])).alias("__gram"))
+    pairs = grams.join(placed_words, "__gram").filter(F.contains("__t", F.col("__w"))).select("__t", "__w").distinct()
+    return texts.join(pairs, texts[text] == pairs["__t"]).drop("__t").join(words, F.col("__w") == words[word]).drop("__w")

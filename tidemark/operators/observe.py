@@ -13,6 +13,7 @@ from tidemark.functions import constants as K
 from tidemark.functions import hashing as H
 from tidemark.functions import ladders as L
 from tidemark.functions import text as T
+from tidemark.operators import dictionary
 from tidemark.operators import resolve
 from tidemark.sources import snapshots
 
@@ -160,9 +161,9 @@ def nodes(dependencies: DataFrame, index: DataFrame, rules: DataFrame, upstream_
     gone = rows.join(index.select(F.col("node").alias("canonical_name")), "canonical_name", "left_anti").select("dep_id", F.lit(True).alias("gone"))
     named = rows.join(rules.select("rule_id", F.explode("node_types").alias("canonical_name")), "canonical_name").groupBy("dep_id").agg(F.min("rule_id").alias("named"))
     blob = F.lower(F.concat_ws(" ", "title", "description"))
-    general = rules.filter(F.size("node_types") == 0).select("rule_id", blob.alias("blob"))  # a few dozen rows
-    mention = lambda c: (F.length(c) > 3) & F.contains(F.col("blob"), F.lower(c))
-    capable = rows.join(general, mention("leaf") | mention("human")).groupBy("dep_id").agg(F.min("rule_id").alias("possible"))
+    general = rules.filter(F.size("node_types") == 0).select("rule_id", blob.alias("blob"))
+    terms = rows.select("dep_id", F.explode(F.array_distinct(F.array(F.lower("leaf"), F.lower("human")))).alias("term")).filter(F.length("term") > 3)
+    capable = dictionary.containing(general, "blob", terms, "term").groupBy("dep_id").agg(F.min("rule_id").alias("possible"))
     out = rows.join(gone, "dep_id", "left").join(named, "dep_id", "left").join(capable, "dep_id", "left")
     status = F.when(F.col("gone"), "broken").when(F.col("named").isNotNull() | F.col("possible").isNotNull(), "changed").otherwise("ok")
     signal = F.when(F.col("gone"), "node_removed_upstream").when(F.col("named").isNotNull(), "breaking_change_declared").when(F.col("possible").isNotNull(), "breaking_change_possible").otherwise("")

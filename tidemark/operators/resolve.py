@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
+from tidemark.operators import dictionary
 
 
 def alias_index(entries: DataFrame) -> DataFrame:
@@ -44,13 +45,16 @@ def entry_of_domain(rows: DataFrame, domains: DataFrame, host: str = "host") ->
 def course_of_workbook(books: DataFrame, keys: DataFrame, shortest: int = 5) -> DataFrame:
     """books(book) with course and reason; keys(key, course). An exact stem wins, else containment either way; two courses are none.
 
-    keys is the roster: a row or two a course. It is small by nature, and the containment join compares distinct stems with it.
+    Containment is an equi-join on grams, either way, so neither side has to be small.
     """
     stems = books.withColumn("stem", T.workbook_stem(F.col("book")))
     distinct = stems.select("stem").distinct()
-    near = (F.length("key") >= shortest) & (F.contains(F.col("stem"), F.col("key")) | F.contains(F.col("key"), F.col("stem")))
     exact = F.col("stem") == F.col("key")
-    hits = distinct.filter("stem <> ''").join(keys, exact | near).groupBy("stem").agg(
+    stemmed, long = distinct.filter("stem <> ''"), keys.filter(F.length("key") >= shortest)
+    names = ["stem", "key", "course"]
+    same = stemmed.join(keys, exact).select(*names)
+    held = dictionary.containing(stemmed, "stem", long, "key").select(*names).unionByName(dictionary.containing(long, "key", stemmed, "stem").select(*names))
+    hits = same.unionByName(held).groupBy("stem").agg(
         F.max(F.when(exact, F.col("course"))).alias("exact"), F.array_sort(F.collect_set("course")).alias("courses"))
     out = stems.join(hits, "stem", "left")
     course = F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.size("courses") == 1, F.element_at("courses", 1)).otherwise("")
@@ -128,3 +132,38 @@ def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(number)
     marked = rows.select(*keys, number).distinct().withColumn("__g", F.col(number) - F.row_number().over(w))
     return marked.groupBy(*keys, "__g").agg(F.min(number).alias("low"), F.max(number).alias("high")).drop("__g")
+
+
+ANY_COURSE = "*"
+
+
+def courses_of(jobs: DataFrame, locations: DataFrame) -> DataFrame:
+    """run_id, slug: the courses that a run's scope touches, ``*`` for any.
+
+    Courses that the scope names, else those of the locations of the dependencies that it names; a scope of neither audits everything, and
+    dependencies that stand nowhere may concern any course. jobs(run_id, courses, dep_ids), locations(dep_id, course).
+    """
+    empty = F.array().cast("array<string>")
+    named = F.filter(F.coalesce("courses", empty), lambda c: c != "")
+    rows = jobs.select("run_id", named.alias("named"), F.coalesce("dep_ids", empty).alias("dep_ids"))
+    own = rows.filter(F.size("named") > 0).select("run_id", F.explode("named").alias("course"))
+    places = locations.filter("course <> ''").select("dep_id", "course").distinct()
+    asked = rows.filter((F.size("named") == 0) & (F.size("dep_ids") > 0)).select("run_id", F.explode("dep_ids").alias("dep_id")).join(places, "dep_id").select("run_id", "course")
+    found = own.unionByName(asked).select("run_id", T.slug(F.col("course")).alias("slug")).distinct()
+    return found.unionByName(rows.join(found, "run_id", "left_anti").select("run_id", F.lit(ANY_COURSE).alias("slug")))
+
+
+def backfilled(jobs: DataFrame, job_courses: DataFrame, locations: DataFrame) -> DataFrame:
+    """job_courses(run_id, slug) with rows for the runs that have none yet. Doing it again changes nothing."""
+    return job_courses.unionByName(courses_of(jobs.join(job_courses, "run_id", "left_anti"), locations))
+
+
+def agents_runs(runs: DataFrame, course: str = "") -> DataFrame:
+    """Agents' runs that scored a course, with that course's findings alone and whether they wait for review; all of them for no course.
+
+    runs(run_id, awaiting_review, findings array of structs with a course).
+    """
+    if not course:
+        return runs
+    mine = runs.withColumn("findings", F.filter("findings", lambda f: f["course"] == course))
+    return mine.filter(F.size("findings") > 0)

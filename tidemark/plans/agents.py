@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import constants as K
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
-from tidemark.operators import budget, evidence, frontier, report, search, trust
-from tidemark.plans.common import table
+from tidemark.operators import budget, evidence, frontier, report, resolve, search, trust
+from tidemark.plans.common import locations, table, with_course
 from tidemark.plans.web import HOST_SQL, OWNER_SQL, TITLE_SQL
 from tidemark.sources import stages
 
@@ -127,7 +127,28 @@ def domain_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(none)
 
 
-QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search)}
+def runs_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs each course's history has, after the runs without courses were given theirs: orders as runs, their parts as what was asked."""
+    k = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("part"))
+    parts = lines.groupBy("o_orderkey").agg(F.collect_set("part").alias("parts"))
+    courses = F.when(k % 5 == 0, F.array(_text("Course ", k % 4), F.lit("")))
+    deps = F.when(k % 5 == 3, F.array(_text("gone", k))).when(k % 5 != 1, F.col("parts"))
+    jobs = table(spark, sf_dir, "orders").join(parts, "o_orderkey", "left").select(k.alias("run_id"), courses.alias("courses"), deps.alias("dep_ids"))
+    taught = with_course(spark, sf_dir, locations(spark, sf_dir)).filter("dep_id % 3 <> 0").select(F.col("dep_id").cast("string").alias("dep_id"), "course")
+    had = jobs.filter("run_id % 2 = 0").select("run_id", F.lit("old").alias("slug"))
+    return resolve.backfilled(jobs, had, taught).groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+
+
+def agents_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of agents that concern one nation (customers, with their orders as findings), its findings, and how many wait for review."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.struct(_text("nation ", F.col("o_orderkey") % 25).alias("course"), F.col("o_orderkey").alias("finding")).alias("f"))
+    runs = orders.groupBy("run_id").agg(F.collect_list("f").alias("findings")).withColumn("awaiting_review", F.col("run_id") % 3 == 0)
+    mine = resolve.agents_runs(runs, "nation 7")
+    return mine.select("run_id", F.size("findings").cast("long").alias("findings"), F.aggregate("findings", F.lit(0).cast("long"), lambda a, f: a + f["finding"]).alias("total"), "awaiting_review")
+
+
+QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search, runs_by_course, agents_by_course)}
 
 #: Tiers of pages for a subject that owns their domain.
 _TIERS = f"""SELECT page_id, CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
@@ -189,4 +210,12 @@ s AS (SELECT query_id, page_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s)
 SELECT query_id, rank, r.page_id, score, tier FROM r JOIN ({_TIERS}) AS g ON g.page_id = r.page_id WHERE rank <= 5
 UNION ALL SELECT page_id, NULL, NULL, NULL, 'refused' FROM pages WHERE page_id % 50 = 0""",
+    "runs_by_course": """
+WITH j AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 <> 0),
+t AS (SELECT DISTINCT l_partkey AS part, n_name AS course FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE l_partkey % 3 <> 0),
+f AS (SELECT k, 'course_' || k % 4 AS slug FROM j WHERE k % 5 = 0
+  UNION SELECT k, trim(regexp_replace(lower(course), '[^a-z0-9]+', '_', 'g'), '_') FROM j JOIN lineitem ON l_orderkey = k JOIN t ON part = l_partkey WHERE k % 5 IN (2, 4)),
+a AS (SELECT k, slug FROM f UNION ALL SELECT k, '*' FROM j WHERE k NOT IN (SELECT k FROM f) UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey % 2 = 0)
+SELECT slug, count(*) AS n FROM a GROUP BY 1""",
+    "agents_by_course": "SELECT o_custkey AS run_id, count(*) AS findings, CAST(sum(o_orderkey) AS BIGINT) AS total, o_custkey % 3 = 0 AS awaiting_review FROM orders WHERE o_orderkey % 25 = 7 GROUP BY 1",
 }

@@ -127,6 +127,8 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = ((0, 21), (21, 21), (42, 22))
 #: Hashes under one key that meet in one piece of work.
 _TOGETHER = 2048
+#: Full keys that are sent to all tasks at most, 12 bytes each.
+_FEW_KEYS = 1 << 18
 
 
 def near_hashes(classes: DataFrame, together: int = _TOGETHER) -> DataFrame:
@@ -144,8 +146,9 @@ def near_hashes(classes: DataFrame, together: int = _TOGETHER) -> DataFrame:
     flips = ", ".join(f"{m}L" for m in (0, *(1 << j for j in range(22))))
     common = rows.select(F.expr(f"explode(array({value}))").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 23 > together)
     full = common.select("n", F.expr(f"explode(transform(array({flips}), m -> v ^ m))").alias("key")).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > together)
-    full = full.select("key", F.ceil(F.col("n") / together).cast("int").alias("blocks"))
-    dealt = keyed.join(F.broadcast(full), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # few: each stands for a block of rows and more
+    full = staged(full.select("key", F.ceil(F.col("n") / together).cast("int").alias("blocks")))
+    few = full.limit(_FEW_KEYS + 1).count() <= _FEW_KEYS  # usually: each stands for a block of rows and more. Beyond it both sides are shuffled
+    dealt = keyed.join(F.broadcast(full) if few else full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     a = dealt.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).alias("a")
     b = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
     low, high = ((1 << 21) - 1), ((1 << 42) - (1 << 21))
