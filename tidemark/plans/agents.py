@@ -151,7 +151,7 @@ def agents_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search, runs_by_course, agents_by_course)}
 
 #: Tiers of pages for a subject that owns their domain.
-_TIERS = f"""SELECT page_id, CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
+TIERS_OF_OWN_PAGES = f"""SELECT page_id, CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
   WHEN regexp_matches(h, '^(community|forum|forums|discuss|answers|ask|support-community|users|help-community)[.]') OR regexp_matches(lower(url), '/(t|questions|discussions|threads|topic|forum|community)/|/viewtopic') THEN 'LEAD_ONLY'
   ELSE 'AUTHORITATIVE' END AS tier FROM (SELECT page_id, url, {HOST_SQL} AS h FROM pages)"""
 
@@ -208,7 +208,7 @@ w AS (SELECT page_id, domain, term, CAST(round(ln(1.0::DOUBLE + (n - df + 0.5::D
 q AS (SELECT DISTINCT page_id AS query_id, domain, unnest(regexp_extract_all(lower(title), '([a-z0-9]+)')) AS term FROM p WHERE page_id % 10 = 0 AND page_id % 50 <> 0),
 s AS (SELECT query_id, page_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN w USING (domain, term) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM s)
-SELECT query_id, rank, r.page_id, score, tier FROM r JOIN ({_TIERS}) AS g ON g.page_id = r.page_id WHERE rank <= 5
+SELECT query_id, rank, r.page_id, score, tier FROM r JOIN ({TIERS_OF_OWN_PAGES}) AS g ON g.page_id = r.page_id WHERE rank <= 5
 UNION ALL SELECT page_id, NULL, NULL, NULL, 'refused' FROM pages WHERE page_id % 50 = 0""",
     "runs_by_course": """
 WITH j AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 <> 0),
