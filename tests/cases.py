@@ -1,6 +1,6 @@
-"""Queries over literal rows, for what the driver tables have nothing of: links, code, vendors' tables, course exports, claims.
+"""Unit cases of the engine's operators on a few literal rows each, with the rows that must come out: links, code, tables, exports, claims.
 
-Their SQL states the expected rows. Every fixture is a few rows written for the case; the operators are those that run on whole tables.
+They are tests alone; the same operators run over whole tables in ``tidemark.plans``.
 """
 
 from __future__ import annotations

@@ -37,12 +37,7 @@ def gated(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def statement(kind: Column, name: Column, quote: Column) -> Column:
-    endings = {
-        "deprecation": ": its own documentation uses deprecation language", "pricing": ": its own pricing page describes plan or quota limits",
-        "implementation": ": its own docs describe a breaking or renamed interface", "version": ": its own release notes name a current version",
-        "existence": ": its own status page reports service state", "availability": ": its own pages describe signup or access requirements",
-    }
-    known = F.create_map(*[F.lit(x) for kv in endings.items() for x in kv])
+    known = F.create_map(*[F.lit(x) for kv in K.CLAIM_ENDINGS.items() for x in kv])
     return F.concat(name, F.coalesce(F.try_element_at(known, kind), F.concat(F.lit(": "), F.substring(quote, 1, 80))))
 
 

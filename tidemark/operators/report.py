@@ -10,13 +10,6 @@ from tidemark.functions import ladders as L
 from tidemark.operators import trust
 from tidemark.operators.prefix import numbered
 
-#: When to act, by severity.
-WHEN = {
-    "critical": "This sprint — before any live cohort reaches the affected session.", "high": "Within two weeks.", "medium": "Next curriculum cycle.",
-    "low": "Opportunistically, when the session is next touched.", "info": "No action needed yet; recorded for awareness.",
-}
-
-
 def action(signal: Column, name: Column, signals: Column) -> Column:
     """What to do about a finding of each class."""
     has = lambda s: F.array_contains(signals, s)
@@ -32,7 +25,7 @@ def action(signal: Column, name: Column, signals: Column) -> Column:
 def noted(found: DataFrame, today: Column) -> DataFrame:
     """Findings with what, why and when to act, and a due date."""
     scope = F.concat_ws(", ", F.when(F.col("questions_executing") > 0, F.concat(F.col("questions_executing"), F.lit(" graded item(s) execute it"))), F.when(F.col("blast_radius") > 0, F.concat(F.lit("blast radius "), F.col("blast_radius"))))
-    return found.withColumns({"what": action(F.col("signal"), F.col("canonical_name"), F.col("probe_signals")), "scope": scope, "when": L.lookup(WHEN, F.col("severity")), "due_by": L.due_date(F.col("severity"), today)})
+    return found.withColumns({"what": action(F.col("signal"), F.col("canonical_name"), F.col("probe_signals")), "scope": scope, "when": L.lookup(K.WHEN_TO_ACT, F.col("severity")), "due_by": L.due_date(F.col("severity"), today)})
 
 
 def digest_lines(notes: DataFrame) -> DataFrame:

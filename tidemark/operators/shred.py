@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions import constants as K
 from tidemark.functions import text as T
 
 _EMPTY = "array<variant>"
@@ -137,16 +138,7 @@ def dereferenced(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 # --- workbooks, as long tables of cells(book, sheet, row, col, value); row 1 holds the headers ------------------------------------------------
 
-OUTLINE = {
-    "session_no": ("session no.", "session no", "session number"), "session_id": ("session id",), "session_name": ("session name", "session title"),
-    "topic_name": ("topic name", "module name"), "outline": ("outline",), "takeaways": ("key takeaways", "key takeaway"), "ppt": ("session ppt", "ppt", "session ppt link"),
-    "unit_id": ("unit id",), "artifact": ("reading material/ mcq / coding practice", "reading material / mcq / coding practice"),
-}
-TOOL_HEADERS = ("tool@version", "tools", "tools used", "tool", "entity name")
-SESSION_HEADERS = ("session name", "session title", "entity name", "unit title", "unit name", "session")
-
-
-def sheet_rows(cells: DataFrame, aliases: dict[str, tuple[str, ...]] = OUTLINE) -> DataFrame:
+def sheet_rows(cells: DataFrame, aliases: dict[str, tuple[str, ...]] = K.OUTLINE_HEADERS) -> DataFrame:
     """book, sheet, row and a column for each field: headers are known by their names, never by their place."""
     heads = cells.filter("row = 1").select("book", "sheet", "col", T.header(F.col("value")).alias("head"))
     names = cells.sparkSession.createDataFrame([(a, f) for f, al in aliases.items() for a in al], "head string, field string")
@@ -178,10 +170,10 @@ def session_of_unit(cells: DataFrame, sessions: DataFrame, sheet: str = "Session
 def sheet_tools(cells: DataFrame) -> DataFrame:
     """book, sheet, row, session, name, version, qualifier of every tool column, flattened."""
     heads = cells.filter("row = 1").select("book", "sheet", "col", T.header(F.col("value")).alias("head"))
-    tools = heads.filter(F.col("head").isin(*TOOL_HEADERS))
+    tools = heads.filter(F.col("head").isin(*K.TOOL_HEADERS))
     better = tools.filter("head <> 'entity name'").select("book", "sheet").distinct().withColumn("better", F.lit(True))
     tools = tools.join(better, ["book", "sheet"], "left").filter("better IS NULL OR head <> 'entity name'").select("book", "sheet", "col")
-    sessions = heads.filter(F.col("head").isin(*SESSION_HEADERS)).join(tools, ["book", "sheet", "col"], "left_anti").groupBy("book", "sheet").agg(F.min("col").alias("col"))
+    sessions = heads.filter(F.col("head").isin(*K.SESSION_HEADERS)).join(tools, ["book", "sheet", "col"], "left_anti").groupBy("book", "sheet").agg(F.min("col").alias("col"))
     body = cells.filter("row > 1")
     named = body.join(sessions, ["book", "sheet", "col"]).select("book", "sheet", "row", F.trim("value").alias("session"))
     found = body.join(tools, ["book", "sheet", "col"]).select("book", "sheet", "row", F.explode(T.tool_cell(F.col("value"))).alias("t"))

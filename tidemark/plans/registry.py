@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import agents, derived, domain, impact, measures, replies, runs, streams, web
+from tidemark.plans import agents, derived, impact, measures, replies, runs, streams, web
 
-MODULES = (impact, runs, web, derived, agents, replies, measures, domain, streams)
+MODULES = (impact, runs, web, derived, agents, replies, measures, streams)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
