@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import locate, shred
-from tidemark.sources import published
-from tidemark.streaming import deltas, gates, jobs
+from tidemark.sources import fetch_log, published
+from tidemark.plans import streams
+from tidemark.streaming import caches, deltas, gates, jobs
 
 
 def ran(spark, df, path, at):
@@ -168,3 +169,36 @@ def test_a_number_is_taken_once(spark, tmp_path):
     store.commit({"a": rows(spark, 1)})
     assert not store.publish(1, {"a": "x"}, ["a"]) and store.publish(2, {"a": "data/y/a"}, ["a"]) and store.versions() == [1, 2]
     assert sorted(p.name for p in (tmp_path / "t/versions").iterdir() if not p.name.startswith(".")) == ["0000000001", "0000000002"]
+
+
+def test_caches_are_a_replay(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = streams.body_requests(spark, folder).filter("url IS NOT NULL").selectExpr("cache", "request", "url", "unix_millis(at) AS at").collect()
+    want, held = {}, {}
+    for r in sorted(rows, key=lambda r: (r["at"], r["request"])):
+        bodies = held.setdefault(r["cache"], {})  # url: (fetched, used)
+        there = bodies.get(r["url"])
+        fresh = there is not None and r["at"] - there[0] < caches.TTL
+        bodies[r["url"]] = (there[0] if fresh else r["at"], r["at"])
+        out = None
+        if len(bodies) > streams.BODIES:
+            out = min(((used, u) for u, (_, used) in bodies.items() if u != r["url"]))[1]
+            del bodies[out]
+        want[r["cache"], r["request"]] = (r["url"], "hit" if fresh else "miss" if there is None else "expired", out)
+    got = {(r["cache"], r["request"]): (r["url"], r["outcome"], r["evicted"]) for r in streams.cached_bodies(spark, folder).collect()}
+    assert got == want and {o for _, o, _ in want.values()} == {"hit", "miss", "expired"} and any(e for *_, e in want.values())
+
+
+def test_an_entry_of_the_log_counts_when_it_is_whole(spark, tmp_path):
+    root = f"file://{tmp_path}/log"
+    fetch = lambda *urls: spark.createDataFrame([(u.split("/")[2], u, 200, u, None, "line\nline é", "now") for u in urls], fetch_log.FETCHES)
+    assert fetch_log.entries(root) == 0
+    fetch_log.appended(fetch("https://a.test/1", "https://b.test/1"), root, 0)
+    fetch_log.appended(fetch("https://a.test/2"), root, 1)
+    fetch_log.appended(fetch("https://c.test/3"), root, 2)
+    (tmp_path / "log/1/_SUCCESS").unlink()  # its writer died: neither it nor what came after counts
+    spark.dataSource.register(fetch_log.FetchLog)
+    read = lambda: sorted((r["host"], r["url"], r["body"]) for r in spark.read.format("fetches").load(root).collect())
+    assert fetch_log.entries(root) == 1 and read() == [("a.test", "https://a.test/1", "line\nline é"), ("b.test", "https://b.test/1", "line\nline é")]
+    fetch_log.appended(fetch("https://a.test/2"), root, 1)
+    assert fetch_log.entries(root) == 3 and len(read()) == 4

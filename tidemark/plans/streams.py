@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls as U
 from tidemark.plans import runs
 from tidemark.plans.common import table
-from tidemark.sources import stages
-from tidemark.streaming import deltas, gates, jobs
+from tidemark.plans.web import HOST_SQL
+from tidemark.sources import fetch_log, stages
+from tidemark.streaming import caches, deltas, gates, jobs
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +109,47 @@ def stream_review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("thread >= 0").withColumn("decided_at", F.unix_micros("decided_at"))
 
 
-QUERIES = {f.__name__: f for f in (stream_watermark_gate, stream_signal_ledger, stream_tumbling, poll_deltas, job_states, stream_review_gate)}
+#: Bodies that a cache of the query holds, fewer than it is asked for.
+BODIES = 40
+
+
+def body_requests(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
+    """Events as requests of four caches for some hundred URLs, a few of them far more often; part: the file that brings a request, and one to close."""
+    e = F.col("event_id")
+    url = F.concat_ws("/", "event_type", F.when(e % 3 == 0, e % 7).otherwise((e * e) % 211).cast("string"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).cast("string").alias("cache"), e.alias("request"), url.alias("url"), F.col("ts").cast("timestamp").alias("at"))
+    low, high = rows.agg(F.min(F.unix_timestamp("at")), F.max(F.unix_timestamp("at"))).first()
+    filed = rows.withColumn("part", F.floor((F.unix_timestamp("at") - low) * parts / (high - low + 1)).cast("int"))
+    close = spark.range(1).select(F.lit("close").alias("cache"), F.lit(-1).cast("long").alias("request"), F.lit(None).cast("string").alias("url"), F.timestamp_seconds(F.lit(high + 10**8)).alias("at"), F.lit(parts).alias("part"))
+    return filed.unionByName(close)
+
+
+def cached_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What came of every request: hits, misses, bodies out of date, and what was driven out. Held against a replay in the tests."""
+    return gates.drained(caches.served(_stream(spark, _filed(body_requests(spark, sf_dir), "part", 5)), BODIES))
+
+
+def fetch_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a log of fetches in three entries: two are read, then the stream starts anew and reads the third; each fetch comes once."""
+    spark.dataSource.register(fetch_log.FetchLog)
+    page = F.col("page_id")
+    rows = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"), "url", F.when(page % 9 == 0, 404).otherwise(200).alias("status"), F.col("url").alias("final_url"), F.when(page % 9 == 0, "gone").alias("error"), F.when(page % 9 != 0, F.col("html")).alias("body"), page.cast("string").alias("at"), (page % 3).alias("entry"))
+    rows, root, out = stages.staged(rows), stages.shared_path(spark), stages.shared_path(spark)
+    for upto in (2, 3):
+        for n in range(0 if upto == 2 else 2, upto):
+            fetch_log.appended(rows.filter(F.col("entry") == n), root, n)
+        query = spark.readStream.format("fetches").load(root).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+        query.awaitTermination()
+    return spark.read.schema(fetch_log.FETCHES).parquet(f"{out}/rows").select("host", "url", F.col("status").cast("long").alias("status"), "error", F.sha2("body", 256).alias("body"), "at")
+
+
+QUERIES = {f.__name__: f for f in (stream_watermark_gate, stream_signal_ledger, stream_tumbling, poll_deltas, job_states, stream_review_gate, cached_bodies, fetch_log_stream)}
 ORACLE_SQL = {
     "stream_watermark_gate": runs.ORACLE_SQL["watermark_gate_batch"],
     "stream_signal_ledger": f"SELECT signal_id, source, value FROM ({runs.ORACLE_SQL['signal_ledger']})",
     "stream_tumbling": runs.ORACLE_SQL["tumbling_windows"],
+    "fetch_log_stream": f"""SELECT {HOST_SQL} AS host, url, CAST(CASE WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS BIGINT) AS status, CASE WHEN page_id % 9 = 0 THEN 'gone' END AS error,
+  CASE WHEN page_id % 9 <> 0 THEN sha256(html) END AS body, CAST(page_id AS VARCHAR) AS at FROM pages""",
     "poll_deltas": f"""
 WITH n AS (SELECT count(*) AS n FROM events),
 s AS (SELECT CAST(user_id AS VARCHAR) AS source, event_id * {POLLS} // n AS poll, event_type AS id, CASE WHEN count(*) > 3 THEN 'busy' ELSE 'calm' END AS status FROM events, n GROUP BY 1, 2, 3),
