@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import budget, evidence, frontier, prefix, search
+from tidemark.operators import budget, evidence, frontier, prefix, score, search
 
 SUBJECT = "dep_id string, name string, aliases array<string>, subject struct<official_domains: array<string>>"
 
@@ -159,3 +159,18 @@ def test_search_is_brute_force_and_opens_few_blocks(spark):
     assert {r["query_id"] for r in search.refused(queries).collect()} == {90, 93}
     hits = queries.select("query_id", F.explode("domains").alias("domain"), F.explode(search.terms_of(F.col("text"))).alias("term")).dropDuplicates().join(blocks, ["term", "domain"]).withColumn("block", F.struct("domain", "block"))
     assert search.opened(hits, 1).count() < hits.select("query_id", "block").distinct().count()
+
+
+def test_a_declared_change_that_cannot_be_cited_is_noted_not_attached(spark):
+    deps = spark.createDataFrame([("n", "n8n_node", "x.chat", ["n8n.io"]), ("m", "model", "llama", ["owner.io"])], "dep_id string, kind string, canonical_name string, official_domains array<string>")
+    rows = [("n", "Embedded chat now uses a JSON format", "https://www.npmjs.com/package/x", []), ("n", "Webhooks must name their method", "https://docs.n8n.io/b", []), ("m", "Retired on the first of May", "https://server.io/d", ["server.io"]), ("m", "Retired, says nobody in particular", "https://server.io/d", []), ("n", "short", "https://docs.n8n.io/c", []), ("n", "Has no page of its own at all", "", [])]
+    more = ("", "3.0", "", False, "", "", "")
+    changes = spark.createDataFrame([(d, t, *more[:2], u, *more[2:3], p, *more[3:]) for d, t, u, p in rows], "dep_id string, title string, description string, version string, doc_url string, provider string, provider_domains array<string>, still_listed boolean, listed_url string, listed_quote string, listed_price string")
+    claims, notes = evidence.declared(deps, changes)
+    assert sorted((r["dep_id"], r["kind"], r["source_url"]) for r in claims.collect()) == [("m", "deprecation", "https://server.io/d"), ("n", "implementation", "https://docs.n8n.io/b")]
+    assert sorted(map(tuple, notes.collect())) == [("m", "declared_change_unciteable:server.io"), ("n", "declared_change_unciteable:npmjs.com")]
+    places = spark.createDataFrame([("n", "C", "u", 1, "n8n_workflow", "CODING_QUESTIONS", "q", "n8n_node")], "dep_id string, course string, unit_id string, session_no int, evidence_source string, object_type string, content_id string, kind string").drop("kind")
+    probes = spark.createDataFrame([("n", "ok", ["breaking_change_declared"], "low")], "dep_id string, status string, signals array<string>, declared_severity string")
+    found = score.findings(deps.withColumn("watch_tier", F.lit("critical")), places, probes, claims.filter("dep_id = 'n'"), notes=notes).collect()
+    assert {u for r in found for u in r["evidence_urls"]} == {"https://docs.n8n.io/b"}
+    assert [r["probe_signals"] for r in found if "breaking_change_declared" in r["probe_signals"]] == [["breaking_change_declared", "declared_change_unciteable:npmjs.com"]]

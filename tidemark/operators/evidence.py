@@ -103,6 +103,33 @@ def merged_claims(tabled: DataFrame, prose: DataFrame) -> DataFrame:
     return one.select(*keys, *[F.col(f"c.{n}").alias(n) for n in names], F.when(F.col("c.place.reader") == 0, "table").otherwise("prose").alias("reader"))
 
 
+def declared(dependencies: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims that vendors' declared changes make, and notes on those that can't be cited.
+
+    A change with a page and a text of its own is a claim: of a model a deprecation, else of how something is implemented. For a model, a
+    provider whose own catalogue named it speaks too (``trust.with_provider``). A claim that can't settle its kind isn't attached: the note
+    ``declared_change_unciteable:<domain>`` stands for it. A vendor that still lists what it retires is quoted for that as well.
+
+    dependencies(dep_id, kind, canonical_name, official_domains); changes(dep_id, title, description, version, doc_url, provider,
+    provider_domains, still_listed, listed_url, listed_quote, listed_price). Claims as ``gated`` gives them; notes (dep_id, note).
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = changes.join(dependencies.select("dep_id", F.col("kind").alias("of_kind"), "canonical_name", "official_domains"), "dep_id")
+    rows = rows.withColumn("own_domains", trust.with_provider(F.col("official_domains"), F.col("provider_domains"), F.col("of_kind")))
+    model = F.col("of_kind") == "model"
+    quote = F.array_join(F.filter(F.array(text(F.col("title")), text(F.col("description"))), lambda x: x != ""), " ")
+    said = F.when(model, text(F.col("title"))).otherwise(F.concat(F.lit("n8n declares: "), text(F.col("title")), F.lit(" (n8n "), text(F.col("version")), F.lit(")")))
+    change = F.struct(F.when(model, "deprecation").otherwise("implementation").alias("kind"), said.alias("statement"), text(F.col("doc_url")).alias("source_url"), quote.alias("quote"), F.lit(True).alias("strict"))
+    listed = F.concat("canonical_name", F.lit(" is still listed by "), F.coalesce(F.nullif("provider", F.lit("")), F.lit("the provider")), F.lit(" at "), F.coalesce(F.nullif("listed_price", F.lit("")), F.lit("quote-only")), F.lit(" pricing"))
+    sighting = F.struct(F.lit("pricing").alias("kind"), listed.alias("statement"), text(F.col("listed_url")).alias("source_url"), text(F.col("listed_quote")).alias("quote"), F.lit(False).alias("strict"))
+    both = F.array(change, F.when(F.coalesce("still_listed", F.lit(False)) & (text(F.col("listed_url")) != ""), sighting))
+    each = rows.select("dep_id", "own_domains", F.explode(F.array_compact(both)).alias("c")).select("dep_id", "own_domains", "c.*").filter((F.col("source_url") != "") & (F.length("quote") >= SHORTEST_QUOTE))
+    claims, _ = gated(each)
+    loose = claims.filter(F.col("strict") & ~F.col("substantiates"))
+    notes = loose.select("dep_id", F.concat(F.lit("declared_change_unciteable:"), U.host(F.col("source_url"))).alias("note")).distinct()
+    return claims.filter(~F.col("strict") | F.col("substantiates")).drop("strict"), notes
+
+
 def successor_leads(pages: DataFrame) -> DataFrame:
     """dep_id, url, successor, quote: names that a deprecation notice, or the sentence after it, puts forward.
 

@@ -43,9 +43,10 @@ def upserted(previous: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...
 
 
 def latest(rows: DataFrame, keys: list[str], order: str, *ties: str) -> DataFrame:
-    """The last row of each key by an order."""
-    w = W.partitionBy(*keys).orderBy(F.col(order).desc(), *[F.col(t).desc() for t in ties])
-    return rows.withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
+    """The last row of each key by an order; an aggregate, so rows are combined before they are shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *ties)).alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in rows.columns])
 
 
 def streaks(events: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:

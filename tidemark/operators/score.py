@@ -79,10 +79,15 @@ def claim_signals(claims: DataFrame, probes: DataFrame) -> DataFrame:
     return rows.filter((F.col("kind") != "implementation") | F.coalesce("probed", F.lit(False))).select("dep_id", "signal", "source_url")
 
 
-def findings(dependencies: DataFrame, locations: DataFrame, probes: DataFrame, claims: DataFrame, alternatives: DataFrame | None = None) -> DataFrame:
+#: Probe signals that rest on what a vendor declares.
+FROM_VENDOR = ("breaking_change_declared", "breaking_change_possible", "model_shutdown_passed", "model_tier_restricted", "model_deprecation_declared")
+
+
+def findings(dependencies: DataFrame, locations: DataFrame, probes: DataFrame, claims: DataFrame, alternatives: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
     """finding_id, dep_id, signal, label, kind_of_signal, severity, blast_radius, probe_signals, evidence_urls and counts.
 
-    declared: the worst severity that a vendor states for its change (column of probes, may be null). Each rule of the program is one
+    declared: the worst severity that a vendor states for its change (column of probes, may be null). notes(dep_id, note) of changes that can't
+    be cited (``evidence.declared``) join the probe signals of what the vendor declared. Each rule of the program is one
     step: signals to news, news to findings, severities by signal, then what depends on a dependency's other findings.
     """
     numbers = reach(locations.join(dependencies.select("dep_id", "kind"), "dep_id"), "dep_id")
@@ -104,6 +109,9 @@ def findings(dependencies: DataFrame, locations: DataFrame, probes: DataFrame, c
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("probe_signals")))).alias("probe_signals"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_urls")))).alias("evidence_urls"))
     declared = probes.select("dep_id", F.col("declared_severity")) if "declared_severity" in probes.columns else probes.select("dep_id", F.lit(None).cast("string").alias("declared_severity"))
     rows = _severity(rows.join(declared, "dep_id", "left"))
+    if notes is not None:
+        told = notes.groupBy("dep_id").agg(F.array_sort(F.collect_set("note")).alias("__notes"))
+        rows = rows.join(told, "dep_id", "left").withColumn("probe_signals", F.when(F.col("__notes").isNotNull() & F.arrays_overlap("probe_signals", strings(FROM_VENDOR)), F.concat("probe_signals", "__notes")).otherwise(F.col("probe_signals"))).drop("__notes")
     # a moved page of a dead URL is one event
     dead = F.bool_or(F.col("signal") == "S1").over(W.partitionBy("dep_id"))
     moved = (F.col("signal") == "S5") & (F.size(F.array_except("probe_signals", strings(["redirected_off_path", "page_text_changed"]))) == 0)
@@ -124,7 +132,7 @@ def _severity(rows: DataFrame) -> DataFrame:
         .when(has("model_shutdown_passed") | has("model_tier_restricted"), L.retirement_rank(base, F.col("questions_executing"), F.col("graded_locations")))
         .when(has("free_tier_language_lost"), F.least(F.lit(4), base + 1)).when(has("pricing_page_changed") & (F.size("probe_signals") == 1), 1).otherwise(base)
     )
-    from_vendor = F.arrays_overlap("probe_signals", strings(["breaking_change_declared", "breaking_change_possible", "model_shutdown_passed", "model_tier_restricted", "model_deprecation_declared"]))
+    from_vendor = F.arrays_overlap("probe_signals", strings(FROM_VENDOR))
     rows = rows.withColumn("__base", L.severity_rank(F.col("signal"), F.col("watch_tier"), F.col("blast_radius"))).withColumn("__own", own)
     rows = rows.withColumn("__stated", F.when(from_vendor, L.rank_of(F.col("declared_severity"), K.SEVERITIES)))
     worse = F.greatest("__own", F.coalesce("__stated", F.lit(0)))

@@ -148,7 +148,22 @@ def agents_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.select("run_id", F.size("findings").cast("long").alias("findings"), F.aggregate("findings", F.lit(0).cast("long"), lambda a, f: a + f["finding"]).alias("total"), "awaiting_review")
 
 
-QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search, runs_by_course, agents_by_course)}
+def declared_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that vendors declare for all parts, as models or nodes: what becomes a claim, and which can only be noted."""
+    k, none = F.col("p_partkey"), F.lit(None).cast("string")
+    part = table(spark, sf_dir, "part")
+    model = k % 3 == 0
+    deps = part.select(k.cast("string").alias("dep_id"), F.when(model, "model").otherwise("n8n_node").alias("kind"), _text("Part ", k).alias("canonical_name"), F.array(F.lit("owner.io")).alias("official_domains"))
+    url = F.when(k % 4 == 0, "https://docs.owner.io/changes").when(k % 4 == 1, "https://www.npmjs.com/package/x").when(k % 4 == 3, "https://server.io/deprecations").otherwise("")
+    changes = part.select(
+        k.cast("string").alias("dep_id"), _text("Change ", k).alias("title"), F.when(k % 10 != 0, "of what it says").otherwise(none).alias("description"), F.lit("3.0").alias("version"), url.alias("doc_url"), F.when(k % 5 == 0, "Server").alias("provider"),
+        F.array(F.lit("server.io")).alias("provider_domains"), (k % 2 == 0).alias("still_listed"), F.lit("https://owner.io/models").alias("listed_url"), _text("m", k, " | $0.10 | 30 a minute").alias("listed_quote"), F.when(k % 7 == 0, "$0.10").alias("listed_price"),
+    )
+    claims, notes = evidence.declared(deps, changes)
+    return claims.select("dep_id", "kind", "statement", "tier").unionByName(notes.select("dep_id", F.lit("note").alias("kind"), F.col("note").alias("statement"), none.alias("tier")))
+
+
+QUERIES = {f.__name__: f for f in (frontier_endings, frontier_claims, table_evidence, call_ledger, digest_of_orders, domain_search, runs_by_course, agents_by_course, declared_changes)}
 
 #: Tiers of pages for a subject that owns their domain.
 TIERS_OF_OWN_PAGES = f"""SELECT page_id, CASE WHEN h = '' OR contains(lower(url), 'best-') OR contains(lower(url), 'top-10') OR contains(lower(url), 'aggregator') THEN 'EXCLUDED'
@@ -218,4 +233,10 @@ f AS (SELECT k, 'course_' || k % 4 AS slug FROM j WHERE k % 5 = 0
 a AS (SELECT k, slug FROM f UNION ALL SELECT k, '*' FROM j WHERE k NOT IN (SELECT k FROM f) UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey % 2 = 0)
 SELECT slug, count(*) AS n FROM a GROUP BY 1""",
     "agents_by_course": "SELECT o_custkey AS run_id, count(*) AS findings, CAST(sum(o_orderkey) AS BIGINT) AS total, o_custkey % 3 = 0 AS awaiting_review FROM orders WHERE o_orderkey % 25 = 7 GROUP BY 1",
+    "declared_changes": """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS model, length('Change ' || p_partkey || CASE WHEN p_partkey % 10 <> 0 THEN ' of what it says' ELSE '' END) >= 12 AS quotable FROM part),
+c AS (SELECT k, model, CASE WHEN k % 4 = 0 OR model THEN 'AUTHORITATIVE' END AS tier, CASE k % 4 WHEN 1 THEN 'npmjs.com' WHEN 3 THEN 'server.io' END AS host FROM p WHERE k % 4 <> 2 AND quotable)
+SELECT CAST(k AS VARCHAR) AS dep_id, CASE WHEN tier IS NULL THEN 'note' WHEN model THEN 'deprecation' ELSE 'implementation' END AS kind,
+  CASE WHEN tier IS NULL THEN 'declared_change_unciteable:' || host WHEN model THEN 'Change ' || k ELSE 'n8n declares: Change ' || k || ' (n8n 3.0)' END AS statement, tier FROM c
+UNION ALL SELECT CAST(k AS VARCHAR), 'pricing', 'Part ' || k || ' is still listed by ' || CASE WHEN k % 5 = 0 THEN 'Server' ELSE 'the provider' END || ' at ' || CASE WHEN k % 7 = 0 THEN '$0.10' ELSE 'quote-only' END || ' pricing', 'AUTHORITATIVE' FROM p WHERE k % 2 = 0""",
 }
