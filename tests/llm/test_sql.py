@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op3": "doc_id keep_id group_size kept text_sha256", "op5": "doc_id size source_size target taken", "op7": "query_id rank vec_id score", "op8": "doc_id held_out score predicted",
     "op9": "doc_id held_out n_tokens n_known train_tokens base_score score", "op10": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op11": "doc_id leaf subroot root proof_sha256 folded_root verified", "op12": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op13": "doc_id lang source text_sha256 n_clean n_edit_edit n_edit_delete n_insert_insert",
 }
 
 
