@@ -126,10 +126,10 @@ def reduced(nodes: DataFrame, scratch: _text.Scratch, fanout: int = FANOUT, leve
         return lambda df: df.groupBy("tree", "bucket").applyInPandas(run, schema)
 
     more = ", steps int, width long, bucket long, proof binary, root binary"
-    live, rounds, done = nodes.filter("size > 1"), [], [nodes.filter("size = 1").select("tree", F.col("digest").alias("root"), F.col("size").alias("leaves"))]
     first = nodes.withColumn("leaves", F.col("size"))
-    live = first.filter("size > 1")
     kinds += ", leaves long"
+    live, rounds = first.filter("size > 1"), []
+    done = [first.filter("size = 1").select("tree", F.col("digest").alias("root"), "leaves")]
     while not live.isEmpty():
         steps = F.least(F.lit(levels), depth(F.col("size"), fanout))
         sized = live.withColumn("steps", steps).withColumn("width", F.pow(F.lit(float(fanout)), "steps").cast("long")).withColumn("bucket", F.expr("place div width"))
