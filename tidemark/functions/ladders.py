@@ -73,13 +73,21 @@ def clamped(value: Column) -> Column:
     return F.when(number.isNotNull() & ~F.isnan(number), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
 
 
+#: A factor as a decimal; further places are rounded.
+_FACTOR = "decimal(11,10)"
+
+
 def fit_score(factors: dict[str, Column]) -> Column:
-    """Weighted mean of the known factors, weights renormalised; null with fewer than three, or without the central one."""
-    known = {k: clamped(v) for k, v in factors.items()}
+    """Weighted mean of the known factors, weights renormalised; null with fewer than three, or without the central one.
+
+    The mean is taken in decimals, so that one halfway between two thousandths is rounded up whatever the order of the sums.
+    """
+    known = {k: clamped(v).cast(_FACTOR) for k, v in factors.items()}
     count = sum((v.isNotNull().cast("int") for v in known.values()), F.lit(0))
-    total = sum((F.when(v.isNotNull(), K.FIT_WEIGHTS[k]).otherwise(0.0) for k, v in known.items()), F.lit(0.0))
-    mass = sum((F.coalesce(v * K.FIT_WEIGHTS[k], F.lit(0.0)) for k, v in known.items()), F.lit(0.0))
-    return F.when((count >= K.FIT_LEAST_KNOWN) & known["does_taught_job"].isNotNull(), F.round(mass / total, 3))
+    weights = {k: F.lit(K.FIT_WEIGHTS[k]).cast("decimal(4,2)") for k in known}
+    total = sum((F.when(v.isNotNull(), weights[k]).otherwise(0) for k, v in known.items()), F.lit(0))
+    mass = sum((F.coalesce(v * weights[k], F.lit(0)) for k, v in known.items()), F.lit(0))
+    return F.when((count >= K.FIT_LEAST_KNOWN) & known["does_taught_job"].isNotNull(), F.round(mass / total, 3).cast("double"))
 
 
 def session_numbers(spec: Column) -> Column:

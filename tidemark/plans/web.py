@@ -428,9 +428,10 @@ SELECT p AS path, n, CAST(d AS BIGINT) AS depth FROM e, (VALUES ('$', 0), ('$.a'
 WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 f AS (SELECT vec_id, CASE WHEN v[1] > -0.1 THEN round(v[1] * 4, 2) END AS a, CASE WHEN v[2] > -0.05 THEN round(v[2] * 4, 2) END AS b, CASE WHEN v[3] > 0 THEN round(v[3] * 4, 2) END AS c, round(v[4] * 4, 2) AS d,
              CASE WHEN v[5] > 0.05 THEN NULL ELSE round(v[5] * 4, 2) END AS e FROM e),
-g AS (SELECT vec_id, least(1, greatest(0, a)) AS a, b IS NOT NULL AS hb, c IS NOT NULL AS hc, e IS NOT NULL AS he, a IS NOT NULL AS ha, least(1, greatest(0, b)) AS b, least(1, greatest(0, c)) AS c, least(1, greatest(0, d)) AS d, least(1, greatest(0, e)) AS e FROM f)
-SELECT vec_id, CASE WHEN ha AND 2 + hb::INT + hc::INT + he::INT >= 3 THEN CAST(round(round((a * 0.4 + CASE WHEN hb THEN b * 0.25 ELSE 0 END + CASE WHEN hc THEN c * 0.15 ELSE 0 END + d * 0.1 + CASE WHEN he THEN e * 0.1 ELSE 0 END)
-  / (0.4 + CASE WHEN hb THEN 0.25 ELSE 0 END + CASE WHEN hc THEN 0.15 ELSE 0 END + 0.1 + CASE WHEN he THEN 0.1 ELSE 0 END), 3) * 1000) AS BIGINT) END AS fit_thousandths FROM g""",
+g AS (SELECT vec_id, unnest([a, b, c, d, e]) AS x, unnest([40, 25, 15, 10, 10]) AS w, unnest([true, false, false, false, false]) AS central FROM f),
+h AS (SELECT vec_id, CASE WHEN x IS NOT NULL THEN CAST(round(least(1, greatest(0, x)) * 100) AS BIGINT) END AS x, w, central FROM g),
+m AS (SELECT vec_id, coalesce(bool_or(central AND x IS NOT NULL) AND count(x) >= 3, false) AS enough, CAST(sum(x * w) AS BIGINT) AS mass, CAST(sum(w) FILTER (x IS NOT NULL) AS BIGINT) AS total FROM h GROUP BY 1)
+SELECT vec_id, CASE WHEN enough THEN (20 * mass + total) // (2 * total) END AS fit_thousandths FROM m""",
     "sessions_groups": """
 SELECT CASE WHEN turn < 6 THEN turn END AS session, count(*) AS n, count(*) FILTER (role = 'user') AS users, count(DISTINCT conv_id) AS conversations, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY 1""",
     "shutdown_parse_all": """
