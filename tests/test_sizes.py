@@ -12,3 +12,36 @@ def test_a_mean_between_two_thousandths_is_rounded_up(spark):
     rows = spark.createDataFrame([(*v, want) for v, want in cases], [*names, "want"])
     got = rows.select("want", L.fit_score({n: F.col(n) for n in names}).alias("fit")).collect()
     assert [r.fit for r in got] == [r.want for r in got]
+
+
+def broadcasts(df):
+    """What stands below each broadcast in a plan, before it runs."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-*(0123456789)")) for line in lines]
+    out = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            out.append("\n".join(lines[i + 1 : end]))
+    return out
+
+
+def test_exploded_texts_are_never_broadcast(spark, tmp_path):
+    """Their file is smaller than the words' one, and what they explode into is not."""
+    from tidemark.operators import dictionary
+
+    spark.range(20).select(F.lit("we like tool one and tool two").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    words = spark.range(3000).select(F.concat(F.lit("tool "), F.sha2(F.col("id").cast("string"), 256)).alias("w"))
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    words = words.unionByName(spark.createDataFrame([("tool one",)], "w string"))
+    for few in (1 << 16, 10):
+        before, dictionary._FEW_WORDS = dictionary._FEW_WORDS, few
+        try:
+            found = dictionary.matched(texts, "t", words, "w")
+            held = dictionary.containing(texts, "t", words, "w")
+        finally:
+            dictionary._FEW_WORDS = before
+        for df in (found, held):
+            assert not any("Generate" in plan for plan in broadcasts(df))
+        assert [r.found for r in found.collect()] == [["tool one"]] * 20
+        assert held.count() == 20

@@ -5,8 +5,8 @@ neither through the driver nor whole into a task. A word that occurs on word bou
 run of the text, so texts and words meet on runs:
 
 1. every word stands under the one of its runs that the fewest words share (a word without any: under its first character);
-2. texts are exploded into their distinct runs and joined with these, an equi-join that adaptive execution does by broadcast while the
-   dictionary is small and by a shuffle beyond, split where a run is hot;
+2. texts are exploded into their distinct runs and joined with these, an equi-join by broadcast of the words while they are few and by a
+   shuffle beyond, split where a run is hot; the exploded texts are never what is broadcast;
 3. each text then meets its candidates alone, once, and is searched with an alternation of those that it holds: words that it doesn't
    hold can't change what the whole alternation would find.
 """
@@ -16,6 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.stages import staged
+
+#: Words that are sent to all tasks at most.
+_FEW_WORDS = 1 << 16
 _RUN, _OTHER = r"(\w+)", r"([^\w\s])"
 
 
@@ -35,6 +39,13 @@ def placed(words: DataFrame, word: str) -> DataFrame:
     return shared.groupBy("word").agg(F.min_by("run", F.struct("n", "run")).alias("run")).select("run", "word")
 
 
+def _met(pieces: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Pieces of texts joined with placed words. What a text explodes into looks as small as the text's file to the planner, so the side to broadcast is settled here."""
+    words = staged(words)
+    few = words.limit(_FEW_WORDS + 1).count() <= _FEW_WORDS
+    return pieces.join(F.broadcast(words) if few else words.hint("merge"), key)
+
+
 def matched(texts: DataFrame, text: str, words: DataFrame, word: str, before: str = r"[\w.\-]", after: str = r"[\w\-]") -> DataFrame:
     """texts with ``found``: the words in each text, lower-cased, in order of first occurrence, each once; empty for none.
 
@@ -44,7 +55,7 @@ def matched(texts: DataFrame, text: str, words: DataFrame, word: str, before: st
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     key = F.sha2(low.cast("binary"), 256)
     runs = texts.select(key.alias("__key"), F.explode(F.concat(_runs(low), _signs(low))).alias("run"))
-    candidates = runs.join(placed(words, word), "run").groupBy("__key").agg(F.collect_set("word").alias("__words"))  # words of one text
+    candidates = _met(runs, placed(words, word), "run").groupBy("__key").agg(F.collect_set("word").alias("__words"))  # words of one text
     joined = texts.withColumn("__key", key).join(candidates, "__key", "left")
     held = F.filter("__words", lambda w: F.contains(low, w))
     longest = F.transform(F.array_sort(F.transform(held, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E")))
@@ -75,5 +86,5 @@ def containing(texts: DataFrame, text: str, words: DataFrame, word: str) -> Data
     placed_words = shared.groupBy("__w").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
     bodies = texts.select(F.col(text).alias("__t")).distinct()
     grams = bodies.select("__t", F.explode(F.concat(*[_grams(F.col("__t"), n) for n in range(1, GRAM + 1)])).alias("__gram"))
-    pairs = grams.join(placed_words, "__gram").filter(F.contains("__t", F.col("__w"))).select("__t", "__w").distinct()
+    pairs = _met(grams, placed_words, "__gram").filter(F.contains("__t", F.col("__w"))).select("__t", "__w").distinct()
     return texts.join(pairs, texts[text] == pairs["__t"]).drop("__t").join(words, F.col("__w") == words[word]).drop("__w")
