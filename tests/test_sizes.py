@@ -45,3 +45,14 @@ def test_exploded_texts_are_never_broadcast(spark, tmp_path):
             assert not any("Generate" in plan for plan in broadcasts(df))
         assert [r.found for r in found.collect()] == [["tool one"]] * 20
         assert held.count() == 20
+
+
+def test_a_row_beyond_every_sheet_is_a_missing_cell(spark):
+    from tidemark.operators import locate
+    from tidemark.functions.text import strings
+
+    cells = spark.createDataFrame([("b.xlsx", "S", 1, 1, "Name"), ("b.xlsx", "S", 2, 1, "an x")], "book string, sheet string, row int, col int, value string")
+    nodes = spark.createDataFrame([], "source_file string, path string, kind string, value string")
+    rows = spark.createDataFrame([("b.json", "b.xlsx::S::Name::row2"), ("b.json", "b.xlsx::S::Name::row9000020000")], "source_file string, field_path string")
+    out = locate.located(rows.withColumns({"terms": strings(("an",)), "urls": strings(("in",))}), nodes, cells)
+    assert {r.field_path[-4:]: (r.resolved, r.reason) for r in out.collect()} == {"row2": (True, ""), "0000": (False, "workbook_cell_missing")}

@@ -118,7 +118,7 @@ def located(locations: DataFrame, found: DataFrame, cells: DataFrame) -> DataFra
     reason = F.when(F.col("__there").isNull(), "course_export_missing").when(F.col("kind").isNull(), "path_not_found").when(F.col("kind") != "text", "not_a_text_field")
     names = [*locations.columns, "text", "reason", "title", "object_type", "content_type"]
     fields = rows.withColumns({"reason": reason, "text": F.when(reason.isNull(), F.col("value"))}).select(*names)
-    in_cell = locations.filter(F.coalesce(is_cell & ~is_json, F.lit(False))).withColumns({"book": F.regexp_extract(path, _CELL, 1), "sheet": F.regexp_extract(path, _CELL, 2), "head": T.header(F.regexp_extract(path, _CELL, 3)), "row": F.regexp_extract(path, _CELL, 4).cast("int")})
+    in_cell = locations.filter(F.coalesce(is_cell & ~is_json, F.lit(False))).withColumns({"book": F.regexp_extract(path, _CELL, 1), "sheet": F.regexp_extract(path, _CELL, 2), "head": T.header(F.regexp_extract(path, _CELL, 3)), "row": F.regexp_extract(path, _CELL, 4).try_cast("int")})  # no sheet has a row beyond an int
     heads = cells.filter("row = 1").groupBy("book", "sheet", T.header(F.col("value")).alias("head")).agg(F.min("col").alias("col"))
     whole = in_cell.join(heads, ["book", "sheet", "head"], "left").join(cells, ["book", "sheet", "row", "col"], "left")
     title = F.concat(F.regexp_extract(path, _CELL, 3), F.lit(" — "), F.col("sheet"))
