@@ -56,3 +56,82 @@ def test_a_row_beyond_every_sheet_is_a_missing_cell(spark):
     rows = spark.createDataFrame([("b.json", "b.xlsx::S::Name::row2"), ("b.json", "b.xlsx::S::Name::row9000020000")], "source_file string, field_path string")
     out = locate.located(rows.withColumns({"terms": strings(("an",)), "urls": strings(("in",))}), nodes, cells)
     assert {r.field_path[-4:]: (r.resolved, r.reason) for r in out.collect()} == {"row2": (True, ""), "0000": (False, "workbook_cell_missing")}
+
+
+class Held:
+    """State variables of one key, in memory, with the number of round trips that they would cost; timers likewise."""
+
+    def __init__(self):
+        self.trips, self.timers, self.vars = 0, set(), {}
+
+    def _var(self, name, *_):
+        held, values = self, self.vars.setdefault(name, {})
+
+        class Variable:
+            def __getattr__(self, call):
+                def run(*a):
+                    held.trips += 1
+                    return {
+                        "get": lambda: values.get(()), "exists": lambda: () in values, "update": lambda v: values.__setitem__((), v), "clear": lambda: values.clear(), "getValue": lambda k: values.get(k), "containsKey": lambda k: k in values,
+                        "updateValue": lambda k, v: values.__setitem__(k, v), "removeKey": lambda k: values.pop(k), "keys": lambda: iter(list(values)), "iterator": lambda: iter(list(values.items())),
+                    }[call](*a)
+
+                return run
+
+        return Variable()
+
+    getValueState = getMapState = _var  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.trips += 1
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.at
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs  # noqa: N815
+
+
+def through(processor, key, rows, at):
+    """What a key's rows come to once the watermark has passed a time, and the round trips."""
+    held = Held()
+    processor.init(held)
+    list(processor.handleInputRows((key,), iter(rows), Now(0)))
+    out = []
+    while held.timers and min(held.timers) <= at:
+        due = min(held.timers)
+        held.timers.discard(due)
+        now = Now(at)
+        out += list(processor.handleExpiredTimer((key,), now, now))
+    return out, held.trips
+
+
+def test_a_job_costs_few_accesses_to_state():
+    from pyspark.sql import Row
+
+    from tidemark.streaming import jobs
+
+    minute = 60_000
+    events = [Row(kind=k, millis=m * minute, worker=w) for k, m, w in (("finish", 120, "w"), ("heartbeat", 80, "w"), ("lease", 10, "w"), ("lease", 20, "x"), ("submit", 0, None))]
+    out, trips = through(jobs.JobStates(), 7, events, 10**9)
+    assert [r.status for r in out] == ["queued", "running", "done"]
+    assert trips <= 6
+
+
+def test_requests_cost_few_accesses_to_state():
+    from pyspark.sql import Row
+
+    from tidemark.streaming import caches
+
+    rows = [Row(url=f"u{i % 7}", request=i, millis=(i * 7919) % 1000 * 5000) for i in range(1000)]  # within two hours
+    out, trips = through(caches.BodyCache(5, 3 * 3600 * 1000), "c", rows, 10**9)
+    bodies, want = {}, []
+    for r in sorted(rows, key=lambda r: (r.millis, r.request)):
+        want.append((r.request, *caches.asked(bodies, r.url, r.millis, 5, 3 * 3600 * 1000)))
+    assert [(r.request, r.outcome, r.evicted) for r in out] == want
+    assert trips < 50

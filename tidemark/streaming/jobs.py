@@ -43,41 +43,50 @@ def after(state: tuple[str | None, str | None, int], kind: str, worker: str | No
 
 
 class JobStates(StatefulProcessor):
+    """A job's state is one value, since each access is a round trip: its status, the next timer, and the few events that wait."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, rank int, worker string", "n int")
-        self.state = handle.getValueState("state", "status string, worker string, expiry long")
+        self.job = handle.getValueState("job", "status string, worker string, expiry long, due long, waiting array<struct<at: long, rank: int, worker: string>>")
+
+    def _load(self) -> tuple[tuple[str | None, str | None, int], int | None, set[tuple[int, int, str]]]:
+        status, worker, expiry, due, waiting = self.job.get() or (None, None, 0, None, ())
+        return (status, worker, expiry), due, {tuple(e) for e in waiting}
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for row in rows:
-            if row.kind in RANK:
-                self.waiting.updateValue((row.millis, RANK.index(row.kind), row.worker or ""), (1,))
-                self.handle.registerTimer(row.millis)
+        came = {(row.millis, RANK.index(row.kind), row.worker or "") for row in rows if row.kind in RANK}
+        if came:
+            state, due, waiting = self._load()
+            first = min(came)[0]
+            if due is None or first < due:
+                due = first
+                self.handle.registerTimer(due)
+            self.job.update((*state, due, sorted(waiting | came)))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         lease = int(LEASE.total_seconds() * 1000)
         limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # nothing earlier can come any more
-        state = tuple(self.state.get()) if self.state.exists() else (None, None, 0)
+        state, due, waiting = self._load()
         told: list[Row] = []
 
         def tell(at: int) -> None:
             told.append(Change(key[0], state[0], datetime.datetime.fromtimestamp(at / 1000, datetime.UTC), state[1]))
 
-        for at, rank, worker in [*sorted(k for k in self.waiting.keys() if k[0] <= limit), (limit, len(RANK), "")]:  # of one job
+        for at, rank, worker in [*sorted(e for e in waiting if e[0] <= limit), (limit, len(RANK), "")]:  # of one job
             if state[0] == "running" and state[2] <= at:
                 at_end, state = state[2], ("interrupted", state[1], 0)
                 tell(at_end)
             if rank == len(RANK):
                 break
             before, state = state, after(state, RANK[rank], worker or None, at, lease)
-            self.waiting.removeKey((at, rank, worker))
             if state[0] != before[0]:
                 tell(at)
-        if state[2] > limit:
-            self.handle.registerTimer(state[2])
-        if state[0] is not None:
-            self.state.update(state)
+        later = sorted(e for e in waiting if e[0] > limit)
+        wake = min([*(e[0] for e in later[:1]), *([state[2]] if state[2] > limit else [])], default=None)
+        if wake is not None and wake != due:
+            self.handle.registerTimer(wake)
+        self.job.update((*state, wake, later))
         return iter(told)
 
     def close(self) -> None:
