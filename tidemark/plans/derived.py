@@ -11,7 +11,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.functions.text import strings
 from tidemark.operators import catalogue, evidence, history, inventory, locate, observe, report, resolve, score, shred, upstream
-from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, table, with_course
+from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, spread, table, with_course
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
 from tidemark.sources import published, snapshots, stages
@@ -170,7 +170,7 @@ def model_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(k % 9 == 0, "Contact&nbsp;sales").otherwise("$0.10")
     live = _text("<table><caption>Live</caption><tr><th>MODEL ID</th><th>Price per 1M tokens</th><th>Rate limits</th></tr><tr><td>Model ", k, "</td></tr><tr><td><code>m", k, "-8b</code></td><td>", price, "</td><td>30</td></tr></table>")
     html = F.concat(F.lit("<p>Models</p>"), F.when(k % 3 == 0, retired).otherwise(""), F.when((k % 3 != 0) | (k % 9 == 0), live).otherwise(""))
-    return table(spark, sf_dir, "part").select(_text("v", k % 7).alias("vendor"), _text("https://v.test/", k).alias("url"), html.alias("html"))
+    return spread(table(spark, sf_dir, "part")).select(_text("v", k % 7).alias("vendor"), _text("https://v.test/", k).alias("url"), html.alias("html"))
 
 
 def vendor_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
