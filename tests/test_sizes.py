@@ -135,3 +135,21 @@ def test_requests_cost_few_accesses_to_state():
         want.append((r.request, *caches.asked(bodies, r.url, r.millis, 5, 3 * 3600 * 1000)))
     assert [(r.request, r.outcome, r.evicted) for r in out] == want
     assert trips < 50
+
+
+def test_heavy_rows_of_one_file_are_dealt_out(spark):
+    """One row group is one task, however much each of its rows costs."""
+    from tidemark.plans import agents, derived
+
+    folder, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    for df in (derived.model_pages(spark, folder), *agents.sites(spark, folder)):
+        assert df.rdd.getNumPartitions() >= cores
+
+
+def test_the_gate_is_passed_once_for_both_results(spark):
+    """Claims and notes, found and refused: neither reads the pages or asks the tiers anew."""
+    from tidemark.plans import agents
+
+    folder = "/root/testdata/sf0.001"
+    for query in (agents.declared_changes, agents.table_evidence):
+        assert not [f for f in query(spark, folder).inputFiles() if f.endswith("part.parquet")]

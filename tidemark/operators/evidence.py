@@ -14,6 +14,7 @@ from tidemark.functions import constants as K
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import catalogue, trust
+from tidemark.sources.stages import staged
 
 MOST_PAGES, MOST_ATTEMPTS, MOST_QUOTES, SHORTEST_QUOTE = 3, 9, 2, 12
 #: Claims about interfaces, versions and ends concern one of several things on a page, so they must name it.
@@ -90,7 +91,8 @@ def table_claims(pages: DataFrame, subjects: DataFrame, kinds: list[str]) -> tup
     said = F.when(retired | ~priced, F.concat(F.lit(" is listed as "), "status")).otherwise(" appears in a table with plan or quota columns")
     ends = F.when(F.col("date") != "", F.concat(F.lit(", shutdown "), "date")).otherwise("")
     told = F.concat("name", said, F.lit(" in a table on the vendor's own page"), ends)
-    return gated(rows.select("dep_id", "kind", told.alias("statement"), F.col("url").alias("source_url"), "quote", "own_domains", "ord", "nth"))
+    read = staged(rows.select("dep_id", "kind", told.alias("statement"), F.col("url").alias("source_url"), "quote", "own_domains", "ord", "nth"))  # pages are read once for both results
+    return gated(read)
 
 
 def merged_claims(tabled: DataFrame, prose: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def declared(dependencies: DataFrame, changes: DataFrame) -> tuple[DataFrame, Da
     sighting = F.struct(F.lit("pricing").alias("kind"), listed.alias("statement"), text(F.col("listed_url")).alias("source_url"), text(F.col("listed_quote")).alias("quote"), F.lit(False).alias("strict"))
     both = F.array(change, F.when(F.coalesce("still_listed", F.lit(False)) & (text(F.col("listed_url")) != ""), sighting))
     each = rows.select("dep_id", "own_domains", F.explode(F.array_compact(both)).alias("c")).select("dep_id", "own_domains", "c.*").filter((F.col("source_url") != "") & (F.length("quote") >= SHORTEST_QUOTE))
-    claims, _ = gated(each)
+    claims = staged(gated(each)[0])  # the gate is the work; claims and notes both start from what it wrote
     loose = claims.filter(F.col("strict") & ~F.col("substantiates"))
     notes = loose.select("dep_id", F.concat(F.lit("declared_change_unciteable:"), U.host(F.col("source_url"))).alias("note")).distinct()
     return claims.filter(~F.col("strict") | F.col("substantiates")).drop("strict"), notes
