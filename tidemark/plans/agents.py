@@ -9,7 +9,7 @@ from tidemark.functions import constants as K
 from tidemark.functions import text as T
 from tidemark.functions import urls as U
 from tidemark.operators import budget, evidence, frontier, report, resolve, search, trust
-from tidemark.plans.common import locations, table, with_course
+from tidemark.plans.common import locations, spread, table, with_course
 from tidemark.plans.web import HOST_SQL, OWNER_SQL, TITLE_SQL
 from tidemark.sources import stages
 
@@ -27,7 +27,7 @@ def sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     A site's pages are p0, p1, ...; page i links to the next two, back to the first, and to another host. p4 of every second site says in
     prose that the subject ends, p3 of every third one in a table, which also lists a longer id. p1 of every fifth can't be read.
     """
-    supplier = table(spark, sf_dir, "supplier")
+    supplier = spread(table(spark, sf_dir, "supplier"))
     sited = F.lit(int(supplier.count()) // 4 + 1)
     k = F.col("s_suppkey")
     none = F.array().cast("array<string>")
@@ -39,7 +39,7 @@ def sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (k % 13 == 5).alias("publishes_nothing"), F.when(k % 7 == 3, "no provider").alias("error"),
     )
     p = F.col("page_id")
-    rows = table(spark, sf_dir, "pages").withColumn("k", p % sited).withColumn("i", F.floor(p / sited))
+    rows = spread(table(spark, sf_dir, "pages")).withColumn("k", p % sited).withColumn("i", F.floor(p / sited))
     i, own = F.col("i"), F.col("k")
     link = lambda n: _text('<a href="https://docs.org', own, ".io/p", n, '">more</a> ')
     links = F.concat(F.lit("<p>"), link(i + 1), link(i + 2), link(F.lit(0)), _text('<a href="https://mirror.test/', own, "/p", i, '">mirror</a></p>'))
@@ -82,7 +82,7 @@ def table_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans.derived import model_pages
 
     k = F.col("p_partkey")
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     domains = F.struct(F.array(F.lit("v.test")).alias("official_domains"))
     ids = lambda name, shift: part.select(_text(name, k).alias("dep_id"), _text("M", k + shift, "-8B").alias("name"), F.array(_text("m", k + shift)).alias("aliases"), domains.alias("subject"), _text("https://v.test/", k).alias("url"))
     subjects = ids("own", 0).unionByName(ids("next", 7)).unionByName(ids("other", 1))
@@ -151,7 +151,7 @@ def agents_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
 def declared_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes that vendors declare for all parts, as models or nodes: what becomes a claim, and which can only be noted."""
     k, none = F.col("p_partkey"), F.lit(None).cast("string")
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     model = k % 3 == 0
     deps = part.select(k.cast("string").alias("dep_id"), F.when(model, "model").otherwise("n8n_node").alias("kind"), _text("Part ", k).alias("canonical_name"), F.array(F.lit("owner.io")).alias("official_domains"))
     url = F.when(k % 4 == 0, "https://docs.owner.io/changes").when(k % 4 == 1, "https://www.npmjs.com/package/x").when(k % 4 == 3, "https://server.io/deprecations").otherwise("")
