@@ -153,3 +153,16 @@ def test_the_gate_is_passed_once_for_both_results(spark):
     folder = "/root/testdata/sf0.001"
     for query in (agents.declared_changes, agents.table_evidence):
         assert not [f for f in query(spark, folder).inputFiles() if f.endswith("part.parquet")]
+
+
+def test_a_poll_costs_few_accesses_to_state():
+    from pyspark.sql import Row
+
+    from tidemark.streaming import deltas
+
+    held, processor = Held(), deltas.SetDelta()
+    processor.init(held)
+    poll = lambda n, ids: [Row(poll=n, rows=len(ids), id=i, status="live") for i in ids]
+    told = [r for rows in (poll(0, "abcd"), poll(1, "abcd"), poll(2, "abe")) for r in processor.handleInputRows(("s",), iter(rows), Now(0))]
+    assert [(r.poll, r.kind, r.n_added, r.n_removed) for r in told] == [(0, "baseline", 4, 0), (1, "unchanged", 0, 0), (2, "added", None, None), (2, "changed", 1, 2)]
+    assert held.trips <= 3 * 2 + 11 * 2 + 1 + 2

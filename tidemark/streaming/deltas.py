@@ -26,18 +26,21 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class SetDelta(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "id string", "status string, poll long")
-        self.head = handle.getValueState("head", "poll long, rows long, added long, first boolean")
+        self.head = handle.getValueState("head", "poll long, rows long, added long, first boolean, met long, size long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
         source = key[0]
-        poll, n, added, first = self.head.get() if self.head.exists() else (None, 0, 0, True)
+        # met: entries that this poll has seen, of size that there are; only if some are left is the map gone through
+        poll, n, added, first, met, size = self.head.get() or (None, 0, 0, True, 0, 0)
         for row in rows:
             if poll is not None and row.poll < poll:
                 continue
             if row.poll != poll:
-                poll, n, added, first = row.poll, 0, 0, poll is None
+                poll, n, added, first, met = row.poll, 0, 0, poll is None, 0
             n += 1
-            before = self.seen.getValue((row.id,)) if self.seen.containsKey((row.id,)) else None
+            before = self.seen.getValue((row.id,))
+            size += before is None
+            met += before is None or before[1] != poll
             if before is None or before[0] != row.status:
                 added += 1
                 if not first:
@@ -46,13 +49,14 @@ class SetDelta(StatefulProcessor):
                 self.seen.updateValue((row.id,), (row.status, poll))
             if n == row.rows:
                 gone = 0
-                for (name,), (_, last) in self.seen.iterator():
+                for (name,), (_, last) in self.seen.iterator() if met < size else ():
                     if last < poll:
                         self.seen.removeKey((name,))
                         gone += 1
+                size -= gone
                 kind = "baseline" if first else "changed" if added or gone else "unchanged"
                 yield Delta(source, poll, kind, None, None, added, gone)
-        self.head.update((poll, n, added, first))
+        self.head.update((poll, n, added, first, met, size))
 
     def close(self) -> None:
         pass
