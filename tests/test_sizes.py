@@ -166,3 +166,15 @@ def test_a_poll_costs_few_accesses_to_state():
     told = [r for rows in (poll(0, "abcd"), poll(1, "abcd"), poll(2, "abe")) for r in processor.handleInputRows(("s",), iter(rows), Now(0))]
     assert [(r.poll, r.kind, r.n_added, r.n_removed) for r in told] == [(0, "baseline", 4, 0), (1, "unchanged", 0, 0), (2, "added", None, None), (2, "changed", 1, 2)]
     assert held.trips <= 3 * 2 + 11 * 2 + 1 + 2
+
+
+def test_texts_of_the_corpus_are_never_broadcast(spark):
+    """Prose is as small as its file to the planner; the names that are looked for in it are what is sent."""
+    from tidemark.operators import inventory
+    from tidemark.plans import derived
+    from tidemark.sources.stages import staged
+
+    records = staged(derived._records(spark, "/root/testdata/sf0.001"))
+    entries = staged(inventory.entries_of(staged(inventory.structured(records))))
+    sent = broadcasts(inventory.prose_mentions(records, entries))
+    assert sent and not any("body_text" in plan for plan in sent)

@@ -56,7 +56,7 @@ def matched(texts: DataFrame, text: str, words: DataFrame, word: str, before: st
     key = F.sha2(low.cast("binary"), 256)
     runs = texts.select(key.alias("__key"), F.explode(F.concat(_runs(low), _signs(low))).alias("run"))
     candidates = _met(runs, placed(words, word), "run").groupBy("__key").agg(F.collect_set("word").alias("__words"))  # words of one text
-    joined = texts.withColumn("__key", key).join(candidates, "__key", "left")
+    joined = texts.withColumn("__key", key).join(candidates.hint("merge"), "__key", "left")  # both grow with the texts
     held = F.filter("__words", lambda w: F.contains(low, w))
     longest = F.transform(F.array_sort(F.transform(held, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: F.concat(F.lit("\\Q"), x["w"], F.lit("\\E")))
     pattern = F.concat(F.lit(f"(?<!{before})("), F.array_join(longest, "|"), F.lit(f")(?!{after})"))
