@@ -178,3 +178,23 @@ def test_texts_of_the_corpus_are_never_broadcast(spark):
     entries = staged(inventory.entries_of(staged(inventory.structured(records))))
     sent = broadcasts(inventory.prose_mentions(records, entries))
     assert sent and not any("body_text" in plan for plan in sent)
+
+
+def test_a_search_keeps_the_pages_of_a_word_in_their_block(spark):
+    """Five pages a question and block are shuffled, however many pages share a word; equal questions are asked once."""
+    from tidemark.operators import search
+
+    pages = spark.createDataFrame([(i, "d.test", "the word" if i % 3 else f"the rare{i % 2}") for i in range(200)], "page_id long, domain string, text string")
+    blocks, places = search.postings(pages, 16)
+    queries = spark.createDataFrame([(i, t, ["d.test"]) for i, t in enumerate(["the word"] * 30 + ["word the", "rare1", "the the"])], "query_id long, text string, domains array<string>")
+    before, search.ASKED = search.ASKED, 1
+    try:
+        found = search.searched(queries, blocks, places)
+    finally:
+        search.ASKED = before
+    assert "arrays_zip" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.page_id))
+    ranked = lambda ids: list(enumerate(ids, 1))
+    assert got == {i: ranked([1, 2, 4, 5, 7]) for i in range(31)} | {31: ranked([3, 9, 15, 21, 27]), 32: ranked([0, 1, 2, 3, 4])}
