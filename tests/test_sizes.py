@@ -198,3 +198,14 @@ def test_a_search_keeps_the_pages_of_a_word_in_their_block(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.page_id))
     ranked = lambda ids: list(enumerate(ids, 1))
     assert got == {i: ranked([1, 2, 4, 5, 7]) for i in range(31)} | {31: ranked([3, 9, 15, 21, 27]), 32: ranked([0, 1, 2, 3, 4])}
+
+
+def test_courses_of_runs_are_found_once(spark):
+    """No row for each course of each dependency of each run, and no second pass for the runs that none concerns."""
+    from tidemark.operators import resolve
+
+    jobs = spark.createDataFrame([(1, ["Course A", ""], ["p"]), (2, None, ["p", "q"]), (3, [""], ["gone"]), (4, None, None), (5, [], ["q", "gone", "q"])], "run_id long, courses array<string>, dep_ids array<string>")
+    taught = spark.createDataFrame([("p", "B"), ("p", "b"), ("p", ""), ("q", "C D"), ("q", "B"), ("q", None)], "dep_id string, course string")
+    out = resolve.courses_of(jobs, taught)
+    assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "course_a"), (2, "b"), (2, "c_d"), (3, "*"), (4, "*"), (5, "b"), (5, "c_d")]
