@@ -209,3 +209,17 @@ def test_courses_of_runs_are_found_once(spark):
     out = resolve.courses_of(jobs, taught)
     assert "LeftAnti" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(1, "course_a"), (2, "b"), (2, "c_d"), (3, "*"), (4, "*"), (5, "b"), (5, "c_d")]
+
+
+def test_exports_are_dealt_out_and_never_broadcast(spark):
+    """A few megabytes of documents shred for minutes: parts are asked for, not left to the bytes; what they shred into isn't sent to all."""
+    from tidemark.operators import locate, shred
+    from tidemark.plans import derived
+    from tidemark.sources import stages
+
+    docs = derived._exports(spark, "/root/testdata/sf0.001")
+    assert docs.select("course").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    docs = stages.staged(docs)
+    assert shred.units(docs).select("unit_id").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert not any("MapInArrow" in plan for plan in broadcasts(shred.dereferenced(shred.records(docs), docs)))
+    assert {r["kind"] for r in locate.nodes(docs, ("text",)).select("kind").distinct().collect()} == {"text"}

@@ -8,6 +8,7 @@ header. Every location gives a row, and what can't be resolved says why: ``sheet
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -22,50 +23,71 @@ from tidemark.functions import text as T
 WINDOW, NO_MATCH_HEAD = 420, 600
 #: Arrays whose elements are content objects.
 CONTAINERS = ("contents", "question_details")
-_NODES_A_BATCH = 4096
+#: Nodes in a batch, which documents share, and characters of documents after which one is sent.
+_NODES_A_BATCH, _CHARS_A_BATCH = 4096, 1 << 21
+KINDS = ("object", "array", "text", "null")
 _PATH = r"^\$(\[\d+\]|\.[A-Za-z_][A-Za-z0-9_]*)+$"
 _CELL = r"^([^:]+\.xlsx)::([^:]+)::([^:]+)::row(\d+)$"
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
-def walked(doc: object) -> Iterator[tuple[str, str, str | None]]:
-    """(path, kind, value) of every node of a document, to any depth."""
-    stack = [("$", doc)]
+@functools.lru_cache(1 << 14)
+def _step(key: str) -> str:
+    return f".{key}" if _PLAIN.fullmatch(key) else f"[{json.dumps(key)}]"
+
+
+def walked(doc: object, kinds: tuple[str, ...] = KINDS) -> tuple[list[str], list[str], list[str | None]]:
+    """Paths, kinds and values of every node of a document that is of one of the kinds, to any depth."""
+    paths: list[str] = []
+    found: list[str] = []
+    values: list[str | None] = []
+    stack: list[tuple[str, object]] = [("$", doc)]
     while stack:
         path, node = stack.pop()
-        if isinstance(node, dict):
-            yield path, "object", None
-            stack += [(f"{path}.{k}" if _PLAIN.fullmatch(k) else f"{path}[{json.dumps(k)}]", v) for k, v in node.items()]
+        if isinstance(node, str):
+            kind, value = "text", node
+        elif isinstance(node, dict):
+            kind, value = "object", None
+            stack += [(path + _step(k), v) for k, v in node.items()]
         elif isinstance(node, list):
-            yield path, "array", None
+            kind, value = "array", None
             stack += [(f"{path}[{i}]", v) for i, v in enumerate(node)]
         elif node is None:
-            yield path, "null", None
+            kind, value = "null", None
         else:
-            yield path, "text", node if isinstance(node, str) else json.dumps(node)
+            kind, value = "text", json.dumps(node)
+        if kind in kinds:
+            paths.append(path)
+            found.append(kind)
+            values.append(value)
+    return paths, found, values
 
 
-def nodes(docs: DataFrame) -> DataFrame:
-    """source_file, path, kind (object, array, text, null) and value of every node of docs(source_file, doc variant). One pass, a document at a time."""
+def nodes(docs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """source_file, path, kind and value of every node of docs(source_file, doc variant) that is of one of the kinds. One pass, a document at a time."""
     rows = docs.filter("doc IS NOT NULL").select("source_file", F.to_json("doc").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        chars = 0
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found: list[tuple[str, str, str | None]] = []
-                for node in walked(json.loads(body.as_py(), parse_int=str, parse_float=str)):
-                    found.append(node)
-                    if len(found) == _NODES_A_BATCH:
-                        yield _batch(name, found)
-                        found = []
-                yield _batch(name, found)
+                text = body.as_py()
+                found = walked(json.loads(text, parse_int=str, parse_float=str), kinds)
+                chars += len(text)
+                for column, more in zip(held, ([name] * len(found[0]), *found), strict=True):
+                    column += more
+                if len(held[0]) >= _NODES_A_BATCH or chars > _CHARS_A_BATCH:
+                    yield from _batches(held)
+                    held, chars = [[], [], [], []], 0
+        yield from _batches(held)
 
     return rows.mapInArrow(run, "source_file string, path string, kind string, value string")
 
 
-def _batch(name: str, found: list[tuple[str, str, str | None]]) -> pa.RecordBatch:
-    columns = [pa.array([x[i] for x in found], pa.string()) for i in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *columns], ["source_file", "path", "kind", "value"])
+def _batches(held: list[list]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(held[0]), _NODES_A_BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(column[i : i + _NODES_A_BATCH], pa.string()) for column in held], ["source_file", "path", "kind", "value"])
 
 
 def enclosing(path: Column) -> Column:

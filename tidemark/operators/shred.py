@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import constants as K
 from tidemark.functions import text as T
+from tidemark.sources.stages import heavy_parts
 
 _EMPTY = "array<variant>"
 
@@ -33,7 +34,7 @@ def exports(raw: DataFrame) -> DataFrame:
 
 def units(docs: DataFrame) -> DataFrame:
     """One row a unit, with its place, whether it opens a session, and the running session number of its course."""
-    topics = docs.select("source_file", "course", F.posexplode(_items("doc", "$.topics")).alias("ti", "topic"))
+    topics = docs.repartition(heavy_parts(docs.sparkSession), "source_file").select("source_file", "course", F.posexplode(_items("doc", "$.topics")).alias("ti", "topic"))
     rows = topics.select("source_file", "course", "ti", _get("topic", "$.topic_name").alias("topic_name"), F.posexplode(_items("topic", "$.units")).alias("ui", "unit"))
     video = F.exists(_items("unit", "$.contents"), lambda c: F.coalesce(_get(c, "$.learning_resource_type") == "INTERACTIVE_VIDEO", F.lit(False)))
     kind = _get("unit", "$.unit_type")
@@ -107,7 +108,7 @@ def reconciled(docs: DataFrame, rows: DataFrame) -> DataFrame:
     has_pool = (F.size(_items("unit", "$.exam_sections")) > 0) | (F.size(_items("unit", "$.exam_details")) > 0)
     seen = units(docs).withColumn("pool", has_pool)
     read = rows.filter("pooled").select("course", "unit_id").distinct().withColumn("read", F.lit(True))
-    joined = seen.join(read, ["course", "unit_id"], "left")
+    joined = seen.join(read.hint("merge"), ["course", "unit_id"], "left")  # looks as small as the documents' file to the planner
     out = joined.groupBy("course").agg(F.count(F.lit(1)).alias("units"), F.count_if("is_session").alias("sessions"), F.count_if("pool").alias("pools"), F.count_if(F.col("pool") & F.col("read").isNotNull()).alias("pools_read"))
     return out.withColumn("gap", F.col("pools") - F.col("pools_read"))
 
@@ -132,8 +133,8 @@ def dereferenced(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows with value: what their field_path points at in the export they came from. Documents are shredded once; none stands beside a row."""
     from tidemark.operators.locate import nodes
 
-    found = nodes(docs).filter("kind = 'text'").select("source_file", F.col("path").alias("field_path"), "value")
-    return rows.join(found, ["source_file", "field_path"], "left")
+    found = nodes(docs, ("text",)).select("source_file", F.col("path").alias("field_path"), "value")
+    return rows.join(found.hint("merge"), ["source_file", "field_path"], "left")  # looks as small as the documents' file to the planner
 
 
 # --- workbooks, as long tables of cells(book, sheet, row, col, value); row 1 holds the headers ------------------------------------------------

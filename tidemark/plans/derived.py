@@ -15,6 +15,7 @@ from tidemark.plans.common import EVIDENCE_SQL, TENTHS_SQL, locations, spread, t
 from tidemark.plans.impact import TIER_SQL
 from tidemark.plans.web import HOST_SQL, OWNER_SQL
 from tidemark.sources import published, snapshots, stages
+from tidemark.sources.stages import heavy_parts
 
 #: Customers that make one course: an export grows with them, so they are few.
 _COURSE = 50
@@ -52,7 +53,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
         exam_details=F.when(kind == 1, F.array(named(question_details=asked))), exam_sections=F.when(kind == 2, F.array(named(contents=practice))),
     )
     topics = rows.groupBy("course", F.col("segment").alias("topic_name")).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    courses = topics.groupBy("course").agg(F.array_sort(F.collect_list(F.struct("topic_name", "units"))).alias("topics"))
+    courses = topics.repartition(heavy_parts(spark), "course").groupBy("course").agg(F.array_sort(F.collect_list(F.struct("topic_name", "units"))).alias("topics"))
     return shred.exports(courses.select(_text(F.col("course"), ".json").alias("source_file"), "course", F.to_json(F.struct("topics")).alias("body")))
 
 
@@ -75,13 +76,13 @@ def exported_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exported_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By course: units, sessions, pools of questions, pools read, and the gap between them (customers without orders)."""
-    docs = _exports(spark, sf_dir)
+    docs = stages.staged(_exports(spark, sf_dir))
     return shred.reconciled(docs, shred.records(docs))
 
 
 def exported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By course, how many paths lead back to the text that they were found at, and how many don't."""
-    docs = _exports(spark, sf_dir)
+    docs = stages.staged(_exports(spark, sf_dir))
     rows = shred.dereferenced(shred.records(docs), docs)
     return rows.groupBy("course").agg(F.count_if(F.col("value") == F.col("body_text")).alias("found"), F.count_if(~F.col("value").eqNullSafe(F.col("body_text"))).alias("lost"))
 

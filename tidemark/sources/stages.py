@@ -29,6 +29,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def heavy_parts(spark: SparkSession) -> int:
+    """Parts for rows that are short and cost much: a number that is asked for isn't lowered to what the bytes alone would need."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def write_artifact(df: DataFrame, path: str, day: str) -> None:
     """One day's artifact of a run; writing it again replaces that day alone."""
     df.withColumn("dt", F.lit(day)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
