@@ -1,11 +1,17 @@
 """Whole jobs: results over all rows, against brute force or small cases."""
 
+import hashlib
 import random
+import re
+import sys
 from itertools import combinations
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import constants as K
 from tidemark.functions import hashing as H
 from tidemark.plans import impact, web
 
@@ -46,6 +52,66 @@ def test_near_duplicate_simhash_links_every_near_pair(spark, tmp_path):
         assert got == sorted(want)
 
 
+def plain_simhash(text):
+    """As the reference has it: the volatile pattern tried everywhere, a count and 64 votes a shingle."""
+    words = re.findall(K.SKETCH_WORD_PATTERN, re.sub(K.VOLATILE_PATTERN, " ", (text or "").lower(), flags=re.I))
+    votes = [0] * 64
+    for s in zip(words, words[1:], words[2:]):
+        h = int.from_bytes(hashlib.blake2b(" ".join(s).encode(), digest_size=8).digest(), "big")
+        votes = [v + (1 if h >> i & 1 else -1) for i, v in enumerate(votes)]
+    return f"{sum(1 << i for i, v in enumerate(votes) if v > 0):016x}" if len(words) > 2 else ""
+
+
+def test_simhash_leaves_out_all_that_is_volatile():
+    volatile = ["0123456789abcdef", "DEADBEEF" * 2, "2024-01-02T03:04", "2024-01-02 03:04:05", "1234567890", "nonce=a-word-here", "NONCE=\u00e9t\u00e9", "csrf-token=some-word", "c\u017frf=other-word"]
+    volatile += ["".join(chr(zero + int(c)) if c.isdigit() else c for c in "2024-01-02 03:04") for zero in (0x660, 0x966, 0xFF10, 0x1D7CE)]
+    kept = ["0123456789abcde", "2024-01-02", "123456789", "12345678901234", "nonce", "csrf", "x2024-01-02 03:04", "-'tis", "a-'b", "caf\u00e9 \ud800 na\u00efve"]
+    for i, odd in enumerate([*volatile, *kept]):
+        text = f"Some plain words, {odd} and then{odd}some more of them\n{odd}"
+        assert H.simhash_of(text) == plain_simhash(text)
+        assert i >= len(volatile) or H.may_be_volatile(text.lower().encode())
+    assert not H.may_be_volatile("plain caf\u00e9, 12345 words of 2024-01".encode())
+    digits = {chr(c).encode()[0] for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()}
+    assert digits == set(H._DIGIT_LEADS)
+    assert {c for c in map(chr, range(128, sys.maxunicode + 1)) if re.fullmatch("[0-9a-fnonce=csrft]", c.lower(), re.I)} == {"\u017f"}
+
+
+def test_near_duplicate_simhash_hashes_each_text_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    hashed = H.simhash_of
+
+    @F.pandas_udf("string")
+    def counting(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return text.map(hashed)
+
+    monkeypatch.setattr(H, "simhash", counting)
+    web.near_duplicate_simhash(spark, SF).collect()
+    assert seen.value == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_near_hashes_meet_where_their_keys_are(spark):
+    same = [(i, f"{i:016x}") for i in range(300)]  # two parts of three are equal in all
+    got = web.near_hashes(spark.createDataFrame([*same, (None, f"{300:016x}"), (7, f"{301:016x}")], "doc_id long, h string"), 20)
+    assert not re.search("SortMergeJoin|ShuffledHashJoin|NestedLoop|Cartesian", got._jdf.queryExecution().executedPlan().toString())  # keyed hashes meet in one shuffle
+    pairs = [(*sorted((a, b)), (x ^ y).bit_count()) for (a, x), (b, y) in combinations([*((i, i) for i in range(300)), (7, 301)], 2) if a != b and (x ^ y).bit_count() <= 8]
+    assert sorted(map(tuple, got.select("of", "doc_id", "bits").collect())) == sorted(pairs)
+    assert web.near_hashes(spark.createDataFrame([], "doc_id long, h string")).collect() == []
+
+
+@pytest.mark.parametrize("compared", [1, 7, 1 << 20])
+def test_near_pairs_are_the_same_in_any_portions(monkeypatch, compared):
+    monkeypatch.setattr(H, "_COMPARED", compared)
+    rng = random.Random(2)
+    base = rng.getrandbits(63)
+    x = sorted({base ^ sum(1 << j for j in rng.sample(range(63), k)) for k in (0, 1, 2, 3, 5, 9) for _ in range(6)})
+    keyed = pa.Table.from_batches(H.near_keys([pa.record_batch({"doc_id": pa.array(range(len(x))), "x": pa.array(x)})]))
+    placed = pa.table({"doc_id": keyed["doc_id"], "x": keyed["x"], "place": keyed["key"], "side": pa.array([2] * len(keyed), pa.int8())})
+    got = [tuple(r.values()) for b in H.near_pairs(placed.to_batches(max_chunksize=100)) for r in b.to_pylist()]
+    assert sorted(got) == sorted((b, a, apart(f"{x[a]:x}", f"{x[b]:x}")) for a, b in combinations(range(len(x)), 2) if (x[a] ^ x[b]).bit_count() <= 8)
+    assert list(H.near_pairs(iter([]))) == []
+
+
 def test_walk_takes_all_events_and_depths(spark, tmp_path):
     deep = '{"k":' * 12 + "1" + "}" * 12
     spark.createDataFrame([(i, "t", deep if i == 900 else '{"k": 1}', 2.0) for i in (1, 900)], "event_id long, event_type string, props string, value double").write.parquet(f"{tmp_path}/events.parquet")

@@ -123,44 +123,43 @@ def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("n > 1")
 
 
-#: Bits of a hash's three parts from the low end: of two hashes at most 8 bits apart, some part is at most 2 apart.
-_PARTS = ((0, 21), (21, 21), (42, 22))
 #: Hashes under one key that meet in one piece of work.
 _TOGETHER = 2048
 #: Full keys that are sent to all tasks at most, 12 bytes each.
 _FEW_KEYS = 1 << 18
+#: Keyed hashes of a task.
+_TASK = 1 << 19
 
 
 def near_hashes(classes: DataFrame, together: int = _TOGETHER) -> DataFrame:
     """doc_id, of, bits: every pair of classes(doc_id, h), each with a hash of its own, at most eight bits apart, once, of being the smaller id.
 
-    A hash stands under each part's value and under every value one bit off it (67 keys), so two parts up to 2 bits apart share a key. Of the
-    keys a pair shares, the first such part's, with the bits flipped in order, makes the link. Full keys are cut into salted blocks.
+    A hash stands under each part's value and under every value one bit off it (67 keys), so two parts up to 2 bits apart share a key. The
+    keyed hashes are shuffled once, and those of a key compared where they are. Full keys are cut into blocks, of which every two meet in a
+    place of their own.
     """
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 67: small tasks keep the shuffle's memory low
-    rows = classes.select("doc_id", H.bits(F.col("h")).alias("x")).repartition(parts, "x")
-    place = ", ".join(f"struct({i} AS part, shiftrightunsigned(x, {low}) & {(1 << n) - 1}L AS v, {m}L AS m)" for i, (low, n) in enumerate(_PARTS) for m in (0, *(1 << j for j in range(n))))
-    keyed = rows.select("doc_id", "x", F.expr(f"inline(array({place}))")).select("doc_id", "x", "m", F.expr(f"part * {1 << 22}L + (v ^ m)").alias("key"))
+    rows = classes.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), H.bits(F.col("h")).alias("x"))
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() * H.KEYS // _TASK)
+    rows = rows.repartition(parts, "x")
+    keyed = rows.mapInArrow(H.near_keys, "doc_id long, x long, key long")
     # a key is full only through values that are common themselves, so only their keys are counted; the rest adds less than one block
-    value = ", ".join(f"{i << 22}L + (shiftrightunsigned(x, {low}) & {(1 << n) - 1}L)" for i, (low, n) in enumerate(_PARTS))
+    value = ", ".join(f"{i << 22}L + (shiftrightunsigned(x, {low}) & {(1 << n) - 1}L)" for i, (low, n) in enumerate(H.PARTS))
     flips = ", ".join(f"{m}L" for m in (0, *(1 << j for j in range(22))))
     common = rows.select(F.expr(f"explode(array({value}))").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 23 > together)
     full = common.select("n", F.expr(f"explode(transform(array({flips}), m -> v ^ m))").alias("key")).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > together)
-    full = staged(full.select("key", F.ceil(F.col("n") / together).cast("int").alias("blocks")))
+    full = staged(full.select("key", F.ceil(F.col("n") / together).cast("long").alias("blocks")))
     few = full.limit(_FEW_KEYS + 1).count() <= _FEW_KEYS  # usually: each stands for a block of rows and more. Beyond it both sides are shuffled
-    dealt = keyed.join(F.broadcast(full) if few else full, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    a = dealt.withColumn("salt", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).alias("a")
-    b = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
-    low, high = ((1 << 21) - 1), ((1 << 42) - (1 << 21))
-    once = f"""a.key = b.key AND a.salt = b.salt AND a.doc_id < b.doc_id AND bit_count(a.x ^ b.x) <= {K.SIMHASH_FAR} AND (a.m < b.m OR (a.m = 0 AND b.m = 0))
-      AND (a.key < {1 << 22}L OR bit_count((a.x ^ b.x) & {low}L) > 2) AND (a.key < {2 << 22}L OR bit_count((a.x ^ b.x) & {high}L) > 2)"""
-    return a.join(b, F.expr(once)).select(F.col("b.doc_id").alias("doc_id"), F.col("a.doc_id").alias("of"), F.expr("bit_count(a.x ^ b.x)").cast("long").alias("bits"))
+    dealt = keyed.join(F.broadcast(full) if few else full, "key", "left").withColumn("own", F.expr("pmod(xxhash64(x), blocks)"))
+    met = f"""transform(sequence(0L, blocks - 1), b -> struct(key + {1 << 24}L * (least(own, b) * blocks + greatest(own, b)) AS place, CAST(if(own = b, 2, if(own < b, 0, 1)) AS tinyint) AS side))"""
+    dealt = dealt.select("doc_id", "x", F.expr(f"inline(if(blocks is null, array(struct(key AS place, 2Y AS side)), {met}))"))
+    return dealt.repartition(parts, "place").mapInArrow(H.near_pairs, "doc_id long, of long, bits long")
 
 
 def near_duplicate_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the similarity hash of their prose: with 0 bits, each member of a class of equal hashes and the class's first document;
     with 1 to 8 bits, the first documents of every two classes that near to each other."""
-    rows = staged(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", H.simhash(F.col("text")).alias("h")).filter("h <> ''"))
+    hashed = staged(spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", H.simhash(F.col("text")).alias("h")))
+    rows = hashed.filter("h <> ''")  # only now: a filter goes below the hash it reads, and each text would be hashed twice
     firsts = staged(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")))
     members = rows.join(firsts.withColumnRenamed("doc_id", "of"), "h").filter("doc_id <> of").select("doc_id", "of", F.lit(0).cast("long").alias("bits"))
     return members.unionByName(near_hashes(firsts))
