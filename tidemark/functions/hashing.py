@@ -51,7 +51,7 @@ _AS_DIGITS = bytes(48 if b in b"0123456789" else 33 if b in _DIGIT_LEADS else 45
 
 def may_be_volatile(raw: bytes) -> bool:
     """False for lower-case UTF-8 in which the volatile pattern surely finds nothing: it tries each of its forms at each place, these look for
-    what a form can't do without."""
+    what a form can't do without. Another form in the pattern needs its mark here."""
     if b"0" * 16 in raw.translate(_AS_HEX) or b"nonce=" in raw or b"csrf" in raw or "c\u017frf".encode() in raw:  # a long s is an s to re.I
         return True
     digits = raw.translate(_AS_DIGITS)
