@@ -223,3 +223,30 @@ def test_exports_are_dealt_out_and_never_broadcast(spark):
     assert shred.units(docs).select("unit_id").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert not any("MapInArrow" in plan for plan in broadcasts(shred.dereferenced(shred.records(docs), docs)))
     assert {r["kind"] for r in locate.nodes(docs, ("text",)).select("kind").distinct().collect()} == {"text"}
+
+
+def test_a_job_is_no_key_of_its_own(spark, tmp_path):
+    """Each visit to a key costs more than its job: keys stay as many, however many the jobs."""
+    from tidemark.streaming import jobs
+
+    spark.range(6000).selectExpr("id AS job", "'submit' AS kind", "timestamp'2024-01-01' AS at", "CAST(NULL AS string) AS worker").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(-1, "close", None)], "job long, kind string, worker string").selectExpr("job", "kind", "timestamp'2024-02-01' AS at", "worker").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job long, kind string, at timestamp, worker string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = jobs.job_changes(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start(f"{tmp_path}/rows")
+    query.awaitTermination()
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) <= 6000 / 4
+    assert spark.read.parquet(f"{tmp_path}/rows").selectExpr("count(DISTINCT job)", "min(status)", "max(status)").first()[:] == (6000, "queued", "queued")
+
+
+def test_a_part_in_many_files_comes_in_one_batch(spark, monkeypatch):
+    """Not each part is written and read by one task; a small part is one file, and so are all others then."""
+    from tidemark.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    for sizes, files in (([900, 450, 700, 1], 4), ([900, 250, 700, 1], 2), ([900, 40, 700, 700], 1), ([900, 0, 700, 1], 1)):
+        df = spark.createDataFrame([(n * 10_000 + i, n) for n, size in enumerate(sizes) for i in range(size)], "v long, part int")
+        path, each = streams._filed(df, "part", 4)
+        assert each == files
+        query = streams._stream(spark, path, each).writeStream.format("noop").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert [p.numInputRows for p in query.recentProgress if p.numInputRows or 0 in sizes] == sizes
